@@ -28,6 +28,11 @@ from .common import settle
 GROUP_BITS = 10
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _curve_index(axes: Column, count: int, bits: int) -> Column:
     """The place on the curve of a cell (array of ``count`` ints of ``bits`` bits).
 
@@ -38,20 +43,26 @@ def _curve_index(axes: Column, count: int, bits: int) -> Column:
 
     def turn(at: Column, step: Column) -> Column:
         low, here = step["q"] - 1, F.get(at, step["i"])
-        swapped = F.get(at, F.lit(0)).bitwiseXOR(here).bitwiseAND(low)
         inverted = here.bitwiseAND(step["q"]) != 0
-        change = F.when(inverted, low).otherwise(swapped)
-        return F.transform(at, lambda v, k: F.when(k == 0, v.bitwiseXOR(change)).when((k == step["i"]) & ~inverted, v.bitwiseXOR(swapped)).otherwise(v))
+        swapped = F.when(inverted, 0).otherwise(F.get(at, F.lit(0)).bitwiseXOR(here).bitwiseAND(low))
+        changes = F.struct(F.when(inverted, low).otherwise(swapped).alias("first"), swapped.alias("other"))
+        return _let(changes, lambda c: F.transform(at, lambda v, k: F.when(k == 0, v.bitwiseXOR(c["first"])).when(k == step["i"], v.bitwiseXOR(c["other"])).otherwise(v)))
 
     # where the axis is the first one, swapping it with itself changes nothing, as the rule gives
-    turned = F.aggregate(steps, axes, turn)
-    grays = F.transform(turned, lambda _, k: F.aggregate(F.slice(turned, 1, k + 1), F.lit(0), lambda a, v: a.bitwiseXOR(v)))
-    last = F.element_at(grays, -1)
     levels = F.array(*[F.lit(1 << level) for level in range(bits - 1, 0, -1)])
-    fix = F.aggregate(levels, F.lit(0), lambda a, q: F.when(last.bitwiseAND(q) != 0, a.bitwiseXOR(q - 1)).otherwise(a))
-    final = F.transform(grays, lambda v: v.bitwiseXOR(fix))
     places = F.array(*[F.struct(F.lit(axis).alias("i"), F.lit(1 << level).alias("q")) for level in range(bits - 1, -1, -1) for axis in range(count)])
-    return F.aggregate(places, F.lit(0).cast("long"), lambda a, p: a * 2 + F.when(F.get(final, p["i"]).bitwiseAND(p["q"]) != 0, 1).otherwise(0))
+
+    def grays(turned: Column) -> Column:
+        return F.transform(turned, lambda _, k: F.aggregate(F.slice(turned, 1, k + 1), F.lit(0), lambda a, v: a.bitwiseXOR(v)))
+
+    def fixed(gray: Column) -> Column:
+        last = F.element_at(gray, -1)
+        return _let(F.aggregate(levels, F.lit(0), lambda a, q: F.when(last.bitwiseAND(q) != 0, a.bitwiseXOR(q - 1)).otherwise(a)), lambda fix: F.transform(gray, lambda v: v.bitwiseXOR(fix)))
+
+    def interleaved(final: Column) -> Column:
+        return F.aggregate(places, F.lit(0).cast("long"), lambda a, p: a * 2 + F.when(F.get(final, p["i"]).bitwiseAND(p["q"]) != 0, 1).otherwise(0))
+
+    return _let(_let(_let(F.aggregate(steps, axes, turn), grays), fixed), interleaved)
 
 
 def hilbert_rank(rows: DataFrame, dimensions: Sequence[Column], bits: int, key: Sequence[str]) -> DataFrame:
