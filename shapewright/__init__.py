@@ -1,0 +1 @@
+"""Turns semi-structured text into typed DataFrames, as Spark plans."""
