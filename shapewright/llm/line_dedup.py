@@ -56,6 +56,6 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
     joined = joined.withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(lines).cast("long")))
     joined = joined.withColumn("n_removed_lines", F.when(F.col("places").isNotNull(), F.size(covered)).when(F.col("text").isNotNull(), 0).cast("long"))
-    kept = F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")
+    kept = F.get(F.transform(F.array(lines), lambda all_: F.array_join(F.transform(stay, lambda k: F.get(all_, k)), "\n")), F.lit(0))  # split once a text
     joined = joined.withColumn("text", F.when(F.col("places").isNotNull(), kept).otherwise(F.col("text")))
     return joined.drop("own_text", "at_id", "at_text", "places")
