@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import trimmed
 from ..operators.lines import MOST_BYTES
 from ..operators.parse import kv_list, ltsv_rows, regex_lines, settle_refusals, table_rows
 from ..plans.shape import DefinitionError, Shape
@@ -88,4 +89,4 @@ def stream_blocks(lines: DataFrame, start: str) -> DataFrame:
 
 def stream_folded(lines: DataFrame, pattern: str) -> DataFrame:
     """(capture_id, num, line): lines with those that match joined to them."""
-    return _stateful(lines, pattern, True).select("capture_id", "num", F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.array_join(F.transform("texts", F.trim), " ")).alias("line"))
+    return _stateful(lines, pattern, True).select("capture_id", "num", F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.array_join(F.transform("texts", lambda t: trimmed(t)), " ")).alias("line"))
