@@ -17,8 +17,9 @@ the cover are ranked first, by doubling. A bucket's suffixes are sorted by their
 first bytes, and ties are resolved by the ranks of the cover samples that follow
 within a period, so no comparison reads a long tie through.
 
-A bucket of over ``LARGEST`` runs that differ isn't sorted in one task: its
-suffixes are compared by two 64-bit hashes each, counted map-side first.
+A bucket of over ``LARGEST`` runs that differ isn't sorted in one task: its runs
+are cut into chunks that are filed by what their suffixes share, and chunks that
+neither repeat as a whole nor stand alone are cut again, down to one suffix.
 
 Texts: null counts as empty; texts shorter than LENGTH keep all bytes. Very long
 texts are read whole. Repeated rows are copies of each other, so at LENGTH bytes
@@ -46,6 +47,8 @@ PERIOD = 16
 COVER = (0, 1, 2, 5, 8)
 #: Runs that differ, of a bucket that one task sorts.
 LARGEST = 1024
+#: Suffixes in a chunk of a run of a crowded bucket, from one step to the next.
+CHUNKS = (32, 4, 1)
 #: Bytes that a task lays out at a time, about.
 BLOCK = 1 << 20
 
@@ -238,27 +241,60 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield work(held.combine_chunks())
 
 
-def _hashed_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each suffix to depth LENGTH."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            data, counts = part.column("data").to_pylist(), part.column("n").to_numpy()
-            text, bounds = _joined(data)
-            words = _words(text)
-            run = np.repeat(np.arange(len(data)), counts)
-            within = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = bounds[:-1][run] + within
-            both = []
-            for way in (0, 2):
-                by_depth = {16: _mixed(words[:-8], words[8:], way)}
-                for depth in (16, 32, 64, 128):
-                    h = by_depth[depth]
-                    by_depth[2 * depth] = _mixed(h[:-depth], h[depth:], way)
-                both.append(_mixed(_mixed(by_depth[256][at], by_depth[128][at + 256], way), by_depth[16][at + 384], way).view(np.int64))
-            take = pa.array(run)
-            low = part.column("low").to_numpy()[run] + within
-            yield pa.RecordBatch.from_arrays([part.column("d").take(take), part.column("t").take(take), part.column("alone").take(take), pa.array(low.astype(np.int32)), *[pa.array(h) for h in both]], names=["d", "t", "alone", "low", "h", "g"])
+def _chunks(size: int):
+    """Cuts the runs of crowded buckets into chunks of ``size`` suffixes, at
+    fixed places from the anchor. A chunk's bucket is its old one, its place and
+    the bytes that all of its suffixes share, which any run with one of them has;
+    its whole is the bytes of the suffixes that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, buckets, wholes, lows, counts, pieces = [], [], [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "low", "anchor", "n", "data"))
+            for k, (bucket, low, anchor, n, data) in enumerate(zip(*columns, strict=True)):
+                at = low
+                while at < low + n:
+                    place = (at - anchor) // size
+                    first, end = anchor + place * size, min(anchor + (place + 1) * size, low + n)
+                    core = data[first + size - 1 - low : first + LENGTH - low]
+                    piece = data[at - low : end - 1 + LENGTH - low]
+                    rows.append(k)
+                    buckets.append(xxhash.xxh3_64_intdigest(core, (bucket ^ place * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
+                    wholes.append(xxhash.xxh3_64_intdigest(piece, at - first))
+                    lows.append(at)
+                    counts.append(end - at)
+                    pieces.append(piece)
+                    at = end
+            take = pa.array(rows, pa.int64())
+            own = [batch.column(c).take(take) for c in ("d", "t", "alone", "anchor")]
+            hashes = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (buckets, wholes)]
+            yield pa.RecordBatch.from_arrays([*own, *hashes, pa.array(lows, pa.int32()), pa.array(counts, pa.int32()), pa.array(pieces, pa.binary())], names=["d", "t", "alone", "anchor", "bucket", "whole", "low", "n", "data"])
+
+    return run
+
+
+def _crowded_spans(pieces: DataFrame) -> DataFrame:
+    """The repeated suffixes of crowded buckets: chunk by chunk, ever smaller.
+
+    Chunks equal as a whole repeat; those that share nothing with others don't;
+    one of each kind that does is cut further. A run is cut where what it
+    shares ends, so the rows follow the number of runs.
+    """
+    spans: DataFrame | None = None
+    for size in CHUNKS:
+        cut = settle(pieces.mapInArrow(_chunks(size), "d long, t long, alone boolean, anchor int, bucket long, whole long, low int, n int, data binary"))
+        kinds = settle(cut.groupBy("bucket", "whole").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "low", "n", "anchor", "alone")).alias("one")))
+        twice = settle(kinds.filter("times > 1").select("bucket", "whole"))
+        found = cut.filter("alone").drop("data").join(twice, ["bucket", "whole"]).select("d", "t", "low", (F.col("low") + F.col("n") - 1).alias("high"))
+        spans = found if spans is None else spans.unionByName(found)
+        if size == 1:
+            break
+        mixed = settle(kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("bucket"))
+        wanted = settle(kinds.join(mixed, "bucket").select("bucket", "whole", "one.*", (F.col("times") == 1).alias("single")))
+        same = ["bucket", "whole", "d", "t", "low", "n", "anchor"]
+        # a repeated row may offer its chunk twice: it isn't alone then, so it is only compared with
+        pieces = wanted.join(cut.select(*same, "data"), same).select("bucket", "d", "t", (F.col("alone") & F.col("single")).alias("alone"), "low", "anchor", "n", "data")
+    return spans
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -286,9 +322,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     span = "d long, t long, low int, high int"
     few = pieces.filter("not crowded").select("bucket", "d", "t", "alone", "low", "anchor", "n", "data")
     sorted_few = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_blocks, span)
-    suffixes = settle(pieces.filter("crowded").mapInArrow(_hashed_suffixes, "d long, t long, alone boolean, low int, h long, g long"))
-    twice = settle(suffixes.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g"))
-    many = suffixes.filter("alone").join(twice, ["h", "g"]).select("d", "t", "low", F.col("low").alias("high"))
+    many = _crowded_spans(pieces.filter("crowded").select("bucket", "d", "t", "alone", "low", "anchor", "n", "data"))
     return full.unionByName(sorted_few).unionByName(many)
 
 
