@@ -100,5 +100,6 @@ def mixed(docs: DataFrame, *, repeats: float | None = 2.0, entropy: float | None
 def repeated(docs: DataFrame, *, repeats: float = 2.0) -> DataFrame:
     """``docs`` with each document as often as the mixture takes it."""
     how = settle(mixed(docs, repeats=repeats).select(F.col("doc_id").alias("own_id"), "epochs"))
-    joined = docs.join(how, F.col("doc_id").eqNullSafe(F.col("own_id")))
+    # as many rows as documents: the same join at every size, never a broadcast
+    joined = docs.join(how.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")))
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(*[docs[c] for c in docs.columns])

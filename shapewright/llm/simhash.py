@@ -212,4 +212,4 @@ def one_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     smallest id. Documents that repeat an id are one document several times, of
     which all stay or none."""
     firsts = near_duplicates(docs, words, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi")
+    return docs.join(firsts.hint("merge"), "doc_id", "left_semi")  # never a broadcast: the ids grow with the documents
