@@ -49,8 +49,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with texts rid of repeated windows, and n_lines and
     n_removed_lines (long, null for a null text)."""
-    found = settle(repeated_windows(docs))
-    # the places grow with the documents: the same join at every size, never a broadcast
+    # the places grow with the documents: the same join at every size, never a broadcast;
+    # they come dealt by id and hash of the text already, so only the texts are shuffled to them
+    found = repeated_windows(docs)
     joined = _marked(docs.drop("n_lines", "n_removed_lines")).join(found.hint("merge"), (F.col("doc_id") == F.col("at_id")) & (F.col("own_text") == F.col("at_text")), "left")
     lines = F.split("text", "\n", -1)
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.array(*[p + j for j in range(LINES)]))))
