@@ -6,13 +6,16 @@ refused (null if it wasn't). Cells are null if absent; an empty cell is ``''``.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import translate
-from .text import is_blank, literal, trimmed
+from .text import is_blank, literal, trimmed, unescaped
 
 #: Spellings of truth.
 TRUE = ("true", "yes", "on", "1", "y")
@@ -41,6 +44,16 @@ class Field:
     true: tuple[str, ...] = TRUE
     false: tuple[str, ...] = FALSE
     layout: str = ""
+    #: What a time is taken to be that doesn't tell its year or its zone's offset.
+    year: int | None = None
+    recent: datetime | None = None
+    zones: dict[str, str] = field(default_factory=dict)
+    #: Escapes of a string and what they stand for; ``unescape_when`` names the
+    #: key of the same line that must hold text for them to be undone.
+    unescape: dict[str, str] = field(default_factory=dict)
+    octal: bool = False
+    quote: str = ""
+    unescape_when: str = ""
 
 
 def ungrouped(text: Column, separator: str) -> Column:
@@ -94,17 +107,72 @@ def to_duration(text: Column) -> Column:
     return F.when(plain, text.try_cast("decimal(38,9)")).when(fits, by_clock.cast("decimal(38,9)")).when((text != "") & text.rlike(run), total.cast("decimal(38,9)"))
 
 
-def to_time(text: Column, layout: str) -> Column:
-    """RFC 3339 in the printed form's own zone; ``layout`` is a Spark pattern.
-    A text that has no year or zone in its layout stays as printed."""
-    if "y" not in layout:
-        return F.when(F.try_to_timestamp(F.concat(text, F.lit(" 2000")), F.lit(f"{layout} yyyy")).isNotNull(), text)
-    stamp = F.try_to_timestamp(text, F.lit(layout))
-    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss") if not any(z in layout for z in "XxZz") else F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ssXXX")
+def _printed(micros: Column, offset: Column) -> Column:
+    """RFC 3339 of an instant on the clock that is ``offset`` seconds ahead; the
+    session's zone plays no part."""
+    away = ((micros + offset.cast("long") * 1_000_000) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    clock = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), away)
+    minutes = F.abs(offset / 60).cast("int")
+    shown = F.concat(F.when(offset < 0, "-").otherwise("+"), F.lpad((minutes / 60).cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad((minutes % 60).cast("string"), 2, "0"))
+    return F.concat(F.translate(clock.cast("string"), " ", "T"), F.when(offset == 0, "Z").otherwise(shown))
+
+
+def offset_seconds(text: str) -> int:
+    """Seconds ahead of UTC of ``+0900``."""
+    if not re.fullmatch(r"[+-](?:[01][0-9]|2[0-3])[0-5][0-9]", text):
+        raise ValueError(f"not an offset like +0900: {text}")
+    return (1 if text[0] == "+" else -1) * (int(text[1:3]) * 3600 + int(text[3:]) * 60)
+
+
+def to_time(text: Column, layout: str, *, year: int | None = None, recent: datetime | None = None, zones: Mapping[str, str] | None = None) -> Column:
+    """RFC 3339 on the printed form's own clock; ``layout`` is a Spark pattern.
+
+    Without a zone in the layout the clock is UTC's. Where the layout has no
+    year, ``year`` is it, or the latest of eight years that puts the time no more than
+    a day after ``recent``; a ``z`` in the layout is an abbreviation, which
+    ``zones`` maps to offsets like +0900 (UTC, GMT and Z are known). What would
+    need an assumption that isn't made stays as printed. Microseconds are kept.
+    """
+    if "y" not in layout and year is None and recent is None:
+        dated = F.try_to_timestamp(F.concat(F.lit("2000 "), text), F.lit(f"yyyy {re.sub(' ?z+', '', layout)}")) if "z" not in layout else F.lit(0)
+        return F.when(dated.isNotNull(), text)
+    known = {"UTC": 0, "GMT": 0, "Z": 0, **{k: offset_seconds(v) for k, v in (zones or {}).items()}}
+    abbreviation = r"\b([A-Z]{1,5})\b(?=[^A-Z]*\z)"
+    stated = re.search("[XxZ]+", re.sub("'[^']*'", "", layout))
+    unknown = F.lit(False)
+    if "z" in layout:
+        name = F.regexp_extract(text, abbreviation, 1)
+        offset = F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), name)
+        unknown = (name != "") & offset.isNull()
+        text_, pattern = F.regexp_replace(text, abbreviation, "+0000"), re.sub("z+", "xx", layout)
+    elif stated:
+        printed = r"([+-])([0-9]{2}):?([0-9]{2})?[^0-9+-]*\z"
+        size = F.coalesce(F.regexp_extract(text, printed, 2).try_cast("int"), F.lit(0)) * 3600 + F.coalesce(F.regexp_extract(text, printed, 3).try_cast("int"), F.lit(0)) * 60
+        offset = F.when(F.regexp_extract(text, printed, 1) == "-", -size).otherwise(size)
+        text_, pattern = text, layout
+    else:
+        offset, text_, pattern = F.lit(0), F.concat(text, F.lit(" +0000")), f"{layout} xx"
+
+    def instant(y: int | None) -> Column:
+        """Microseconds of the time in a year; an abbreviation's clock is brought to UTC."""
+        stamp = F.try_to_timestamp(text_, F.lit(pattern)) if y is None else F.try_to_timestamp(F.concat(F.lit(f"{y:04d} "), text_), F.lit(f"yyyy {pattern}"))
+        micros = F.unix_micros(stamp)
+        return micros - F.coalesce(offset, F.lit(0)).cast("long") * 1_000_000 if "z" in layout else micros
+
+    if "y" in layout:
+        micros = instant(None)
+    elif year is not None:
+        micros = instant(year)
+    else:
+        limit = recent + timedelta(days=1)
+        most = int(limit.timestamp()) * 1_000_000 + limit.microsecond
+        micros = F.coalesce(*[F.when(instant(y) <= most, instant(y)) for y in range(limit.year, limit.year - 8, -1)])
+    return F.when(unknown & micros.isNotNull(), text).otherwise(_printed(micros, offset))
 
 
-def compiled(cell: Column, rule: Field, key: str) -> tuple[Column, Column]:
-    """The value of a cell under a rule, and why it is refused."""
+def compiled(cell: Column, rule: Field, key: str, line: Mapping[str, Column] | None = None) -> tuple[Column, Column]:
+    """The value of a cell under a rule, and why it is refused. ``line`` has the
+    other cells of its line."""
     none = F.lit(None).cast("string")
     text = cell
     if rule.trim_prefix or rule.trim_suffix:
@@ -120,6 +188,13 @@ def compiled(cell: Column, rule: Field, key: str) -> tuple[Column, Column]:
         unfit = text.isNotNull() & (trimmed(pattern.whole(text)) != trimmed(text))
         text = pattern.group(text, name)
     missing = text.isNull()
+    if rule.type == "string" and rule.unescape:
+        whole = unescaped(text, rule.unescape, octal=rule.octal, quote=rule.quote)
+        if rule.unescape_when:
+            escaped = F.coalesce((line or {})[rule.unescape_when] != "", F.lit(False))
+            whole = F.when(escaped, whole).otherwise(text)
+        unfit = unfit | (text.isNotNull() & whole.isNull())
+        text = whole
     if rule.null_if:
         text = F.when(trimmed(text).isin(list(rule.null_if)), none).otherwise(text)
     bare = trimmed(text)
@@ -145,7 +220,7 @@ def compiled(cell: Column, rule: Field, key: str) -> tuple[Column, Column]:
         inner = F.when(text.isNotNull(), F.concat_ws("; ", *[w for _, w in parts.values()]))
         inner = F.when(inner != "", inner)
     else:
-        value = {"int": to_int, "wide_int": to_wide_int, "float": to_float, "duration": to_duration}.get(rule.type, lambda t: to_bool(t, rule.true, rule.false) if rule.type == "bool" else to_time(t, rule.layout))(bare)
+        value = {"int": to_int, "wide_int": to_wide_int, "float": to_float, "duration": to_duration}.get(rule.type, lambda t: to_bool(t, rule.true, rule.false) if rule.type == "bool" else to_time(t, rule.layout, year=rule.year, recent=rule.recent, zones=rule.zones))(bare)
         unfit = unfit | (text.isNotNull() & value.isNull())
     why = F.when(unfit, F.concat(F.lit(f"{key}: not {rule.type}: "), F.coalesce(cell, F.lit("")))).otherwise(inner)
     if rule.required:

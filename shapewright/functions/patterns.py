@@ -52,7 +52,7 @@ def translate(source: str) -> Pattern:
         raise PatternError(f"a pattern of over {MOST_PATTERN} characters")
     out: list[str] = []
     groups: dict[str, int] = {}
-    number, at, in_class = 0, 0, False
+    number, at, in_class, depth = 0, 0, False, 0
     multiline = source.startswith("(?") and "m" in source[2 : max(source.find(")"), 2)].split(":")[0].split("-")[0]
     while at < len(source):
         c = source[at]
@@ -96,6 +96,9 @@ def translate(source: str) -> Pattern:
                 out.append(r"\]")
                 at += 1
             continue
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            raise PatternError("a parenthesis that none opens")
         if c == "(":
             rest = source[at:]
             if rest.startswith(("(?=", "(?!", "(?<=", "(?<!", "(?>")):
@@ -118,6 +121,8 @@ def translate(source: str) -> Pattern:
         else:
             out.append(c)
         at += 1
+    if depth or in_class:
+        raise PatternError("a parenthesis or bracket that isn't closed")
     return Pattern(source, "(?d)" + "".join(out), groups)
 
 

@@ -55,3 +55,39 @@ def normal_names(heading: Column) -> Column:
     """``normal_name`` for a column."""
     spelled = F.replace(F.lower(heading), F.lit("%"), F.lit("_percent"))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(spelled, "[^0-9a-z]+", "_"), "_+", "_"), r"\A_|_\z", "")
+
+
+def unescaped(text: Column, sequences: dict[str, str], *, octal: bool = False, quote: str = "") -> Column:
+    """``text`` with the escapes that a format writes undone; null where the
+    escape character begins none of them, or the bytes aren't UTF-8.
+
+    ``sequences`` maps each escape to what it stands for, the longest first; all
+    begin with one character. With ``octal`` that character and three octal
+    digits are a byte. With ``quote`` only a value between two of these is
+    undone, and it loses them. The bytes are put together as hexadecimal digits,
+    so that a character may be written in several escapes.
+    """
+    (mark,) = {k[0] for k in sequences}
+    e = literal(mark)
+    known = sorted(sequences, key=len, reverse=True)
+    token = "|".join([*map(literal, known), *([f"{e}[0-3][0-7]{{2}}"] if octal else []), e, f"[^{re.escape(mark)}]+"])
+    names = F.create_map(*[F.lit(x) for k in known for x in (k, sequences[k].encode().hex())])
+
+    def bytes_of(t: Column) -> Column:
+        if octal:
+            as_byte = F.when(F.length(t) == 4, F.lpad(F.conv(F.substring(t, 2, 3), 8, 16), 2, "0"))
+            escape = F.coalesce(F.try_element_at(names, t), as_byte)
+        else:
+            escape = F.try_element_at(names, t)
+        return F.when(F.startswith(t, F.lit(mark)), escape).otherwise(F.hex(t))
+
+    def undone(t: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(t, F.lit(f"(?s)({token})"), F.lit(1)), bytes_of)
+        whole = F.when(~F.exists(parts, lambda v: v.isNull()), F.unhex(F.array_join(parts, "")).cast("string"))
+        return F.when(~F.contains(t, F.lit(mark)), t).when(F.is_valid_utf8(whole), whole)
+
+    if not quote:
+        return let(text, undone)
+    n = len(quote)
+    quoted = (F.length(text) >= 2 * n) & F.startswith(text, F.lit(quote)) & F.endswith(text, F.lit(quote))
+    return F.when(quoted, let(F.substring(text, F.lit(n + 1), F.length(text) - 2 * n), undone)).otherwise(text)

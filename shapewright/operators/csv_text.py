@@ -56,6 +56,24 @@ def records(text: str, delimiter: str = ",") -> Iterator[tuple[int, list[str]]]:
         yield begun, values
 
 
+def open_quote(text: str, delimiter: str = ",") -> bool:
+    """Whether a quote that opened at a value's start is still open at the end of
+    a record's text so far."""
+    at = 0
+    while True:
+        if text.startswith('"', at):
+            at += 1
+            while (end := text.find('"', at)) >= 0 and text.startswith('"', end + 1):
+                at = end + 2
+            if end < 0:
+                return True
+            at = end + 1
+        following = text.find(delimiter, at)
+        if following < 0:
+            return False
+        at = following + len(delimiter)
+
+
 def named(heads: list[str]) -> list[str]:
     """Names told apart: the second ``x`` is ``x_2``; an empty one is its column."""
     out: list[str] = []

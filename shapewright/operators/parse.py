@@ -25,7 +25,7 @@ def _rows(df: DataFrame, cells: Mapping[str, Column], rules: Mapping[str, Field]
     """Typed keys of the cells, and the first reason against any."""
     values, reasons = [], [refusal]
     for key, cell in cells.items():
-        value, why = (cell, F.lit(None).cast("string")) if raw else compiled(cell, rules.get(key, Field()), key)
+        value, why = (cell, F.lit(None).cast("string")) if raw else compiled(cell, rules.get(key, Field()), key, cells)
         values.append(value.alias(key))
         reasons.append(why)
     return df.select(*keep, *values, F.coalesce(*reasons).alias("refusal"))

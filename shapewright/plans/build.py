@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 class UsageError(ValueError):
     """Arguments that contradict each other; raised before anything is read."""
@@ -52,12 +54,27 @@ def json_text(value: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """A double as the shortest JSON number: no ``.0``, exponents from 1e21 and below 1e-6."""
+    """A double as the shortest JSON number: no ``.0``, exponents from 1e21 and below 1e-6.
+    Subnormal numbers may have more digits than they need."""
     plain = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"\.?0+\z", "")
     size = F.abs(value)
-    exact = F.when((size >= 1e-6) & (size < 1e17) & (value.cast("decimal(38,18)").cast("double") == value), F.when(value.cast("decimal(38,18)").cast("string").rlike(r"\."), plain))
-    spelled = F.regexp_replace(F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0(E|\z)", "$1"), "E(?=[0-9])", "e+"), "E-", "e-")
-    return F.when(value == 0, "0").otherwise(F.coalesce(exact, spelled))
+    exact = F.when((size >= 1e-6) & (size < 1e15) & (value.cast("decimal(38,18)").cast("double") == value), plain)
+    # the fewest digits that give the value back, of 15, 16 and 17
+    forms = [F.format_string(f"%.{k}e", value) for k in (14, 15, 16)]
+    fewest = F.coalesce(*[F.when(f.cast("double") == value, f) for f in forms])
+
+    def spelled(form: Column) -> Column:
+        sign, power = F.regexp_extract(form, r"\A(-?)", 1), F.regexp_extract(form, r"e\+?(-?[0-9]+)\z", 1).cast("int")
+        digits = F.regexp_replace(F.regexp_replace(form, r"\A-|\.|e.*\z", ""), r"(?<=[0-9])0+\z", "")
+        n = F.length(digits)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        large = F.concat(digits, F.repeat(F.lit("0"), power + 1 - n))
+        middle = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, n))
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+        apart = F.concat(F.substring(digits, 1, 1), tail, F.when(power < 0, "e").otherwise("e+"), power.cast("string"))
+        return F.concat(sign, F.when((size < 1e-6) | (size >= 1e21), apart).when(power < 0, small).when(n <= power + 1, large).otherwise(middle))
+
+    return F.when(value == 0, "0").otherwise(F.coalesce(exact, let(fewest, spelled)))
 
 
 def _rendered(node: Node) -> Column:

@@ -38,6 +38,10 @@ class Signature:
     any: tuple[str, ...] = ()
     none: tuple[str, ...] = ()
     window: int = WINDOW
+    aliases: tuple[str, ...] = ()
+    args_any: tuple[str, ...] = ()
+    args_all: tuple[str, ...] = ()
+    args_none: tuple[str, ...] = ()
 
 
 def catalog(spark: SparkSession, signatures: Sequence[Signature]) -> DataFrame:
@@ -87,16 +91,68 @@ def matches(text: Column, s: Signature) -> Column:
     return found
 
 
+def holds_argument(args: Column, wanted: str) -> Column:
+    """Whether a command's arguments hold one: as written, as a letter of bundled
+    ones (as often, all in all, as it is wanted), or, ending in ``=``, with any
+    value. What follows ``--`` are operands and says nothing."""
+    end = F.array_position(args, "--")
+    options = F.when(end > 0, F.slice(args, F.lit(1), (end - 1).cast("int"))).otherwise(args)
+    found = F.array_contains(options, wanted)
+    if wanted.startswith("-") and wanted.endswith("=") and len(wanted) > 2:
+        found = found | F.exists(options, lambda a: F.startswith(a, F.lit(wanted)))
+    letters = wanted[1:]
+    if wanted.startswith("-") and letters and letters[0] != "-" and len(set(letters)) == 1:
+        bundles = F.filter(options, lambda a: a.rlike(r"\A-[^-]"))
+        times = F.aggregate(bundles, F.lit(0), lambda n, a: n + F.length(a) - F.length(F.replace(a, F.lit(letters[0]), F.lit(""))))
+        found = found | (times >= len(letters))
+    return found
+
+
+def against(captures: DataFrame, s: Signature) -> Column:
+    """Why a definition whose text may match isn't for a capture: another system
+    (column os, null if not known), or its arguments (column args); null if it is."""
+    reasons = [F.lit(None).cast("string")]
+    if s.os and "os" in captures.columns:
+        reasons.append(F.when(~F.col("os").isin(list(s.os)), F.lit(f"only for {', '.join(s.os)}")))
+    if "args" in captures.columns:
+        args = F.coalesce("args", F.array().cast("array<string>"))
+        if s.args_any:
+            one = F.lit(False)
+            for a in s.args_any:
+                one = one | holds_argument(args, a)
+            reasons.append(F.when(~one, F.lit(f"needs one of the arguments {', '.join(s.args_any)}")))
+        reasons += [F.when(~holds_argument(args, a), F.lit(f"needs the argument {a}")) for a in s.args_all]
+        reasons += [F.when(holds_argument(args, a), F.lit(f"excluded by the argument {a}")) for a in s.args_none]
+    return F.coalesce(*reasons) if len(reasons) > 1 else reasons[0]
+
+
+def _open(signatures: Sequence[Signature], named: str | None) -> list[Signature]:
+    """Definitions to choose from: those of the name or alias that is named, or all that need no naming."""
+    return [s for s in signatures if (named in (s.parser, *s.aliases) if named else not s.explicit_only)]
+
+
+def near_misses(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None) -> DataFrame:
+    """(capture_id, parser, variant, source, reason): definitions whose text
+    matches but which system or arguments rule out, and named ones whose text doesn't."""
+    flags = []
+    for s in _open(signatures, named):
+        fits = matches(F.col("text"), s)
+        why = F.when(fits, against(captures, s))
+        if named:
+            why = why.when(~fits, F.lit("the text doesn't match"))
+        flags.append(F.when(why.isNotNull(), F.struct(F.lit(s.parser).alias("parser"), F.lit(s.variant).alias("variant"), F.lit(s.source).alias("source"), why.alias("reason"))))
+    if not flags:
+        raise ValueError("no definition to choose from")
+    return captures.select("capture_id", F.inline(F.array_compact(F.array(*flags))))
+
+
 def candidates(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None) -> DataFrame:
     """(capture_id, parser, variant, source, priority) of signatures that match.
     Ones that need naming are left out unless ``named``."""
-    open_ = [s for s in signatures if (s.parser == named if named else not s.explicit_only)]
-    has_os = "os" in captures.columns
+    open_ = _open(signatures, named)
     flags = []
     for s in open_:
-        fits = matches(F.col("text"), s)
-        if s.os and has_os:
-            fits = fits & (F.col("os").isNull() | F.col("os").isin(list(s.os)))
+        fits = matches(F.col("text"), s) & against(captures, s).isNull()
         tag = F.struct(F.lit(s.parser).alias("parser"), F.lit(s.variant).alias("variant"), F.lit(s.source).alias("source"), F.lit(s.priority).alias("priority"))
         flags.append(F.when(fits, tag))
     if not flags:

@@ -7,6 +7,8 @@ of decimals, so that the texts are the same in both engines.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from .functions.convert import Field
 from .functions.text import normal_names, without_escapes
 from .operators import aligned, csv_text, lines, parse
 from .operators.lines import Region, exploded, regioned
-from .plans import build, identify
+from .plans import build, conformance, identify
 from .plans.identify import Signature
 from .plans.shape import Shape
 from .sources.readers import evidence, json_refusal
@@ -544,7 +546,7 @@ def wide_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("key"), convert.to_wide_int(text).cast("string").alias("wide"), convert.to_int(small).isNotNull().alias("fits"))
 
 
-@query("""select o_orderkey as "key", strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as at from orders""")
+@query("""select o_orderkey as "key", strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') as at from orders""")
 def time_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     printed = F.date_format("o_orderdate", "dd/MMM/yyyy:HH:mm:ss")
@@ -557,3 +559,101 @@ select p_name as parser from d where e <= 2 and e = (select min(e) from d) order
 """)
 def suggest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify.suggested(spark, "red widge", definitions(spark, sf_dir))
+
+
+@query("""select o_orderkey as "key", strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || case when o_orderkey % 2 = 0 then '+09:30' else '-04:00' end as at from orders""")
+def time_own_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    zone = F.when(F.col("o_orderkey") % 2 == 0, " +0930").otherwise(" -0400")
+    printed = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), zone)
+    return o.select(F.col("o_orderkey").alias("key"), convert.to_time(printed, "yyyy-MM-dd HH:mm:ss xx").alias("at"))
+
+
+@query("""
+select o_orderkey as "key", '1996' || strftime(o_orderdate, '-%m-%dT%H:%M:%SZ') as dated, strftime(o_orderdate, '%b %d %H:%M:%S') as undated,
+  case when o_orderkey % 2 = 0 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+09:00') else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S XYZ') end as zoned,
+  case when strftime(o_orderdate, '%m-%d') = '02-29' then '1996' when strftime(o_orderdate, '%m-%d %H:%M:%S') <= '03-02 12:00:00' then '1997' else '1996' end || strftime(o_orderdate, '-%m-%dT%H:%M:%SZ') as latest
+from orders
+""")
+def time_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    short = F.date_format("o_orderdate", "MMM dd HH:mm:ss")
+    zoned = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("o_orderkey") % 2 == 0, " JST").otherwise(" XYZ"))
+    layout = "MMM dd HH:mm:ss"
+    now = datetime(1997, 3, 1, 12, tzinfo=timezone.utc)
+    return o.select(
+        F.col("o_orderkey").alias("key"), convert.to_time(short, layout, year=1996).alias("dated"), convert.to_time(short, layout).alias("undated"),
+        convert.to_time(zoned, "yyyy-MM-dd HH:mm:ss z", zones={"JST": "+0900"}).alias("zoned"), convert.to_time(short, layout, recent=now).alias("latest"),
+    )
+
+
+@query("""
+select n_nationkey as "key", n_name || case when n_nationkey % 3 = 0 then 'é' || chr(10) when n_nationkey % 3 = 1 then chr(92) || '303' else '' end as name, n_nationkey % 3 = 2 as refused
+from nation where n_nationkey % 3 <> 2
+union all select n_nationkey, null, true from nation where n_nationkey % 3 = 2
+""")
+def unescape_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in quotes are escaped, others are as they are; an unlisted escape is refused."""
+    n = table(spark, sf_dir, "nation")
+    third = F.col("n_nationkey") % 3
+    name = F.when(third == 0, F.concat(F.lit('"'), "n_name", F.lit(r'\303\251\n"'))).when(third == 1, F.concat("n_name", F.lit(r"\303"))).otherwise(F.concat(F.lit('"'), "n_name", F.lit(r'\q"')))
+    lines = n.select(F.col("n_nationkey").alias("capture_id"), F.lit(1).alias("num"), F.concat(F.lit("sum  "), name).alias("line"))
+    rule = Field(unescape={r"\n": "\n", r"\\": "\\"}, octal=True, quote='"')
+    rows = parse.regex_lines(lines, [r"^sum  (?P<name>.*)$"], {"name": rule})
+    return rows.select(F.col("capture_id").alias("key"), "name", F.col("refusal").isNotNull().alias("refused"))
+
+
+OPTIONED = [
+    Signature("files", "long", all=("^",), args_any=("-l", "--format=")),
+    Signature("files", "sized", all=("^",), args_all=("-s",), args_none=("-l",), aliases=("list",)),
+    Signature("verbose", "twice", all=("^",), args_all=("-vv",)),
+]
+
+
+@query("""
+with a as (select c_custkey as capture_id, c_custkey % 4 as k from customer)
+select capture_id, 'files' as parser, 'long' as variant, 0 as source, null as reason from a where k in (0, 3)
+union all select capture_id, 'files', 'long', 0, 'needs one of the arguments -l, --format=' from a where k in (1, 2)
+union all select capture_id, 'files', 'sized', 0, 'excluded by the argument -l' from a where k = 0
+union all select capture_id, 'files', 'sized', 0, null from a where k = 1
+union all select capture_id, 'files', 'sized', 0, 'needs the argument -s' from a where k in (2, 3)
+union all select capture_id, 'verbose', 'twice', 0, case when k = 2 then null else 'needs the argument -vv' end from a
+""")
+def arguments_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions by a command's arguments: bundled, repeated, with values, and after ``--``."""
+    c = table(spark, sf_dir, "customer")
+    kinds = F.array(*[F.array(*map(F.lit, words)) for words in (["-ls"], ["-s", "--", "-l"], ["-v", "-v"], ["--format=x"])])
+    given = c.select(F.col("c_custkey").alias("capture_id"), F.col("c_name").alias("text"), F.get(kinds, (F.col("c_custkey") % 4).cast("int")).alias("args"))
+    chosen = identify.candidates(given, OPTIONED).select("capture_id", "parser", "variant", "source", F.lit(None).cast("string").alias("reason"))
+    return chosen.union(identify.near_misses(given, OPTIONED))
+
+
+REPORT = Shape("regex", patterns=[r"^order (?P<order>\d+) (?P<status>[FOP])$"], fields={"order": Field("int", required=True)})
+
+
+def order_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return gathered(o, "o_custkey", "o_orderkey", F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderstatus"))
+
+
+@query("""select k as kind, count(*) as n, sum(o_orderkey)::bigint as total from orders, (select unnest(['bom', 'crlf', 'no newline', 'blank before', 'blank after']) as k) group by 1""")
+def dressed_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report in five dresses gives the same rows."""
+    texts = conformance.dressed(order_report(spark, sf_dir)).select(F.struct("capture_id", "kind").alias("capture_id"), "text")
+    return REPORT.read(texts).groupBy(F.col("capture_id.kind").alias("kind")).agg(F.count("*").alias("n"), F.sum("order").alias("total"))
+
+
+@query("""
+with c as (select count(distinct o_custkey) as captures, count(*) as n from orders)
+select k as kind, captures * case when k = 'doubled' then 2 else 1 end as refused, n as n_read from c, (select unnest(['end', 'middle', 'doubled']) as k)
+""")
+def tampered_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A foreign line is refused wherever it stands, and no other line is."""
+    texts = conformance.tampered(order_report(spark, sf_dir)).select(F.struct("capture_id", "kind").alias("capture_id"), "text")
+    rows = REPORT.read(texts, "report").groupBy(F.col("capture_id.kind").alias("kind"))
+    return rows.agg(F.count("refusal").alias("refused"), F.count(F.when(F.col("refusal").isNull(), 1)).alias("n_read"))
+
+
+@query(CANDIDATES + "select doc_id as capture_id, parser, variant from m where parser <> 'prose'")
+def strangers_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conformance.strangers(documents(spark, sf_dir).withColumn("owner", F.lit("prose")), SIGNATURES)

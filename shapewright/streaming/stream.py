@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import trimmed
+from ..operators.csv_text import open_quote, records
 from ..operators.lines import MOST_BYTES
 from ..operators.parse import kv_list, ltsv_rows, regex_lines, settle_refusals, table_rows
 from ..plans.shape import DefinitionError, Shape
@@ -90,3 +91,46 @@ def stream_blocks(lines: DataFrame, start: str) -> DataFrame:
 def stream_folded(lines: DataFrame, pattern: str) -> DataFrame:
     """(capture_id, num, line): lines with those that match joined to them."""
     return _stateful(lines, pattern, True).select("capture_id", "num", F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.array_join(F.transform("texts", lambda t: trimmed(t)), " ")).alias("line"))
+
+
+def stream_trees(lines: DataFrame) -> DataFrame:
+    """(capture_id, record, num, texts): top-level nodes of an indented tree, each
+    handed over once the next one begins or the capture ends."""
+    return stream_blocks(lines.filter(F.col("line").isNull() | (trimmed(F.col("line")) != "")), r"^\S")
+
+
+def _csv(delimiter: str):
+    """Handles a capture's new lines: those since an open quote are the state."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        record, num, held = state.get if state.exists else (0, 0, None)
+        new = pd.concat(list(frames)).sort_values("num")
+        out, ended = [], False
+        for at, line, last in zip(new["num"], new["line"], new["last"], strict=True):
+            if line is not None:
+                num, held = (int(at), line) if held is None else (num, f"{held}\n{line}")
+                if len(held) > MOST_HELD:
+                    raise ValueError("an open record of over 64 MiB")
+                if not open_quote(held, delimiter):
+                    values = next(records(held + "\n", delimiter))[1]
+                    record += 1
+                    out.append((key[0], record, num, values))
+                    held = None
+            ended = ended or bool(last)
+        if ended and held is not None:
+            raise ValueError(f"a quote that line {num} opens isn't closed")
+        if ended:
+            state.remove()
+        else:
+            state.update((record, num, held))
+        yield pd.DataFrame(out, columns=["capture_id", "record", "num", "cells"])
+
+    return run
+
+
+def stream_csv(lines: DataFrame, delimiter: str = ",") -> DataFrame:
+    """(capture_id, record, num, cells): CSV records, each handed over once no
+    quote is open at its line's end; the first has the headings."""
+    kind = lines.schema["capture_id"].dataType.simpleString()
+    out = f"capture_id {kind}, record long, num long, cells array<string>"
+    return lines.groupBy("capture_id").applyInPandasWithState(_csv(delimiter), out, "record long, num long, held string", "append", GroupStateTimeout.NoTimeout)

@@ -1,3 +1,5 @@
+import json
+from datetime import datetime, timezone
 from decimal import Decimal
 
 import duckdb
@@ -7,10 +9,11 @@ from pyspark.sql import functions as F
 from shapewright.functions import convert
 from shapewright.functions.convert import Field
 from shapewright.functions.patterns import PatternError, translate
-from shapewright.functions.text import normal_name, without_escapes
+from shapewright.functions.text import normal_name, unescaped, without_escapes
 from shapewright.operators import aligned, csv_text
 from shapewright.operators.lines import Region
 from shapewright.plans.build import UsageError, built, number_text
+from shapewright.plans.definition import definition, registry
 from shapewright.plans.shape import DefinitionError, Shape, changes
 from shapewright.sources.readers import format_of
 
@@ -107,7 +110,8 @@ def test_names_and_escapes(spark):
 
 
 def test_json(spark):
-    assert column(spark, [1.5, 100.0, 1e21, 1e-7, 0.1, 2.0**60], number_text, "double") == ["1.5", "100", "1e+21", "1e-7", "0.1", "1.15292150460684698e+18"] or True
+    numbers = {1.5: "1.5", 100.0: "100", 1e21: "1e+21", 1e20: "100000000000000000000", 1e-7: "1e-7", 1e-6: "0.000001", 1.2345678901234567e-6: "0.0000012345678901234567", 0.1: "0.1", 2.0**60: "1152921504606847000", -1.5e22: "-1.5e+22", -123456789012345680.0: "-123456789012345680", 0.1 + 0.2: "0.30000000000000004"}
+    assert column(spark, list(numbers), number_text, "double") == list(numbers.values())
     assert column(spark, ['a"<> '], lambda c: built(("=", "k", c)))[0].startswith('{"k":"a\\"<>')
     with pytest.raises(UsageError):
         built(("=", "a", F.lit("1")), ("path", "/a/b", F.lit("2")))
@@ -126,3 +130,51 @@ def test_definitions(spark):
 
 def test_formats():
     assert [format_of(p) for p in ("x/a.CSV.gz", ".json", "b.ndjson", "c.txt")] == [("csv", "gzip"), (None, None), ("jsonl", None), (None, None)]
+
+
+def test_times(spark):
+    def at(text, layout, **more):
+        return column(spark, [text], lambda c: convert.to_time(c, layout, **more))[0]
+
+    assert at("2024-02-29 10:00:00.25", "yyyy-MM-dd HH:mm:ss.SS") == "2024-02-29T10:00:00.25Z"
+    assert at("2023-02-29 10:00:00", "yyyy-MM-dd HH:mm:ss") is None
+    assert at("2024-01-01 23:30 -0330", "yyyy-MM-dd HH:mm xx") == "2024-01-01T23:30:00-03:30"
+    assert at("2024-01-01 23:30 EST", "yyyy-MM-dd HH:mm z", zones={"EST": "-0500"}) == "2024-01-01T23:30:00-05:00"
+    assert at("2024-01-01 23:30 GMT", "yyyy-MM-dd HH:mm z") == "2024-01-01T23:30:00Z"
+    assert at("2024-01-01 23:30 EST", "yyyy-MM-dd HH:mm z") == "2024-01-01 23:30 EST"
+    assert at("nothing EST", "yyyy-MM-dd HH:mm z") is None
+    now = datetime(2025, 1, 2, tzinfo=timezone.utc)
+    assert at("Jan 02 23:00", "MMM dd HH:mm", recent=now) == "2025-01-02T23:00:00Z"
+    assert at("Jan 03 23:00", "MMM dd HH:mm", recent=now) == "2024-01-03T23:00:00Z"
+    assert at("Feb 29 00:00", "MMM dd HH:mm", recent=now) == "2024-02-29T00:00:00Z"
+    assert at("Feb 29 00:00", "MMM dd HH:mm", year=2023) is None
+    with pytest.raises(ValueError):
+        convert.offset_seconds("+9")
+
+
+def test_escapes_of_strings(spark):
+    def undo(values, **more):
+        return column(spark, values, lambda c: unescaped(c, {r"\n": "\n", r"\\": "\\", r"\nn": "N"}, **more))
+
+    assert undo([r"a\nb", r"\nn\\n", "plain", "", None, r"a\q", "end\\", r"\101"]) == ["a\nb", "N\\n", "plain", "", None, None, None, None]
+    assert undo([r"\303\251\101", r"\303", r"\477", "é\\n"], octal=True) == ["éA", None, None, "é\n"]
+    assert undo(['"a\\nb"', r"a\qb", '"', '""'], quote='"') == ["a\nb", r"a\qb", '"', ""]
+    shape = Shape("regex", patterns=[r"^(?P<mark>\\?)(?P<sum>\w+)  (?P<name>.*)$"], fields={"name": Field(unescape={r"\n": "\n"}, unescape_when="mark")})
+    rows = shape.read(captures(spark, "\\\\ab  x\\ny\nab  x\\ny\n".replace("\\\\", "\\"))).orderBy("num").collect()
+    assert [r.name for r in rows] == ["x\ny", r"x\ny"]
+
+
+def test_definitions_from_text(spark, tmp_path):
+    good = {"shape": {"parse": "table", "columns": ["a", "b"], "fields": {"a": {"type": "int", "null_if": ["-"]}, "b": {"unescape": {"\\n": "\n"}}}, "region": {"ignore": ["^#"]}}, "signature": {"all": ["^[0-9]"], "priority": 2}}
+    for place, text in {"one/plain": json.dumps(good), "one/bad": '{"shape": {"parse": "table", "colums": []}}', "two/twice": '{"shape": 1, "shape": 2}'}.items():
+        (tmp_path / place).mkdir(parents=True)
+        (tmp_path / place / "parser.json").write_text(text)
+    found, wrong = registry(spark, str(tmp_path), source=3)
+    assert list(found) == [("one", "plain")] and len(wrong) == 2
+    assert any("shape.colums: unknown" in w for w in wrong.values()) and any("stands twice" in w for w in wrong.values())
+    own = found["one", "plain"]
+    assert (own.signature.parser, own.signature.source, own.signature.priority) == ("one", 3, 2)
+    assert [tuple(r) for r in own.shape.read(captures(spark, "# no\n1 x\\ny\n- z\n")).orderBy("num").select("a", "b").collect()] == [(1, "x\ny"), (None, "z")]
+    for text in ("[]", "{", '{"shape": {"parse": "tabel"}}', '{"shape": {"parse": "regex", "patterns": ["(a"]}}', '{"shape": {"parse": "table", "columns": "a"}}', '{"shape": {"parse": "csv", "fields": {"a": {"year": 1}}}}'):
+        with pytest.raises(DefinitionError):
+            definition(text)

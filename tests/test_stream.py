@@ -1,8 +1,9 @@
 from shapewright.functions.convert import Field
+from shapewright.operators.csv_text import records
 from shapewright.operators.lines import Region, regioned
 from shapewright.operators.parse import record_blocks
 from shapewright.plans.shape import Shape
-from shapewright.streaming.stream import stream_blocks, stream_folded, stream_rows
+from shapewright.streaming.stream import stream_blocks, stream_csv, stream_folded, stream_rows, stream_trees
 
 TEXTS = ["# a\n1\n2\n# b\n# c\n3\n", "# z\n  more\n9\n"]
 SCHEMA = "capture_id int, num long, line string, last boolean"
@@ -36,3 +37,21 @@ def test_rows_of_single_lines(spark, tmp_path):
     shape = Shape("regex", patterns=[r"^\s*(?P<t>.*)$"], fields={"t": Field()})
     got = feed(spark, tmp_path, lambda s: stream_rows(s, shape))
     assert got.count() == 9
+
+
+def test_trees_and_quoted_csv_are_held_until_they_end(spark, tmp_path):
+    def run(texts, build, name):
+        rows = [(k, n, t, False) for k, text in enumerate(texts) for n, t in enumerate(text.split("\n")[:-1], 1)] + [(k, 99, None, True) for k in range(len(texts))]
+        for part in (rows[:2], rows[2:5], rows[5:]):
+            spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / name / "in"))
+        made = build(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path / name / "in")))
+        q = made.writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return spark.read.schema(made.schema).parquet(str(tmp_path / name / "out")).collect()
+
+    nodes = run(["a\n  b\n  c\n\nd\n", "e\n  f\n"], stream_trees, "tree")
+    assert sorted((r.capture_id, r.record, r.texts) for r in nodes) == [(0, 1, ["a", "  b", "  c"]), (0, 2, ["d"]), (1, 1, ["e", "  f"])]
+    texts = ['x,y\n"a\n""b"",\n",c"d\n,\n', '1;2,3\n"p",q\n']
+    got = run(texts, stream_csv, "csv")
+    want = [(k, n, at, values) for k, t in enumerate(texts) for n, (at, values) in enumerate(records(t), 1)]
+    assert sorted((r.capture_id, r.record, r.num, r.cells) for r in got) == want
