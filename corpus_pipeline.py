@@ -1,8 +1,8 @@
 """From raw documents to token ids in five stages.
 
 Documents that the quality classifier rejects go; repeated three-line windows
-are removed; of each group of near-duplicates the document of the smallest id
-stays; sources are mixed to temperature weights, which takes documents of small
+are removed; of each group of texts whose five-word shingles are alike by 0.8 or
+more one row stays, that of the smallest id; sources are mixed to temperature weights, which takes documents of small
 sources up to twice; what is left is encoded. Each stage's result is written as
 Parquet and read again.
 """
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapewright.llm import line_dedup, mixture, piece_codec, quality_net, simhash
+from shapewright.llm import line_dedup, mixture, near_copies, piece_codec, quality_net
 from shapewright.llm.common import reach_workers, settle, table
 
 
@@ -31,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reach_workers(spark)
-    return simhash.one_each(docs)
+    return near_copies.one_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", drop_repeated_lines),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup by five-word shingles", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
     ("SentencePiece encoding and decoding", encode),
 ]
