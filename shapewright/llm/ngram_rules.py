@@ -2,13 +2,14 @@
 
 Words and pairs of words of every document fall into BUCKETS buckets by hash.
 Two multinomials over the buckets are counted: one over the trusted target (the
-documents that a label marks as good, at most ``TRUSTED``), one over the whole raw corpus. A
-document's ratio is the sum of log p_target - log p_raw over its n-grams by
+documents that a label marks as good, all of them), one over the whole raw
+corpus. A document's ratio is the sum of log p_target - log p_raw over its n-grams by
 their number; it is kept where this reaches a fixed threshold and the base
 rules hold. Every document is judged alike, without chance.
 
 Only the BUCKETS log ratios are held by the driver and the tasks. All work is
-done by built-in functions; counts are taken map-side before the shuffle.
+done by built-in functions. Labels are joined by shuffling each document's
+buckets; counts are taken map-side before theirs.
 
 A null text has no words and fails the base rules, as an empty one does. Rows
 that repeat an id have a verdict each. A null id is never trusted.
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 from .common import BLANKS
 
 BUCKETS = 8192
-#: Labelled documents that make the trusted target, at most: those of the smallest hash of the id.
-TRUSTED = 16_384
 #: Ratio a gram below which a document is dropped; see the README for its choice.
 THRESHOLD = -0.08
 WINDOW = 8
@@ -85,11 +84,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log p_target - log p_raw of each bucket; counts are smoothed by one."""
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).select(F.col("doc_id").alias("good_id"))
-    told = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left")
-    words = told.select(F.col("good_id").isNotNull().cast("int").alias("good"), words_of(F.col("text")).alias("words"))
-    hashes = words.select("good", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    grams = hashes.select("good", F.explode(F.concat("hashes", paired(F.col("hashes"), 1))).alias("gram")).select("good", bucket(F.col("gram")).alias("bucket"))
+    good = good.select(F.col("doc_id").alias("good_id"))
+    hashes = docs.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    # buckets as small integers: less than the text to shuffle
+    own = hashes.select("doc_id", F.transform(F.concat("hashes", paired(F.col("hashes"), 1)), lambda h: bucket(h).cast("short")).alias("buckets"))
+    told = own.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")  # never a broadcast: the labels grow with the documents
+    grams = told.select(F.col("good_id").isNotNull().cast("int").alias("good"), F.explode("buckets").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()
     raw, target = [1] * BUCKETS, [1] * BUCKETS
     for row in counts:
