@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import settle
 from .components import components
+from .near_copies import one_row_each, row_key
 
 SEED = 42
 #: Lanes that a task compares at a time, at least.
@@ -70,6 +71,17 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def _keyed(words: int):
+    """Fingerprints beside the key of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py() or "", words) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["row_key", "doc_id", "fp"])
+
+    return run
+
+
 def close_lanes(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indexes of the pairs within ``radius`` bits and one group, distance of
     lanes by distance of lanes. ``group`` is sorted; radius is at most 6."""
@@ -196,20 +208,25 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, blocks: int = 6, larges
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every document: component_id is the
-    smallest id that links lead to."""
+    smallest id that links lead to, null where they lead to none."""
     own = settle(fingerprints(docs, words))
-    nodes = settle(own.groupBy("fp").agg(F.min("doc_id").alias("name")))
+    nodes = settle(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     blocks = blocks_for(nodes.count(), radius)
     assert comb(blocks, blocks - radius) <= 210
-    links = fingerprint_links(nodes, radius, blocks)
-    found = components(links).withColumnRenamed("node", "name")
-    named = settle(nodes.join(found, "name", "left").select("fp", F.coalesce("component", "name").alias("component_id")))
+    links = fingerprint_links(nodes.select(F.col("fp").alias("name"), "fp"), radius, blocks)
+    found = components(links).withColumnRenamed("node", "fp")
+    # a component is known by a fingerprint of its own until its smallest id is; that is null where no row has one
+    rooted = settle(nodes.join(found, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = settle(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"))
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: that of the
-    smallest id. Documents that repeat an id are one document several times, of
-    which all stay or none."""
-    firsts = near_duplicates(docs, words, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts.hint("merge"), "doc_id", "left_semi")  # never a broadcast: the ids grow with the documents
+    """``docs`` with one row of each group of near-duplicates: that of the
+    smallest id, null ids last; of rows that repeat it one."""
+    keyed = settle(docs.select(row_key(docs).alias("row_key"), "doc_id", F.col("text")).mapInArrow(_keyed(words), "row_key long, doc_id long, fp long"))
+    nodes = settle(keyed.select("fp").distinct())
+    links = fingerprint_links(nodes.select(F.col("fp").alias("name"), "fp"), radius, blocks_for(nodes.count(), radius))
+    found = components(links).withColumnRenamed("node", "fp")
+    return one_row_each(docs, keyed.join(found, "fp", "left").select("row_key", "doc_id", F.coalesce("component", "fp").alias("component")))
