@@ -23,6 +23,7 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
@@ -31,6 +32,8 @@ MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Entries that a worker remembers of segments, and of pairs of tokens.
 REMEMBERED = 600_000
+#: Rows whose ids and decoded texts stand in memory at a time.
+AT_ONCE = 1024
 
 
 class Segments(dict):
@@ -208,30 +211,31 @@ def codec(model_path: str) -> PieceCodec:
     return _CODECS[model_path]
 
 
-def encode_texts(docs: DataFrame, model_path: str, *, with_ids: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, *, with_ids: bool = True) -> DataFrame:
     """Encode and decode every text of ``docs``.
 
-    Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, where
-    ``with_ids``, ids (array of int) and decoded. The work needs no shuffle; a
-    task holds one Arrow batch and a bounded memory of segments.
+    Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless
+    ``with_ids`` is false, ids (array of int) and decoded. The work needs no
+    shuffle; a task holds one Arrow batch, the results of AT_ONCE of its rows
+    and a bounded memory of segments.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-            for value in batch.column(1):
-                ids, decoded = own.coded(value.as_py() or "")
-                out["n_tokens"].append(len(ids) // 4)
-                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    out["ids"].append([int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)])
-                    out["decoded"].append(decoded)
-            arrays = [batch.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
+            coded = [own.coded(value.as_py() or "") for value in batch.column(1)]
+            sizes = np.array([len(ids) // 4 for ids, _ in coded], np.int64)
+            out = {
+                "doc_id": batch.column(0),
+                "n_tokens": pa.array(sizes),
+                "ids_sha256": pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in coded], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(decoded.encode()).hexdigest() for _, decoded in coded], pa.string()),
+            }
             if with_ids:
-                arrays += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *list(out)[: len(arrays) - 1]])
+                places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(places), pa.array(np.frombuffer(b"".join([ids for ids, _ in coded]), "<u4").astype(np.int32)))
+                out["decoded"] = pa.array([decoded for _, decoded in coded], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -16,7 +16,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    coded = piece_codec.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op3_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
