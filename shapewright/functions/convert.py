@@ -10,12 +10,13 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import translate
-from .text import is_blank, literal, trimmed, unescaped
+from .patterns import Found, match_array, translate
+from .text import is_blank, let, literal, trimmed, unescaped
 
 #: Spellings of truth.
 TRUE = ("true", "yes", "on", "1", "y")
@@ -83,28 +84,55 @@ def to_bool(text: Column, true: tuple[str, ...] = TRUE, false: tuple[str, ...] =
     return F.when(low.isin([t.lower() for t in true]), True).when(low.isin([f.lower() for f in false]), False)
 
 
-def to_duration(text: Column) -> Column:
-    """Seconds, as decimal(38,9): ``[days-][[h:]mm:]ss[.fff]`` or numbers with
-    units from the largest to the smallest. Parts after the first are below 60."""
-    clock = r"\A(?:([0-9]+)-)?(?:([0-9]+):)?([0-9]+):([0-9]{2}(?:\.[0-9]{1,9})?)\z"
-
-    def part(k: int) -> Column:
-        return F.coalesce(F.regexp_extract(text, clock, k).try_cast("decimal(20,9)"), F.lit(0).cast("decimal(20,9)"))
-
-    hours, minutes, seconds = part(2), part(3), part(4)
-    timed = F.regexp_extract(text, clock, 2) != ""
-    days_need_hours = (F.regexp_extract(text, clock, 1) == "") | timed
-    fits = text.rlike(clock) & (seconds < 60) & (~timed | (minutes < 60)) & days_need_hours
-    by_clock = part(1) * 86_400 + hours * 3600 + minutes * 60 + seconds
-    order = ["w", "d", "h", "m(?!s)", "s", "ms", "(?:us|µs|μs)", "ns"]
-    run = r"\A" + "".join(rf"(?:([0-9]+(?:\.[0-9]+)?) ?{unit} ?)?" for unit in order) + r"\z"
-    scale = [UNITS[u] for u in ("w", "d", "h", "m", "s", "ms", "us", "ns")]
-    total = F.lit(0).cast("decimal(38,9)")
-    for k, size in enumerate(scale, 1):
-        number = F.coalesce(F.regexp_extract(text, run, k).try_cast("decimal(20,9)"), F.lit(0).cast("decimal(20,9)"))
-        total = total + (number * F.lit(size).cast("decimal(18,0)") / F.lit(10**9).cast("decimal(10,0)")).cast("decimal(38,9)")
-    plain = text.rlike(r"\A[0-9]+(?:\.[0-9]{1,9})?\z")
-    return F.when(plain, text.try_cast("decimal(38,9)")).when(fits, by_clock.cast("decimal(38,9)")).when((text != "") & text.rlike(run), total.cast("decimal(38,9)"))
+#: Spellings of a length of time; of a group that a number is in, seconds in ten to the ninth.
+_DURATIONS = [
+    r"^(?P<s>[0-9]+(?:\.[0-9]{1,9})?)$",
+    r"^(?:(?P<d>[0-9]+)-)?(?:(?P<h>[0-9]+):)?(?P<m>[0-9]+):(?P<s>[0-9]+(?:\.[0-9]{1,9})?)s?$",
+    r"^(?:(?P<d>[0-9]+)-)?(?P<h>[0-9]+):(?P<m>[0-9]{1,2})m$",
+    r"^(?P<d>[0-9]+) *days?, *(?P<h>[0-9]+):(?P<m>[0-9]{1,2})$",
+    r"^"
+    + "".join(
+        rf"(?:(?P<{key}>[0-9]+(?:\.[0-9]{{1,9}})?) *(?:{spelled})(?: *, *| +|$)?)?"
+        for key, spelled in (("w", "weeks?|w"), ("d", "days?|d"), ("h", "hours?|hrs?|h"), ("m", "minutes?|mins?|m"), ("s", "seconds?|secs?|s"), ("ms", "ms"), ("us", "us|µs|μs"), ("ns", "ns"))
+    )
+    + "$",
+]
+
+
+def to_duration(text: Column, layout: str = "") -> Column:
+    """Seconds, as decimal(38,9): ``[days-][[h:]mm:]ss[.fff]``, ``13:42m`` for
+    hours and minutes, ``13 days, 4:30``, or numbers with units from the largest
+    to the smallest. Parts of a clock after the first are below 60, and nothing
+    is over 2^53. With ``layout`` h:m, two parts are hours and minutes."""
+    known = [translate(p) for p in _DURATIONS]
+
+    def seconds(m: Column) -> Column:
+        found = Found(m, tuple(known))
+        total = None
+        for k, p in enumerate(known):
+            parts = {n: found.group(k, n).try_cast("decimal(20,9)") for n in p.groups}
+            value = F.lit(0).cast("decimal(38,9)")
+            for n, number in parts.items():
+                unit = Decimal(UNITS[n]).scaleb(-9)
+                if k == 1 and layout == "h:m" and n in ("m", "s"):
+                    two = found.group(k, "h").isNull()
+                    unit_ = F.when(two, F.lit(unit * 60)).otherwise(F.lit(unit))
+                else:
+                    unit_ = F.lit(unit)
+                value = (value + F.coalesce((number * unit_).cast("decimal(38,9)"), F.lit(0).cast("decimal(38,9)"))).cast("decimal(38,9)")
+            fits = F.lit(True)
+            if k == 1:  # days come before hours; what isn't first is a part of a minute or an hour
+                fits = (parts["s"] < 60) & (parts["h"].isNull() | (parts["m"] < 60)) & (parts["d"].isNull() | parts["h"].isNotNull())
+            elif k in (2, 3):
+                fits = parts["m"] < 60
+            elif k == 4:
+                fits = F.coalesce(*[found.group(k, n) for n in p.groups]).isNotNull()
+            value = F.when(fits, value)
+            total = F.when(found.which == k, value) if total is None else total.when(found.which == k, value)
+        return total
+
+    value = let(match_array(text, known), seconds)
+    return let(value, lambda v: F.when(v <= 1 << 53, v))
 
 
 def _printed(micros: Column, offset: Column) -> Column:
@@ -170,11 +198,21 @@ def to_time(text: Column, layout: str, *, year: int | None = None, recent: datet
     return F.when(unknown & micros.isNotNull(), text).otherwise(_printed(micros, offset))
 
 
-def compiled(cell: Column, rule: Field, key: str, line: Mapping[str, Column] | None = None) -> tuple[Column, Column]:
-    """The value of a cell under a rule, and why it is refused. ``line`` has the
-    other cells of its line."""
-    none = F.lit(None).cast("string")
-    text = cell
+@dataclass(frozen=True)
+class Text:
+    """A cell's text after the rules for texts: whether it was there at all, and
+    whether a rule doesn't fit it. ``groups`` is a match whose groups an object's
+    keys are (null otherwise)."""
+
+    text: Column
+    missing: Column
+    unfit: Column
+    groups: Column | None = None
+
+
+def as_text(cell: Column, rule: Field, line: Mapping[str, Column] | None = None) -> Text:
+    """What of a cell is typed. ``line`` has the other cells of its line."""
+    text, groups = cell, None
     if rule.trim_prefix or rule.trim_suffix:
         text = trimmed(text)
         if rule.trim_prefix:
@@ -185,8 +223,9 @@ def compiled(cell: Column, rule: Field, key: str, line: Mapping[str, Column] | N
     if rule.type == "string" and rule.regex:
         pattern = translate(rule.regex)
         (name,) = pattern.groups
-        unfit = text.isNotNull() & (trimmed(pattern.whole(text)) != trimmed(text))
-        text = pattern.group(text, name)
+        got = let(match_array(text, [pattern]), lambda m: F.struct(Found(m, (pattern,)).group(0, name).alias("text"), (Found(m, (pattern,)).which.isNotNull() & Found(m, (pattern,)).covers).alias("fits")))
+        unfit = text.isNotNull() & ~F.coalesce(got["fits"], F.lit(False))
+        text = got["text"]
     missing = text.isNull()
     if rule.type == "string" and rule.unescape:
         whole = unescaped(text, rule.unescape, octal=rule.octal, quote=rule.quote)
@@ -196,33 +235,68 @@ def compiled(cell: Column, rule: Field, key: str, line: Mapping[str, Column] | N
         unfit = unfit | (text.isNotNull() & whole.isNull())
         text = whole
     if rule.null_if:
-        text = F.when(trimmed(text).isin(list(rule.null_if)), none).otherwise(text)
-    bare = trimmed(text)
+        text = F.when(~F.coalesce(trimmed(text).isin(list(rule.null_if)), F.lit(False)), text)
+    if rule.type != "string":
+        text = trimmed(text)
     if rule.group_separator:
-        plain = ungrouped(bare, rule.group_separator)
-        unfit = unfit | (bare.isNotNull() & plain.isNull())
-        bare = plain
-    inner: Column = none
+        plain = ungrouped(text, rule.group_separator)
+        unfit = unfit | (text.isNotNull() & plain.isNull())
+        text = plain
+    if rule.type == "object":
+        pattern = translate(rule.regex)
+        groups = match_array(text, [pattern])
+    return Text(text, missing, unfit, groups)
+
+
+def as_value(got: Text, rule: Field, key: str) -> tuple[Column, Column | None]:
+    """The typed value of a text, and for arrays and objects why parts of it are refused."""
+    text = got.text
     if rule.type == "string":
-        value = text
-    elif rule.type == "array":
-        pieces = F.split(bare, rule.split_regex or literal(rule.split))
-        pieces = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.transform(pieces, trimmed))
+        return text, None
+    if rule.type == "array":
         item = rule.items or Field()
-        value = F.transform(pieces, lambda x: compiled(x, item, key)[0])
-        inner = F.array_join(F.transform(pieces, lambda x: compiled(x, item, key)[1]), "; ")
-        inner = F.when(inner != "", inner)
-    elif rule.type == "object":
+
+        def pieces(t: Column) -> Column:
+            cut = F.transform(F.split(t, rule.split_regex or literal(rule.split)), lambda x: F.struct(*[c.alias(n) for c, n in zip(compiled(trimmed(x), item, key), ("value", "why"), strict=True)]))
+            return F.when(t != "", cut).otherwise(F.when(t.isNotNull(), F.filter(cut, lambda _: F.lit(False))))
+
+        all_ = let(text, pieces)
+        if item.omit:
+            all_ = F.filter(all_, lambda p: p["value"].isNotNull() | p["why"].isNotNull())
+        inner = F.array_join(F.transform(all_, lambda p: p["why"]), "; ")
+        return F.transform(all_, lambda p: p["value"]), F.when(inner != "", inner)
+    if rule.type == "object":
         pattern = translate(rule.regex)
-        unfit = unfit | (text.isNotNull() & (trimmed(pattern.whole(text)) != bare))
-        parts = {name: compiled(pattern.group(text, name), rule.fields.get(name, Field()), f"{key}.{name}") for name in pattern.groups}
+        found = Found(got.groups, (pattern,))
+        parts = {name: compiled(found.group(0, name), rule.fields.get(name, Field()), f"{key}.{name}") for name in pattern.groups}
         value = F.when(text.isNotNull(), F.struct(*[v.alias(n) for n, (v, _) in parts.items()]))
-        inner = F.when(text.isNotNull(), F.concat_ws("; ", *[w for _, w in parts.values()]))
-        inner = F.when(inner != "", inner)
-    else:
-        value = {"int": to_int, "wide_int": to_wide_int, "float": to_float, "duration": to_duration}.get(rule.type, lambda t: to_bool(t, rule.true, rule.false) if rule.type == "bool" else to_time(t, rule.layout, year=rule.year, recent=rule.recent, zones=rule.zones))(bare)
-        unfit = unfit | (text.isNotNull() & value.isNull())
-    why = F.when(unfit, F.concat(F.lit(f"{key}: not {rule.type}: "), F.coalesce(cell, F.lit("")))).otherwise(inner)
+        inner = F.when(~F.coalesce(found.covers & found.which.isNotNull(), F.lit(False)), F.concat(F.lit(f"{key}: not object: "), text)).otherwise(F.concat_ws("; ", *[w for _, w in parts.values()]))
+        return value, F.when(text.isNotNull() & (inner != ""), inner)
+    if rule.type == "bool":
+        return to_bool(text, rule.true, rule.false), None
+    if rule.type == "duration":
+        return to_duration(text, rule.layout), None
+    if rule.type == "time":
+        return to_time(text, rule.layout, year=rule.year, recent=rule.recent, zones=rule.zones), None
+    return {"int": to_int, "wide_int": to_wide_int, "float": to_float}[rule.type](text), None
+
+
+def why_not(cell: Column, got: Text, value: Column, inner: Column | None, rule: Field, key: str) -> Column:
+    """Why a cell is refused; null if it isn't."""
+    unfit = got.unfit
+    if rule.type not in ("string", "array", "object"):
+        unfit = unfit | (got.text.isNotNull() & value.isNull())
+    why = F.when(unfit, F.concat(F.lit(f"{key}: not {rule.type}: "), F.coalesce(cell, F.lit(""))))
+    why = why.otherwise(inner) if inner is not None else why
     if rule.required:
-        why = F.when(missing | (text.isNotNull() & is_blank(text)), F.lit(f"{key}: required")).otherwise(why)
-    return value, why
+        why = F.when(got.missing | (got.text.isNotNull() & is_blank(got.text)), F.lit(f"{key}: required")).otherwise(why)
+    return why
+
+
+def compiled(cell: Column, rule: Field, key: str, line: Mapping[str, Column] | None = None) -> tuple[Column, Column]:
+    """The value of a cell under a rule, and why it is refused. ``line`` has the
+    other cells of its line. Where many cells are typed, ``parse`` holds each step
+    in columns instead, so that none is computed twice."""
+    got = as_text(cell, rule, line)
+    value, inner = as_value(got, rule, key)
+    return value, why_not(cell, got, value, inner, rule, key)

@@ -3,10 +3,14 @@
 Definitions use the dialect without backreferences and lookaround that reads
 ``(?P<name>...)``. The JVM's engine differs in a few classes and anchors, which
 ``translate`` writes out, so that what matches is the same in either.
+
+``first_match`` evaluates each pattern once a text and gives all groups of the
+first match at once, as an array that is to be held in a column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 #: White space of \s in the definitions' dialect.
 SPACES = r"\t\n\f\r "
 MOST_PATTERN = 2048
+#: Noncharacters that no text has: between the parts of a match, and before a text.
+CUT, AHEAD = "﷐", "﷑"
 
 
 class PatternError(ValueError):
@@ -23,35 +29,120 @@ class PatternError(ValueError):
 
 @dataclass(frozen=True)
 class Pattern:
-    """A pattern for the JVM and the numbers of its named groups."""
+    """A pattern for the JVM and the numbers of its named groups.
+
+    ``parts`` is the pattern in pieces, with None and "" for where it says that
+    the text begins and that a line of it does; ``optional`` names the groups
+    that may take no part in a match.
+    """
 
     source: str
-    java: str
+    parts: tuple[str | None, ...]
     groups: dict[str, int]
+    count: int
+    optional: frozenset[str]
+
+    def written(self, text_begins: str = r"\A", line_begins: str = "^") -> str:
+        return "".join(text_begins if p is None else p or line_begins for p in self.parts)
+
+    @property
+    def java(self) -> str:
+        return "(?d)" + self.written()
 
     def matches(self, text: Column) -> Column:
         return text.rlike(self.java)
 
-    def whole(self, text: Column) -> Column:
-        """What of the text the first match covers; empty if nothing matches."""
-        return F.regexp_extract(text, self.java, 0)
 
-    def group(self, text: Column, name: str) -> Column:
-        """A named group of the first match: null if it took no part in it."""
-        number = self.groups[name]
-        found = F.regexp_extract(text, self.java, number)
-        # an empty value is told from a group that took no part by referring back to it
-        flags, bare = self.java[:4], self.java[4:]
-        took_part = text.rlike(rf"{flags}\A(?=[\s\S]*?(?:{bare}))\{number}")
-        return F.when(found != "", found).when(took_part, F.lit("")).otherwise(F.lit(None).cast("string"))
+@dataclass(frozen=True)
+class Found:
+    """What ``first_match`` gives, read off the array that it made."""
+
+    held: Column
+    patterns: tuple[Pattern, ...]
+
+    @property
+    def which(self) -> Column:
+        """The number of the pattern that matches; null if none does."""
+        return F.get(self.held, F.lit(1)).cast("int")
+
+    @property
+    def covers(self) -> Column:
+        """Whether the match leaves nothing but white space."""
+        from .text import is_blank
+
+        return is_blank(F.get(self.held, F.lit(2))) & is_blank(F.get(self.held, F.lit(3)))
+
+    def group(self, k: int, name: str) -> Column:
+        """A named group of pattern k, if that is the one: null if it took no part."""
+        pattern = self.patterns[k]
+        names = list(pattern.groups)
+        value = F.get(self.held, F.lit(4 + names.index(name)))
+        if name not in pattern.optional:
+            return value
+        flag = F.get(self.held, F.lit(4 + len(names) + [n for n in names if n in pattern.optional].index(name)))
+        return F.when((value != "") | (flag != ""), value)
+
+
+def match_array(text: Column, patterns: Sequence[Pattern]) -> Column:
+    """The first match of the first pattern that matches: its number, what
+    stands before and after it, its named groups, and for each group that may
+    take no part a mark if it is empty and did. Shorter if nothing matches, null
+    for a null text and one that holds the noncharacters used here.
+
+    Each pattern is a replacement of the whole text by these parts, done to the
+    text or to what the patterns before have left as it was. A group that took
+    part is told by referring back to it: with nothing in it, it stands where
+    one of the marks put before the text does.
+    """
+    ahead = max((len(p.optional) for p in patterns), default=0)
+    at = F.concat(F.lit(AHEAD * ahead), text) if ahead else text
+    for k, p in enumerate(patterns):
+        names = list(p.groups)
+        own = [n for n in names if n in p.optional]
+        if ahead:
+            body = p.written(rf"(?<={AHEAD})", rf"(?<=[{AHEAD}\n])")
+            refer = "".join(rf"(?:\{p.groups[n] + 1}({AHEAD})|{AHEAD})" for n in own)
+            whole = rf"(?d)\A(?={AHEAD}{{{ahead}}}((?s:.*?))(?:{body})((?s:.*))\z){refer}(?s:.*)\z"
+        else:
+            whole = rf"(?d)\A(?!{CUT})((?s:.*?))(?:{p.written()})((?s:.*))\z"
+        after = p.count + 2
+        shown = ["$1", f"${after}", *[f"${p.groups[n] + 1}" for n in names], *[f"${after + 1 + j}" for j in range(len(own))]]
+        at = F.regexp_replace(at, whole, CUT + CUT.join([str(k), *shown]))
+    return F.when(~text.contains(CUT) & ~text.contains(AHEAD), F.split(at, CUT, -1))
+
+
+class _Scan:
+    """Which groups may take no part: those under a quantifier from zero, or beside a bar."""
+
+    def __init__(self):
+        self.open: list[dict] = [{"names": [], "bar": False, "own": None}]
+        self.optional: set[str] = set()
+
+    def begin(self, name: str | None) -> None:
+        self.open.append({"names": [], "bar": False, "own": name})
+
+    def end(self, rest: str) -> None:
+        level = self.open.pop()
+        if level["bar"]:
+            self.optional.update(level["names"])
+        names = level["names"] + ([level["own"]] if level["own"] else [])
+        if rest[:1] in ("?", "*") or rest.startswith("{0"):
+            self.optional.update(names)
+        self.open[-1]["names"] += names
+
+    def done(self) -> frozenset[str]:
+        if self.open[0]["bar"]:
+            self.optional.update(self.open[0]["names"])
+        return frozenset(self.optional)
 
 
 def translate(source: str) -> Pattern:
     """Rewrites one pattern."""
     if len(source) > MOST_PATTERN:
         raise PatternError(f"a pattern of over {MOST_PATTERN} characters")
-    out: list[str] = []
+    out: list[str | None] = []
     groups: dict[str, int] = {}
+    scan = _Scan()
     number, at, in_class, depth = 0, 0, False, 0
     multiline = source.startswith("(?") and "m" in source[2 : max(source.find(")"), 2)].split(":")[0].split("-")[0]
     while at < len(source):
@@ -66,6 +157,8 @@ def translate(source: str) -> Pattern:
                     out.append(SPACES if in_class else f"[{'' if body else '^'}{SPACES}]")
             elif following == "z":
                 out.append(r"\z")
+            elif following == "A" and not in_class:
+                out.append(None)
             elif following.isdigit() and following != "0":
                 raise PatternError("a pattern may not refer back to a group")
             else:
@@ -111,24 +204,46 @@ def translate(source: str) -> Pattern:
                 if name in groups:
                     raise PatternError(f"the group {name} is named twice")
                 groups[name] = number
+                scan.begin(name)
                 out.append("(")
                 at = end + 1
                 continue
+            scan.begin(None)
             if not rest.startswith("(?"):
                 number += 1
+            else:  # flags, and what of a group they are for
+                end = next((k for k, x in enumerate(rest[2:], at + 2) if x in ":)"), len(source))
+                if source[end : end + 1] == ":":
+                    out.append(source[at : end + 1])
+                    at = end + 1
+                    continue
+        elif c == ")":
+            scan.end(source[at + 1 :])
+        elif c == "|":
+            scan.open[-1]["bar"] = True
         if c == "$" and not multiline:
             out.append(r"\z")
+        elif c == "^":
+            out.append("" if multiline else None)
         else:
             out.append(c)
         at += 1
     if depth or in_class:
         raise PatternError("a parenthesis or bracket that isn't closed")
-    return Pattern(source, "(?d)" + "".join(out), groups)
+    return Pattern(source, tuple(out), groups, number, scan.done())
 
 
-def any_of(text: Column, patterns: list[str]) -> Column:
+def any_of(text: Column, patterns: Sequence[str]) -> Column:
     """Whether one of the patterns matches."""
     found = F.lit(False)
     for p in patterns:
         found = found | translate(p).matches(text)
     return found
+
+
+def covered_by(text: Column, pattern: str) -> Column:
+    """Whether the first match of a pattern leaves nothing of a text but white space."""
+    from .text import let
+
+    found = translate(pattern)
+    return F.coalesce(let(match_array(text, [found]), lambda m: Found(m, (found,)).covers & Found(m, (found,)).which.isNotNull()), F.lit(False))

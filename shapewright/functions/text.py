@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"\p{IsWhite_Space}"
+#: The characters of Unicode's White_Space.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,11 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at its ends."""
-    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(rf"\A{BLANK}*+[^{BLANK}]")
+    return F.ltrim(text, F.lit(WHITE)) == ""
 
 
 def without_escapes(text: Column) -> Column:

@@ -8,7 +8,9 @@ is gathered.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,11 +19,14 @@ from pyspark.sql import functions as F
 from ..functions.convert import Field
 from ..functions.text import normal_name
 from .lines import exploded
-from .parse import _rows
+from .parse import cells_reader
+from .workers import reach_workers
 
 
 def width(text: str) -> int:
     """Terminal columns of a text: none for marks and controls, two for wide ones."""
+    if text.isascii() and text.isprintable():
+        return len(text)
     total = 0
     for c in text:
         if unicodedata.category(c) in ("Mn", "Me", "Cf", "Cc"):
@@ -52,14 +57,11 @@ def column_starts(header: str, count: int) -> list[int] | None:
 def cut(line: str, starts: Sequence[int]) -> list[str] | None:
     """Cells of a line at the columns. A boundary inside a word moves left to a
     space; None where a cell runs into the next column, or holds a gap."""
-    places, at = [0] * (len(line) + 1), 0
-    for k, c in enumerate(line):
-        places[k] = at
-        at += width(c)
-    places[len(line)] = at
-    edges = []
+    plain = line.isascii() and line.isprintable()  # then a character is a column
+    places = [] if plain else [0, *accumulate(width(c) for c in line)]
+    edges: list[int] = []
     for start in starts:
-        k = next((i for i, p in enumerate(places) if p >= start), len(line))
+        k = min(start, len(line)) if plain else min(bisect_left(places, start), len(line))
         back = k
         while 0 < back < len(line) and line[back - 1] != " ":
             back -= 1
@@ -73,7 +75,7 @@ def cut(line: str, starts: Sequence[int]) -> list[str] | None:
     return cells
 
 
-def aligned_rows(captures: DataFrame, columns: Sequence[str], rules: Mapping[str, Field] | None = None) -> DataFrame:
+def aligned_rows(captures: DataFrame, columns: Sequence[str], rules: Mapping[str, Field] | None = None, *, raw: bool = False) -> DataFrame:
     """Rows of tables whose first line heads the columns; keys as given. Empty
     cells are empty texts, and lines that don't fit are refused."""
     count = len(columns)
@@ -84,14 +86,14 @@ def aligned_rows(captures: DataFrame, columns: Sequence[str], rules: Mapping[str
         out = []
         for text, head in zip(line, header, strict=True):
             if head not in known:
-                known[head] = column_starts(head, count)
-            out.append(cut(text, known[head]) if known[head] else None)
+                known[head] = column_starts(head or "", count)
+            out.append(cut(text.expandtabs(8), known[head]) if known[head] else None)
         return pd.Series(out)
 
+    reach_workers(captures.sparkSession)
     df = captures.withColumn("header", F.get("lines", F.lit(0))["text"]).withColumn("lines", F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))))
     df = exploded(df, "header").withColumn("cells", cells("line", "header"))
-    refusal = F.when(F.col("cells").isNull(), F.concat(F.lit("not aligned: "), F.col("line")))
-    return _rows(df, {c: F.get("cells", F.lit(k)) for k, c in enumerate(columns)}, rules or {}, refusal, ("capture_id", "num"), False)
+    return cells_reader(columns, rules, raw).rows(df, ("capture_id", "num"), "cells")
 
 
 def box_table(lines: Sequence[str]) -> list[dict[str, str]]:
@@ -135,13 +137,17 @@ def box_rows(captures: DataFrame) -> DataFrame:
     def run(frames):
         for frame in frames:
             out = []
-            for capture, lines in zip(frame["capture_id"], frame["texts"], strict=True):
+            for capture, lines, trouble in zip(frame["capture_id"], frame["texts"], frame["trouble"], strict=True):
                 try:
+                    if trouble is not None:
+                        raise ValueError(trouble)
                     out += [(capture, k, list(r.items()), None) for k, r in enumerate(box_table(list(lines)), 1)]
                 except ValueError as e:
                     out.append((capture, 0, None, str(e)))
             yield pd.DataFrame(out, columns=["capture_id", "row", "cells", "refusal"])
 
     kind = captures.schema["capture_id"].dataType.simpleString()
-    texts = captures.select("capture_id", F.transform("lines", lambda v: v["text"]).alias("texts"))
+    reach_workers(captures.sparkSession)
+    refusal = F.col("refusal") if "refusal" in captures.columns else F.lit(None).cast("string")
+    texts = captures.select("capture_id", F.transform("lines", lambda v: v["text"]).alias("texts"), refusal.alias("trouble"))
     return texts.mapInPandas(run, f"capture_id {kind}, row int, cells array<struct<name:string,value:string>>, refusal string").withColumn("cells", F.map_from_entries("cells"))

@@ -7,10 +7,19 @@ is at most 64 MiB, and a generator hands over one record at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import csv
+import io
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.convert import Field, compiled
+from ..functions.steps import held
+from .lines import MOST_BYTES
+from .workers import reach_workers
 
 
 def records(text: str, delimiter: str = ",") -> Iterator[tuple[int, list[str]]]:
@@ -86,35 +95,104 @@ def named(heads: list[str]) -> list[str]:
     return out
 
 
-def csv_rows(captures: DataFrame, delimiter: str = ",", *, header: bool = True) -> DataFrame:
+def quick_records(text: str, delimiter: str = ",") -> Iterator[tuple[int, list[str]]]:
+    """The same records, by the standard reader, which is told to be strict; the
+    characters that it takes another way go to ``records``."""
+    if "\r" in text or "\0" in text or len(delimiter) != 1 or (delimiter != "," and delimiter in '"\n '):
+        yield from records(text, delimiter)
+        return
+    if '"' not in text:
+        parts = text.split("\n")
+        if not parts[-1]:
+            parts.pop()
+        for k, line in enumerate(parts, 1):
+            yield k, line.split(delimiter)
+        return
+    csv.field_size_limit(MOST_BYTES)
+    reader = csv.reader(io.StringIO(text, newline="\n"), delimiter=delimiter, strict=True)
+    begun = 1
+    try:
+        for values in reader:
+            yield begun, values or [""]
+            begun = reader.line_num + 1
+    except csv.Error as e:
+        raise ValueError(f"line {begun}: {e}") from e
+
+
+def csv_rows(captures: DataFrame, delimiter: str = ",", *, header: bool = True, columns: Sequence[str] = (), rules: Mapping[str, Field] | None = None) -> DataFrame:
     """(capture_id, num, cells, refusal): a map of each record. Short rows end in
-    nulls; longer ones than the header are refused. Blank lines are left out."""
+    nulls; longer ones than the header are refused. Blank lines are left out.
+
+    Names are the first record's where ``header``, or ``columns``; otherwise they
+    are numbered. A column with a rule is a typed column beside the map (an empty
+    cell is null there); a rule for a column that a file lacks refuses the file.
+    """
+    asked = set(rules or {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, nums, sizes, names_, values_, why = [], [], [], [], [], []
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for capture, text in zip(frame["capture_id"], frame["text"], strict=True):
-                names: list[str] | None = None
+            def made() -> pa.RecordBatch:
+                offsets = pa.array([None if s < 0 else o for s, o in zip([*sizes, 0], accumulate([0, *[max(s, 0) for s in sizes]]), strict=True)], pa.int32())
+                cells = pa.MapArray.from_arrays(offsets, pa.array(names_, pa.string()), pa.array(values_, pa.string()))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(nums, pa.int32()), cells, pa.array(why, pa.string())], names=["capture_id", "num", "cells", "refusal"])
+
+            for at, text in enumerate(batch.column(1)):
+                names: list[str] | None = list(columns) or None
+                heads = header and not names
                 try:
-                    for num, values in records((text or "").removeprefix("﻿"), delimiter):
+                    if text.as_py() is None:
+                        raise ValueError("no text")
+                    for num, values in quick_records(text.as_py().removeprefix("\ufeff"), delimiter):
                         if values == [""]:
                             continue
                         if names is None:
-                            names = named(values) if header else [f"column_{k}" for k in range(1, len(values) + 1)]
-                            if header:
+                            names = named(values) if heads else [f"column_{k}" for k in range(1, len(values) + 1)]
+                            if lacking := sorted(asked - set(names)):
+                                raise ValueError(f"no column {', '.join(lacking)}; there are {', '.join(names)}")
+                            if heads:
                                 continue
                         if len(values) > len(names):
                             raise ValueError(f"line {num} has {len(values)} values for {len(names)} columns")
-                        out.append((capture, num, list(zip(names, [*values, *[None] * (len(names) - len(values))], strict=True)), None))
+                        rows.append(at)
+                        nums.append(num)
+                        sizes.append(len(names))
+                        names_ += names
+                        values_ += values if len(values) == len(names) else [*values, *[None] * (len(names) - len(values))]
+                        why.append(None)
+                        if len(rows) >= 10_000:
+                            yield made()
+                            rows, nums, sizes, names_, values_, why = [], [], [], [], [], []
                 except ValueError as e:
-                    out.append((capture, 0, None, str(e)))
-                if len(out) > 10_000:
-                    yield pd.DataFrame(out, columns=["capture_id", "num", "cells", "refusal"])
-                    out = []
-            yield pd.DataFrame(out, columns=["capture_id", "num", "cells", "refusal"])
-
-    from pyspark.sql import functions as F
+                    rows.append(at)
+                    nums.append(0)
+                    sizes.append(-1)
+                    why.append(str(e))
+            yield made()
 
+    reach_workers(captures.sparkSession)
     kind = captures.schema["capture_id"].dataType.simpleString()
-    made = captures.select("capture_id", "text").mapInPandas(run, f"capture_id {kind}, num int, cells array<struct<name:string,value:string>>, refusal string")
-    return made.withColumn("cells", F.map_from_entries("cells"))
+    df = captures.select("capture_id", "text").mapInArrow(run, f"capture_id {kind}, num int, cells map<string,string>, refusal string")
+    if not rules:
+        return df
+    typed, reasons = {}, [F.col("refusal")]
+    for k, rule in rules.items():
+        cell = F.try_element_at("cells", F.lit(k))
+        typed[k], why_ = compiled(F.when(cell != "", cell), rule, k)
+        reasons.append(why_)
+    return df.select("capture_id", "num", "cells", *[v.alias(k) for k, v in typed.items()], held(F.coalesce(*reasons)).alias("refusal"))
+
+
+def typed_columns(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """``rows`` of ``csv_rows`` with columns of the types (int, float, bool) that
+    are asked for; an empty cell is null, and a column that isn't there refuses
+    its row."""
+    if wrong := [t for t in types.values() if t not in ("int", "float", "bool")]:
+        raise ValueError(f"no type {', '.join(wrong)} for a column; there are int, float, bool")
+    out, reasons = {}, [F.col("refusal")]
+    for k, t in types.items():
+        cell = F.try_element_at("cells", F.lit(k))
+        out[k], why = compiled(F.when(cell != "", cell), Field(t), k)
+        reasons += [F.when(F.col("cells").isNotNull() & ~F.map_contains_key("cells", k), F.lit(f"no column {k}")), why]
+    return rows.select("capture_id", "num", "cells", *[v.alias(k) for k, v in out.items()], held(F.coalesce(*reasons)).alias("refusal"))

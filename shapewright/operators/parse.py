@@ -1,73 +1,119 @@
 """The parse types, each a DataFrame of rows from a DataFrame of lines.
 
-A line table has capture_id, num and line. Each function returns capture_id,
-num, the keys and ``refusal``, the reason why a line isn't read (null if it is).
+A line table has capture_id, num and line, and may have ``trouble``, why the
+line's capture is refused. Each function returns capture_id, num, the keys and
+``refusal``, the reason why a line isn't read (null if it is).
 ``settle_refusals`` turns refusals into errors, or leaves them as rows.
+
+What reads single lines is a ``LineReader``: steps that work on a table of lines
+and on the elements of an array of them alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.convert import Field, compiled
-from ..functions.patterns import Pattern, translate
+from ..functions.convert import Field, Text, as_text, as_value, compiled, why_not
+from ..functions.patterns import Found, match_array, translate
+from ..functions.steps import Step, bound, held, projected, quoted
 from ..functions.text import BLANK, cells_of, is_blank, let, literal, normal_names, trimmed
 from .lines import blocks, exploded, indexes
 
 #: Fixed value: levels of a tree.
 MOST_LEVELS = 32
+#: Lines of a tree whose parents are gathered at a time.
+TREE_BLOCK = 256
 
 
-def _rows(df: DataFrame, cells: Mapping[str, Column], rules: Mapping[str, Field], refusal: Column, keep: Sequence[str], raw: bool) -> DataFrame:
-    """Typed keys of the cells, and the first reason against any."""
-    values, reasons = [], [refusal]
-    for key, cell in cells.items():
-        value, why = (cell, F.lit(None).cast("string")) if raw else compiled(cell, rules.get(key, Field()), key, cells)
-        values.append(value.alias(key))
-        reasons.append(why)
-    return df.select(*keep, *values, F.coalesce(*reasons).alias("refusal"))
+@dataclass(frozen=True)
+class LineReader:
+    """Steps from ``line`` to the columns ``value <key>`` and ``refusal``."""
 
+    steps: Sequence[Step]
+    keys: Sequence[str]
 
-def _covers(pattern: Pattern, text: Column) -> Column:
-    """Whether the match leaves nothing but white space."""
-    return pattern.matches(text) & (trimmed(pattern.whole(text)) == trimmed(text))
+    def rows(self, df: DataFrame, keep: Sequence[str], text: str = "line") -> DataFrame:
+        given = {"line": quoted(text)} | ({"trouble": F.col("trouble")} if "trouble" in df.columns else {})
+        made = projected(df, keep, self.steps, given)
+        return made.select(*[quoted(k) for k in keep], *[quoted(f" value {k}").alias(k) for k in self.keys], held(quoted(" refusal")).alias("refusal"))
 
+    def value(self, line: Column) -> Column:
+        """A struct of the keys and refusal of one line."""
+        return bound({"line": line}, self.steps, lambda env: F.struct(*[env[f"value {k}"].alias(k) for k in self.keys], env["refusal"].alias("refusal")))
 
-def regex_lines(df: DataFrame, patterns: Sequence[str | tuple[str, Mapping[str, str]]], rules: Mapping[str, Field] | None = None, *, text: str = "line", keep: Sequence[str] = ("capture_id", "num"), raw: bool = False) -> DataFrame:
+
+def _typing(rules: Mapping[str, Field], keys: Sequence[str], raw: bool) -> list[Step]:
+    """Steps from ``cell <key>`` and ``unread``, the reason against the line, to
+    the typed values and the first reason against any."""
+    ruled = {} if raw else {k: rules[k] for k in keys if k in rules}
+
+    def texts(env: Mapping[str, Column]) -> dict[str, Column]:
+        out: dict[str, Column] = {}
+        cells = {k: env[f"cell {k}"] for k in keys}
+        for k, rule in ruled.items():
+            got = as_text(cells[k], rule, cells)
+            out |= {f"text {k}": got.text, f"missing {k}": got.missing, f"unfit {k}": got.unfit}
+            if got.groups is not None:
+                out[f"groups {k}"] = got.groups
+        return out or {"no rule": F.lit(True)}
+
+    def text_of(env: Mapping[str, Column], k: str) -> Text:
+        return Text(env[f"text {k}"], env[f"missing {k}"], env[f"unfit {k}"], env.get(f"groups {k}"))
+
+    def values(env: Mapping[str, Column]) -> dict[str, Column]:
+        out = {}
+        for k in keys:
+            out[f"value {k}"], inner = as_value(text_of(env, k), ruled[k], k) if k in ruled else (env[f"cell {k}"], None)
+            if inner is not None:
+                out[f"inner {k}"] = inner
+        return out
+
+    def reasons(env: Mapping[str, Column]) -> dict[str, Column]:
+        found = [env["trouble"]] if "trouble" in env else []
+        found.append(env["unread"])
+        found += [why_not(env[f"cell {k}"], text_of(env, k), env[f"value {k}"], env.get(f"inner {k}"), rule, k) for k, rule in ruled.items()]
+        return {"refusal": F.coalesce(*found)}
+
+    return [texts, values, reasons]
+
+
+def _options(patterns: Sequence[str | tuple[str, Mapping[str, str]]]):
+    return [(translate(p), {}) if isinstance(p, str) else (translate(p[0]), dict(p[1])) for p in patterns]
+
+
+def regex_reader(patterns: Sequence[str | tuple[str, Mapping[str, str]]], rules: Mapping[str, Field] | None = None, raw: bool = False) -> LineReader:
     """The first of the alternatives that matches gives the keys by its named
     groups, and by its constants; keys of other alternatives are null. A line
     that none matches, or that the match doesn't cover, is refused."""
-    at = F.col(text)
-    options = [(translate(p), {}) if isinstance(p, str) else (translate(p[0]), dict(p[1])) for p in patterns]
+    options = _options(patterns)
+    known = tuple(p for p, _ in options)
     names = list(dict.fromkeys(n for p, fixed in options for n in (*fixed, *p.groups)))
-    none = F.lit(None).cast("string")
-    which = none.cast("int")
-    for k, (pattern, _) in reversed(list(enumerate(options))):
-        which = F.when(pattern.matches(at), k).otherwise(which)
-    df = df.withColumn("which", which)
-    cells = {}
-    for name in names:
-        cell = none
-        for k, (pattern, fixed) in enumerate(options):
-            own = F.lit(fixed[name]) if name in fixed else pattern.group(at, name) if name in pattern.groups else none
-            cell = F.when(F.col("which") == k, own).otherwise(cell)
-        cells[name] = cell
-    refusal = F.when(F.col("which").isNull(), F.concat(F.lit("no alternative matches: "), at))
-    for k, (pattern, _) in enumerate(options):
-        refusal = F.when((F.col("which") == k) & ~_covers(pattern, at), F.concat(F.lit("the match leaves text: "), at)).otherwise(refusal)
-    return _rows(df, cells, rules or {}, refusal, keep, raw)
 
+    def matched(env: Mapping[str, Column]) -> dict[str, Column]:
+        return {"match": match_array(env["line"], known)}
 
-def regex_input(captures: DataFrame, patterns: Sequence[str | tuple[str, Mapping[str, str]]], rules: Mapping[str, Field] | None = None, raw: bool = False) -> DataFrame:
-    """One match against all of a capture's lines, joined by newlines."""
-    whole = captures.withColumn("line", F.array_join(F.transform("lines", lambda v: v["text"]), "\n"))
-    return regex_lines(whole, patterns, rules, keep=("capture_id",), raw=raw)
+    def cells(env: Mapping[str, Column]) -> dict[str, Column]:
+        found = Found(env["match"], known)
+        out = {}
+        for name in names:
+            cell = None
+            for k, (pattern, fixed) in enumerate(options):
+                if name in fixed or name in pattern.groups:
+                    own = F.lit(fixed[name]) if name in fixed else found.group(k, name)
+                    cell = F.when(found.which == k, own) if cell is None else cell.when(found.which == k, own)
+            out[f"cell {name}"] = cell
+        told = F.coalesce(env["line"], F.lit(""))
+        out["unread"] = F.when(found.which.isNull(), F.concat(F.lit("no alternative matches: "), told)).when(~found.covers, F.concat(F.lit("the match leaves text: "), told))
+        return out
 
+    return LineReader([matched, cells, *_typing(rules or {}, names, raw)], names)
 
-def table_rows(df: DataFrame, columns: Sequence[str], rules: Mapping[str, Field] | None = None, *, delimiter: str | None = None, most: int | None = None, least: int | None = None, raw: bool = False) -> DataFrame:
+
+def table_reader(columns: Sequence[str], rules: Mapping[str, Field] | None = None, *, delimiter: str | None = None, most: int | None = None, least: int | None = None, raw: bool = False) -> LineReader:
     """Cells between white space, or between a delimiter, one for each column.
 
     The last column takes what is left, up to ``most`` cells in all; a ``most``
@@ -75,48 +121,167 @@ def table_rows(df: DataFrame, columns: Sequence[str], rules: Mapping[str, Field]
     ``least`` cells are refused, and shorter ones end in nulls.
     """
     most = most or len(columns)
-    at = F.col("line")
-    cells = cells_of(at, most) if delimiter is None else F.transform(F.split(at, literal(delimiter), most), trimmed)
-    df = df.withColumn("cells", cells)
-    size = F.size("cells")
-    refusal = F.when(size > len(columns), F.concat(F.lit("too many cells: "), at)).when(size < (least or 1), F.concat(F.lit("too few cells: "), at))
-    return _rows(df, {c: F.get("cells", F.lit(k)) for k, c in enumerate(columns)}, rules or {}, refusal, ("capture_id", "num"), raw)
 
+    def cut(env: Mapping[str, Column]) -> dict[str, Column]:
+        at = env["line"]
+        return {"cells": cells_of(at, most) if delimiter is None else F.transform(F.split(at, literal(delimiter), most), trimmed)}
 
-def headed_table(captures: DataFrame, rules: Mapping[str, Field] | None = None, *, columns: Sequence[str], delimiter: str | None = None, repeated: bool = False, most: int | None = None, least: int | None = None) -> DataFrame:
-    """A table whose first selected line is a header; ``columns`` are the keys
-    that the header's names are normalised to, and another header is refused.
-    Where ``repeated``, lines equal to the header aren't rows."""
-    heads = captures.withColumn("header", F.get("lines", F.lit(0))["text"])
-    named = cells_of(F.col("header")) if delimiter is None else F.transform(F.split("header", literal(delimiter)), trimmed)
-    wrong = F.coalesce(F.transform(named, normal_names) != F.array(*[F.lit(c) for c in columns]), F.lit(True))
-    body = heads.withColumn("wrong", wrong).withColumn("lines", F.when(F.col("wrong"), F.slice("lines", 1, 1)).otherwise(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))))
-    if repeated:
-        spaced = lambda c: F.array_join(cells_of(c), " ")
-        body = body.withColumn("lines", let(spaced(F.col("header")), lambda h: F.filter("lines", lambda v: spaced(v["text"]) != h)))
-    lines = exploded(body, "wrong")
-    good = table_rows(lines.filter(~F.col("wrong")), columns, rules, delimiter=delimiter, most=most, least=least)
-    bad = lines.filter("wrong").select("capture_id", "num", F.lit("another header").alias("refusal"))
-    return good.unionByName(bad, allowMissingColumns=True)
-
-
-def kv_list(df: DataFrame, separator: str = "=", rules: Mapping[str, Field] | None = None, *, keep_space: bool = False, unquote: bool = False) -> DataFrame:
+    def cells(env: Mapping[str, Column]) -> dict[str, Column]:
+        size = F.size(env["cells"])
+        refusal = F.when(size > len(columns), F.concat(F.lit("too many cells: "), env["line"])).when(size < (least or 1), F.concat(F.lit("too few cells: "), env["line"]))
+        return {"unread": refusal} | {f"cell {c}": F.get(env["cells"], F.lit(k)) for k, c in enumerate(columns)}
+
+    return LineReader([cut, cells, *_typing(rules or {}, columns, raw)], columns)
+
+
+def cells_reader(columns: Sequence[str], rules: Mapping[str, Field] | None = None, raw: bool = False) -> LineReader:
+    """Cells that are cut already: ``line`` is an array of them, null if it couldn't be."""
+
+    def cells(env: Mapping[str, Column]) -> dict[str, Column]:
+        return {"unread": F.when(env["line"].isNull(), F.lit("not aligned"))} | {f"cell {c}": F.get(env["line"], F.lit(k)) for k, c in enumerate(columns)}
+
+    return LineReader([cells, *_typing(rules or {}, columns, raw)], columns)
+
+
+def kv_reader(separator: str = "=", rules: Mapping[str, Field] | None = None, *, keep_space: bool = False, unquote: bool = False, raw: bool = False) -> LineReader:
     """name and value of each line, at the first separator; a rule for the name
     of a key is applied to the text of its value."""
-    parts = F.split("line", literal(separator), 2)
-    name, value = (F.get(parts, F.lit(k)) if keep_space else trimmed(F.get(parts, F.lit(k))) for k in (0, 1))
-    if unquote:
-        value = F.when(value.rlike(r"\A(?:\"[^\"]*\"|'[^']*')\z"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-    reasons = [F.when(F.size(parts) < 2, F.concat(F.lit("no separator: "), F.col("line"))), F.when(trimmed(name) == "", F.concat(F.lit("no name: "), F.col("line")))]
-    for key, rule in (rules or {}).items():
-        typed, why = compiled(F.when(name == key, value), rule, key)
-        value = F.when(name == key, typed.cast("string")).otherwise(value)
-        reasons.append(F.when(name == key, why))
-    return df.select("capture_id", "num", name.alias("name"), value.alias("value"), F.coalesce(*reasons).alias("refusal"))
 
+    def cut(env: Mapping[str, Column]) -> dict[str, Column]:
+        parts = F.split(env["line"], literal(separator), 2)
+        name, value = (F.get(parts, F.lit(k)) if keep_space else trimmed(F.get(parts, F.lit(k))) for k in (0, 1))
+        return {"name": name, "text": value}
+
+    def typed(env: Mapping[str, Column]) -> dict[str, Column]:
+        name, value = env["name"], env["text"]
+        reasons = [env["trouble"]] if "trouble" in env else []
+        reasons += [F.when(value.isNull(), F.concat(F.lit("no separator: "), env["line"])), F.when(trimmed(name) == "", F.concat(F.lit("no name: "), env["line"]))]
+        if unquote:
+            value = F.when(value.rlike(r"\A(?:\"[^\"]*\"|'[^']*')\z"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        shown = value
+        for key, rule in ({} if raw else rules or {}).items():
+            got, why = compiled(F.when(name == key, value), rule, key)
+            shown = F.when(name == key, got.cast("string")).otherwise(shown)
+            reasons.append(F.when(name == key, why))
+        return {"value name": name, "value value": shown, "refusal": F.coalesce(*reasons)}
+
+    return LineReader([cut, typed], ["name", "value"])
+
+
+def ltsv_reader() -> LineReader:
+    """``label:value`` between tabs, a map for each line. A missing colon, a bad
+    label or a label twice is refused."""
+
+    def cut(env: Mapping[str, Column]) -> dict[str, Column]:
+        return {"cells": F.transform(F.split(env["line"], "\t"), lambda c: F.split(c, ":", 2))}
+
+    def judged(env: Mapping[str, Column]) -> dict[str, Column]:
+        names = F.transform(env["cells"], lambda p: F.get(p, F.lit(0)))
+        bad = F.exists(env["cells"], lambda p: (F.size(p) < 2) | ~F.get(p, F.lit(0)).rlike(r"\A[0-9A-Za-z_.-]+\z"))
+        reasons = [env["trouble"]] if "trouble" in env else []
+        reasons.append(F.when(bad, F.concat(F.lit("not label:value: "), env["line"])).when(F.size(F.array_distinct(names)) < F.size(names), F.concat(F.lit("a label twice: "), env["line"])))
+        return {"names": names, "refusal": F.coalesce(*reasons)}
+
+    def made(env: Mapping[str, Column]) -> dict[str, Column]:
+        pairs = F.map_from_arrays(env["names"], F.transform(env["cells"], lambda p: F.get(p, F.lit(1))))
+        return {"value pairs": F.when(env["refusal"].isNull(), pairs)}
+
+    return LineReader([cut, judged, made], ["pairs"])
+
+
+def regex_lines(df: DataFrame, patterns: Sequence[str | tuple[str, Mapping[str, str]]], rules: Mapping[str, Field] | None = None, *, text: str = "line", keep: Sequence[str] = ("capture_id", "num"), raw: bool = False) -> DataFrame:
+    """Rows of ``regex_reader``."""
+    return regex_reader(patterns, rules, raw).rows(df, keep, text)
+
+
+def regex_input(captures: DataFrame, patterns: Sequence[str | tuple[str, Mapping[str, str]]], rules: Mapping[str, Field] | None = None, raw: bool = False) -> DataFrame:
+    """One match against all of a capture's lines, joined by newlines."""
+    whole = captures.withColumn("line", joined_lines(F.col("lines")))
+    if "refusal" in captures.columns:
+        whole = whole.withColumn("trouble", F.col("refusal"))
+    return regex_reader(patterns, rules, raw).rows(whole, ("capture_id",))
+
+
+def joined_lines(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda v: v["text"]), "\n")
+
+
+def table_rows(df: DataFrame, columns: Sequence[str], rules: Mapping[str, Field] | None = None, *, delimiter: str | None = None, most: int | None = None, least: int | None = None, raw: bool = False) -> DataFrame:
+    """Rows of ``table_reader``."""
+    return table_reader(columns, rules, delimiter=delimiter, most=most, least=least, raw=raw).rows(df, ("capture_id", "num"))
+
+
+def kv_list(df: DataFrame, separator: str = "=", rules: Mapping[str, Field] | None = None, *, keep_space: bool = False, unquote: bool = False, raw: bool = False) -> DataFrame:
+    """Rows of ``kv_reader``."""
+    return kv_reader(separator, rules, keep_space=keep_space, unquote=unquote, raw=raw).rows(df, ("capture_id", "num"))
+
+
+def ltsv_rows(df: DataFrame) -> DataFrame:
+    """Rows of ``ltsv_reader``."""
+    return ltsv_reader().rows(df, ("capture_id", "num"))
 
-def _mapped(pairs: Column) -> Column:
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["name"], p["value"])))
+
+def _spaced(text: Column) -> Column:
+    return F.regexp_replace(trimmed(text), f"{BLANK}+", " ")
+
+
+def _head_names(header: Column, delimiter: str | None, rename: Mapping[str, str], leading_label: str) -> Column:
+    """Keys of a header's names."""
+    heads = cells_of(header) if delimiter is None else F.transform(F.split(header, literal(delimiter)), trimmed)
+    names = F.transform(heads, normal_names)
+    if rename:
+        given = F.create_map(*[F.lit(x) for pair in rename.items() for x in pair])
+        names = F.transform(names, lambda n: F.coalesce(F.try_element_at(given, n), n))
+    if leading_label:
+        names = F.concat(F.array(F.lit(leading_label)), names)
+    return names
+
+
+def _below_header(captures: DataFrame, delimiter: str | None) -> DataFrame:
+    """``captures`` with header, its first line, and lines without it and those that repeat it."""
+    heads = captures.withColumn("header", F.get("lines", F.lit(0))["text"])
+    same = (lambda t: _spaced(t)) if delimiter is None else (lambda t: F.array_join(F.transform(F.split(t, literal(delimiter)), trimmed), "\x00"))
+    body = let(same(F.col("header")), lambda h: F.filter("lines", lambda v: same(v["text"]) != h))
+    return heads.withColumn("lines", F.coalesce(body, F.col("lines")))
+
+
+def headed_table(captures: DataFrame, rules: Mapping[str, Field] | None = None, *, columns: Sequence[str], delimiter: str | None = None, most: int | None = None, least: int | None = None, rename: Mapping[str, str] | None = None, leading_label: str = "", raw: bool = False) -> DataFrame:
+    """A table whose first selected line is a header; ``columns`` are the keys
+    that the header's names are normalised to, and another header is refused. A
+    line equal to the header begins a second table."""
+    heads = _below_header(captures, delimiter)
+    wrong = F.col("header").isNotNull() & F.coalesce(_head_names(F.col("header"), delimiter, rename or {}, leading_label) != F.array(*[F.lit(c) for c in columns]), F.lit(True))
+    trouble = F.when(wrong, F.lit("another header"))
+    heads = heads.withColumn("refusal", F.coalesce("refusal", trouble) if "refusal" in captures.columns else trouble)
+    return table_rows(exploded(heads), columns, rules, delimiter=delimiter, most=most, least=least, raw=raw)
+
+
+def derived_table(captures: DataFrame, rules: Mapping[str, Field] | None = None, *, delimiter: str | None = None, most: int | None = None, least: int | None = None, rename: Mapping[str, str] | None = None, leading_label: str = "", raw: bool = False) -> DataFrame:
+    """A table whose keys are the names in its header line: each row is a map,
+    and keys that have a rule are typed columns (null where the header doesn't
+    name them). Names that are empty or alike are refused; shorter rows end in nulls."""
+    heads = _below_header(captures, delimiter).withColumn("names", _head_names(F.col("header"), delimiter, rename or {}, leading_label))
+    bad = F.exists("names", lambda n: n == "") | (F.size(F.array_distinct("names")) < F.size("names"))
+    trouble = F.when(bad, F.lit("headings that are empty or alike"))
+    heads = heads.withColumn("refusal", F.coalesce("refusal", trouble) if "refusal" in captures.columns else trouble)
+    lines = exploded(heads, "names")
+    keys = list({} if raw else rules or {})
+
+    def cut(env: Mapping[str, Column]) -> dict[str, Column]:
+        width = F.lit(most) if most else F.size(env["names"])
+        return {"cells": F.split(trimmed(env["line"]), f"{BLANK}+", width) if delimiter is None else F.transform(F.split(env["line"], literal(delimiter), width), trimmed)}
+
+    def cells(env: Mapping[str, Column]) -> dict[str, Column]:
+        size = F.size(env["cells"])
+        unread = F.when(size > F.size(env["names"]), F.concat(F.lit("too many cells: "), env["line"])).when(size < (F.lit(least) if least else F.size(env["names"])), F.concat(F.lit("too few cells: "), env["line"]))
+        made = F.map_from_arrays(env["names"], F.transform(env["names"], lambda _, k: F.get(env["cells"], k)))
+        return {"unread": F.coalesce(env["trouble"], unread), "value cells": F.when(env["trouble"].isNull(), made)}
+
+    def asked(env: Mapping[str, Column]) -> dict[str, Column]:
+        return {f"cell {k}": F.try_element_at(env["value cells"], F.lit(k)) for k in keys} or {"no rule": F.lit(True)}
+
+    made = projected(lines, ("capture_id", "num"), [cut, cells, asked, *_typing(rules or {}, keys, raw)], {c: F.col(c) for c in ("line", "names", "trouble")})
+    return made.select("capture_id", "num", quoted(" value cells").alias("cells"), *[quoted(f" value {k}").alias(k) for k in keys], held(quoted(" refusal")).alias("refusal"))
 
 
 def _pairs(lines: Column, separator: str) -> Column:
@@ -128,94 +293,142 @@ def _pairs(lines: Column, separator: str) -> Column:
 
 
 def _pair_refusal(pairs: Column) -> Column:
-    names = F.transform(pairs, lambda p: p["name"])
+    def again(p: Column) -> Column:
+        first = F.get(F.filter(pairs, lambda q: (q["name"] == p["name"]) & (q["num"] < p["num"])), F.lit(0))["num"]
+        return F.concat(F.lit("a key twice, at lines "), first.cast("string"), F.lit(" and "), p["num"].cast("string"))
+
+    def judged(names: Column) -> Column:
+        second = F.get(F.filter(pairs, lambda p: F.array_position(names, p["name"]) < F.array_position(F.transform(pairs, lambda q: q["num"]), p["num"])), F.lit(0))
+        return F.when(F.size(F.array_distinct(names)) < F.size(names), let(second, again))
+
     bad = F.filter(pairs, lambda p: p["value"].isNull() | (p["name"] == ""))
-    return F.when(F.size(bad) > 0, F.concat(F.lit("no pair at line "), F.get(bad, F.lit(0))["num"].cast("string"))).when(F.size(F.array_distinct(names)) < F.size(names), F.lit("a key twice"))
+    torn = let(bad, lambda b: F.when(F.size(b) > 0, F.concat(F.lit("no pair at line "), F.get(b, F.lit(0))["num"].cast("string"))))
+    return F.coalesce(torn, let(F.transform(pairs, lambda p: p["name"]), judged))
+
+
+def _ruled(pairs: Column, rules: Mapping[str, Field]) -> Column:
+    """Pairs with the text of the typed value, and why, for the names that have a rule."""
+
+    def one(p: Column) -> Column:
+        value, why = p["value"], F.lit(None).cast("string")
+        for key, rule in rules.items():
+            got, reason = compiled(p["value"], rule, key)
+            value = F.when(p["name"] == key, got.cast("string")).otherwise(value)
+            why = F.when(p["name"] == key, reason).otherwise(why)
+        return F.struct(p["num"].alias("num"), p["name"].alias("name"), value.alias("value"), why.alias("why"))
+
+    return F.transform(pairs, one)
 
 
-def kv_map(captures: DataFrame, separator: str = "=") -> DataFrame:
-    """One map for a capture; a key that comes twice is refused."""
-    df = captures.withColumn("pairs", _pairs(F.col("lines"), separator))
-    refusal = _pair_refusal(F.col("pairs"))
-    return df.select("capture_id", F.when(refusal.isNull(), _mapped(F.col("pairs"))).alias("pairs"), F.coalesce("refusal", refusal).alias("refusal"))
+def _as_map(df: DataFrame, keep: Sequence[str], separator: str, rules: Mapping[str, Field]) -> DataFrame:
+    """``keep``, pairs and refusal of captures (lines, refusal); keys with a rule
+    stand beside as typed columns, null where there is no such pair."""
+    df = df.withColumn("pairs", _pairs(F.col("lines"), separator))
+    df = df.withColumn("refusal", F.coalesce("refusal", _pair_refusal(F.col("pairs"))))
+    if rules:
+        df = df.withColumn("pairs", _ruled(F.col("pairs"), rules))
+        why = F.array_compact(F.transform("pairs", lambda p: p["why"]))
+        named = F.transform("pairs", lambda p: p["name"])
+        absent = [F.when(~F.array_contains(named, k), F.lit(f"{k}: required")) for k, r in rules.items() if r.required]
+        df = df.withColumn("refusal", F.coalesce("refusal", F.get(why, F.lit(0)), *absent))
+    made = F.map_from_entries(F.transform("pairs", lambda p: F.struct(p["name"], p["value"])))
+    return df.select(*keep, F.when(F.col("refusal").isNull(), made).alias("pairs"), held(F.col("refusal")).alias("refusal"))
 
 
-def ini_sections(captures: DataFrame, separator: str = "=") -> DataFrame:
+def _with_refusal(captures: DataFrame) -> DataFrame:
+    return captures if "refusal" in captures.columns else captures.withColumn("refusal", F.lit(None).cast("string"))
+
+
+def kv_map(captures: DataFrame, separator: str = "=", rules: Mapping[str, Field] | None = None) -> DataFrame:
+    """One map for a capture; a key that comes twice is refused. A value whose
+    key has a rule is the typed value's text."""
+    return _as_map(_with_refusal(captures), ["capture_id"], separator, rules or {})
+
+
+def ini_sections(captures: DataFrame, separator: str = "=", rules: Mapping[str, Field] | None = None) -> DataFrame:
     """A row for each section of a capture: section and its pairs. Pairs before
     the first heading are section ``''``; a section may resume; comments begin
     with ``#`` or ``;``. A key twice in a section is refused."""
     heading = r"\A\p{IsWhite_Space}*\[(.*)\]\p{IsWhite_Space}*\z"
-    lines = F.filter("lines", lambda v: ~v["text"].rlike(rf"\A{BLANK}*[#;]"))
-    df = captures.withColumn("lines", lines)
+    df = _with_refusal(captures)
+    df = df.withColumn("lines", F.filter("lines", lambda v: ~v["text"].rlike(rf"\A{BLANK}*[#;]")))
     df = df.withColumn("starts", F.array_distinct(F.concat(F.array(F.lit(1)), indexes(F.col("lines"), lambda t: t.rlike(heading)))))
-    df = df.select("capture_id", F.explode(blocks(F.col("lines"), F.col("starts"))).alias("block")).filter(F.size("block") > 0)
-    first = F.get("block", F.lit(0))["text"]
-    named = first.rlike(heading)
-    df = df.select("capture_id", F.when(named, trimmed(F.regexp_extract(first, heading, 1))).otherwise("").alias("section"), F.when(named, F.slice("block", 2, F.size("block"))).otherwise(F.col("block")).alias("block"))
-    df = df.groupBy("capture_id", "section").agg(F.flatten(F.collect_list("block")).alias("block"))
-    df = df.withColumn("pairs", _pairs(F.array_sort("block"), separator))
-    refusal = _pair_refusal(F.col("pairs"))
-    return df.select("capture_id", "section", F.when(refusal.isNull(), _mapped(F.col("pairs"))).alias("pairs"), refusal.alias("refusal"))
 
+    def section(block: Column) -> Column:
+        first = F.get(block, F.lit(0))["text"]
+        named = F.coalesce(first.rlike(heading), F.lit(False))
+        return F.struct(F.when(named, trimmed(F.regexp_extract(first, heading, 1))).otherwise("").alias("section"), named.alias("named"), F.when(named, F.slice(block, 2, F.size(block))).otherwise(block).alias("lines"))
+
+    df = df.withColumn("blocks", F.filter(F.transform(blocks(F.col("lines"), F.col("starts")), section), lambda b: b["named"] | (F.size(b["lines"]) > 0)))
+    names = F.array_distinct(F.transform("blocks", lambda b: b["section"]))
+    df = df.select("capture_id", "refusal", "blocks", F.explode(F.when(F.col("refusal").isNotNull(), F.array(F.lit(""))).otherwise(names)).alias("section"))
+    df = df.withColumn("lines", F.flatten(F.transform(F.filter("blocks", lambda b: b["section"] == F.col("section")), lambda b: b["lines"])))
+    return _as_map(df, ["capture_id", "section"], separator, rules or {})
 
-def tree_nodes(captures: DataFrame, indent: str = "  ") -> DataFrame:
+
+def tree_nodes(captures: DataFrame, indent: str | Sequence[str] = "  ", *, root: str = "") -> DataFrame:
     """A row for each line: its depth by units of ``indent``, and the line of its
     parent. A skipped level, part of a unit, or over 32 levels is refused.
 
-    The parent is the last line above that is one level higher: an array of the
-    last line of each level is carried down the capture.
+    Several units may be given, as drawn trees have (``|  ``, ``   ``, and
+    ``|- `` or ``+- `` before the name); each counts as a level. With ``root``,
+    lines that match it are of depth 0 and all others one deeper than drawn.
+
+    The parent is the last line above that is one level higher: the number of
+    the last line of each level is carried down the capture.
     """
-    unit = literal(indent)
+    units = [indent] if isinstance(indent, str) else list(indent)
+    lead_ = "|".join(map(literal, sorted(units, key=len, reverse=True)))
 
     def node(v: Column) -> Column:
-        lead = F.regexp_extract(v["text"], rf"\A(?:{unit})*", 0)
+        lead = F.regexp_extract(v["text"], rf"\A(?:{lead_})*", 0)
         rest = F.substring(v["text"], F.length(lead) + 1, F.length(v["text"]))
-        return F.struct(v["num"].alias("num"), (F.length(lead) / len(indent)).cast("int").alias("depth"), rest.alias("text"))
+        depth = F.size(F.regexp_extract_all(lead, F.lit(f"({lead_})"), F.lit(1)))
+        if root:
+            depth = F.when(translate(root).matches(v["text"]), 0).otherwise(depth + 1)
+        return F.struct(v["num"].alias("num"), depth.cast("int").alias("depth"), rest.alias("text"))
+
+    df = _with_refusal(captures).withColumn("nodes", F.transform("lines", node)).withColumn("parents", _parents(F.col("nodes")))
+    troubled = F.array(F.struct(F.struct(F.lit(0).alias("num"), F.lit(0).alias("depth"), F.lit("").alias("text")).alias("nodes"), F.lit(0).alias("parents")))
+    rows = df.select("capture_id", F.col("refusal").alias("trouble"), F.inline(F.when(F.col("refusal").isNotNull(), troubled).otherwise(F.arrays_zip("nodes", "parents"))))
+    text, depth = F.col("nodes.text"), F.col("nodes.depth")
+    own = F.when(text.rlike(rf"\A{BLANK}"), F.lit("part of an indent")).when(depth > MOST_LEVELS, F.lit("over 32 levels")).when((depth > 0) & (F.coalesce("parents", F.lit(0)) == 0), F.lit("a skipped level"))
+    return rows.select("capture_id", F.col("nodes.num").alias("num"), depth.alias("depth"), F.when(depth > 0, F.col("parents")).alias("parent"), text.alias("text"), held(F.coalesce("trouble", own)).alias("refusal"))
 
-    df = captures.withColumn("nodes", F.transform("lines", node))
-    nodes = F.col("nodes")
+
+def _parents(nodes: Column) -> Column:
+    """For each node (num, depth) the line of its parent, 0 where there is none."""
     levels = F.transform(F.sequence(F.lit(0), F.lit(MOST_LEVELS)), lambda _: F.lit(0))
-    start = F.struct(levels.alias("last"), F.array().cast("array<int>").alias("parents"))
 
     def step(a: Column, v: Column) -> Column:
         above = F.when(v["depth"] > 0, F.get(a["last"], v["depth"] - 1)).otherwise(0)
         last = F.transform(a["last"], lambda x, k: F.when(k == v["depth"], v["num"]).when(k > v["depth"], 0).otherwise(x))
         return F.struct(last.alias("last"), F.concat(a["parents"], F.array(above)).alias("parents"))
 
-    df = df.withColumn("parents", F.aggregate(nodes, start, step)["parents"])
-    rows = df.select("capture_id", F.inline(F.arrays_zip("nodes", "parents")))
-    text = F.col("nodes.text")
-    depth = F.col("nodes.depth")
-    refusal = F.when(text.rlike(rf"\A{BLANK}"), F.lit("part of an indent")).when(depth > MOST_LEVELS, F.lit("over 32 levels")).when((depth > 0) & (F.coalesce("parents", F.lit(0)) == 0), F.lit("a skipped level"))
-    return rows.select("capture_id", F.col("nodes.num").alias("num"), depth.alias("depth"), F.when(depth > 0, F.col("parents")).alias("parent"), text.alias("text"), refusal.alias("refusal"))
+    def block(a: Column, at: Column) -> Column:
+        # what is appended to stays short: the parents of one block of lines
+        start = F.struct(a["last"].alias("last"), F.array().cast("array<int>").alias("parents"))
+        return let(F.aggregate(F.slice(nodes, at, TREE_BLOCK), start, step), lambda b: F.struct(b["last"].alias("last"), F.concat(a["blocks"], F.array(b["parents"])).alias("blocks")))
+
+    start = F.struct(levels.alias("last"), F.array().cast("array<array<int>>").alias("blocks"))
+    begins = F.when(F.size(nodes) > 0, F.sequence(F.lit(1), F.size(nodes), F.lit(TREE_BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.aggregate(begins, start, block)["blocks"])
 
 
 def record_blocks(captures: DataFrame, start: str) -> DataFrame:
     """A row for each block of lines that begins at a match of ``start``:
     capture_id (as it was), record (from 1), lines. Lines before the first are
     refused."""
-    begins = translate(start)
-    df = captures.withColumn("starts", indexes(F.col("lines"), begins.matches))
+    df = _with_refusal(captures).withColumn("starts", indexes(F.col("lines"), translate(start).matches))
     early = (F.size("lines") > 0) & (F.coalesce(F.get("starts", F.lit(0)), F.lit(0)) != 1)
-    df = df.withColumn("refusal", F.when(early, F.lit("text before the first record")))
+    df = df.withColumn("refusal", F.coalesce("refusal", F.when(early, F.lit("text before the first record"))))
     df = df.withColumn("blocks", F.when(F.col("refusal").isNull(), blocks(F.col("lines"), F.col("starts"))).otherwise(F.array(F.col("lines"))))
     return df.select("capture_id", "refusal", F.posexplode("blocks").alias("record", "lines")).withColumn("record", F.col("record") + 1)
 
 
-def ltsv_rows(df: DataFrame) -> DataFrame:
-    """``label:value`` between tabs, a map for each line. A missing colon, a bad
-    label or a label twice is refused."""
-    cells = F.split("line", "\t")
-    pairs = F.transform(cells, lambda c: F.split(c, ":", 2))
-    names = F.transform(pairs, lambda p: F.get(p, F.lit(0)))
-    bad = F.exists(pairs, lambda p: (F.size(p) < 2) | ~F.get(p, F.lit(0)).rlike(r"\A[0-9A-Za-z_.-]+\z"))
-    refusal = F.when(bad, F.concat(F.lit("not label:value: "), F.col("line"))).when(F.size(F.array_distinct(names)) < F.size(names), F.concat(F.lit("a label twice: "), F.col("line")))
-    made = F.map_from_arrays(names, F.transform(pairs, lambda p: F.get(p, F.lit(1))))
-    return df.select("capture_id", "num", F.when(refusal.isNull(), made).alias("pairs"), refusal.alias("refusal"))
-
-
 def unread(prepared_lines: DataFrame, *readers: DataFrame) -> DataFrame:
-    """Lines (capture_id, num, line) that aren't blank and that no reader has read."""
+    """Lines (capture_id, num, line) that aren't blank and that no reader has
+    read, for texts that are tables of lines; ``Shape`` tells it of captures by itself."""
     read = readers[0].select("capture_id", "num")
     for r in readers[1:]:
         read = read.unionByName(r.select("capture_id", "num"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .identify import Signature, candidates
+from .identify import Signature, candidates, identified
 
 #: A line that no definition should read.
 FOREIGN = "¿?! no line of this format !?¿"
@@ -53,6 +53,32 @@ def tampered(captures: DataFrame, foreign: str = FOREIGN) -> DataFrame:
 def strangers(captures: DataFrame, signatures: Sequence[Signature], owner: str = "owner") -> DataFrame:
     """(capture_id, parser, variant): definitions that match a capture whose
     column ``owner`` names another one; a null owner makes every match a stranger's."""
-    found = candidates(captures, signatures)
-    own = captures.select(F.col("capture_id").alias("own_id"), F.col(owner).alias("owner"))
-    return found.join(own, F.col("capture_id").eqNullSafe(F.col("own_id"))).filter(~F.col("owner").eqNullSafe(F.col("parser"))).select("capture_id", "parser", "variant")
+    own = captures.withColumn("capture_id", F.struct("capture_id", F.col(owner).alias("owner")))
+    return candidates(own, signatures).filter(~F.col("capture_id.owner").eqNullSafe(F.col("parser"))).select("capture_id.capture_id", "parser", "variant")
+
+
+def early_settled(captures: DataFrame, signatures: Sequence[Signature]) -> DataFrame:
+    """(capture_id, parser, variant, early): the choice on the whole text beside
+    whether its leading lines, as many as the widest window asks for, give the same."""
+    widest = max(s.window for s in signatures)
+    own = captures.withColumn("capture_id", F.struct("capture_id", F.col("text").alias("whole")))
+    head = own.withColumn("text", F.array_join(F.slice(F.split("text", "\n", -1), 1, widest + 1), "\n"))
+    chosen = identified(own, signatures).select("capture_id", F.struct("parser", "variant", "refusal").alias("late"))
+    # both choices are made in the same row, so the second is read off the first one's id
+    both = identified(head, signatures).select(F.col("capture_id.capture_id").alias("capture_id"), F.struct("parser", "variant", "refusal").alias("soon"))
+    late = chosen.select(F.col("capture_id.capture_id").alias("own_id"), "late")
+    joined = both.join(late, F.col("capture_id").eqNullSafe(F.col("own_id")))
+    return joined.select("capture_id", "late.parser", "late.variant", F.col("late").eqNullSafe(F.col("soon")).alias("early"))
+
+
+def compared(rows: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and outcome (missing, unexpected, differs) of rows that aren't as a
+    golden table tells; a row's columns are held together whatever their order."""
+    columns = sorted(c for c in expected.columns if c not in keys)
+    if sorted(c for c in rows.columns if c not in keys) != columns:
+        raise ValueError(f"columns {sorted(rows.columns)} where {sorted(expected.columns)} are expected")
+    got = rows.select(*keys, F.struct(*columns, F.lit(1).alias("there")).alias("got"))
+    want = expected.select(*keys, F.struct(*columns, F.lit(1).alias("there")).alias("want"))
+    both = got.join(want, list(keys), "full")
+    outcome = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(~F.col("got").eqNullSafe(F.col("want")), "differs")
+    return both.select(*keys, outcome.alias("outcome")).filter("outcome is not null")

@@ -5,20 +5,24 @@ The catalog is a DataFrame of definitions, one row each: parser, variant, source
 any and none. Layering, disabling and tie-breaking are joins and windows on it.
 A capture is matched by expressions made of literal patterns, one flag for each
 definition, so every pattern is compiled once for a task and no pair of capture
-and definition is made but those that match.
+and definition is made but those that match. The first lines are cut out once
+for each length of window; before a pattern is tried, the text that every match
+of it holds is looked for. Candidates are settled inside the capture's row, so
+identifying shuffles nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import translate
-from ..functions.text import is_blank
-from ..operators.lines import split_records
+from ..functions.steps import held
+from ..functions.text import BLANK, let
+from ..sources.readers import evidence
 
 #: Lines of a signature's window.
 WINDOW, MOST_WINDOW = 20, 200
@@ -42,6 +46,8 @@ class Signature:
     args_any: tuple[str, ...] = ()
     args_all: tuple[str, ...] = ()
     args_none: tuple[str, ...] = ()
+    #: Of aliases with arguments of their own: (alias, {any, all, none}).
+    alias_args: tuple[tuple[str, Mapping[str, Sequence[str]]], ...] = ()
 
 
 def catalog(spark: SparkSession, signatures: Sequence[Signature]) -> DataFrame:
@@ -65,18 +71,59 @@ def without_disabled(definitions: DataFrame, disabled: DataFrame) -> DataFrame:
 
 def window_text(text: Column, lines: int) -> Column:
     """The first lines from the first that isn't blank, joined by newlines."""
-    texts = F.transform(split_records(text), lambda v: F.regexp_replace(v["text"], r"\r\z", ""))
-    first = F.array_position(F.transform(texts, lambda t: ~is_blank(t)), True)
-    shown = F.slice(texts, F.greatest(first.cast("int"), F.lit(1)), min(lines, MOST_WINDOW))
-    return F.regexp_replace(F.array_join(shown, "\n"), r"\n+\z", "")
-
-
-def matches(text: Column, s: Signature) -> Column:
+    lines = min(lines, MOST_WINDOW)
+    # no more of a text is cut up than a window takes: blank lines first, then its own
+    bare = F.regexp_replace(text, rf"\A(?:{BLANK}*\n)?", "")
+
+    def shown(parts: Column) -> Column:
+        return F.array_join(F.transform(F.slice(parts, 1, lines), lambda t: F.regexp_replace(t, r"\r\z", "")), "\n")
+
+    return F.regexp_replace(let(F.split(bare, "\n", lines + 1), shown), r"\n+\z", "")
+
+
+def windows(captures: DataFrame, signatures: Sequence[Signature]) -> DataFrame:
+    """``captures`` with ``window <n>`` for each length that a signature asks for."""
+    return captures.withColumns({f"window {n}": held(window_text(F.col("text"), n)) for n in sorted({s.window for s in signatures})})
+
+
+def required_text(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern holds;
+    empty if none is told at sight."""
+    if "|" in pattern or pattern.startswith("(?i"):
+        return ""
+    best = run = ""
+    at, depth = 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            c, at = pattern[at : at + 2], at + 1
+        elif c == "[":
+            end = at + 1
+            while end < len(pattern) and (pattern[end] != "]" or end <= at + 1 + pattern.startswith("[^", at)):
+                end += 1 + (pattern[end] == "\\")
+            c, at = "[]", end
+        depth += (c == "(") - (c == ")")
+        following = pattern[at + 1 : at + 2]
+        plain = c[-1] if len(c) == 2 and c[0] == "\\" and not c[1].isalnum() else c if len(c) == 1 and c not in ".^$()*+?{}[]" else ""
+        if plain and not depth and following not in ("*", "?", "{"):
+            run += plain
+            if following == "+":
+                best, run = max(best, run, key=len), ""
+        else:
+            best, run = max(best, run, key=len), ""
+            if c == "{":
+                at = pattern.find("}", at)
+        at += 1
+    return max(best, run, key=len)
+
+
+def matches(shown: Column, s: Signature) -> Column:
     """All of the one kind, one of the other if there are any, none of the third."""
-    shown = window_text(text, s.window)
 
     def hit(p: str) -> Column:
-        return translate("(?m)" + p if not p.startswith("(?") else p).matches(shown)
+        found = translate("(?m)" + p if not p.startswith("(?") else p).matches(shown)
+        needed = required_text(p)
+        return shown.contains(needed) & found if len(needed) > 1 else found
 
     found = F.lit(True)
     for p in s.all:
@@ -91,6 +138,10 @@ def matches(text: Column, s: Signature) -> Column:
     return found
 
 
+def _fits(s: Signature) -> Column:
+    return matches(F.col(f"`window {s.window}`"), s)
+
+
 def holds_argument(args: Column, wanted: str) -> Column:
     """Whether a command's arguments hold one: as written, as a letter of bundled
     ones (as often, all in all, as it is wanted), or, ending in ``=``, with any
@@ -108,9 +159,13 @@ def holds_argument(args: Column, wanted: str) -> Column:
     return found
 
 
-def against(captures: DataFrame, s: Signature) -> Column:
+def against(captures: DataFrame, s: Signature, named: str | None = None) -> Column:
     """Why a definition whose text may match isn't for a capture: another system
-    (column os, null if not known), or its arguments (column args); null if it is."""
+    (column os, null if not known), or its arguments (column args); null if it is.
+    A definition that is named by an alias with arguments of its own has those."""
+    own = dict(s.alias_args).get(named) if named else None
+    if own is not None:
+        s = replace(s, args_any=tuple(own.get("any", ())), args_all=tuple(own.get("all", ())), args_none=tuple(own.get("none", ())))
     reasons = [F.lit(None).cast("string")]
     if s.os and "os" in captures.columns:
         reasons.append(F.when(~F.col("os").isin(list(s.os)), F.lit(f"only for {', '.join(s.os)}")))
@@ -126,55 +181,106 @@ def against(captures: DataFrame, s: Signature) -> Column:
     return F.coalesce(*reasons) if len(reasons) > 1 else reasons[0]
 
 
-def _open(signatures: Sequence[Signature], named: str | None) -> list[Signature]:
-    """Definitions to choose from: those of the name or alias that is named, or all that need no naming."""
-    return [s for s in signatures if (named in (s.parser, *s.aliases) if named else not s.explicit_only)]
+def _open(signatures: Sequence[Signature], named: str | None, variant: str | None = None) -> list[Signature]:
+    """Definitions to choose from: those of the name or alias (and variant) that
+    is named, or all that need no naming. A definition that any text fits, under
+    a command whose others have a signature, is meant only by its variant."""
+    if not named:
+        return [s for s in signatures if not s.explicit_only]
+    own = [s for s in signatures if named in (s.parser, *s.aliases) and variant in (None, s.variant)]
+    bare = [s for s in own if s.explicit_only and not (s.all or s.any or s.none)]
+    return own if variant or len(bare) == len(own) else [s for s in own if s not in bare]
+
+
+def _told(s: Signature, **more: Column) -> Column:
+    return F.struct(F.lit(s.parser).alias("parser"), F.lit(s.variant).alias("variant"), F.lit(s.source).alias("source"), *[c.alias(n) for n, c in more.items()])
+
+
+def _flagged(captures: DataFrame, signatures: Sequence[Signature], flags) -> DataFrame:
+    """``captures`` with found: those of ``flags`` of each signature that aren't null."""
+    if not signatures:
+        raise ValueError("no definition to choose from")
+    df = windows(captures, signatures)
+    return df.withColumn("found", F.array_compact(F.array(*[flags(s) for s in signatures])))
 
 
-def near_misses(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None) -> DataFrame:
+def near_misses(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None, variant: str | None = None) -> DataFrame:
     """(capture_id, parser, variant, source, reason): definitions whose text
     matches but which system or arguments rule out, and named ones whose text doesn't."""
-    flags = []
-    for s in _open(signatures, named):
-        fits = matches(F.col("text"), s)
-        why = F.when(fits, against(captures, s))
+
+    def missed(s: Signature) -> Column:
+        fits = _fits(s)
+        why = F.when(fits, against(captures, s, named))
         if named:
             why = why.when(~fits, F.lit("the text doesn't match"))
-        flags.append(F.when(why.isNotNull(), F.struct(F.lit(s.parser).alias("parser"), F.lit(s.variant).alias("variant"), F.lit(s.source).alias("source"), why.alias("reason"))))
-    if not flags:
-        raise ValueError("no definition to choose from")
-    return captures.select("capture_id", F.inline(F.array_compact(F.array(*flags))))
+        return let(why, lambda w: F.when(w.isNotNull(), _told(s, reason=w)))
+
+    return _flagged(captures, _open(signatures, named, variant), missed).select("capture_id", F.inline("found"))
+
+
+def _candidates(captures: DataFrame, signatures: Sequence[Signature], named: str | None, variant: str | None, text: bool = True) -> DataFrame:
+    def hit(s: Signature) -> Column:
+        fits = against(captures, s, named).isNull()
+        return F.when(_fits(s) & fits if text else fits, _told(s, priority=F.lit(s.priority)))
 
+    return _flagged(captures, _open(signatures, named, variant), hit)
 
-def candidates(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None) -> DataFrame:
+
+def candidates(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None, variant: str | None = None) -> DataFrame:
     """(capture_id, parser, variant, source, priority) of signatures that match.
     Ones that need naming are left out unless ``named``."""
-    open_ = _open(signatures, named)
-    flags = []
-    for s in open_:
-        fits = matches(F.col("text"), s) & against(captures, s).isNull()
-        tag = F.struct(F.lit(s.parser).alias("parser"), F.lit(s.variant).alias("variant"), F.lit(s.source).alias("source"), F.lit(s.priority).alias("priority"))
-        flags.append(F.when(fits, tag))
-    if not flags:
-        raise ValueError("no definition to choose from")
-    return captures.select("capture_id", F.inline(F.array_compact(F.array(*flags))))
+    return _candidates(captures, signatures, named, variant).select("capture_id", F.inline("found"))
+
+
+def candidates_without_text(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None) -> DataFrame:
+    """The same by system and arguments alone, for commands that printed nothing."""
+    blank = captures.withColumn("text", F.lit(""))
+    return _candidates(blank, signatures, named, None, text=False).select("capture_id", F.inline("found"))
 
 
-def identified(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None) -> DataFrame:
+def identified(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None, variant: str | None = None) -> DataFrame:
     """(capture_id, parser, variant, refusal): of several candidates those of the
     earliest source count; if they are of one parser, the one of strictly
-    highest priority. Otherwise the capture is ambiguous, and it is refused."""
-    found = candidates(captures, signatures, named=named)
-    by_source = Window.partitionBy("capture_id")
-    found = found.withColumn("least", F.min("source").over(by_source)).filter("source = least")
-    whole = found.groupBy("capture_id").agg(
-        F.max(F.struct("priority", "parser", "variant")).alias("best"), F.countDistinct("parser").alias("parsers"),
-        F.count("*").alias("n"), F.sort_array(F.collect_list("priority"), asc=False).alias("priorities"), F.array_sort(F.collect_list(F.concat_ws("/", "parser", "variant"))).alias("names"),
-    )
-    clear = (F.col("n") == 1) | ((F.col("parsers") == 1) & (F.get("priorities", F.lit(0)) > F.get("priorities", F.lit(1))))
-    chosen = whole.select("capture_id", F.when(clear, F.col("best.parser")).alias("parser"), F.when(clear, F.col("best.variant")).alias("variant"), F.when(~clear, F.concat(F.lit("ambiguous: "), F.array_join("names", ", "))).alias("refusal"))
-    ids = captures.select("capture_id")
-    return ids.join(chosen, "capture_id", "left").withColumn("refusal", F.coalesce("refusal", F.when(F.col("parser").isNull(), F.lit("no definition matches"))))
+    highest priority. Otherwise the capture is ambiguous, and it is refused.
+
+    Where ``captures`` have a ``path`` and nothing is named, one that suggests a
+    definition that the text fits decides; where it doesn't fit, the path says nothing."""
+    df = _candidates(captures, signatures, named, variant)
+    least = F.array_min(F.transform("found", lambda c: c["source"]))
+    first = let(least, lambda n: F.filter("found", lambda c: c["source"] == n))
+    if "path" in captures.columns and not named:
+        parser, at = evidence(F.col("path"))
+        meant = F.filter("found", lambda c: (c["parser"] == parser) & (c["variant"] == at))
+        first = F.when(F.size(meant) > 0, F.slice(meant, 1, 1)).otherwise(first)
+    df = df.withColumn("first", first)
+    # highest priority first; the row is small, whatever the capture's size
+    ranked = F.reverse(F.array_sort(F.transform("first", lambda c: F.struct(c["priority"].alias("priority"), c["parser"].alias("parser"), c["variant"].alias("variant")))))
+    df = df.withColumn("ranked", ranked)
+    best, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
+    alone = F.size(F.array_distinct(F.transform("ranked", lambda c: c["parser"]))) == 1
+    clear = (F.size("ranked") == 1) | ((F.size("ranked") > 1) & alone & (best["priority"] > second["priority"]))
+    names = F.array_join(F.array_sort(F.transform("ranked", lambda c: F.concat_ws("/", c["parser"], c["variant"]))), ", ")
+    refusal = F.when(F.size("ranked") == 0, F.lit("no definition matches")).when(~clear, F.concat(F.lit("ambiguous: "), names))
+    return df.select("capture_id", F.when(clear, best["parser"]).alias("parser"), F.when(clear, best["variant"]).alias("variant"), refusal.alias("refusal"))
+
+
+def lookup(definitions: DataFrame, *, parser: str | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Definitions of a command by its name or by one of its ``aliases`` (alias,
+    parser), in the order of their names; without one, all of them."""
+    df = definitions
+    if parser is not None:
+        named = F.col("parser") == parser
+        if aliases is not None:
+            own = aliases.filter(F.col("alias") == parser).select(F.col("parser").alias("meant")).distinct()
+            df = df.join(own, df["parser"] == own["meant"], "left")
+            named = named | F.col("meant").isNotNull()
+        df = df.filter(named).drop("meant")
+    return df.orderBy("parser", "variant")
+
+
+def commands(definitions: DataFrame) -> DataFrame:
+    """(parser, n_variants, variants) of each command."""
+    return definitions.groupBy("parser").agg(F.countDistinct("variant").alias("n_variants"), F.array_sort(F.collect_set("variant")).alias("variants"))
 
 
 def suggested(spark: SparkSession, name: str, known: DataFrame) -> DataFrame:

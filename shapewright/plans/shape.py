@@ -8,13 +8,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.convert import KINDS, Field
 from ..functions.patterns import translate
 from ..operators import aligned, csv_text, parse
-from ..operators.lines import Region, exploded, regioned
+from ..functions.text import let
+from ..operators.lines import Region, dropped, exploded, read_by, regioned, selected, unread_refusal
 
 #: Limits of a definition.
 MOST_COLUMNS, MOST_PARTS, MOST_ALTERNATIVES, MOST_NESTING = 256, 32, 16, 8
@@ -37,10 +39,13 @@ class Shape:
     separator: str = "="
     delimiter: str | None = None
     header: bool = False
-    repeated_header: bool = False
+    derived: bool = False
+    rename: Mapping[str, str] = field(default_factory=dict)
+    leading_label: str = ""
     most: int | None = None
     least: int | None = None
-    indent: str = "  "
+    indent: str | Sequence[str] = "  "
+    root: str = ""
     start: str = ""
     parts: Mapping[str, Shape] = field(default_factory=dict)
     raw: bool = False
@@ -51,8 +56,14 @@ class Shape:
             found.append(f"parse: {self.parse} isn't one of {', '.join(PARSES)}")
         if self.parse in ("regex", "regex_input") and not 0 < len(self.patterns) <= MOST_ALTERNATIVES:
             found.append(f"patterns: 1 to {MOST_ALTERNATIVES}")
-        if self.parse in ("table", "aligned") and not self.columns:
-            found.append("columns: a table needs them")
+        if self.parse in ("table", "aligned") and not self.columns and not self.derived:
+            found.append("columns: a table needs them, unless they are derived from its header")
+        if self.derived and self.columns:
+            found.append("columns: written out, or derived from the header, not both")
+        if self.derived and self.parse not in ("table", "csv"):
+            found.append("derived: only a table's columns are")
+        if (self.rename or self.leading_label) and not self.derived:
+            found.append("rename, leading_label: only for names derived from a header")
         if len(self.columns) > MOST_COLUMNS or len(set(self.columns)) < len(self.columns) or "" in self.columns:
             found.append(f"columns: at most {MOST_COLUMNS}, each named once")
         if self.parse in ("records", "composite") and not 0 < len(self.parts) <= MOST_PARTS:
@@ -92,34 +103,44 @@ class Shape:
         """The same shape with cells left as text."""
         return replace(self, raw=True)
 
+    def line_reader(self) -> parse.LineReader | None:
+        """The steps that read one line, if the shape reads line by line."""
+        if self.header or self.derived:
+            return None
+        if self.parse == "regex":
+            return parse.regex_reader(self.patterns, self.fields, self.raw)
+        if self.parse == "table":
+            return parse.table_reader(self.columns, self.fields, delimiter=self.delimiter, most=self.most, least=self.least, raw=self.raw)
+        if self.parse == "kv_list":
+            return parse.kv_reader(self.separator, self.fields, raw=self.raw)
+        return parse.ltsv_reader() if self.parse == "ltsv" else None
+
     def rows(self, captures: DataFrame) -> DataFrame:
-        """Rows with capture_id, keys and refusal."""
-        df = captures if "lines" in captures.columns else regioned(captures, self.region)
+        """Rows with capture_id, keys and refusal; a capture that is refused as a
+        whole has one row that says why."""
         if self.parse == "composite":
-            raise DefinitionError("a composite has a DataFrame for each part: use read_parts")
-        if self.parse in ("regex", "table", "kv_list", "ltsv") and not self.header:
-            lines = exploded(df)
-            if self.parse == "regex":
-                return parse.regex_lines(lines, self.patterns, self.fields, raw=self.raw)
-            if self.parse == "table":
-                return parse.table_rows(lines, self.columns, self.fields, delimiter=self.delimiter, most=self.most, least=self.least, raw=self.raw)
-            return parse.ltsv_rows(lines) if self.parse == "ltsv" else parse.kv_list(lines, self.separator, self.fields)
+            raise DefinitionError("a composite has a DataFrame for each part: use read_parts, or documents")
+        if self.parse == "csv":
+            return csv_text.csv_rows(captures, self.delimiter or ",", header=self.header or not self.columns, columns=self.columns, rules={} if self.raw else self.fields)
+        df = captures if "lines" in captures.columns else regioned(captures, self.region)
+        if reader := self.line_reader():
+            return reader.rows(exploded(df), ("capture_id", "num"))
+        if self.parse == "table" and self.derived:
+            return parse.derived_table(df, self.fields, delimiter=self.delimiter, most=self.most, least=self.least, rename=self.rename, leading_label=self.leading_label, raw=self.raw)
         if self.parse == "table":
-            return parse.headed_table(df, self.fields, columns=self.columns, delimiter=self.delimiter, repeated=self.repeated_header, most=self.most, least=self.least)
+            return parse.headed_table(df, self.fields, columns=self.columns, delimiter=self.delimiter, most=self.most, least=self.least, raw=self.raw)
         if self.parse == "regex_input":
             return parse.regex_input(df, self.patterns, self.fields, raw=self.raw)
         if self.parse == "aligned":
-            return aligned.aligned_rows(df, self.columns, self.fields)
+            return aligned.aligned_rows(df, self.columns, self.fields, raw=self.raw)
         if self.parse == "box":
             return aligned.box_rows(df)
-        if self.parse == "csv":
-            return csv_text.csv_rows(captures, self.delimiter or ",", header=self.header)
         if self.parse == "kv_map":
-            return parse.kv_map(df, self.separator)
+            return parse.kv_map(df, self.separator, {} if self.raw else self.fields)
         if self.parse == "ini":
-            return parse.ini_sections(df, self.separator)
+            return parse.ini_sections(df, self.separator, {} if self.raw else self.fields)
         if self.parse == "tree":
-            return parse.tree_nodes(df, self.indent)
+            return parse.tree_nodes(df, self.indent, root=self.root)
         return parse.record_blocks(df, self.start)
 
     def read(self, captures: DataFrame, mode: str = "fail") -> DataFrame:
@@ -127,23 +148,52 @@ class Shape:
         ``report`` stay as a column."""
         return parse.settle_refusals(self.checked().rows(captures), mode)
 
-    def read_parts(self, captures: DataFrame, mode: str = "fail") -> dict[str, DataFrame]:
-        """Each part's rows, of a composite or of records; a record's number is kept."""
+    def parted(self, captures: DataFrame) -> DataFrame:
+        """``captures`` of a composite or of records (a row for each), with
+        ``part <name>``, each part's lines, and refusal: a line that no part
+        reads refuses its capture."""
         self.checked()
         df = regioned(captures, self.region)
         if self.parse == "records":
             df = parse.record_blocks(df, self.start)
-            from pyspark.sql import functions as F
+        read = []
+        for name, part in self.parts.items():
+            df = df.withColumn(f"part {name}", part_lines(F.col("lines"), part.region))
+            read.append(part_numbers(F.col("lines"), part.region))
+        return df.withColumn("refusal", parse.held(F.coalesce("refusal", unread_refusal(F.col("lines"), F.concat(*read)))))
 
+    def read_parts(self, captures: DataFrame, mode: str = "fail") -> dict[str, DataFrame]:
+        """Each part's rows, of a composite or of records; a record's number is
+        kept. Every part reads the captures anew; ``documents`` reads them once."""
+        df = self.parted(captures)
+        if self.parse == "records":
             df = df.withColumn("capture_id", F.struct("capture_id", "record"))
-        out = {}
-        from ..operators.lines import dropped, selected
-
+        return {name: parse.settle_refusals(part.rows(df.select("capture_id", "refusal", F.col(f"`part {name}`").alias("lines"))), mode) for name, part in self.parts.items()}
+
+    def documents(self, captures: DataFrame, mode: str = "fail") -> DataFrame:
+        """A row for each capture (or record: its number is beside it) with a
+        column for each part: the structs of its lines, in order, or one struct
+        where the part is read as a whole. No rows are shuffled or joined. Parts
+        are those read by patterns, tables with columns written out, and pairs."""
+        df = self.parted(captures)
+        keep = ["capture_id", "record"] if self.parse == "records" else ["capture_id"]
+        values, reasons = [], [F.col("refusal")]
         for name, part in self.parts.items():
-            own = df.withColumn("lines", selected(df["lines"], part.region))
-            own = own.withColumn("lines", dropped(own["lines"], part.region))
-            out[name] = parse.settle_refusals(part.rows(own), mode)
-        return out
+            at = F.col(f"`part {name}`")
+            if reader := part.line_reader():
+                df = df.withColumn(f"read {name}", _each_line(at, reader))
+                read = F.col(f"`read {name}`")
+                reasons.append(F.get(F.array_compact(F.transform(read, lambda x: x["refusal"])), F.lit(0)))
+                values.append(_only(read, reader.keys).alias(name))
+            elif part.parse == "regex_input":
+                reader = parse.regex_reader(part.patterns, part.fields, part.raw)
+                df = df.withColumn(f"read {name}", reader.value(parse.joined_lines(at)))
+                read = F.col(f"`read {name}`")
+                reasons.append(read["refusal"])
+                values.append(F.struct(*[read[k].alias(k) for k in reader.keys]).alias(name))
+            else:
+                raise DefinitionError(f"{name}: {part.parse} isn't read inside a document; use read_parts")
+        return parse.settle_refusals(df.select(*keep, *values, parse.held(F.coalesce(*reasons)).alias("refusal")), mode)
 
     def schema(self, spark: SparkSession) -> T.StructType:
         """The output's schema, known before any text is."""
@@ -157,6 +207,28 @@ class Shape:
         return T.StructType(fields)
 
 
+def _each_line(lines: Column, reader: parse.LineReader) -> Column:
+    return F.transform(lines, lambda v: reader.value(v["text"]))
+
+
+def _only(read: Column, keys: Sequence[str]) -> Column:
+    return F.transform(read, lambda x: F.struct(*[x[k].alias(k) for k in keys]))
+
+
+def part_lines(lines: Column, region: Region) -> Column:
+    """A part's lines: selected, then without blank and ignored ones, which a sibling must read."""
+    return let(selected(lines, region), lambda s: dropped(s, region))
+
+
+def part_numbers(lines: Column, region: Region) -> Column:
+    """Numbers of the lines that a part accounts for."""
+    if not region.ignore:
+        return read_by(lines, region, end=False)
+    own = let(selected(lines, region), lambda s: F.transform(dropped(s, region), lambda v: v["num"]))
+    heading = F.array_except(read_by(lines, region, end=False), let(selected(lines, region), lambda s: F.transform(s, lambda v: v["num"])))
+    return F.concat(own, heading)
+
+
 def changes(old: T.StructType, new: T.StructType) -> list[tuple[str, str]]:
     """(key, kind) of what differs: removed, type, required, optional, added."""
     a, b = {f.name: f for f in old}, {f.name: f for f in new}

@@ -203,7 +203,8 @@ from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)
 where trim(string_split(text, chr(10))[num]) <> '' and not regexp_matches(string_split(text, chr(10))[num], '^The |\|')
 """)
 def ignore_skip_blank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(regioned(documents(spark, sf_dir), Region(ignore=("^The ", r"\|"))))
+    df = exploded(regioned(documents(spark, sf_dir), Region(ignore=("^The ", r"\|"))))
+    return parse.settle_refusals(df.withColumnRenamed("trouble", "refusal"))
 
 
 def order_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +216,7 @@ def order_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select o_custkey as capture_id, o_orderkey as "key", o_orderstatus as status from orders""")
 def select_after_until(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = Shape("regex", Region(after="^BEGIN$", until="^END$"), [r"^order (?P<key>\d+) (?P<status>\w)$"], fields={"key": Field("int")})
+    shape = Shape("regex", Region(ignore=("^noise$", "^trailing$"), after="^BEGIN$", until="^END$"), [r"^order (?P<key>\d+) (?P<status>\w)$"], fields={"key": Field("int")})
     return shape.read(order_listing(spark, sf_dir)).drop("num")
 
 
@@ -223,8 +224,13 @@ def select_after_until(spark: SparkSession, sf_dir: str) -> DataFrame:
 select capture_id, "key" from (select o_custkey as capture_id, o_orderkey as "key", row_number() over (partition by o_custkey order by o_orderkey) as nth from orders) where nth between 2 and 4
 """)
 def select_skip_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = Shape("regex", Region(after="^BEGIN$", until="^END$", skip=1, limit=3), [r"^order (?P<key>\d+) \w$"], fields={"key": Field("int")})
-    return shape.read(order_listing(spark, sf_dir)).drop("num")
+    """One part takes three lines; what it leaves out is another's."""
+    line = r"^order (?P<key>\d+) \w$"
+    shape = Shape("composite", Region(ignore=("^noise$", "^trailing$"), after="^BEGIN$", until="^END$"), parts={
+        "some": Shape("regex", Region(skip=1, limit=3), [line], fields={"key": Field("int")}),
+        "all": Shape("regex", patterns=[line], fields={"key": Field("int")}),
+    })
+    return shape.documents(order_listing(spark, sf_dir)).select("capture_id", F.explode("some.key").alias("key"))
 
 
 def order_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,9 +254,8 @@ def records_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         "head": Shape("regex", Region(limit=1), [r"^order (?P<order>\d+) (?P<status>\w)$"], fields={"order": Field("int")}),
         "items": Shape("regex", Region(skip=1), [r"^\s+item (?P<item>\d+) part (?P<part>\d+) x(?P<quantity>\d+)$"], fields={"item": Field("int"), "part": Field("int"), "quantity": Field("int")}),
     })
-    parts = shape.read_parts(texts)
-    items = parts["items"].groupBy("capture_id").agg(F.count("*").alias("n_items"), F.sum("quantity").alias("quantity"))
-    return parts["head"].join(items, "capture_id").select("capture_id.capture_id", "order", "status", "n_items", "quantity")
+    head, quantities = F.get("head", F.lit(0)), F.col("items.quantity")
+    return shape.documents(texts).select("capture_id", head["order"].alias("order"), head["status"].alias("status"), F.size("items").cast("long").alias("n_items"), F.aggregate(quantities, F.lit(0).cast("long"), lambda a, q: a + q).alias("quantity"))
 
 
 @query("""
@@ -266,18 +271,20 @@ def composite_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "head": Shape("regex", Region(until="^Orders:$"), [r"^Customer: (?P<customer>.+)$"]),
         "orders": Shape("regex", Region(after="^Orders:$"), [r"^- (?P<key>\d+)$"], fields={"key": Field("int")}),
     })
-    parts = shape.read_parts(texts)
-    counts = parts["orders"].groupBy("capture_id").agg(F.count("*").alias("n_orders"), F.max("key").alias("latest"))
-    return parts["head"].join(counts, "capture_id", "left").select("capture_id", "customer", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("latest", F.lit(-1)).alias("latest"))
+    keys = F.col("orders.key")
+    return shape.documents(texts).select("capture_id", F.get("head.customer", F.lit(0)).alias("customer"), F.size("orders").cast("long").alias("n_orders"), F.coalesce(F.array_max(keys), F.lit(-1)).alias("latest"))
 
 
-@query("""select r_name as section, n_name as name, n_nationkey::varchar as value from nation join region on n_regionkey = r_regionkey union all select '', 'version', '1'""")
+@query("""
+select n_nationkey % 5 as capture_id, r_name as section, n_name as name, n_nationkey::varchar as value from nation join region on n_regionkey = r_regionkey
+union all select distinct n_nationkey % 5, '', 'version', '1' from nation
+""")
 def ini_region_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     pair = F.concat(F.lit("["), F.col("r_name"), F.lit("]\n# "), F.col("n_name"), F.lit("\n"), F.col("n_name"), F.lit(" = "), F.col("n_nationkey").cast("string"), F.lit("\n"))
-    texts = n.groupBy(F.lit(0).alias("capture_id")).agg(F.concat(F.lit("version=1\n\n"), F.array_join(F.array_sort(F.collect_list(pair)), "\n")).alias("text"))
+    texts = n.groupBy((F.col("n_nationkey") % 5).alias("capture_id")).agg(F.concat(F.lit("version=1\n\n"), F.array_join(F.array_sort(F.collect_list(pair)), "\n")).alias("text"))
     rows = Shape("ini").read(texts)
-    return rows.select("section", F.explode("pairs").alias("name", "value"))
+    return rows.select("capture_id", "section", F.explode("pairs").alias("name", "value"))
 
 
 @query("""
@@ -358,7 +365,7 @@ def repeated_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = F.when(F.col("o_orderkey") % 3 == 0, F.lit("\nKEY  STATUS")).otherwise("")
     texts = gathered(o, "o_custkey", "o_orderkey", F.col("o_orderkey").cast("string"), F.lit("   "), F.col("o_orderstatus"), again)
     texts = texts.withColumn("text", F.concat(F.lit("KEY STATUS\n"), "text"))
-    shape = Shape("table", columns=["key", "status"], fields={"key": Field("int")}, header=True, repeated_header=True)
+    shape = Shape("table", columns=["key", "status"], fields={"key": Field("int")}, header=True)
     return shape.read(texts).drop("num")
 
 
@@ -443,9 +450,8 @@ def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def type_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     texts = c.select(F.col("c_custkey").alias("capture_id"), F.concat(F.lit("balance,positive\n"), fixed("c_acctbal"), F.lit(","), F.when(F.col("c_acctbal") > 0, F.lit("yes")).otherwise("no"), F.lit("\n")).alias("text"))
-    rows = parse.settle_refusals(csv_text.csv_rows(texts))
-    typed = {k: convert.compiled(F.col("cells")[k], Field(t), k)[0].alias(k) for k, t in (("balance", "float"), ("positive", "bool"))}
-    return rows.select("capture_id", *typed.values())
+    rows = csv_text.typed_columns(csv_text.csv_rows(texts), {"balance": "float", "positive": "bool"})
+    return parse.settle_refusals(rows).select("capture_id", "balance", "positive")
 
 
 @query("""select event_id as capture_id, '{"id":' || event_id || ',"type":"' || event_type || '","tags":["a","' || event_type || '"],"at":{"user":' || user_id || '}}' as document from events""")
@@ -456,18 +462,16 @@ def new_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select r_name as text, 0 as depth, r_regionkey * 1000000::bigint as o, null::bigint as p from region),
-n as (select n_name as text, 1 as depth, n_regionkey * 1000000 + (n_nationkey + 1) * 1000::bigint as o, n_regionkey * 1000000::bigint as p from nation)
-select a.depth, a.text, b.text as parent_text from (select * from r union all select * from n) a left join r b on a.p = b.o
+select r_regionkey as capture_id, 0 as depth, r_name as text, null as parent_text from region where r_regionkey in (select n_regionkey from nation)
+union all select n_regionkey, 1, n_name, r_name from nation join region on n_regionkey = r_regionkey
 """)
 def tree_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("all"))
     r = table(spark, sf_dir, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.concat(F.col("r_name"), F.lit("\n"), F.array_join(F.transform("all", lambda x: F.concat(F.lit("  "), x["n_name"])), "\n"), F.lit("\n"))
-    texts = r.groupBy(F.lit(0).alias("capture_id")).agg(F.array_join(F.collect_list(text), "").alias("text"))
-    nodes = Shape("tree").read(texts)
-    above = nodes.select(F.col("num").alias("parent"), F.col("text").alias("parent_text"))
-    return nodes.join(above, "parent", "left").select("depth", "text", "parent_text")
+    nodes = Shape("tree").read(r.select(F.col("r_regionkey").alias("capture_id"), text.alias("text")))
+    above = nodes.select("capture_id", F.col("num").alias("parent"), F.col("text").alias("parent_text"))
+    return nodes.join(above, ["capture_id", "parent"], "left").select("capture_id", "depth", "text", "parent_text")
 
 
 @query("""select n_regionkey as capture_id, n_name as name, n_nationkey as "key", 'a b ' || n_nationkey as note from nation""")

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import trimmed
 from ..operators.csv_text import open_quote, records
 from ..operators.lines import MOST_BYTES
-from ..operators.parse import kv_list, ltsv_rows, regex_lines, settle_refusals, table_rows
+from ..operators.parse import settle_refusals
 from ..plans.shape import DefinitionError, Shape
 
 MOST_HELD = MOST_BYTES
@@ -30,13 +30,7 @@ def stream_rows(lines: DataFrame, shape: Shape, mode: str = "fail") -> DataFrame
     if not shape.checked().streams() or shape.parse not in ("regex", "table", "kv_list", "ltsv") or shape.header or shape.region.fold:
         raise DefinitionError(f"{shape.parse} doesn't read line by line")
     own = lines.filter(F.col("line").isNotNull() & (F.trim("line") != ""))
-    if shape.parse == "regex":
-        rows = regex_lines(own, shape.patterns, shape.fields, raw=shape.raw)
-    elif shape.parse == "table":
-        rows = table_rows(own, shape.columns, shape.fields, delimiter=shape.delimiter, most=shape.most, least=shape.least, raw=shape.raw)
-    else:
-        rows = ltsv_rows(own) if shape.parse == "ltsv" else kv_list(own, shape.separator, shape.fields)
-    return settle_refusals(rows, mode)
+    return settle_refusals(shape.line_reader().rows(own, ("capture_id", "num")), mode)
 
 
 def _blocks(starts: str, joined: bool):

