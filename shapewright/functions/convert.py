@@ -74,9 +74,14 @@ def to_wide_int(text: Column) -> Column:
 
 def to_float(text: Column) -> Column:
     """Decimal spelling only; what overflows, or isn't zero and underflows, is refused."""
-    number = F.when(text.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), text.try_cast("double"))
-    zero = text.rlike(r"\A[+-]?[0.]+(?:[eE].*)?\z")
-    return F.when((F.abs(number) != float("inf")) & ((number != 0) | zero), number)
+    # without an exponent, a short number does neither
+    short = text.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)\z") & (F.length(text) < 300)
+
+    def checked(t: Column) -> Column:
+        number = F.when(t.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), t.try_cast("double"))
+        return let(number, lambda n: F.when((F.abs(n) != float("inf")) & ((n != 0) | t.rlike(r"\A[+-]?[0.]+(?:[eE].*)?\z")), n))
+
+    return F.when(short, text.try_cast("double")).otherwise(checked(text))
 
 
 def to_bool(text: Column, true: tuple[str, ...] = TRUE, false: tuple[str, ...] = FALSE) -> Column:
@@ -84,19 +89,14 @@ def to_bool(text: Column, true: tuple[str, ...] = TRUE, false: tuple[str, ...] =
     return F.when(low.isin([t.lower() for t in true]), True).when(low.isin([f.lower() for f in false]), False)
 
 
-#: Spellings of a length of time; of a group that a number is in, seconds in ten to the ninth.
-_DURATIONS = [
-    r"^(?P<s>[0-9]+(?:\.[0-9]{1,9})?)$",
+_CLOCKS = [
     r"^(?:(?P<d>[0-9]+)-)?(?:(?P<h>[0-9]+):)?(?P<m>[0-9]+):(?P<s>[0-9]+(?:\.[0-9]{1,9})?)s?$",
     r"^(?:(?P<d>[0-9]+)-)?(?P<h>[0-9]+):(?P<m>[0-9]{1,2})m$",
     r"^(?P<d>[0-9]+) *days?, *(?P<h>[0-9]+):(?P<m>[0-9]{1,2})$",
-    r"^"
-    + "".join(
-        rf"(?:(?P<{key}>[0-9]+(?:\.[0-9]{{1,9}})?) *(?:{spelled})(?: *, *| +|$)?)?"
-        for key, spelled in (("w", "weeks?|w"), ("d", "days?|d"), ("h", "hours?|hrs?|h"), ("m", "minutes?|mins?|m"), ("s", "seconds?|secs?|s"), ("ms", "ms"), ("us", "us|µs|μs"), ("ns", "ns"))
-    )
-    + "$",
 ]
+#: Spellings of units, from the largest.
+_SPELLED = {"w": "weeks?|w", "d": "days?|d", "h": "hours?|hrs?|h", "m": "minutes?|mins?|m", "s": "seconds?|secs?|s", "ms": "ms", "us": "us|µs|μs", "ns": "ns"}
+_UNITS = "^" + "".join(rf"(?:(?P<{k}>[0-9]+(?:\.[0-9]{{1,9}})?) *(?:{v})(?: *, *| +|$)?)?" for k, v in _SPELLED.items()) + "$"
 
 
 def to_duration(text: Column, layout: str = "") -> Column:
@@ -104,35 +104,44 @@ def to_duration(text: Column, layout: str = "") -> Column:
     hours and minutes, ``13 days, 4:30``, or numbers with units from the largest
     to the smallest. Parts of a clock after the first are below 60, and nothing
     is over 2^53. With ``layout`` h:m, two parts are hours and minutes."""
-    known = [translate(p) for p in _DURATIONS]
-
-    def seconds(m: Column) -> Column:
-        found = Found(m, tuple(known))
-        total = None
-        for k, p in enumerate(known):
-            parts = {n: found.group(k, n).try_cast("decimal(20,9)") for n in p.groups}
-            value = F.lit(0).cast("decimal(38,9)")
-            for n, number in parts.items():
-                unit = Decimal(UNITS[n]).scaleb(-9)
-                if k == 1 and layout == "h:m" and n in ("m", "s"):
-                    two = found.group(k, "h").isNull()
-                    unit_ = F.when(two, F.lit(unit * 60)).otherwise(F.lit(unit))
-                else:
-                    unit_ = F.lit(unit)
-                value = (value + F.coalesce((number * unit_).cast("decimal(38,9)"), F.lit(0).cast("decimal(38,9)"))).cast("decimal(38,9)")
-            fits = F.lit(True)
-            if k == 1:  # days come before hours; what isn't first is a part of a minute or an hour
-                fits = (parts["s"] < 60) & (parts["h"].isNull() | (parts["m"] < 60)) & (parts["d"].isNull() | parts["h"].isNotNull())
-            elif k in (2, 3):
-                fits = parts["m"] < 60
-            elif k == 4:
-                fits = F.coalesce(*[found.group(k, n) for n in p.groups]).isNotNull()
-            value = F.when(fits, value)
-            total = F.when(found.which == k, value) if total is None else total.when(found.which == k, value)
-        return total
-
-    value = let(match_array(text, known), seconds)
-    return let(value, lambda v: F.when(v <= 1 << 53, v))
+    clocks, units = tuple(map(translate, _CLOCKS)), translate(_UNITS)
+
+    def clock(m: Column) -> Column:
+        found = Found(m, clocks)
+        first = found.which == 0
+
+        def whole(n: str) -> Column:
+            at = F.when(first, found.group(0, n))
+            for k in (1, 2):
+                at = at.when(found.which == k, found.group(k, n)) if n in clocks[k].groups else at
+            return at.try_cast("bigint")
+
+        parts = F.struct(whole("d").alias("d"), whole("h").alias("h"), whole("m").alias("m"), F.when(first, found.group(0, "s")).try_cast("decimal(20,9)").alias("s"), first.alias("first"))
+
+        def seconds(p: Column) -> Column:
+            zero = F.lit(0).cast("long")
+            two = p["first"] & p["h"].isNull()  # of two parts the first may be any number
+            fits = (p["s"].isNull() | (p["s"] < 60)) & (two | (p["m"] < 60)) & ~(two & p["d"].isNotNull())
+            scale = F.when(two, 60).otherwise(1) if layout == "h:m" else F.lit(1)
+            minutes = (F.coalesce(p["d"], zero) * 1440 + F.coalesce(p["h"], zero) * 60 + p["m"]) * 60 * scale
+            return F.when(fits, minutes.cast("decimal(20,0)") + F.coalesce(p["s"], F.lit(0).cast("decimal(20,9)")) * scale).cast("decimal(38,9)")
+
+        return F.when(found.which.isNotNull(), let(parts, seconds))
+
+    def run(m: Column) -> Column:
+        found = Found(m, (units,))
+        total, some = F.lit(0).cast("decimal(38,9)"), F.lit(False)
+        for n in units.groups:
+            part = found.group(0, n)
+            total = (total + F.when(part.isNotNull(), (part.try_cast("decimal(20,9)") * F.lit(Decimal(UNITS[n]).scaleb(-9))).cast("decimal(38,9)")).otherwise(F.lit(0).cast("decimal(38,9)"))).cast("decimal(38,9)")
+            some = some | part.isNotNull()
+        return F.when(found.which.isNotNull() & some, total)
+
+    def value(t: Column) -> Column:
+        plain = t.rlike(r"\A[0-9]+(?:\.[0-9]{1,9})?\z")
+        return F.when(plain, t.try_cast("decimal(38,9)")).when(t.contains(":"), let(match_array(t, clocks), clock)).otherwise(let(match_array(t, [units]), run))
+
+    return let(let(text, value), lambda v: F.when(v <= 1 << 53, v))
 
 
 def _printed(micros: Column, offset: Column) -> Column:

@@ -204,8 +204,8 @@ def regioned(captures: DataFrame, region: Region, *, others: bool = False) -> Da
     df = df.withColumn("full", stay)
     if region.ignore:  # the first pattern to match a line takes it
         taken = F.transform("full", lambda v: F.coalesce(*[F.when(translate(p).matches(v["text"]), k) for k, p in enumerate(region.ignore)], F.lit(-1)))
-        df = df.withColumn("taken", taken).withColumn("kept", F.filter("full", lambda v, k: F.get("taken", k) < 0))
-        by_pattern = F.transform(F.sequence(F.lit(0), F.lit(len(region.ignore) - 1)), lambda k: F.size(F.filter("taken", lambda t: t == k)))
+        df = df.withColumn("taken", taken).withColumn("kept", let(F.col("taken"), lambda t: F.filter("full", lambda v, k: F.get(t, k) < 0)))
+        by_pattern = let(F.col("taken"), lambda t: F.transform(F.sequence(F.lit(0), F.lit(len(region.ignore) - 1)), lambda k: F.size(F.filter(t, lambda x: x == k))))
     else:
         df = df.withColumn("kept", F.col("full"))
         by_pattern = F.array().cast("array<int>")

@@ -274,7 +274,7 @@ def derived_table(captures: DataFrame, rules: Mapping[str, Field] | None = None,
     def cells(env: Mapping[str, Column]) -> dict[str, Column]:
         size = F.size(env["cells"])
         unread = F.when(size > F.size(env["names"]), F.concat(F.lit("too many cells: "), env["line"])).when(size < (F.lit(least) if least else F.size(env["names"])), F.concat(F.lit("too few cells: "), env["line"]))
-        made = F.map_from_arrays(env["names"], F.transform(env["names"], lambda _, k: F.get(env["cells"], k)))
+        made = F.map_from_arrays(env["names"], let(env["cells"], lambda c: F.transform(env["names"], lambda _, k: F.get(c, k))))
         return {"unread": F.coalesce(env["trouble"], unread), "value cells": F.when(env["trouble"].isNull(), made)}
 
     def asked(env: Mapping[str, Column]) -> dict[str, Column]:
@@ -362,7 +362,7 @@ def ini_sections(captures: DataFrame, separator: str = "=", rules: Mapping[str,
     df = df.withColumn("blocks", F.filter(F.transform(blocks(F.col("lines"), F.col("starts")), section), lambda b: b["named"] | (F.size(b["lines"]) > 0)))
     names = F.array_distinct(F.transform("blocks", lambda b: b["section"]))
     df = df.select("capture_id", "refusal", "blocks", F.explode(F.when(F.col("refusal").isNotNull(), F.array(F.lit(""))).otherwise(names)).alias("section"))
-    df = df.withColumn("lines", F.flatten(F.transform(F.filter("blocks", lambda b: b["section"] == F.col("section")), lambda b: b["lines"])))
+    df = df.withColumn("lines", let(F.col("section"), lambda n: F.flatten(F.transform(F.filter("blocks", lambda b: b["section"] == n), lambda b: b["lines"]))))
     return _as_map(df, ["capture_id", "section"], separator, rules or {})
 
 
@@ -388,7 +388,7 @@ def tree_nodes(captures: DataFrame, indent: str | Sequence[str] = "  ", *, root:
             depth = F.when(translate(root).matches(v["text"]), 0).otherwise(depth + 1)
         return F.struct(v["num"].alias("num"), depth.cast("int").alias("depth"), rest.alias("text"))
 
-    df = _with_refusal(captures).withColumn("nodes", F.transform("lines", node)).withColumn("parents", _parents(F.col("nodes")))
+    df = _with_refusal(captures).withColumn("nodes", F.transform("lines", node)).withColumn("parents", let(F.col("nodes"), _parents))
     troubled = F.array(F.struct(F.struct(F.lit(0).alias("num"), F.lit(0).alias("depth"), F.lit("").alias("text")).alias("nodes"), F.lit(0).alias("parents")))
     rows = df.select("capture_id", F.col("refusal").alias("trouble"), F.inline(F.when(F.col("refusal").isNotNull(), troubled).otherwise(F.arrays_zip("nodes", "parents"))))
     text, depth = F.col("nodes.text"), F.col("nodes.depth")

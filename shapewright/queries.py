@@ -20,6 +20,7 @@ from .operators.lines import Region, exploded, regioned
 from .plans import build, conformance, identify
 from .plans.identify import Signature
 from .plans.shape import Shape
+from .sources import readers
 from .sources.readers import evidence, json_refusal
 
 QUERIES: dict = {}
@@ -38,7 +39,7 @@ def query(sql: str):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def fixed(column: str | Column, digits: int = 2) -> Column:

@@ -17,9 +17,21 @@ from ..operators.parse import ltsv_rows
 
 #: Formats by extension.
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".ltsv": "ltsv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".yaml": "yaml", ".yml": "yaml"}
+#: Bytes of a table that may be dealt out.
+SMALL_TABLE = 1 << 30
 CODECS = {".gz": "gzip", ".bz2": "bzip2"}
 
 
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A row group is one task's, so a table of fewer files than
+    there are cores, and of few bytes, is dealt out first; a large one never is."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores
+    small = few and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_TABLE
+    return df.repartition(cores) if small else df
+
+
 def format_of(path: str) -> tuple[str | None, str | None]:
     """(format, codec) by the extensions; a dotfile's whole name is none."""
     stem, last = os.path.splitext(os.path.basename(path))
