@@ -149,6 +149,8 @@ def parsed(data: bytes, at: int = 0) -> Picture:
                 raise ValueError("not of 8 bits, or without size")
             for k in range(count):
                 name, factors, quant = body[6 + 3 * k : 9 + 3 * k]
+                if not (1 <= factors >> 4 <= 4 and 1 <= factors & 15 <= 4):
+                    raise ValueError("a sampling factor that isn't 1 to 4")
                 picture.components[name] = (factors >> 4, factors & 15, quant)
         elif 0xC1 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise ValueError("not a baseline image")
@@ -260,7 +262,7 @@ def thumbnails(pictures: list[Picture]) -> list[np.ndarray | None]:
     for k, picture in enumerate(pictures):
         luma = next(iter(picture.components), None)
         scan = next(((p, i, s) for p, i, s in picture.scans if any(x.component == luma for x in p)), None)
-        if scan is None:
+        if scan is None or picture.components[luma][2] not in picture.quantised:
             damaged.add(k)
             continue
         parts, interval, segments = scan
@@ -277,6 +279,11 @@ def thumbnails(pictures: list[Picture]) -> list[np.ndarray | None]:
         if len(segments) != -(-wide * high // interval):
             damaged.add(k)
             continue
+        # a block takes two bits at least: no more is laid out than what is there can fill
+        per_unit = sum(p.blocks for p in parts)
+        if any(2 * per_unit * min(interval, wide * high - j * interval) > 8 * len(s) for j, s in enumerate(segments)):
+            damaged.add(k)
+            continue
         key = tuple((p.component == luma, p.blocks, p.dc, p.ac) for p in parts)
         alike[key] += [(k, s, min(interval, wide * high - j * interval)) for j, s in enumerate(segments)]
     values: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -316,10 +323,14 @@ def thumbnails(pictures: list[Picture]) -> list[np.ndarray | None]:
 
 
 def thumbnail_hash(pixels: np.ndarray) -> str:
-    """64 bits in hexadecimal: whether each of 8 x 9 pixels is below the next."""
-    rows, columns = np.arange(8) * pixels.shape[0] // 8, np.arange(9) * pixels.shape[1] // 9
-    small = pixels[np.ix_(rows, columns)].astype(np.int16)
-    return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+    """64 bits in hexadecimal: whether the mean of each of 8 x 9 cells, which
+    take in all pixels, is below that of the next."""
+    sums = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1))
+    sums[1:, 1:] = pixels.cumsum(axis=0, dtype=np.int64).cumsum(axis=1)
+    (top, bottom), (left, right) = ((k * n // many, np.maximum((k + 1) * n // many, k * n // many + 1)) for n, many in ((pixels.shape[0], 8), (pixels.shape[1], 9)) for k in (np.arange(many),))
+    whole = sums[np.ix_(bottom, right)] - sums[np.ix_(top, right)] - sums[np.ix_(bottom, left)] + sums[np.ix_(top, left)]
+    means = whole / np.outer(bottom - top, right - left)
+    return np.packbits(means[:, :-1] < means[:, 1:]).tobytes().hex()
 
 
 def _pictures(media: bytes) -> list[Picture]:

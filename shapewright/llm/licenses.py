@@ -1,14 +1,19 @@
 """License recognition by sentences and ordered rules.
 
 A text is cut into sentences twice: line by line, and by paragraph, where lines
-are joined, so that wrapped sentences are met whole. A sentence is normalised to
-lower-case letters and digits with single spaces, and looked up among known
-sentences; those found, in their order, make the text's sequence of
-identifiers. A rule is an ordered sequence too, and matches where its
-identifiers stand in this order, with or without others between.
-
-All by built-in functions, text by text, without a shuffle: nothing is held but
-the tables of sentences and rules.
+are joined, so that wrapped sentences are met whole; a line without a letter or
+digit ends a paragraph, and marks of comments at a line's start don't count. A
+sentence is normalised to lower-case letters and digits with single spaces. A
+known sentence is the sequence of all the pieces that it falls into when it is
+cut so, and is found where these stand one after the other; where two begin at
+a piece, the longer one counts. The identifiers found, in their order, make the
+text's sequence. A rule is an ordered sequence too, and matches where its
+identifiers stand in this order, with or without others between; a rule whose
+sequence is part of that of another one that matches isn't told.
+
+Sentences and rules are tables of the caller's, or those of ``sentences`` and
+``rules`` here. All by built-in functions, text by text, without a shuffle:
+nothing is held but the two tables.
 
 A null or empty text has no identifiers. Very long texts are read whole.
 Repeated rows have a result each, and ties can't be: rules are reported in the
@@ -17,98 +22,213 @@ order of their names.
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known sentences, by the identifier that rules use.
+#: Sentences of licence texts and headers, by the identifier that rules use.
 SENTENCES = {
-    "mit-released": "Released under the MIT License.",
-    "mit-licensed": "Licensed under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
-    "apache-licensed": "Licensed under the Apache License, Version 2.0.",
-    "apache-header": "Licensed under the Apache License, Version 2.0 (the \"License\");",
     "apache-use": "you may not use this file except in compliance with the License.",
     "apache-copy": "You may obtain a copy of the License at",
-    "gpl3-licensed": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-free": "This program is free software:",
-    "gpl3-later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2-later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-free-old": "This program is free software;",
+    "lgpl-free": "This library is free software;",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
-    "cc-by-nc-licensed": "Licensed under CC BY-NC 4.0.",
-    "cc-by-licensed": "Licensed under CC BY 4.0.",
-    "cc-by-sa-licensed": "Licensed under CC BY-SA 4.0.",
-    "cc0-dedicated": "This work is dedicated to the public domain under CC0 1.0.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0-dedicated": "This work is dedicated to the public domain under CC0 1.0.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
 }
 
-#: Rules, by licence; each is a sequence of identifiers.
+#: Rules over these sentences.
 RULES = {
-    "apache-2.0/header": ["apache-header", "apache-use", "apache-copy"],
-    "apache-2.0/line": ["apache-licensed"],
+    "boost-1.0/text": ["boost-grant"],
     "bsd-2-clause/text": ["bsd-redistribution", "bsd-source", "bsd-binary"],
-    "cc-by-4.0/line": ["cc-by-licensed"],
-    "cc-by-nc-4.0/line": ["cc-by-nc-licensed"],
-    "cc-by-sa-4.0/line": ["cc-by-sa-licensed"],
+    "bsd-3-clause/text": ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names"],
+    "bsd-4-clause/text": ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names"],
     "cc0-1.0/line": ["cc0-dedicated"],
-    "gpl-2.0-or-later/header": ["gpl-free", "gpl2-later", "gpl-hope"],
-    "gpl-3.0-or-later/header": ["gpl-free", "gpl3-later", "gpl-hope"],
-    "gpl-3.0/line": ["gpl3-licensed"],
     "isc/text": ["isc-grant"],
-    "mit/line": ["mit-released"],
-    "mit/line-licensed": ["mit-licensed"],
     "mit/text": ["mit-grant", "mit-notice", "as-is"],
-    "mpl-2.0/header": ["mpl2-form"],
+    "unlicense/text": ["unlicense"],
+    "zlib/text": ["zlib-grant"],
+}
+
+#: Names that licences are granted by, by identifier.
+NAMES = {
+    "mit": ["the MIT License", "MIT", "the MIT license"],
+    "apache-1.1": ["the Apache License, Version 1.1"],
+    "apache-2.0": ["the Apache License, Version 2.0", "Apache License 2.0", "the Apache License 2.0"],
+    "bsd-2-clause": ["the BSD 2-Clause License"],
+    "bsd-3-clause": ["the BSD 3-Clause License", "the New BSD License"],
+    "isc": ["the ISC License"],
+    "epl-1.0": ["the Eclipse Public License 1.0", "the Eclipse Public License, version 1.0"],
+    "epl-2.0": ["the Eclipse Public License 2.0", "the Eclipse Public License, version 2.0"],
+    "artistic-2.0": ["the Artistic License 2.0"],
+    "unlicense": ["the Unlicense"],
+    "zlib": ["the zlib License"],
+    "boost-1.0": ["the Boost Software License, Version 1.0"],
 }
+#: How a line grants a licence.
+GRANTS = ["Released under {}.", "Licensed under {}.", "This work is licensed under {}.", "Distributed under {}.", "This software is licensed under {}."]
+
+
+def _by_name() -> dict[str, list[str]]:
+    """NAMES with the families whose names follow a rule."""
+    names = {k: list(v) for k, v in NAMES.items()}
+    for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+            names[f"cc-{kind.lower()}-{version}"] = [f"CC {kind} {version}", f"CC-{kind}-{version}", f"the Creative Commons {kind} {version} License"]
+    for short, long, versions in (("gpl", "GNU General Public License", ("1", "2", "3")), ("lgpl", "GNU Lesser General Public License", ("2.1", "3")), ("agpl", "GNU Affero General Public License", ("3",))):
+        for version in versions:
+            full = version if "." in version else f"{version}.0"
+            names[f"{short}-{full}"] = [f"the {long}, version {version}", f"the {long} version {version}", f"the {long} v{version}"]
+    for version in ("1.0", "1.1", "2.0"):
+        names[f"mpl-{version}"] = [f"the Mozilla Public License, v. {version}", f"the Mozilla Public License, version {version}", f"the Mozilla Public License {version}"]
+    return names
+
+
+def sentences() -> dict[str, str]:
+    """The known sentences, by identifier."""
+    made = dict(SENTENCES)
+    for names in _by_name().values():
+        for name in names:
+            for grant in GRANTS:
+                made[line_id(grant.format(name))] = grant.format(name)
+    for version in ("1.1", "2.0"):
+        made[f"apache-{version}-header"] = f'Licensed under the Apache License, Version {version} (the "License");'
+    for version in ("1.0", "1.1", "2.0"):
+        made[f"mpl-{version}-form"] = f"This Source Code Form is subject to the terms of the Mozilla Public License, v. {version}."
+    for short, long, versions in (("gpl", "GNU General Public License", ("1", "2", "3")), ("lgpl", "GNU Lesser General Public License", ("2.1", "3")), ("agpl", "GNU Affero General Public License", ("3",))):
+        for version in versions:
+            for mark, dash in ((",", "comma"), (";", "semicolon")):
+                made[f"{short}-{version}-later-{dash}"] = f"you can redistribute it and/or modify it under the terms of the {long} as published by the Free Software Foundation{mark} either version {version} of the License, or (at your option) any later version."
+                made[f"{short}-{version}-only-{dash}"] = f"you can redistribute it and/or modify it under the terms of the {long} as published by the Free Software Foundation{mark} version {version} of the License."
+    return made
+
+
+def rules() -> dict[str, list[str]]:
+    """The rules, by licence and kind; each is a sequence of identifiers."""
+    made = {k: list(v) for k, v in RULES.items()}
+    for licence, names in _by_name().items():
+        for sentence in (grant.format(name) for name in names for grant in GRANTS):
+            made[f"{licence}/{line_id(sentence)}"] = [line_id(sentence)]
+    for version in ("1.1", "2.0"):
+        made[f"apache-{version}/header"] = [f"apache-{version}-header", "apache-use", "apache-copy"]
+    for version in ("1.0", "1.1", "2.0"):
+        made[f"mpl-{version}/header"] = [f"mpl-{version}-form"]
+    for short, versions in (("gpl", ("1", "2", "3")), ("lgpl", ("2.1", "3")), ("agpl", ("3",))):
+        for version in versions:
+            full = version if "." in version else f"{version}.0"
+            for kind, dash in (("later", "comma"), ("later", "semicolon"), ("only", "comma"), ("only", "semicolon")):
+                told = f"{short}-{full}-{'or-later' if kind == 'later' else 'only'}"
+                for opening, hope in (("gpl-free", "gpl-hope"), ("gpl-free-old", "gpl-hope"), ("lgpl-free", "lgpl-hope")):
+                    made[f"{told}/header-{opening}-{dash}"] = [opening, f"{short}-{version}-{kind}-{dash}", hope]
+    return made
 
 
 def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
-def parts_of(sentence: str) -> list[str]:
-    """The normalised pieces that a known sentence falls into when a text is cut."""
-    return [p for p in map(normal, re.split(CUT, sentence)) if p]
+def line_id(sentence: str) -> str:
+    """The identifier of a sentence that is known by its words alone."""
+    return normal(sentence).replace(" ", "-")
 
 
+#: The stop of an abbreviated "version", which ends no sentence.
+STOP = r"\b([Vv])\.\s+"
 #: Ends of sentences: white space after a full stop, question mark, exclamation mark, colon or semicolon.
 CUT = r"(?<=[.?!:;])\s+"
+#: Marks of comments at a line's start.
+MARKS = r"^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+)?[ \t]*"
+
+
+def parts_of(sentence: str) -> list[str]:
+    """The normalised pieces that a known sentence falls into when a text is cut."""
+    return [p for p in map(normal, re.split(CUT, re.sub(STOP, r"\1 ", sentence))) if p]
+
+
+def _bare(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def _constant(value: dict, kind: str) -> Column:
+    """A table in a plan: the optimiser makes a constant of it, once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _places(units: Column, known: Mapping[str, str]) -> Column:
+    """(id, place) of the known sentences in an array of texts: each is cut into
+    pieces, and a place is a piece's, from 1."""
+    cut = {name: parts_of(sentence) for name, sentence in known.items()}
+    first: dict[str, list[dict]] = {}
+    for name, pieces in sorted(cut.items(), key=lambda x: (-len(x[1]), x[0])):
+        first.setdefault(pieces[0], []).append({"name": name, "pieces": pieces})
+    table = _constant(first, "map<string,array<struct<name:string,pieces:array<string>>>>")
+    lengths = F.array(*[F.lit(n) for n in sorted({len(h) for h in first})])
+    pieces = F.filter(F.transform(F.flatten(F.transform(units, lambda u: F.split(F.regexp_replace(u, STOP, "$1 "), CUT))), _bare), lambda p: p != "")
+
+    def found(all_: Column) -> Column:
+        def at(piece: Column, k: Column) -> Column:
+            ones = F.when(F.array_contains(lengths, F.length(piece)), F.try_element_at(table, piece))
+            good = F.filter(ones, lambda c: F.slice(all_, k + 1, F.size(c["pieces"])) == c["pieces"])
+            return F.struct(F.get(good, F.lit(0))["name"].alias("id"), (k + 1).alias("place"))
 
+        return F.filter(F.transform(all_, at), lambda x: x["id"].isNotNull())
 
-def known() -> dict[str, str]:
-    """Normalised sentence -> identifier; of a sentence that is cut, its longest piece."""
-    return {max(parts_of(sentence), key=len): name for name, sentence in SENTENCES.items()}
+    return F.get(F.transform(F.array(pieces), found), F.lit(0))
 
 
-def _identified(units: Column) -> Column:
-    """Identifiers of an array of sentences, unknown ones left out."""
-    table = known()
-    names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    lengths = F.array(*[F.lit(n) for n in sorted({len(k) for k in table})])
-    bare = F.transform(units, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    likely = F.filter(bare, lambda s: F.array_contains(lengths, F.length(s)))
-    return F.filter(F.transform(likely, lambda s: F.try_element_at(names, s)), lambda n: n.isNotNull())
+def _within(small: Sequence[str], large: Sequence[str]) -> bool:
+    at = iter(large)
+    return all(x in at for x in small)
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with sentence_ids (those of its lines), paragraph_ids (those of
-    its paragraphs) and licenses (rules that match either); clashing columns
-    are replaced."""
+def license_scan(docs: DataFrame, known: Mapping[str, str] | None = None, ordered: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``docs`` with sentence_places and paragraph_places (id and the number of
+    its first piece, by lines and by paragraphs), sentence_ids and paragraph_ids
+    (the identifiers alone) and licenses (rules that match either); clashing
+    columns are replaced."""
+    known, ordered = known or sentences(), dict(sorted((ordered or rules()).items()))
     text = F.coalesce(F.col("text"), F.lit(""))
-    by_line = F.flatten(F.transform(F.split(text, r"\n", -1), lambda v: F.split(v, CUT)))
-    by_paragraph = F.flatten(F.transform(F.split(text, r"\n[ \t\r]*\n", -1), lambda v: F.split(v, CUT)))
-    out = docs.drop("sentence_ids", "paragraph_ids", "licenses")
-    out = out.withColumns({"sentence_ids": _identified(by_line), "paragraph_ids": _identified(by_paragraph)})
-    lined, joined = (F.array_join(F.transform(c, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "") for c in ("sentence_ids", "paragraph_ids"))
-    rules = []
-    for name, ids in RULES.items():
-        pattern = "%" + "%".join(f"<{i}>" for i in ids) + "%"
-        rules.append(F.when(lined.like(pattern) | joined.like(pattern), F.lit(name)))
-    return out.withColumn("licenses", F.array_compact(F.array(*rules)))
+    lines = F.split(text, r"\n", -1)
+    bare = F.regexp_replace(text, f"(?m){MARKS}", "")
+    paragraphs = F.split(bare, r"\n(?:[^\p{L}\p{N}\n]*\n)+", -1)
+    columns = ["sentence_places", "paragraph_places", "sentence_ids", "paragraph_ids", "licenses"]
+    out = docs.drop(*columns).withColumns({"sentence_places": _places(lines, known), "paragraph_places": _places(paragraphs, known)})
+    out = out.withColumns({"sentence_ids": F.transform("sentence_places", lambda x: x["id"]), "paragraph_ids": F.transform("paragraph_places", lambda x: x["id"])})
+    # a text is held only against the rules that begin with an identifier that it has
+    by_first: dict[str, list[str]] = {}
+    for name, ids in ordered.items():
+        by_first.setdefault(ids[0], []).append(name)
+    parts = {name: set(ids) for name, ids in ordered.items()}
+    above = {name: [o for o in ordered if len(ordered[o]) > len(ids) and parts[name] <= parts[o] and _within(ids, ordered[o])] for name, ids in ordered.items()}
+    told = {name: {"name": name, "pattern": "%" + "%".join(f"<{i}>" for i in ids) + "%", "above": above[name]} for name, ids in ordered.items()}
+    table = _constant({head: [told[n] for n in names] for head, names in by_first.items()}, "map<string,array<struct<name:string,pattern:string,above:array<string>>>>")
+    either = F.array_distinct(F.concat("sentence_ids", "paragraph_ids"))
+
+    def matching(_: Column) -> Column:
+        lined, joined = (F.array_join(F.transform(c, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "") for c in ("sentence_ids", "paragraph_ids"))
+        asked = F.flatten(F.filter(F.transform(either, lambda i: F.try_element_at(table, i)), lambda r: r.isNotNull()))
+        return F.get(F.transform(F.array(F.struct(lined.alias("a"), joined.alias("b"))), lambda s: F.filter(asked, lambda r: F.like(s["a"], r["pattern"]) | F.like(s["b"], r["pattern"]))), F.lit(0))
+
+    met = F.get(F.transform(F.array(F.lit(0)), matching), F.lit(0))
+
+    def most(all_: Column) -> Column:
+        names = F.transform(all_, lambda r: r["name"])
+        return F.array_sort(F.transform(F.filter(all_, lambda r: ~F.arrays_overlap(r["above"], names)), lambda r: r["name"]))
+
+    return out.withColumn("licenses", F.when(F.size(either) == 0, F.array().cast("array<string>")).otherwise(F.get(F.transform(F.array(met), most), F.lit(0))))

@@ -1,11 +1,13 @@
 """Near copies by the similarity of five-word shingles, and one row of each group.
 
 Two texts link where their sets of five-word shingles have a Jaccard similarity
-of 0.8 or more; repeats of a shingle don't count. A SimHash of 64 bits differs
-at that similarity in some ten bits, more than can be searched for, so
-candidates come from bands of least hashes: texts that agree in any of BANDS
-bands of DEEP least hashes each. A pair at 0.8 is missed with a chance of
-(1 - 0.8^DEEP)^BANDS, 3 in a million, whatever the size of the corpus.
+of 0.8 or more; repeats of a shingle don't count. SimHashes of 64 bits differ at
+that similarity in some ten bits (3 standard deviations: 18), a radius at which
+agreeing blocks of bits tell no two texts apart. So what is compared is filed by
+bands of least hashes instead, BANDS of DEEP each, and compared bit plane by bit
+plane as in ``simhash``, at a radius of RADIUS bits. A pair at 0.8 is filed
+apart with a chance of (1 - 0.8^DEEP)^BANDS, 3 in a million, and beyond the
+radius with one of about as much, whatever the size of the corpus.
 
 Whatever is linked lies in one component of the candidates. Each component's
 sets meet in a task, where links are decided exactly from the whole sets. A
@@ -25,15 +27,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import one_row_each, row_key, settle
 from .components import components
+from .simhash import filed_links, fingerprint_of
 
 SEED = 42
 WORDS = 5
 BANDS, DEEP = 32, 5
+#: Differing bits at which fingerprints of texts of a similarity of 0.8 still meet.
+RADIUS = 24
 #: Shingles that a task holds at a time, about.
 LARGEST = 2_000_000
 
@@ -69,17 +74,13 @@ def node_of(own: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A hash of all of a row; nulls count by their place."""
-    return F.xxhash64(*[docs[c] for c in docs.columns], *[docs[c].isNull() for c in docs.columns])
-
-
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t.as_py() or "") for t in batch.column(2)]
         keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
         nodes, sizes = pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, sizes, keys], names=["row_key", "doc_id", "node", "size", "keys"])
+        fps = pa.array(np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, sizes, fps, keys], names=["row_key", "doc_id", "node", "size", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +164,11 @@ def groups(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
     """(row_key, doc_id, component) of every row: rows of a component are near
     copies of each other, at once or by way of others."""
     keyed = docs.select(row_key(docs).alias("row_key"), "doc_id", "text")
-    own = settle(keyed.mapInArrow(_described, "row_key long, doc_id long, node long, size long, keys array<long>"))
-    nodes = settle(own.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    filed = nodes.select("node", F.explode("keys").alias("key"))
-    heads = settle(filed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("key", "head"))
-    near = components(filed.join(heads, "key").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
+    own = settle(keyed.mapInArrow(_described, "row_key long, doc_id long, node long, size long, fp long, keys array<long>"))
+    nodes = settle(own.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    filed = nodes.select(F.col("node").alias("name"), "fp", F.posexplode("keys").alias("table", "key"))
+    met = settle(filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    near = components(filed_links(settle(filed.join(met, "key")), RADIUS))
     near = settle(nodes.select("node", "row_key", "size").join(near, "node"))
     crowded = near.groupBy("component").agg(F.sum("size").alias("all")).filter(F.col("all") > largest).select("component", F.ceil(2 * F.col("all") / largest).cast("int").alias("cuts"))
     near = near.join(crowded, "component", "left").select("component", "node", F.coalesce("cuts", F.lit(1)).alias("cuts"), "row_key")
@@ -181,18 +182,6 @@ def groups(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
     return own.select("row_key", "doc_id", "node").join(found, "node", "left").select("row_key", "doc_id", F.coalesce("component", "node").alias("component"))
 
 
-def one_row_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component of ``found`` (row_key, doc_id,
-    component): that of the smallest id, null ids last, then of the smallest
-    ``row_key``; of rows alike in every column one stays."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("first_id"), F.col("row_key").alias("first_key"))).alias("first")
-    firsts = found.groupBy("component").agg(first).select("first.first_key", "first.first_id")
-    keyed = docs.select("*", row_key(docs).alias("first_key"), F.coalesce("doc_id", F.lit(0)).alias("first_id"))
-    kept = keyed.join(firsts.hint("merge"), ["first_key", "first_id"], "left_semi")  # never a broadcast: the keys grow with the documents
-    alike = Window.partitionBy("first_key", "first_id").orderBy("first_key")
-    return kept.withColumn("nth_alike", F.row_number().over(alike)).filter("nth_alike = 1").select(*docs.columns)
-
-
 def one_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies."""
     return one_row_each(docs, settle(groups(docs)))

@@ -32,6 +32,8 @@ MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Entries that a worker remembers of segments, and of pairs of tokens.
 REMEMBERED = 600_000
+#: Characters of a segment that is remembered, at most, so that a worker's memory is bounded in bytes.
+LONGEST = 64
 #: Rows whose ids and decoded texts stand in memory at a time.
 AT_ONCE = 1024
 
@@ -43,10 +45,12 @@ class Segments(dict):
         self.codec, self.lead = codec, lead
 
     def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        if len(self) >= REMEMBERED:
-            self.clear()
         ids = self.codec.segment_ids(self.lead + word)
-        got = self[word] = (struct.pack(f"<{len(ids)}I", *ids), self.codec.bytes_of(ids))
+        got = (struct.pack(f"<{len(ids)}I", *ids), self.codec.bytes_of(ids))
+        if len(word) <= LONGEST:  # a text without spaces is one segment
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = got
         return got
 
 

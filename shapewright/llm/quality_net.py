@@ -15,7 +15,8 @@ the network's weights; neither grows with the data.
 
 Texts: null counts as empty; an empty text is the zero vector and has the score
 that this has. Labels without a document, id or quality are left out; of
-several for a document, the smallest counts. Without labels of both kinds, every
+several for a document, the smallest counts, and of several texts of an id that
+of the smallest hash. Without labels of both kinds, every
 score is the share of label 1, or 0.5 where there are none.
 """
 
@@ -40,16 +41,20 @@ WINDOW = 2
 #: Labelled documents that the network is fitted to, at most.
 SAMPLE = 8192
 HIDDEN = 24
-#: Letters, digits, or a run of other characters.
-WORD = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0d]+")
+#: A Chinese, Japanese or Korean character (three bytes from E3 to ED), letters, digits, or a run of other characters.
+WORD = re.compile(rb"[\xe3-\xed][\x80-\xbf]{2}|[A-Za-z\x80-\xe2\xee-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0d]+")
 REMEMBERED = 500_000
+#: Bytes of a word that is remembered, at most, so that a worker's memory is bounded in bytes.
+LONGEST = 64
 
 
 class Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[word] = zlib.crc32(word) % BUCKETS
+        got = zlib.crc32(word) % BUCKETS
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -185,10 +190,11 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [pooled(t.as_py() or "", units) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(vectors, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(vectors, pa.list_(pa.float64()))], names=["doc_id", "quality", "h", "x"])
 
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    rows = some.mapInArrow(run, "doc_id long, quality int, x array<double>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    # of rows that repeat an id, the text of the smallest hash is learned from; only SAMPLE rows reach the driver
+    rows = some.mapInArrow(run, "doc_id long, quality int, h long, x array<double>").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("x", "h").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(rows["x"].tolist()).reshape(len(rows), FEATURES)
     apart = np.array([zlib.crc32(b"calibration %d" % i) % 5 == 0 for i in rows["doc_id"]], bool)
     return units, fitted(x, rows["quality"].to_numpy(float), apart)

@@ -32,15 +32,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import one_row_each, row_key, settle
 from .components import components
-from .near_copies import one_row_each, row_key
 
 SEED = 42
 #: Lanes that a task compares at a time, at least.
 LANES = 1 << 16
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes: the bits that over half of them have."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str, words: int = 4) -> int:
     """The fingerprint of one text, unsigned."""
     parts = text.encode().lower().split()  # bytes: A-Z alone, and the six blanks alone
@@ -52,12 +60,7 @@ def fingerprint(text: str, words: int = 4) -> int:
         spans = [(0, len(joined))]
     else:
         spans = zip([0, *ends], [e - 1 for e in ends[words - 1 :]], strict=False)
-    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 4096):
-        bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    return fingerprint_of(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64))
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -84,7 +87,8 @@ def _keyed(words: int):
 
 def close_lanes(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indexes of the pairs within ``radius`` bits and one group, distance of
-    lanes by distance of lanes. ``group`` is sorted; radius is at most 6."""
+    lanes by distance of lanes. ``group`` is sorted; radius is at most 62."""
+    height = max(radius.bit_length(), 3)  # counters of so many bits, and one more for what they can't hold
     n = len(fps)
     words = -(-n // 64)
     bits = np.zeros((64, (words + 2) * 64), np.uint8)
@@ -103,28 +107,30 @@ def close_lanes(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tup
             return
         alive = alive[at]
         hop, low = divmod(lag, 64)
-        ones = twos = fours = more = np.zeros(len(at), np.uint64)
+        counter = [np.zeros(len(at), np.uint64) for _ in range(height)]
+        more = np.zeros(len(at), np.uint64)
         for first in range(0, 64, 8):
             for b in range(first, first + 8, 2):
                 x, y = (planes[k][at] ^ (planes[k][at + hop] if not low else (planes[k][at + hop] >> np.uint64(low)) | (planes[k][at + hop + 1] << np.uint64(64 - low))) for k in (b, b + 1))
                 half = x ^ y
-                carry = (x & y) | (half & ones)  # a full adder of two planes and the ones
-                ones = ones ^ half
-                over = twos & carry
-                twos = twos ^ carry
-                more = more | (fours & over)
-                fours = fours ^ over
-            beyond = more
-            for least in range(radius + 1, 8):
-                bit = [ones, twos, fours]
-                here = ~np.uint64(0)
-                for k in range(3):
-                    here = here & (bit[k] if least >> k & 1 else ~bit[k])
-                beyond = beyond | here
+                carry = (x & y) | (half & counter[0])  # a full adder of two planes and the ones
+                counter[0] = counter[0] ^ half
+                for k in range(1, height):
+                    counter[k], carry = counter[k] ^ carry, counter[k] & carry
+                more = more | carry
+            # beyond: the highest bit in which a count and the radius differ is the count's
+            beyond, equal = more.copy(), ~more
+            for k in range(height - 1, -1, -1):
+                if radius >> k & 1:
+                    equal &= counter[k]
+                else:
+                    beyond |= equal & counter[k]
+                    equal &= ~counter[k]
             alive = alive & ~beyond
             left = np.flatnonzero(alive)
             if len(left) < len(at):
-                at, alive, ones, twos, fours, more = (v[left] for v in (at, alive, ones, twos, fours, more))
+                at, alive, more = at[left], alive[left], more[left]
+                counter = [c[left] for c in counter]
             if not len(at):
                 break
         if len(at):
@@ -196,7 +202,12 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, blocks: int = 6, larges
     for chosen in combinations(masks, blocks - radius):
         mask = sum(chosen)
         keys.append(F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)))
-    filed = nodes.select("name", "fp", F.posexplode(F.array(*keys)).alias("table", "key"))
+    return filed_links(nodes.select("name", "fp", F.posexplode(F.array(*keys)).alias("table", "key")), radius, largest)
+
+
+def filed_links(filed: DataFrame, radius: int, largest: int = 4096) -> DataFrame:
+    """(u, v) over the names in ``filed`` (name, fp, table, key): links that join
+    whatever is filed alike, under a table and a key, within ``radius`` bits."""
     crowded = filed.groupBy("table", "key").count().filter(F.col("count") > largest).select("table", "key", F.ceil(F.col("count") / (largest // 2)).cast("int").alias("cuts"))
     parts = F.coalesce("cuts", F.lit(1))
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")

@@ -47,6 +47,9 @@ PERIOD = 16
 COVER = (0, 1, 2, 5, 8)
 #: Runs that differ, of a bucket that one task sorts.
 LARGEST = 1024
+#: Equal runs beyond which their key isn't joined by a shuffle. A task's share of a
+#: join is then some thousand rows, or the keys are so many that they are spread.
+HOT = 2048
 #: Suffixes in a chunk of a run of a crowded bucket, from one step to the next.
 CHUNKS = (32, 4, 1)
 #: Bytes that a task lays out at a time, about.
@@ -312,7 +315,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = settle(runs.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
     runs = settle(runs.join(shared, "bucket"))
     kinds = settle(runs.groupBy("bucket", "whole").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "low", "high", "anchor")).alias("one")))
-    full = runs.join(kinds.filter("n > 1").select("bucket", "whole"), ["bucket", "whole"]).select("d", "t", "low", "high")
+    # a passage that a large part of the corpus has is one key: its runs are told apart first, where they lie
+    hot = settle(kinds.filter(F.col("n") > HOT).select(F.col("bucket").alias("hot_bucket"), F.col("whole").alias("hot_whole")))
+    told = settle(runs.join(hot, (F.col("bucket") == F.col("hot_bucket")) & (F.col("whole") == F.col("hot_whole")), "left").withColumn("hot", F.col("hot_bucket").isNotNull()).drop("hot_bucket", "hot_whole"))
+    twice = kinds.filter(F.col("n").between(2, HOT)).select("bucket", "whole")
+    full = told.filter("hot").select("d", "t", "low", "high").unionByName(told.filter("not hot").join(twice, ["bucket", "whole"]).select("d", "t", "low", "high"))
     mixed = settle(kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     wanted = kinds.join(mixed, "bucket").select("one.*", "bucket", (F.col("kinds") > LARGEST).alias("crowded"), (F.col("n") == 1).alias("alone"))
     by_text = settle(wanted.groupBy("d", "t").agg(F.collect_list(F.struct("bucket", "crowded", "alone", "low", "high", "anchor")).alias("wanted")))

@@ -228,8 +228,7 @@ def test_rules_equal_brute_force(spark):
 
 
 def test_entropy_target_is_met(spark):
-    shares = F.array(*[F.lit(x) for x in (0.7, 0.2, 0.1)])
-    x = spark.range(1).select(mixture.exponent(shares, repeats=None, entropy=1.0)).first()[0]
+    x = mixture.exponent_of_entropy(spark.createDataFrame([(p,) for p in (0.7, 0.2, 0.1)], "share double"), 1.0)
     p = np.array([0.7, 0.2, 0.1]) ** x
     p /= p.sum()
     assert abs(-(p * np.log(p)).sum() - 1.0) < 1e-6
