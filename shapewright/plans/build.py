@@ -49,8 +49,16 @@ def _put(root: Node, steps: Sequence[str], value: Column, whole: str) -> None:
 
 
 def json_text(value: Column) -> Column:
-    """A string as JSON, without escapes that HTML would need."""
-    return F.regexp_extract(F.to_json(F.array(value)), r"(?s)\A\[(.*)\]\z", 1)
+    """A string as JSON, without escapes that HTML would need; U+2028 and U+2029
+    are escaped, as scripts take them for line ends."""
+    text = F.to_json(F.array(value))
+    text = F.replace(F.replace(text, F.lit("\u2028"), F.lit("\\u2028")), F.lit("\u2029"), F.lit("\\u2029"))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def listed(*values: Column) -> Column:
+    """A JSON array of values that are JSON already."""
+    return F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]")) if values else F.lit("[]")
 
 
 def number_text(value: Column) -> Column:

@@ -662,3 +662,234 @@ def tampered_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(CANDIDATES + "select doc_id as capture_id, parser, variant from m where parser <> 'prose'")
 def strangers_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformance.strangers(documents(spark, sf_dir).withColumn("owner", F.lit("prose")), SIGNATURES)
+
+
+@query("""
+select c_custkey as capture_id, case when c_custkey % 3 = 0 then null else c_name end as customer, c_custkey % 3 = 0 as refused from customer
+""")
+def ledger_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line between the parts of a composite refuses its capture."""
+    c = table(spark, sf_dir, "customer")
+    stray = F.when(F.col("c_custkey") % 3 == 0, F.lit("stray\n")).otherwise("")
+    texts = c.select(F.col("c_custkey").alias("capture_id"), F.concat(F.lit("Customer: "), F.col("c_name"), F.lit("\n"), stray, F.lit("Segment:\n"), F.col("c_mktsegment"), F.lit("\n")).alias("text"))
+    shape = Shape("composite", parts={
+        "head": Shape("regex", Region(limit=1), [r"^Customer: (?P<customer>.+)$"]),
+        "segment": Shape("regex", Region(after="^Segment:$"), [r"^(?P<segment>.+)$"]),
+    })
+    told = shape.documents(texts, "report")
+    refused = F.col("refusal").isNotNull()
+    return told.select("capture_id", F.when(~refused, F.get("head.customer", F.lit(0))).alias("customer"), refused.alias("refused"))
+
+
+@query("""
+select o_custkey as capture_id, count(*) as n_lines, sum(case when o_custkey % 4 <> 0 then o_orderkey end)::bigint as total, bool_or(o_custkey % 4 = 0) as refused
+from (select o_custkey, o_orderkey from orders) group by 1
+""")
+def ledger_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line after the end of a selection refuses its capture; headings and ends that are described whole are read."""
+    o = table(spark, sf_dir, "orders")
+    texts = gathered(o, "o_custkey", "o_orderkey", F.lit("order "), F.col("o_orderkey").cast("string"))
+    tail = F.when(F.col("capture_id") % 4 == 0, F.lit("END\nmore\n")).otherwise("END\n")
+    n = o.groupBy(F.col("o_custkey").alias("own_id")).count()
+    texts = texts.withColumn("text", F.concat(F.lit("BEGIN\n"), "text", tail))
+    shape = Shape("regex", Region(after="^BEGIN$", until="^END$"), [r"^order (?P<key>\d+)$"], fields={"key": Field("int")})
+    rows = shape.read(texts, "report").groupBy("capture_id").agg(F.sum("key").alias("total"), F.bool_or(F.col("refusal").isNotNull()).alias("refused"))
+    return rows.join(n, F.col("capture_id") == F.col("own_id")).select("capture_id", F.col("count").alias("n_lines"), "total", "refused")
+
+
+@query("""select n_regionkey as capture_id, n_name as nation_name, n_nationkey as use_percent, 'x' as extra from nation""")
+def table_derived_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    texts = gathered(n, "n_regionkey", "n_nationkey", F.replace(F.col("n_name"), F.lit(" "), F.lit("_")), F.lit(" "), F.col("n_nationkey").cast("string"), F.lit("  x"))
+    texts = texts.withColumn("text", F.concat(F.lit("NATION-NAME  Use%  Extra\n"), "text"))
+    rows = Shape("table", derived=True, fields={"use_percent": Field("int")}).read(texts)
+    return rows.select("capture_id", F.col("cells")["nation_name"].alias("nation_name"), F.col("use_percent").cast("int").alias("use_percent"), F.col("cells")["extra"].alias("extra"))
+
+
+@query("""select n_regionkey as capture_id, n_nationkey::varchar as id, n_name as label from nation""")
+def table_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spellings of a heading give one key."""
+    n = table(spark, sf_dir, "nation")
+    texts = gathered(n, "n_regionkey", "n_nationkey", F.col("n_nationkey").cast("string"), F.lit("|"), F.col("n_name"))
+    head = F.when(F.col("capture_id") % 2 == 0, F.lit("Nation Key|Name\n")).otherwise("ID|Names\n")
+    rows = Shape("table", derived=True, delimiter="|", rename={"nation_key": "id", "name": "label", "names": "label"}).read(texts.withColumn("text", F.concat(head, "text")))
+    return rows.select("capture_id", F.col("cells")["id"].alias("id"), F.col("cells")["label"].alias("label"))
+
+
+@query("""select n_regionkey as capture_id, replace(n_name, ' ', '_') as kind, n_nationkey::varchar as total, '0' as used from nation""")
+def table_leading_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    texts = gathered(n, "n_regionkey", "n_nationkey", F.replace(F.col("n_name"), F.lit(" "), F.lit("_")), F.lit("   "), F.col("n_nationkey").cast("string"), F.lit(" 0"))
+    rows = Shape("table", derived=True, leading_label="kind").read(texts.withColumn("text", F.concat(F.lit("        total  used\n"), "text")))
+    return rows.select("capture_id", *[F.col("cells")[k].alias(k) for k in ("kind", "total", "used")])
+
+
+@query("""
+select o_orderkey as "key", (o_orderkey * 86400 + 4 * 3600 + 1800)::bigint as up, (o_orderkey * 60)::bigint as minutes, (13 * 3600 + (o_orderkey % 60) * 60)::bigint as idle, (o_orderkey * 86400 + 3 * 3600)::bigint as hours from orders
+""")
+def duration_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
+    spelled = {
+        "up": F.concat(k, F.lit(" days, 4:30")), "minutes": F.concat(k, F.lit(" min")), "hours": F.concat(k, F.lit(" days, 3 hrs")),
+        "idle": F.concat(F.lit("13:"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"), F.lit("m")),
+    }
+    return o.select(F.col("o_orderkey").alias("key"), *[convert.to_duration(c).cast("long").alias(n) for n, c in spelled.items()])
+
+
+@query("""
+select r_regionkey as capture_id, 0 as depth, r_name as text, null as parent_text from region where r_regionkey in (select n_regionkey from nation)
+union all select n_regionkey, 1, n_name, r_name from nation join region on n_regionkey = r_regionkey
+""")
+def tree_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree drawn with branches."""
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("all"))
+    r = table(spark, sf_dir, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey"))
+    branch = F.transform("all", lambda x, k: F.concat(F.when(k + 1 == F.size("all"), "`-- ").otherwise("|-- "), x["n_name"]))
+    nodes = Shape("tree", indent=["|-- ", "`-- ", "|   ", "    "]).read(r.select(F.col("r_regionkey").alias("capture_id"), F.concat(F.col("r_name"), F.lit("\n"), F.array_join(branch, "\n")).alias("text")))
+    above = nodes.select("capture_id", F.col("num").alias("parent"), F.col("text").alias("parent_text"))
+    return nodes.join(above, ["capture_id", "parent"], "left").select("capture_id", "depth", "text", "parent_text")
+
+
+@query("""select c_custkey as capture_id, c_name as name, c_nationkey::bigint as nation from customer""")
+def columns_headless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV without headings, under names that are given."""
+    c = table(spark, sf_dir, "customer")
+    texts = c.select(F.col("c_custkey").alias("capture_id"), F.concat(F.lit('"'), F.col("c_name"), F.lit('",'), F.col("c_nationkey").cast("string"), F.lit("\n")).alias("text"))
+    rows = Shape("csv", columns=["name", "nation"], fields={"nation": Field("int")}).read(texts)
+    return rows.select("capture_id", F.col("cells")["name"].alias("name"), "nation")
+
+
+@query("""select c_custkey as capture_id, case when c_custkey % 5 = 0 then 'NUL in a text of lines' end as refusal from customer""")
+def checked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    texts = c.select(F.col("c_custkey").alias("capture_id"), F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 5 == 0, F.lit("\x00")).otherwise("")).alias("text"))
+    return regioned(texts, Region()).select("capture_id", "refusal")
+
+
+@query("""select p_partkey as "key", case when p_partkey % 2 = 0 then substr(p_brand, 7) end as brand, p_partkey % 2 = 1 as refused from part""")
+def string_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group of a cell that a pattern must cover."""
+    p = table(spark, sf_dir, "part")
+    cell = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("?")))
+    value, why = convert.compiled(cell, Field(regex=r"^Brand#(?P<number>\d+)$"), "brand")
+    return p.select(F.col("p_partkey").alias("key"), F.when(why.isNull(), value).alias("brand"), why.isNotNull().alias("refused"))
+
+
+@query("""select '{"key":' || c_custkey || case when c_custkey % 2 = 0 then '' else ',"segment":"' || c_mktsegment || '"' end || ',"note":null}' as json from customer""")
+def when_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing key is left out where its rule says so, and null elsewhere."""
+    c = table(spark, sf_dir, "customer")
+    segment = F.when(F.col("c_custkey") % 2 == 1, F.col("c_mktsegment"))
+    rows = c.select(F.col("c_custkey").alias("key"), segment.alias("segment"), F.lit(None).cast("string").alias("note"))
+    shape = Shape("regex", patterns=["^(?P<segment>.*)(?P<note>.*)$"], fields={"segment": Field(omit=True), "note": Field()})
+    return build.encoded(rows, [k for k, rule in shape.fields.items() if rule.omit])
+
+
+CHOICES = [
+    Signature("disk", "linux", all=("^[A-Z]",), os=("linux",)),
+    Signature("disk", "bsd", all=("^[A-Z]",), os=("freebsd", "darwin")),
+    Signature("words", "any", all=("^[A-Z]",), explicit_only=True, aliases=("terms",), alias_args=(("terms", {"all": ("-t",)}),)),
+    Signature("words", "bare", explicit_only=True),
+]
+
+
+def systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    os_ = F.when(F.col("c_custkey") % 3 == 0, F.lit("linux")).when(F.col("c_custkey") % 3 == 1, F.lit("darwin"))
+    args = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("-t"))).otherwise(F.array().cast("array<string>"))
+    return c.select(F.col("c_custkey").alias("capture_id"), F.col("c_name").alias("text"), os_.alias("os"), args.alias("args"))
+
+
+@query("""
+select c_custkey as capture_id, case when c_custkey % 3 < 2 then 'disk' end as parser, case c_custkey % 3 when 0 then 'linux' when 1 then 'bsd' end as variant,
+  case when c_custkey % 3 = 2 then 'ambiguous: disk/bsd, disk/linux' end as refusal from customer
+""")
+def system_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The system decides where it is known; definitions that need naming aren't met."""
+    return identify.identified(systems(spark, sf_dir), CHOICES)
+
+
+@query("""select c_custkey as capture_id, case when c_custkey % 2 = 0 then 'words' end as parser, case when c_custkey % 2 = 0 then 'any' end as variant, case when c_custkey % 2 = 1 then 'no definition matches' end as refusal from customer""")
+def named_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alias with arguments of its own; a variant that any text fits needs its name."""
+    return identify.identified(systems(spark, sf_dir), CHOICES, named="terms")
+
+
+@query("""select c_custkey as capture_id, 'words' as parser, 'bare' as variant, null as refusal from customer""")
+def named_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify.identified(systems(spark, sf_dir), CHOICES, named="words", variant="bare")
+
+
+@query("""
+select c_custkey as capture_id, 'disk' as parser, v as variant from customer, (select unnest(['linux', 'bsd']) as v) where c_custkey % 3 = 2 or (c_custkey % 3 = 0) = (v = 'linux')
+""")
+def candidates_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What could have printed nothing, by system and arguments."""
+    return identify.candidates_without_text(systems(spark, sf_dir), CHOICES).select("capture_id", "parser", "variant")
+
+
+@query("""select p_name as parser, count(distinct p_type) as n_variants, list_sort(list(distinct p_type)) as variants from part group by 1""")
+def command_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify.commands(definitions(spark, sf_dir))
+
+
+@query("""select p_name as parser, p_type as variant, p_partkey::int as source from part where p_name = 'red widget'""")
+def lookup_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = spark.createDataFrame([("rw", "red widget")], "alias string, parser string")
+    return identify.lookup(definitions(spark, sf_dir), parser="rw", aliases=aliases)
+
+
+@query("""select l_orderkey::varchar as "key", l_linenumber::varchar as number from lineitem""")
+def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as they are printed, whatever their rules."""
+    li = table(spark, sf_dir, "lineitem")
+    shape = Shape("table", columns=["key", "number"], fields={"key": Field("int"), "number": Field("bool")}).without_rules()
+    texts = li.select(F.monotonically_increasing_id().alias("capture_id"), F.concat(F.col("l_orderkey").cast("string"), F.lit(" "), F.col("l_linenumber").cast("string"), F.lit("\n")).alias("text"))
+    return shape.read(texts).select("key", "number")
+
+
+@query(r"""select event_id as capture_id, props as json, null as refusal from events where event_id % 3 = 0 union all select event_id, props || ' 1', 'text after the value' from events where event_id % 3 = 1 union all select event_id, '"\ud800"', 'half of a surrogate pair' from events where event_id % 3 = 2""")
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    third = F.col("event_id") % 3
+    text = F.when(third == 0, F.concat(F.lit("\n "), "props", F.lit("\n"))).when(third == 1, F.concat("props", F.lit(" 1"))).otherwise(F.lit('"\\ud800"'))
+    return readers.json_documents(ev.select(F.col("event_id").alias("capture_id"), text.alias("text")))
+
+
+@query("""select doc_id as capture_id, text as value, null as refusal from documents""")
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.texts(documents(spark, sf_dir).withColumn("text", F.concat(F.lit("\ufeff"), "text")))
+
+
+@query("""select o_orderkey as "key", case when o_orderkey % 10 = 0 then 'differs' when o_orderkey % 10 = 1 then 'missing' end as outcome from orders where o_orderkey % 10 < 2""")
+def golden_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows held against a golden table."""
+    golden = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
+    got = golden.filter("key % 10 <> 1").withColumn("status", F.when(F.col("key") % 10 == 0, F.lit("?")).otherwise(F.col("status")))
+    return conformance.compared(got, golden, ["key"])
+
+
+@query("""select doc_id as capture_id, true as early from documents""")
+def early_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A choice on the leading lines is that on the whole text."""
+    return conformance.early_settled(documents(spark, sf_dir), SIGNATURES).select("capture_id", "early")
+
+
+@query("""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
+select doc_id as capture_id, count(*) filter (trim(line) <> '' and regexp_matches(line, '^The '))::int as first_pattern,
+  count(*) filter (trim(line) <> '' and not regexp_matches(line, '^The ') and regexp_matches(line, '[|]'))::int as second_pattern from l group by 1
+""")
+def ignored_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = regioned(documents(spark, sf_dir), Region(ignore=("^The ", "[|]")))
+    return df.select("capture_id", F.get("account.ignored_by", F.lit(0)).alias("first_pattern"), F.get("account.ignored_by", F.lit(1)).alias("second_pattern"))
+
+
+@query("""select c_custkey as capture_id, c_custkey % 2 = 1 as refused, case when c_custkey % 2 = 0 then c_nationkey::varchar end as nation from customer""")
+def kv_map_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules hold for the values of a map."""
+    c = table(spark, sf_dir, "customer")
+    value = F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).otherwise("x")
+    texts = c.select(F.col("c_custkey").alias("capture_id"), F.concat(F.lit("nation = "), value, F.lit("\nname="), F.col("c_name"), F.lit("\n")).alias("text"))
+    rows = Shape("kv_map", fields={"nation": Field("int")}).read(texts, "report")
+    return rows.select("capture_id", F.col("refusal").isNotNull().alias("refused"), F.col("pairs")["nation"].alias("nation"))

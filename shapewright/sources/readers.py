@@ -62,12 +62,28 @@ def lines(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
 
 
 def json_refusal(text: Column) -> Column:
-    """Why a text isn't one JSON value: no value, a key twice, or text after it."""
+    """Why a text isn't one JSON value: no value, a key twice, text after it, or
+    half of a pair of escapes for one character."""
     value = F.try_parse_json(text)
     # the parser stops at the end of the first value; a value in brackets shows what follows it
     alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     one = F.try_variant_get(alone, "$[1]", "variant").isNull()
-    return F.when(value.isNull(), F.lit("not JSON")).when(alone.isNull() | ~one, F.lit("text after the value"))
+    single = F.regexp_replace(F.regexp_replace(text, r"\\\\", ""), r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", "")
+    torn = F.contains(text, F.lit("\\u")) & single.rlike(r"\\u[dD][89a-fA-F]")
+    return F.when(value.isNull(), F.lit("not JSON")).when(alone.isNull() | ~one, F.lit("text after the value")).when(torn, F.lit("half of a surrogate pair"))
+
+
+def json_documents(captures: DataFrame) -> DataFrame:
+    """(capture_id, json, refusal): each text as one JSON value, its keys in their
+    order and its digits as they are written; white space around it is left out."""
+    bare = F.btrim("text", F.lit(" \t\r\n"))
+    return captures.select("capture_id", bare.alias("json"), json_refusal(bare).alias("refusal"))
+
+
+def texts(captures: DataFrame) -> DataFrame:
+    """(capture_id, value, refusal): each text as one string, without a BOM."""
+    bare = F.when(F.startswith("text", F.lit("\ufeff")), F.substring("text", 2, 1 << 30)).otherwise(F.col("text"))
+    return captures.select("capture_id", bare.alias("value"), F.when(~F.is_valid_utf8("text"), F.lit("not UTF-8")).alias("refusal"))
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import trimmed
 from ..operators.csv_text import open_quote, records
-from ..operators.lines import MOST_BYTES
+from ..operators.lines import MOST_BYTES, dropped, prepared
 from ..operators.parse import settle_refusals
 from ..plans.shape import DefinitionError, Shape
 
@@ -26,10 +26,16 @@ MOST_HELD = MOST_BYTES
 
 
 def stream_rows(lines: DataFrame, shape: Shape, mode: str = "fail") -> DataFrame:
-    """Rows of a shape that reads each line by itself."""
-    if not shape.checked().streams() or shape.parse not in ("regex", "table", "kv_list", "ltsv") or shape.header or shape.region.fold:
+    """Rows of a shape that reads each line by itself. Lines are prepared, and
+    blank and ignored ones left out, as in a whole text; a region that hangs on
+    lines before, or ends, is refused."""
+    if not shape.checked().streams() or shape.line_reader() is None or shape.region.fold:
         raise DefinitionError(f"{shape.parse} doesn't read line by line")
-    own = lines.filter(F.col("line").isNotNull() & (F.trim("line") != ""))
+    if shape.region.selects:
+        raise DefinitionError("after, until, skip and limit need the lines before; select the lines first")
+    one = prepared(F.array(F.struct("num", F.col("line").alias("text"))), shape.region)
+    kept = dropped(one, shape.region)
+    own = lines.filter(F.col("line").isNotNull()).withColumn("line", F.get(kept, F.lit(0))["text"]).filter(F.col("line").isNotNull())
     return settle_refusals(shape.line_reader().rows(own, ("capture_id", "num")), mode)
 
 
@@ -41,19 +47,20 @@ def _blocks(starts: str, joined: bool):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         record, nums, texts = (state.get[0], list(state.get[1]), list(state.get[2])) if state.exists else (0, [], [])
         new = pd.concat(list(frames)).sort_values("num")
-        out, ended = [], False
+        out, ended, size = [], False, sum(map(len, texts))
         for num, line, last in zip(new["num"], new["line"], new["last"], strict=True):
             if line is not None:
                 begins = bool(pattern.search(line)) != joined
                 if begins and texts:
                     record += 1
                     out.append((key[0], record, nums[0], texts))
-                    nums, texts = [], []
+                    nums, texts, size = [], [], 0
                 if not begins and not texts:
                     raise ValueError(f"line {num} continues nothing")
                 nums.append(int(num))
                 texts.append(line)
-                if sum(map(len, texts)) > MOST_HELD:
+                size += len(line)
+                if size > MOST_HELD:
                     raise ValueError("an open record of over 64 MiB")
             ended = ended or bool(last)
         if ended and texts:
