@@ -3,7 +3,8 @@
 A stream has capture_id, num and line, and ``last`` (true on a capture's last
 row, whose line may be null). Shapes that read line by line are the same plans
 on a stream. Blocks and folded lines end where the next one begins, so those
-need state: the open block of each capture, at most ``MOST_HELD`` bytes.
+need state: the open block of each capture, at most ``MOST_HELD`` bytes. What
+needs all lines is held, within the same bound, until its capture ends.
 """
 
 from __future__ import annotations
@@ -83,6 +84,39 @@ def _stateful(lines: DataFrame, starts: str, joined: bool) -> DataFrame:
     return lines.groupBy("capture_id").applyInPandasWithState(_blocks(starts, joined), out, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def _whole(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Holds a capture's lines until its last one."""
+    held, size = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+    new = pd.concat(list(frames)).sort_values("num")
+    lines = [x for x in new["line"] if x is not None]
+    held.append("".join(f"{x}\n" for x in lines))  # a piece for each batch, so that none is copied again
+    size += len(held[-1])
+    if size > MOST_HELD:
+        raise ValueError("an open capture of over 64 MiB")
+    if new["last"].astype(bool).any():
+        state.remove()
+        yield pd.DataFrame({"capture_id": [key[0]], "text": ["".join(held)]})
+    else:
+        state.update((held, size))
+
+
+def stream_captures(lines: DataFrame) -> DataFrame:
+    """(capture_id, text): each capture once its last row has come."""
+    kind = lines.schema["capture_id"].dataType.simpleString()
+    return lines.groupBy("capture_id").applyInPandasWithState(_whole, f"capture_id {kind}, text string", "held array<string>, size long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_shape(lines: DataFrame, shape: Shape, mode: str = "fail") -> DataFrame:
+    """Rows of any shape, or a document for each capture of a composite or
+    records. What reads line by line comes at once; what hangs on other lines
+    (selections, kept blanks, drawn tables, composites, maps) comes when its
+    capture ends, and is then read by the plan for whole texts."""
+    if shape.line_reader() is not None and not (shape.region.selects or shape.region.fold) and shape.region.skip_blank:
+        return stream_rows(lines, shape, mode)
+    captures = stream_captures(lines)
+    return shape.documents(captures, mode) if shape.parse in ("composite", "records") else shape.read(captures, mode)
+
+
 def stream_blocks(lines: DataFrame, start: str) -> DataFrame:
     """(capture_id, record, num, texts): blocks that begin at a match of
     ``start``, each handed over once the next one begins or the capture ends."""

@@ -1,4 +1,8 @@
 import json
+import os
+import subprocess
+import sys
+import textwrap
 from datetime import datetime, timezone
 from decimal import Decimal
 
@@ -6,15 +10,18 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL, TOP
 from shapewright.functions import convert
 from shapewright.functions.convert import Field
 from shapewright.functions.patterns import Found, PatternError, match_array, translate
 from shapewright.functions.text import normal_name, unescaped, without_escapes
-from shapewright.operators import aligned, csv_text
+from shapewright.operators import aligned, csv_text, parse
 from shapewright.operators.lines import Region
+from shapewright.plans import identify
 from shapewright.plans.build import UsageError, built, number_text
 from shapewright.plans.definition import definition, registry
 from shapewright.plans.shape import DefinitionError, Shape, changes
+from shapewright.sources import readers
 from shapewright.sources.readers import format_of
 
 
@@ -183,3 +190,71 @@ def test_definitions_from_text(spark, tmp_path):
     for text in ("[]", "{", '{"shape": {"parse": "tabel"}}', '{"shape": {"parse": "regex", "patterns": ["(a"]}}', '{"shape": {"parse": "table", "columns": "a"}}', '{"shape": {"parse": "csv", "fields": {"a": {"year": 1}}}}'):
         with pytest.raises(DefinitionError):
             definition(text)
+
+
+def test_each_pattern_is_tried_once_a_line(spark):
+    rules = {"n": Field("int", required=True), "m": Field("float"), "w": Field("bool")}
+    lines = spark.createDataFrame([(0, 1, "a 1 2.5 yes"), (0, 2, "b 2")], "capture_id int, num int, line string")
+    rows = parse.settle_refusals(parse.regex_lines(lines, [r"^a (?P<n>\d+) (?P<m>\S+) (?P<w>\w+)$", r"^b (?P<n>\d+)(?P<x> .*)?$"], rules))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2 and plan.count("regexp_extract") == 0
+    assert [tuple(r) for r in rows.orderBy("num").select("n", "m", "w", "x").collect()] == [(1, 2.5, True, None), (2, None, None, None)]
+
+
+def test_lines_that_no_part_reads_are_refused(spark):
+    parts = {"a": Shape("regex", Region(until="^B$"), ["^(?P<x>a.*)$"]), "b": Shape("regex", Region(after="^B$", limit=1), ["^(?P<y>.*)$"])}
+    shape = Shape("composite", parts=parts)
+    told = shape.documents(captures(spark, "a1\nB\nb1\n", "a1\nB\nb1\nlost\nlost too\n"), "report").orderBy("capture_id").collect()
+    assert told[0].refusal is None and told[0].a[0].x == "a1" and told[0].b[0].y == "b1"
+    assert told[1].refusal == 'lines that no part reads: line 4 "lost", line 5 "lost too"'
+    by_part = shape.read_parts(captures(spark, "a1\nB\nb1\nlost\n"), "report")["a"].collect()
+    assert [r.refusal for r in by_part] == ['lines that no part reads: line 4 "lost"']
+    loose = Shape("regex", Region(after="^Features for "), ["^(?P<x>.*)$"])  # the heading isn't described whole
+    assert "line 1" in loose.read(captures(spark, "Features for eth0:\nx\n"), "report").first().refusal
+
+
+def test_many_definitions(spark):
+    signatures = [identify.Signature(f"c{k}", "v", all=(rf"^header{k} +\w+$", r"^\d+"), none=(r"^!",)) for k in range(758)]
+    texts = [f"header{k} x\n12\n" for k in (0, 7, 757)] + ["header9 x\n!\n12\n", "nothing\n"]
+    got = [r.parser for r in identify.identified(captures(spark, *texts), signatures).orderBy("capture_id").collect()]
+    assert got == ["c0", "c7", "c757", None, None]
+    plan = identify.identified(captures(spark, *texts), signatures)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert [identify.required_text(p) for p in (r"^Filesystem\s+Size", "a|b", r"x?yz+[ab]\.c{2}", "(?i)abc")] == ["Filesystem", "", "yz", ""]
+
+
+def test_refusals_of_headers_and_documents(spark):
+    shape = Shape("table", derived=True)
+    assert [r.refusal for r in shape.read(captures(spark, "A A\n1 2\n"), "report").collect()] == ["headings that are empty or alike"]
+    assert shape.read(captures(spark, "A B\n1\n"), "report").first().refusal.startswith("too few cells")
+    with pytest.raises(DefinitionError):
+        Shape("table", columns=["a"], rename={"a": "b"}).checked()
+    odd = captures(spark, '{"b":1.10,"a":2}', '{"a":1,"a":2}', '"\\ud83d\\ude00"', '"\\ud83d"', '"\\\\ud83d"', "1 2", "")
+    assert [r.refusal for r in readers.json_documents(odd).orderBy("capture_id").collect()] == [None, "not JSON", None, "half of a surrogate pair", None, "text after the value", "not JSON"]
+
+
+def run_apart(folder, code):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    return subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=folder, env=env, capture_output=True, text=True, timeout=300, check=False)
+
+
+def test_workers_are_given_the_package(tmp_path):
+    done = run_apart(tmp_path, f"""
+        import sys; sys.path.insert(0, {str(TOP)!r})
+        from pyspark.sql import SparkSession
+        from shapewright import queries
+        s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+        print(*[queries.QUERIES[q](s, {SMALL!r}).count() for q in ("csv_roundtrip_orders", "box_nation", "aligned_nation")])
+    """)
+    assert done.stdout.split() == ["1500", "25", "25"], done.stderr[-2000:]
+
+
+def test_core_queries_stand_without_the_operators(tmp_path):
+    done = run_apart(tmp_path, f"""
+        import sys; sys.path.insert(0, {str(TOP)!r}); sys.modules["xxhash"] = None
+        import __spark_entry__ as e
+        from shapewright import queries
+        assert set(queries.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+        print(len(e.queries()) >= 70)
+    """)
+    assert done.stdout.split() == ["True"], done.stderr[-2000:]
