@@ -13,6 +13,7 @@ identifying shuffles nothing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -219,11 +220,18 @@ def near_misses(captures: DataFrame, signatures: Sequence[Signature], *, named:
 
 
 def _candidates(captures: DataFrame, signatures: Sequence[Signature], named: str | None, variant: str | None, text: bool = True) -> DataFrame:
+    """``captures`` with found: the definitions that fit, read off a constant by their numbers."""
+    open_ = _open(signatures, named, variant)
+    told = json.dumps([{"parser": s.parser, "variant": s.variant, "source": s.source, "priority": s.priority} for s in open_])
+    known = F.from_json(F.lit(told), "array<struct<parser:string,variant:string,source:int,priority:int>>")
+    numbers = {id(s): k for k, s in enumerate(open_)}
+
     def hit(s: Signature) -> Column:
-        fits = against(captures, s, named).isNull()
-        return F.when(_fits(s) & fits if text else fits, _told(s, priority=F.lit(s.priority)))
+        limited = s.os or s.args_any or s.args_all or s.args_none or s.alias_args
+        fits = _fits(s) if text else F.lit(True)
+        return F.when(fits & against(captures, s, named).isNull() if limited else fits, F.lit(numbers[id(s)]))
 
-    return _flagged(captures, _open(signatures, named, variant), hit)
+    return _flagged(captures, open_, hit).withColumn("found", F.transform("found", lambda k: F.get(known, k)))
 
 
 def candidates(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None, variant: str | None = None) -> DataFrame:

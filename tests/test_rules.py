@@ -216,9 +216,9 @@ def test_lines_that_no_part_reads_are_refused(spark):
 def test_many_definitions(spark):
     signatures = [identify.Signature(f"c{k}", "v", all=(rf"^header{k} +\w+$", r"^\d+"), none=(r"^!",)) for k in range(758)]
     texts = [f"header{k} x\n12\n" for k in (0, 7, 757)] + ["header9 x\n!\n12\n", "nothing\n"]
-    got = [r.parser for r in identify.identified(captures(spark, *texts), signatures).orderBy("capture_id").collect()]
-    assert got == ["c0", "c7", "c757", None, None]
-    plan = identify.identified(captures(spark, *texts), signatures)._jdf.queryExecution().executedPlan().toString()
+    told = identify.identified(captures(spark, *texts), signatures)
+    assert [r.parser for r in sorted(told.collect(), key=lambda r: r.capture_id)] == ["c0", "c7", "c757", None, None]
+    plan = told._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert [identify.required_text(p) for p in (r"^Filesystem\s+Size", "a|b", r"x?yz+[ab]\.c{2}", "(?i)abc")] == ["Filesystem", "", "yz", ""]
 
