@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.steps import held
+from ..functions.text import let
 from .common import BLANKS
 
 BUCKETS = 8192
@@ -41,7 +43,8 @@ def words_of(text: Column) -> Column:
 
 def paired(hashes: Column, gap: int) -> Column:
     """Hash of each element with the one ``gap`` places on, where there is one."""
-    whole = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + gap)))
+    # bound once: inside a lambda the array would be computed anew for each element
+    whole = let(hashes, lambda all_: F.transform(all_, lambda h, i: F.xxhash64(h, F.get(all_, i + gap))))
     return F.slice(whole, 1, F.greatest(F.size(hashes) - gap, F.lit(0)))
 
 
@@ -71,12 +74,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
     # most texts repeat no window, which a set of the hashes tells; only the others are sorted
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     out = out.withColumn("pairs", F.when(repeats, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none))
-    pairs = F.col("pairs")
 
-    def stands_twice(p: Column, k: Column) -> Column:
-        return F.get(pairs, k + 1)["h"].eqNullSafe(p["h"]) | F.get(pairs, k - 1)["h"].eqNullSafe(p["h"])
+    def twice(pairs: Column) -> Column:
+        return F.filter(pairs, lambda p, k: F.get(pairs, k + 1)["h"].eqNullSafe(p["h"]) | F.get(pairs, k - 1)["h"].eqNullSafe(p["h"]))
 
-    out = out.withColumn("twice", F.array_sort(F.transform(F.filter(pairs, stands_twice), lambda p: p["i"])))
+    out = out.withColumn("twice", F.array_sort(F.transform(let(F.col("pairs"), twice), lambda p: p["i"])))
     covered = F.aggregate(F.col("twice"), F.struct(F.lit(0).alias("until"), F.lit(0).alias("n")), lambda a, i: F.struct((i + WINDOW).alias("until"), (a["n"] + i + WINDOW - F.greatest(a["until"], i)).alias("n")))["n"]
     out = out.withColumn("n_repeat_words", covered.cast("long"))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -90,6 +92,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     hashes = docs.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     # buckets as small integers: less than the text to shuffle
     own = hashes.select("doc_id", F.transform(F.concat("hashes", paired(F.col("hashes"), 1)), lambda h: bucket(h).cast("short")).alias("buckets"))
+    own = own.withColumn("buckets", held(F.col("buckets")))  # no filter on them is moved to before they are made
     told = own.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")  # never a broadcast: the labels grow with the documents
     grams = told.select(F.col("good_id").isNotNull().cast("int").alias("good"), F.explode("buckets").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()
