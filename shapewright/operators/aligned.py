@@ -7,6 +7,7 @@ is gathered.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Mapping, Sequence
@@ -16,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.convert import Field
+from ..functions.convert import Field, compiled
+from ..functions.steps import held
 from ..functions.text import normal_name
 from .lines import exploded
 from .parse import cells_reader
@@ -75,6 +77,47 @@ def cut(line: str, starts: Sequence[int]) -> list[str] | None:
     return cells
 
 
+def heading_starts(header: str) -> tuple[list[int], list[str]]:
+    """Display columns at which headings begin, and the headings: told apart by
+    gaps of two spaces, or, where there is no such gap, by single ones."""
+    text = header.expandtabs(8)
+    wide = re.compile(r"\S+(?: \S+)*") if "  " in text.strip() else re.compile(r"\S+")
+    found = list(wide.finditer(text))
+    return [width(text[: m.start()]) for m in found], [m.group() for m in found]
+
+
+def aligned_derived(captures: DataFrame, rules: Mapping[str, Field] | None = None, *, rename: Mapping[str, str] | None = None, raw: bool = False) -> DataFrame:
+    """Rows of tables whose first line heads the columns and names the keys: each
+    row is a map, and keys that have a rule are typed columns beside it. Headings
+    that are empty or alike refuse their table, lines that don't fit themselves."""
+
+    @F.pandas_udf("names array<string>, cells array<string>")
+    def read(line: pd.Series, header: pd.Series) -> pd.DataFrame:
+        known: dict[str, tuple[list[int], list[str]]] = {}
+        out = []
+        for text, head in zip(line, header, strict=True):
+            if head not in known:
+                starts, names = heading_starts(head or "")
+                names = [normal_name(n) for n in names]
+                known[head] = starts, [(rename or {}).get(n, n) for n in names]
+            starts, names = known[head]
+            out.append((names, cut(text.expandtabs(8), starts) if starts else None))
+        return pd.DataFrame(out, columns=["names", "cells"])
+
+    reach_workers(captures.sparkSession)
+    df = captures.withColumn("header", F.get("lines", F.lit(0))["text"]).withColumn("lines", F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))))
+    df = exploded(df, "header").withColumn("read", read("line", "header")).select("*", "read.names", "read.cells")
+    alike = F.exists("names", lambda n: n == "") | (F.size(F.array_distinct("names")) < F.size("names"))
+    why = F.coalesce("trouble", F.when(alike, F.lit("headings that are empty or alike")).when(F.col("cells").isNull(), F.concat(F.lit("not aligned: "), F.col("line"))))
+    df = df.withColumn("why", why).withColumn("cells", F.when(F.col("why").isNull(), F.map_from_arrays("names", "cells")))
+    typed, reasons = {}, [F.col("why")]
+    for k, rule in ({} if raw else rules or {}).items():
+        cell = F.try_element_at("cells", F.lit(k))
+        typed[k], unfit = compiled(cell, rule, k)
+        reasons.append(F.when(F.col("why").isNull(), unfit))
+    return df.select("capture_id", "num", "cells", *[v.alias(k) for k, v in typed.items()], held(F.coalesce(*reasons)).alias("refusal"))
+
+
 def aligned_rows(captures: DataFrame, columns: Sequence[str], rules: Mapping[str, Field] | None = None, *, raw: bool = False) -> DataFrame:
     """Rows of tables whose first line heads the columns; keys as given. Empty
     cells are empty texts, and lines that don't fit are refused."""

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import let
+from ..sources.readers import json_refusal
+from .shape import Shape
+
+#: Limits of a built document.
+MOST_DEPTH, MOST_VALUES = 1000, 4_194_304
+#: Bytes of a file whose text becomes a member.
+MOST_FILE = 1 << 20
 
 
 class UsageError(ValueError):
@@ -18,7 +26,10 @@ def pointer(path: str) -> list[str]:
     """Steps of an RFC 6901 pointer."""
     if path and not path.startswith("/"):
         raise UsageError(f"{path}: a pointer begins with /")
-    return [p.replace("~1", "/").replace("~0", "~") for p in path.split("/")[1:]]
+    steps = [p.replace("~1", "/").replace("~0", "~") for p in path.split("/")[1:]]
+    if len(steps) > MOST_DEPTH:
+        raise UsageError(f"{path[:40]}: over {MOST_DEPTH} steps")
+    return steps
 
 
 class Node(dict):
@@ -100,6 +111,8 @@ def built(*members: tuple[str, str, Column]) -> Column:
     ``=`` takes the value as a string, ``:=`` as JSON already, ``[]=`` adds a
     string to a list, and ``path`` and ``path:=`` place a string or JSON by pointer.
     """
+    if len(members) > MOST_VALUES:
+        raise UsageError(f"over {MOST_VALUES} values")
     root = Node()
     for operator, key, value in members:
         body = value if operator.endswith(":=") else json_text(value)
@@ -117,6 +130,30 @@ def built(*members: tuple[str, str, Column]) -> Column:
     return _rendered(root)
 
 
+def array_built(*values: tuple[str, Column]) -> Column:
+    """A JSON list from (operator, value): ``=`` takes a string, ``:=`` JSON."""
+    if unknown := [o for o, _ in values if o not in ("=", ":=")]:
+        raise UsageError(f"{', '.join(unknown)}: no operator for a list's values")
+    if len(values) > MOST_VALUES:
+        raise UsageError(f"over {MOST_VALUES} values")
+    return listed(*[v if o == ":=" else json_text(v) for o, v in values])
+
+
+def file_text(spark: SparkSession, path: str, *, as_json: bool = False) -> Column:
+    """A file's text as a value, its line ends kept; for ``:=`` it must be one JSON
+    value. The file is a plan's constant, so it is of at most 1 MiB."""
+    length = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    if length is None or length > MOST_FILE:
+        raise UsageError(f"{path}: no file of at most {MOST_FILE} bytes")
+    whole = spark.read.text(path, wholetext=True)
+    valid = F.is_valid_utf8("value")
+    row = whole.select("value", valid.alias("valid"), (json_refusal(F.col("value")) if as_json else F.lit(None)).alias("why")).first()
+    text, good, why = row if row else ("", True, "not JSON" if as_json else None)
+    if not good or why:
+        raise UsageError(f"{path}: {why or 'not UTF-8'}")
+    return F.lit(text.strip(" \t\r\n") if as_json else text)
+
+
 def each(df: DataFrame, *members: tuple[str, str, Column]) -> DataFrame:
     """``df`` with document: one JSON text for each row."""
     return df.withColumn("document", built(*members))
@@ -136,13 +173,63 @@ def excluded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.drop(*keys)
 
 
-def encoded(df: DataFrame, omittable: Sequence[str] = ()) -> DataFrame:
-    """(json): each row as one JSON object in the columns' order. A null is
-    written as null, or left out where its key may be."""
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        body = json_text(c) if f.dataType.simpleString() == "string" else number_text(c) if f.dataType.simpleString() == "double" else F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)\A\{\"v\":(.*)\}\z", 1)
-        member = F.concat(json_text(F.lit(f.name)), F.lit(":"), F.when(c.isNull(), F.lit(None) if f.name in omittable else F.lit("null")).otherwise(body))
-        parts.append(member)
-    return df.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
+def read_only(shape: Shape, captures: DataFrame, *, extract: Sequence[str] = (), exclude: Sequence[str] = (), mode: str = "fail") -> DataFrame:
+    """A shape's rows (a composite's or records' documents) with only some keys,
+    or without some. A document's keys are its parts. Keys that the shape doesn't
+    have are a usage error, raised from its schema before any text is read."""
+    if extract and exclude:
+        raise UsageError("keys to extract, or keys to exclude, not both")
+    parted = bool(shape.parts)
+    rows = shape.documents(captures, mode) if parted else shape.read(captures, mode)
+    if not extract and not exclude:
+        return rows
+    kept = [c for c in ("capture_id", "record", "num", "refusal") if c in rows.columns]
+    keys = list(shape.parts) if parted else [c for c in rows.columns if c not in kept]
+    if unknown := [k for k in (*extract, *exclude) if k not in keys]:
+        raise UsageError(f"no key {', '.join(unknown)}; there are {', '.join(keys)}")
+    return rows.select(*kept, *(extract or [k for k in keys if k not in exclude]))
+
+
+def _framed(marks: str, parts: Column, indent: str, depth: int) -> Column:
+    """Members in brackets, each on a line of its own if there is an indent."""
+    if not indent:
+        return F.concat(F.lit(marks[0]), F.array_join(parts, ","), F.lit(marks[1]))
+    inner, outer = "\n" + indent * (depth + 1), "\n" + indent * depth
+    full = F.concat(F.lit(marks[0] + inner), F.array_join(parts, "," + inner), F.lit(outer + marks[1]))
+    return F.when(F.size(parts) == 0, marks).otherwise(full)
+
+
+def _json_of(c: Column, kind: T.DataType, indent: str, depth: int, omittable: Sequence[str] = ()) -> Column:
+    """A value as JSON text by its type; a null is ``null`` wherever it stands."""
+    colon = ": " if indent else ":"
+    if isinstance(kind, T.StructType):
+
+        def member(f: T.StructField) -> Column:
+            own = _json_of(c[f.name], f.dataType, indent, depth + 1)
+            if f.name in omittable:
+                own = F.when(c[f.name].isNotNull(), own)
+            return F.concat(json_text(F.lit(f.name)), F.lit(colon), own)
+
+        body = _framed("{}", F.array_compact(F.array(*[member(f) for f in kind.fields])), indent, depth)
+    elif isinstance(kind, T.ArrayType):
+        body = _framed("[]", F.transform(c, lambda x: _json_of(x, kind.elementType, indent, depth + 1)), indent, depth)
+    elif isinstance(kind, T.MapType):
+        body = _framed("{}", F.transform(F.map_entries(c), lambda e: F.concat(json_text(e["key"].cast("string")), F.lit(colon), _json_of(e["value"], kind.valueType, indent, depth + 1))), indent, depth)
+    elif isinstance(kind, T.StringType):
+        body = json_text(c)
+    elif isinstance(kind, T.DoubleType):
+        body = number_text(c)
+    elif isinstance(kind, (T.IntegralType, T.BooleanType, T.DecimalType)):
+        body = c.cast("string")
+    else:
+        body = F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)\A\{\"v\":(.*)\}\z", 1)
+    return F.when(c.isNull(), "null").otherwise(body)
+
+
+def encoded(df: DataFrame, omittable: Sequence[str] = (), *, indent: str = "") -> DataFrame:
+    """(json): each row as one JSON object in the columns' order, on one line or,
+    with an ``indent``, each member on its own. A null is written as null, also
+    within lists and objects, or left out where its key may be; a map's keys
+    stand in its order."""
+    row = F.struct(*[F.col(f"`{n}`") for n in df.columns])
+    return df.select(_json_of(row, df.schema, indent, 0, omittable).alias("json"))

@@ -57,6 +57,12 @@ def strangers(captures: DataFrame, signatures: Sequence[Signature], owner: str =
     return candidates(own, signatures).filter(~F.col("capture_id.owner").eqNullSafe(F.col("parser"))).select("capture_id.capture_id", "parser", "variant")
 
 
+def decoys(captures: DataFrame, signatures: Sequence[Signature]) -> DataFrame:
+    """(capture_id, parser, variant): definitions that claim a text which only
+    looks like theirs; there should be none."""
+    return strangers(captures.withColumn("owner", F.lit(None).cast("string")), signatures)
+
+
 def early_settled(captures: DataFrame, signatures: Sequence[Signature]) -> DataFrame:
     """(capture_id, parser, variant, early): the choice on the whole text beside
     whether its leading lines, as many as the widest window asks for, give the same."""

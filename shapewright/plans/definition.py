@@ -14,7 +14,7 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.convert import Field
@@ -122,6 +122,21 @@ def definition(text: str, *, kind: str = "json", command: str = "inline", varian
     return Definition(shape, Signature(command, variant, source, **signature) if signature is not None else None)
 
 
+def disabled(spark: SparkSession, path: str, source: int = 0) -> DataFrame:
+    """(parser, variant, source) of what a folder's manifest.json disables in the
+    sources after it, for ``identify.without_disabled``: a list ``disable`` of
+    commands (variant null) and command/variant pairs. No manifest disables nothing."""
+    files = spark.read.option("pathGlobFilter", "manifest.json").text(path, wholetext=True)
+    rows: list[tuple[str, str | None, int]] = []
+    for row in files.toLocalIterator():
+        given = _parsed(row.value, "json")
+        names = given.get("disable", []) if isinstance(given, Mapping) else None
+        if not isinstance(names, list) or not all(isinstance(n, str) and re.fullmatch(r"[a-z0-9][a-z0-9-]*(?:/[a-z0-9][a-z0-9-]*)?", n) for n in names):
+            raise DefinitionError("manifest.json: disable isn't a list of commands and command/variant pairs")
+        rows += [(*([*n.split("/"), None][:2]), source) for n in names]
+    return spark.createDataFrame(rows, "parser string, variant string, source int")
+
+
 def registry(spark: SparkSession, path: str, source: int = 0) -> tuple[dict[tuple[str, str], Definition], dict[str, str]]:
     """The definitions of a folder by (command, variant), and by file what is
     wrong with the others. Definitions are read by the driver, as patterns that

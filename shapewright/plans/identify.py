@@ -209,14 +209,17 @@ def near_misses(captures: DataFrame, signatures: Sequence[Signature], *, named:
     """(capture_id, parser, variant, source, reason): definitions whose text
     matches but which system or arguments rule out, and named ones whose text doesn't."""
 
-    def missed(s: Signature) -> Column:
-        fits = _fits(s)
-        why = F.when(fits, against(captures, s, named))
-        if named:
-            why = why.when(~fits, F.lit("the text doesn't match"))
-        return let(why, lambda w: F.when(w.isNotNull(), _told(s, reason=w)))
+    open_ = _open(signatures, named, variant)
+    return _flagged(captures, open_, lambda s: _missed(captures, s, named)).select("capture_id", F.inline("found"))
+
 
-    return _flagged(captures, _open(signatures, named, variant), missed).select("capture_id", F.inline("found"))
+def _missed(captures: DataFrame, s: Signature, named: str | None) -> Column:
+    """What rules a definition out, if its text matches or it is named."""
+    fits = _fits(s)
+    why = F.when(fits, against(captures, s, named))
+    if named:
+        why = why.when(~fits, F.lit("the text doesn't match"))
+    return let(why, lambda w: F.when(w.isNotNull(), _told(s, reason=w)))
 
 
 def _candidates(captures: DataFrame, signatures: Sequence[Signature], named: str | None, variant: str | None, text: bool = True) -> DataFrame:
@@ -253,10 +256,25 @@ def identified(captures: DataFrame, signatures: Sequence[Signature], *, named: s
 
     Where ``captures`` have a ``path`` and nothing is named, one that suggests a
     definition that the text fits decides; where it doesn't fit, the path says nothing."""
-    df = _candidates(captures, signatures, named, variant)
+    return _settled(_candidates(captures, signatures, named, variant), named).select("capture_id", "parser", "variant", "refusal")
+
+
+def explained(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None, variant: str | None = None) -> DataFrame:
+    """(capture_id, parser, variant, refusal, candidates, rejected): the choice, the
+    definitions it was made from, best first, and those that something other than
+    the text rules out, with the reason. All of it is told in the capture's row."""
+    df = _settled(_candidates(captures, signatures, named, variant), named)
+    rejected = F.array_compact(F.array(*[_missed(captures, s, named) for s in _open(signatures, named, variant)]))
+    names = F.transform("ranked", lambda c: F.concat_ws("/", c["parser"], c["variant"]))
+    told = F.transform(rejected, lambda r: F.concat(r["parser"], F.lit("/"), r["variant"], F.lit(": "), r["reason"]))
+    return df.select("capture_id", "parser", "variant", "refusal", names.alias("candidates"), told.alias("rejected"))
+
+
+def _settled(df: DataFrame, named: str | None) -> DataFrame:
+    """``df`` with the choice among found."""
     least = F.array_min(F.transform("found", lambda c: c["source"]))
     first = let(least, lambda n: F.filter("found", lambda c: c["source"] == n))
-    if "path" in captures.columns and not named:
+    if "path" in df.columns and not named:
         parser, at = evidence(F.col("path"))
         meant = F.filter("found", lambda c: (c["parser"] == parser) & (c["variant"] == at))
         first = F.when(F.size(meant) > 0, F.slice(meant, 1, 1)).otherwise(first)
@@ -269,7 +287,7 @@ def identified(captures: DataFrame, signatures: Sequence[Signature], *, named: s
     clear = (F.size("ranked") == 1) | ((F.size("ranked") > 1) & alone & (best["priority"] > second["priority"]))
     names = F.array_join(F.array_sort(F.transform("ranked", lambda c: F.concat_ws("/", c["parser"], c["variant"]))), ", ")
     refusal = F.when(F.size("ranked") == 0, F.lit("no definition matches")).when(~clear, F.concat(F.lit("ambiguous: "), names))
-    return df.select("capture_id", F.when(clear, best["parser"]).alias("parser"), F.when(clear, best["variant"]).alias("variant"), refusal.alias("refusal"))
+    return df.withColumns({"parser": F.when(clear, best["parser"]), "variant": F.when(clear, best["variant"]), "refusal": refusal})
 
 
 def lookup(definitions: DataFrame, *, parser: str | None = None, aliases: DataFrame | None = None) -> DataFrame:

@@ -20,6 +20,8 @@ from ..operators.lines import Region, dropped, exploded, read_by, regioned, sele
 
 #: Limits of a definition.
 MOST_COLUMNS, MOST_PARTS, MOST_ALTERNATIVES, MOST_NESTING = 256, 32, 16, 8
+#: Fixed value: what one document may keep.
+MOST_VALUES = 4_194_304
 PARSES = ("regex", "regex_input", "table", "aligned", "box", "csv", "kv_list", "kv_map", "ini", "tree", "records", "composite", "ltsv")
 
 
@@ -60,7 +62,7 @@ class Shape:
             found.append("columns: a table needs them, unless they are derived from its header")
         if self.derived and self.columns:
             found.append("columns: written out, or derived from the header, not both")
-        if self.derived and self.parse not in ("table", "csv"):
+        if self.derived and self.parse not in ("table", "csv", "aligned"):
             found.append("derived: only a table's columns are")
         if (self.rename or self.leading_label) and not self.derived:
             found.append("rename, leading_label: only for names derived from a header")
@@ -131,6 +133,8 @@ class Shape:
             return parse.headed_table(df, self.fields, columns=self.columns, delimiter=self.delimiter, most=self.most, least=self.least, raw=self.raw)
         if self.parse == "regex_input":
             return parse.regex_input(df, self.patterns, self.fields, raw=self.raw)
+        if self.parse == "aligned" and self.derived:
+            return aligned.aligned_derived(df, self.fields, rename=self.rename, raw=self.raw)
         if self.parse == "aligned":
             return aligned.aligned_rows(df, self.columns, self.fields, raw=self.raw)
         if self.parse == "box":
@@ -177,7 +181,7 @@ class Shape:
         are those read by patterns, tables with columns written out, and pairs."""
         df = self.parted(captures)
         keep = ["capture_id", "record"] if self.parse == "records" else ["capture_id"]
-        values, reasons = [], [F.col("refusal")]
+        values, reasons, n_values = [], [F.col("refusal")], F.lit(0)
         for name, part in self.parts.items():
             at = F.col(f"`part {name}`")
             if reader := part.line_reader():
@@ -185,6 +189,7 @@ class Shape:
                 read = F.col(f"`read {name}`")
                 reasons.append(F.get(F.array_compact(F.transform(read, lambda x: x["refusal"])), F.lit(0)))
                 values.append(_only(read, reader.keys).alias(name))
+                n_values = n_values + F.size(read) * len(reader.keys)
             elif part.parse == "regex_input":
                 reader = parse.regex_reader(part.patterns, part.fields, part.raw)
                 df = df.withColumn(f"read {name}", reader.value(parse.joined_lines(at)))
@@ -193,6 +198,7 @@ class Shape:
                 values.append(F.struct(*[read[k].alias(k) for k in reader.keys]).alias(name))
             else:
                 raise DefinitionError(f"{name}: {part.parse} isn't read inside a document; use read_parts")
+        reasons.append(F.when(n_values > MOST_VALUES, F.lit(f"over {MOST_VALUES} values")))
         return parse.settle_refusals(df.select(*keep, *values, parse.held(F.coalesce(*reasons)).alias("refusal")), mode)
 
     def schema(self, spark: SparkSession) -> T.StructType:

@@ -7,6 +7,10 @@ of decimals, so that the texts are the same in both engines.
 
 from __future__ import annotations
 
+import importlib.util
+import tempfile
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +26,7 @@ from .plans.identify import Signature
 from .plans.shape import Shape
 from .sources import readers
 from .sources.readers import evidence, json_refusal
+from .streaming import stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -893,3 +898,135 @@ def kv_map_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = c.select(F.col("c_custkey").alias("capture_id"), F.concat(F.lit("nation = "), value, F.lit("\nname="), F.col("c_name"), F.lit("\n")).alias("text"))
     rows = Shape("kv_map", fields={"nation": Field("int")}).read(texts, "report")
     return rows.select("capture_id", F.col("refusal").isNotNull().alias("refused"), F.col("pairs")["nation"].alias("nation"))
+
+
+@query("""
+select '{' || chr(10) || '  "key": ' || c_custkey || ',' || chr(10) || '  "tags": [' || chr(10) || '    "' || c_mktsegment || '",' || chr(10) || '    null' || chr(10) || '  ],' || chr(10)
+  || '  "none": [],' || chr(10) || '  "at": {' || chr(10) || '    "nation": ' || c_nationkey || ',' || chr(10) || '    "half": 0.5,' || chr(10) || '    "note": null' || chr(10) || '  }' || chr(10) || '}' as json
+from customer
+""")
+def json_indented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with lists and objects in them, each member on a line of its own."""
+    c = table(spark, sf_dir, "customer")
+    none = F.lit(None).cast("string")
+    at = F.struct(F.col("c_nationkey").alias("nation"), F.lit(0.5).alias("half"), none.alias("note"))
+    rows = c.select(F.col("c_custkey").alias("key"), F.array("c_mktsegment", none).alias("tags"), F.array().cast("array<int>").alias("none"), at.alias("at"))
+    return build.encoded(rows, indent="  ")
+
+
+@query("""select c_custkey as "key", '["' || c_name || '",' || c_nationkey || ',{"a":[null]}]' as document from customer""")
+def array_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON list whose values are typed by operator."""
+    values = [("=", F.col("c_name")), (":=", F.col("c_nationkey").cast("string")), (":=", F.lit('{"a":[null]}'))]
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), build.array_built(*values).alias("document"))
+
+
+def customer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("capture_id"), F.concat(F.lit("Customer: "), F.col("c_name"), F.lit("\nSegment:\n"), F.col("c_mktsegment"), F.lit("\n")).alias("text"))
+
+
+CARD = Shape("composite", parts={
+    "head": Shape("regex", Region(limit=1), [r"^Customer: (?P<customer>.+)$"]),
+    "segment": Shape("regex", Region(after="^Segment:$"), [r"^(?P<segment>.+)$"]),
+})
+
+
+@query("""select c_custkey as capture_id, c_mktsegment as segment from customer""")
+def composite_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a composite's documents one part is kept, whole."""
+    kept = build.read_only(CARD, customer_cards(spark, sf_dir), extract=["segment"])
+    return kept.select("capture_id", F.get("segment.segment", F.lit(0)).alias("segment"))
+
+
+@query("""select o_orderkey as capture_id, o_orderstatus as status from orders""")
+def keys_before_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are held against the shape's schema, before a text is read."""
+    o = table(spark, sf_dir, "orders")
+    texts = o.select(F.col("o_orderkey").alias("capture_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderstatus"), F.lit("\n")).alias("text"))
+    shape = Shape("regex", patterns=[r"^order (?P<order>\d+) (?P<status>[FOP])$"], fields={"order": Field("int", required=True)})
+    return build.read_only(shape, texts, exclude=["order"]).select("capture_id", "status")
+
+
+@query("""
+select c_custkey as capture_id, case when c_custkey % 3 < 2 then 'disk' end as parser, case c_custkey % 3 when 0 then 'linux' when 1 then 'bsd' end as variant,
+  case when c_custkey % 3 = 2 then 'ambiguous: disk/bsd, disk/linux' end as refusal,
+  case c_custkey % 3 when 0 then 'disk/linux' when 1 then 'disk/bsd' else 'disk/linux, disk/bsd' end as candidates,
+  case c_custkey % 3 when 0 then 'disk/bsd: only for freebsd, darwin' when 1 then 'disk/linux: only for linux' else '' end as rejected
+from customer
+""")
+def explained_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = identify.explained(systems(spark, sf_dir), CHOICES)
+    return told.withColumns({c: F.array_join(c, ", ") for c in ("candidates", "rejected")})
+
+
+@query("""select distinct o_custkey as capture_id, 'orders' as parser, 'report' as variant from orders where o_custkey % 2 = 1""")
+def decoys_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that look like a report's, of which a signature tells half apart."""
+    looks = order_report(spark, sf_dir).withColumn("text", F.concat("text", F.when(F.col("capture_id") % 2 == 0, "total 1\n").otherwise("")))
+    return conformance.decoys(looks, [Signature("orders", "report", all=(r"^order \d+ [FOP]$",), none=(r"^total \d",))])
+
+
+@query("""select n_regionkey as capture_id, n_name as name, n_nationkey::bigint as nation_key from nation""")
+def aligned_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aligned table's keys from its heading."""
+    n = table(spark, sf_dir, "nation")
+    texts = gathered(n, "n_regionkey", "n_nationkey", F.rpad("n_name", 26, " "), F.col("n_nationkey").cast("string"))
+    texts = texts.withColumn("text", F.concat(F.rpad(F.lit("Name"), 26, " "), F.lit("Nation Key\n"), "text"))
+    rows = Shape("aligned", derived=True, fields={"nation_key": Field("int")}).read(texts)
+    return rows.select("capture_id", F.col("cells")["name"].alias("name"), "nation_key")
+
+
+if importlib.util.find_spec("yaml"):
+
+    @query("""
+select c_custkey as capture_id, c_custkey % 4 = 1 as refused,
+  case when c_custkey % 4 <> 1 then '{"name":"' || c_name || '","nation":' || c_nationkey || ',"none":null,"wide":123456789012345678901234567890,"text":"7","all":["a",true,1.5,8]}' end as json
+from customer
+""")
+    def yaml_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Core scalars by their spelling; a key given twice is refused."""
+        c = table(spark, sf_dir, "customer")
+        twice = F.when(F.col("c_custkey") % 4 == 1, F.lit("name: again\n")).otherwise("")
+        text = F.concat(F.lit("name: "), "c_name", F.lit("\nnation: "), F.col("c_nationkey").cast("string"), F.lit("\nnone:\nwide: 123456789012345678901234567890\ntext: '7'\nall: [a, true, 1.5, 0o10]\n"), twice)
+        read = readers.yaml_documents(c.select(F.col("c_custkey").alias("capture_id"), text.alias("text")))
+        return read.select("capture_id", F.col("refusal").isNotNull().alias("refused"), "json")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("streams need spark.checkpoint.dir, a folder that executors share")
+    return f"{shared}/streams-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="streams-")
+
+
+def streamed(spark: SparkSession, rows: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming plan gives for a table's rows, which come file by file."""
+    place = scratch(spark)
+    rows.write.parquet(f"{place}/in")
+    plan = made(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in"))
+    run = plan.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(plan.schema).parquet(f"{place}/out")
+
+
+@query("""select c_custkey as capture_id, c_name as name, c_nationkey::bigint as nation from customer""")
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a stream read one by one, by the plan that reads whole texts."""
+    c = table(spark, sf_dir, "customer")
+    lines_ = c.select(F.col("c_custkey").alias("capture_id"), F.lit(1).cast("long").alias("num"), F.concat("c_name", F.lit(" "), F.col("c_nationkey").cast("string")).alias("line"))
+    shape = Shape("table", columns=["name", "nation"], fields={"nation": Field("int")})
+    return streamed(spark, lines_, lambda s: stream.stream_rows(s, shape)).select("capture_id", "name", "nation")
+
+
+@query("""select n_regionkey as capture_id, row_number() over (partition by n_regionkey order by n_nationkey)::int as record, 'nation ' || n_name || chr(10) || '  key ' || n_nationkey as text from nation""")
+def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a stream, each out as soon as the next begins or its text ends."""
+    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name")
+    told = F.array(F.struct(F.lit(0).alias("at"), F.concat(F.lit("nation "), "n_name").alias("line")), F.struct(F.lit(1).alias("at"), F.concat(F.lit("  key "), F.col("n_nationkey").cast("string")).alias("line")))
+    own = n.select(F.col("n_regionkey").alias("capture_id"), "n_nationkey", F.inline(told)).select("capture_id", (F.col("n_nationkey") * 2 + F.col("at")).cast("long").alias("num"), "line", F.lit(False).alias("last"))
+    ends = n.select(F.col("n_regionkey").alias("capture_id")).distinct().select("capture_id", F.lit(1 << 40).cast("long").alias("num"), F.lit(None).cast("string").alias("line"), F.lit(True).alias("last"))
+    # one file, in order: a stream gives a text's lines as they were written
+    made = streamed(spark, own.union(ends).repartition(1).sortWithinPartitions("capture_id", "num"), lambda s: stream.stream_blocks(s, "^nation "))
+    return made.select("capture_id", "record", F.array_join("texts", "\n").alias("text"))

@@ -8,12 +8,15 @@ one row, of at most 64 MiB.
 from __future__ import annotations
 
 import json
+import math
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.parse import ltsv_rows
+from ..operators.workers import reach_workers
 
 #: Formats by extension.
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".ltsv": "ltsv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".yaml": "yaml", ".yml": "yaml"}
@@ -103,9 +106,54 @@ def rectangular_csv(spark: SparkSession, path: str, separator: str = ",") -> Dat
     return spark.read.csv(path, header=True, sep=separator, quote='"', escape='"', multiLine=True, mode="FAILFAST", inferSchema=False)
 
 
+#: Plain scalars of YAML's core schema.
+YAML_NULLS, YAML_TRUE, YAML_FALSE = ("", "~", "null", "Null", "NULL"), ("true", "True", "TRUE"), ("false", "False", "FALSE")
+YAML_INT, YAML_BASES = r"[-+]?[0-9]+", {"0o": 8, "0x": 16}
+YAML_FLOAT = r"[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?"
+YAML_NO_NUMBER = r"[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN)"
+
+
+def yaml_scalar(text: str) -> object:
+    """What a plain scalar means; a whole number keeps all its digits. One that
+    JSON can't tell is a ValueError."""
+    if text in YAML_NULLS:
+        return None
+    if text in YAML_TRUE + YAML_FALSE:
+        return text in YAML_TRUE
+    if re.fullmatch(YAML_NO_NUMBER, text):
+        raise ValueError(f"{text} isn't a number in JSON")
+    if re.fullmatch(YAML_INT, text):
+        return int(text)
+    if re.fullmatch("0o[0-7]+|0x[0-9a-fA-F]+", text):
+        return int(text[2:], YAML_BASES[text[:2]])
+    if re.fullmatch(YAML_FLOAT, text):
+        if math.isinf(value := float(text)):
+            raise ValueError(f"{text} is too large")
+        return value
+    return text
+
+
+def _yaml_value(node) -> object:
+    """A composed YAML node as what JSON holds."""
+    if node.id == "scalar":
+        return node.value if node.style else yaml_scalar(node.value)
+    if node.id == "sequence":
+        return [_yaml_value(x) for x in node.value]
+    made: dict[str, object] = {}
+    for key, value in node.value:
+        if key.id != "scalar":
+            raise ValueError("a key that isn't a scalar")
+        if key.value in made:
+            raise ValueError(f"the key {key.value} twice")
+        made[key.value] = _yaml_value(value)
+    return made
+
+
 def yaml_documents(df: DataFrame) -> DataFrame:
-    """``df`` (capture_id, text) with json, for YAML of block and flow maps, lists
-    and core scalars, where PyYAML is there; what it can't read is refused."""
+    """``df`` (capture_id, text) with json, for one YAML document of block and flow
+    maps, lists and core scalars, where PyYAML is there. An empty text is null. A
+    second document, anchors, aliases, tags, a key twice, numbers that JSON can't
+    hold and a null text are refused."""
     try:
         import yaml
     except ImportError as e:
@@ -118,11 +166,16 @@ def yaml_documents(df: DataFrame) -> DataFrame:
         out = []
         for t in texts:
             try:
+                if t is None:
+                    raise ValueError("no text")
                 if any(isinstance(x, (yaml.AliasToken, yaml.AnchorToken, yaml.TagToken)) for x in yaml.scan(t)):
                     raise ValueError("anchors, aliases and tags aren't read")
-                out.append((json.dumps(yaml.load(t, yaml.BaseLoader), ensure_ascii=False), None))
-            except (yaml.YAMLError, ValueError) as e:
+                node = yaml.compose(t, yaml.BaseLoader)
+                made = None if node is None else _yaml_value(node)
+                out.append((json.dumps(made, ensure_ascii=False, separators=(",", ":")), None))
+            except (yaml.YAMLError, ValueError, RecursionError) as e:
                 out.append((None, str(e)))
         return pd.DataFrame(out, columns=["json", "refusal"])
 
+    reach_workers(df.sparkSession)
     return df.withColumn("read", read("text")).select("*", "read.json", "read.refusal").drop("read")

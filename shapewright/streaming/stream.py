@@ -10,17 +10,19 @@ needs all lines is held, within the same bound, until its capture ends.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import trimmed
 from ..operators.csv_text import open_quote, records
 from ..operators.lines import MOST_BYTES, dropped, prepared
 from ..operators.parse import settle_refusals
+from ..plans.build import encoded
 from ..plans.shape import DefinitionError, Shape
 
 MOST_HELD = MOST_BYTES
@@ -40,6 +42,12 @@ def stream_rows(lines: DataFrame, shape: Shape, mode: str = "fail") -> DataFrame
     return settle_refusals(shape.line_reader().rows(own, ("capture_id", "num")), mode)
 
 
+def write_json_lines(rows: DataFrame, path: str, state: str, *, omittable: Sequence[str] = (), **trigger) -> StreamingQuery:
+    """Starts writing each row of a stream as one JSON line, once. A record that is
+    refused ends the query; what was written before it stands."""
+    return encoded(rows, omittable).writeStream.format("text").option("path", path).option("checkpointLocation", state).trigger(**trigger or {"availableNow": True}).start()
+
+
 def _blocks(starts: str, joined: bool):
     """Handles a capture's new lines: the open block is the state. ``starts``
     matches a block's first line, or where ``joined`` the lines that continue one."""
