@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, jpeg_media, licenses, line_dedup, mixture, ngram_rules, piece_codec, quality_net, simhash, suffix_dedup
+from . import hilbert, jpeg_media, licenses, line_dedup, mixture, ngram_rules, periodic_runs, piece_codec, pivot_links, quality_net, simhash, suffix_dedup, whitening
 from .common import table
 
 
@@ -56,7 +56,20 @@ def op10_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_piece_codec, op3_quality_net, op4_hilbert_shards, op5_simhash, op6_source_mixture, op7_suffix_dedup, op8_line_dedup, op9_jpeg_media, op10_ngram_rules)}
+def op11_pivot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_links.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.with_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_piece_codec, op3_quality_net, op4_hilbert_shards, op5_simhash, op6_source_mixture, op7_suffix_dedup, op8_line_dedup, op9_jpeg_media, op10_ngram_rules, op11_pivot_links, op12_periodic_runs, op13_whitening)}
 
 ORACLES = {
     "op6_source_mixture": """
