@@ -4,8 +4,14 @@ Definitions use the dialect without backreferences and lookaround that reads
 ``(?P<name>...)``. The JVM's engine differs in a few classes and anchors, which
 ``translate`` writes out, so that what matches is the same in either.
 
-``first_match`` evaluates each pattern once a text and gives all groups of the
+``match_array`` evaluates each pattern once a text and gives all groups of the
 first match at once, as an array that is to be held in a column.
+
+No line runs over the matcher's stack: repeated groups are possessive where that
+changes no match (``loops``), and other patterns with them, the ``deep`` ones, are
+matched by Arrow's kernels, which are linear in time. Only where such a pattern is
+a condition inside an array of lines, which no kernel reaches, a line that is
+longer than the stack allows ends the query with an error.
 """
 
 from __future__ import annotations
@@ -13,13 +19,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.workers import reach_workers
+from .loops import POSIX, survey
+
 #: White space of \s in the definitions' dialect.
 SPACES = r"\t\n\f\r "
 MOST_PATTERN = 2048
+#: Edges of words, which have ASCII letters, digits and the underscore.
+WORD = "[0-9A-Za-z_]"
+EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+INSIDE = rf"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
+#: The JVM's names of the dialect's classes.
+JAVA_CLASSES = {"alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit"}
 #: Noncharacters that no text has: between the parts of a match, and before a text.
+WHOLE = "shapewright_whole"
 CUT, AHEAD = "﷐", "﷑"
 
 
@@ -33,7 +51,8 @@ class Pattern:
 
     ``parts`` is the pattern in pieces, with None and "" for where it says that
     the text begins and that a line of it does; ``optional`` names the groups
-    that may take no part in a match.
+    that may take no part in a match. A ``deep`` pattern is matched in the JVM
+    up to ``most`` characters; ``linear`` is the pattern for Arrow's kernels.
     """
 
     source: str
@@ -41,6 +60,9 @@ class Pattern:
     groups: dict[str, int]
     count: int
     optional: frozenset[str]
+    deep: bool = False
+    most: int = 0
+    linear: str = ""
 
     def written(self, text_begins: str = r"\A", line_begins: str = "^") -> str:
         return "".join(text_begins if p is None else p or line_begins for p in self.parts)
@@ -49,8 +71,15 @@ class Pattern:
     def java(self) -> str:
         return "(?d)" + self.written()
 
+    def within(self, text: Column, found: Column) -> Column:
+        """``found``, which the JVM tells of ``text``, where its stack allows that; an error elsewhere."""
+        if not self.deep:
+            return found
+        why = F.raise_error(F.lit(f"a text of over {self.most} characters under the pattern {self.source[:80]}"))
+        return F.when(F.length(text) > self.most, why).otherwise(found)
+
     def matches(self, text: Column) -> Column:
-        return text.rlike(self.java)
+        return self.within(text, text.rlike(self.java)).cast("boolean") if self.deep else text.rlike(self.java)
 
 
 @dataclass(frozen=True)
@@ -107,10 +136,44 @@ def match_array(text: Column, patterns: Sequence[Pattern]) -> Column:
             whole = rf"(?d)\A(?!{CUT})((?s:.*?))(?:{p.written()})((?s:.*))\z"
         after = p.count + 2
         shown = ["$1", f"${after}", *[f"${p.groups[n] + 1}" for n in names], *[f"${after + 1 + j}" for j in range(len(own))]]
-        at = F.regexp_replace(at, whole, CUT + CUT.join([str(k), *shown]))
+        at = p.within(text, F.regexp_replace(at, whole, CUT + CUT.join([str(k), *shown])))
     return F.when(~text.contains(CUT) & ~text.contains(AHEAD), F.split(at, CUT, -1))
 
 
+def _linear(texts: pa.Array, patterns: Sequence[tuple[str, tuple[str, ...], tuple[str, ...]]]) -> pa.Array:
+    """What ``match_array`` tells of each text; patterns are (source, groups, those that may take no part)."""
+    out: list[list[str] | None] = [None if t is None or CUT in t or AHEAD in t else [t] for t in texts.to_pylist()]
+    left = [k for k, t in enumerate(out) if t is not None]
+    for number, (source, groups, optional) in enumerate(patterns):
+        if not left:
+            break
+        spans = pc.extract_regex_span(texts.take(pa.array(left)), f"(?P<{WHOLE}>{source})").to_pylist()
+        for k, span in zip(left, spans, strict=True):
+            if span is not None:
+                raw = out[k][0].encode()
+                cut = {n: None if at is None else raw[at[0] : at[0] + at[1]].decode() for n, at in span.items()}
+                begins, length = span[WHOLE]
+                marks = [AHEAD if cut[n] == "" else "" for n in optional]
+                out[k] = ["", str(number), raw[:begins].decode(), raw[begins + length :].decode(), *[cut[n] or "" for n in groups], *marks]
+        left = [k for k, span in zip(left, spans, strict=True) if span is None]
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def linear_matches(texts: Column, patterns: Sequence[Pattern]) -> Column:
+    """``match_array`` of each of an array of texts, by Arrow's linear-time kernels.
+    It can't stand inside a lambda."""
+    told = [(p.linear, tuple(p.groups), tuple(n for n in p.groups if n in p.optional)) for p in patterns]
+    reach_workers(SparkSession.active())
+
+    @F.arrow_udf("array<array<string>>")
+    def found(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
+        return pa.ListArray.from_arrays(ends, _linear(lists.flatten(), told), mask=lists.is_null() if lists.null_count else None)
+
+    return found(texts)
+
+
 class _Scan:
     """Which groups may take no part: those under a quantifier from zero, or beside a bar."""
 
@@ -143,9 +206,16 @@ def translate(source: str) -> Pattern:
     out: list[str | None] = []
     groups: dict[str, int] = {}
     scan = _Scan()
+    loops = survey(source)
+    linear, done = "", 0  # names are all that its groups may be there
     number, at, in_class, depth = 0, 0, False, 0
     multiline = source.startswith("(?") and "m" in source[2 : max(source.find(")"), 2)].split(":")[0].split("-")[0]
     while at < len(source):
+        if at in loops.possessive:
+            out.append("+")
+            if source.startswith("?", at):  # where no two ways begin alike, the least rounds are the most
+                at += 1
+                continue
         c = source[at]
         if c == "\\" and at + 1 < len(source):
             following = source[at + 1]
@@ -159,6 +229,8 @@ def translate(source: str) -> Pattern:
                 out.append(r"\z")
             elif following == "A" and not in_class:
                 out.append(None)
+            elif following in "bB" and not in_class:
+                out.append(EDGE if following == "b" else INSIDE)
             elif following.isdigit() and following != "0":
                 raise PatternError("a pattern may not refer back to a group")
             else:
@@ -167,10 +239,12 @@ def translate(source: str) -> Pattern:
             continue
         if in_class:
             if c == "[" and source.startswith("[:", at):
-                end = source.index(":]", at) + 2
+                end = source.find(":]", at) + 2
                 name = source[at + 2 : end - 2]
-                denied = name.startswith("^")
-                out.append(r"\%s{%s}" % ("P" if denied else "p", {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "space": "Space", "xdigit": "XDigit"}[name.lstrip("^")]))
+                denied, name = name.startswith("^"), name.removeprefix("^")
+                if name not in POSIX or end < 2:
+                    raise PatternError(f"no class is named {name[:20]}")
+                out.append(("\\W" if denied else "\\w") if name == "word" else r"\%s{%s}" % ("P" if denied else "p", JAVA_CLASSES[name]))
                 at = end
                 continue
             out.append("\\" + c if c in "[&" else c)
@@ -206,17 +280,25 @@ def translate(source: str) -> Pattern:
                 groups[name] = number
                 scan.begin(name)
                 out.append("(")
+                linear, done = linear + source[done:at] + "(?P<", at + len(named)
                 at = end + 1
                 continue
             scan.begin(None)
             if not rest.startswith("(?"):
                 number += 1
+                linear, done = linear + source[done:at] + "(?:", at + 1
             else:  # flags, and what of a group they are for
                 end = next((k for k, x in enumerate(rest[2:], at + 2) if x in ":)"), len(source))
-                if source[end : end + 1] == ":":
-                    out.append(source[at : end + 1])
-                    at = end + 1
-                    continue
+                flags = source[at + 2 : end]
+                if set(flags) - set("ims-"):
+                    raise PatternError(f"no flags are {flags[:20]}")
+                on, off = flags.split("-", 1) if "-" in flags else (flags, "")
+                out.append("(?" + on + "u" * ("i" in on) + ("-" + off if off else "") + source[end : end + 1])  # folds as Unicode does
+                if source[end : end + 1] == ")":
+                    scan.end(source[end + 1 :])
+                    depth -= 1
+                at = end + 1
+                continue
         elif c == ")":
             scan.end(source[at + 1 :])
         elif c == "|":
@@ -230,7 +312,9 @@ def translate(source: str) -> Pattern:
         at += 1
     if depth or in_class:
         raise PatternError("a parenthesis or bracket that isn't closed")
-    return Pattern(source, tuple(out), groups, number, scan.done())
+    if len(source) in loops.possessive and (not out or out[-1] != "+"):
+        out.append("+")
+    return Pattern(source, tuple(out), groups, number, scan.done(), loops.deep, loops.most, linear + source[done:])
 
 
 def any_of(text: Column, patterns: Sequence[str]) -> Column:

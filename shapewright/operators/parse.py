@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.convert import Field, Text, as_text, as_value, compiled, why_not
-from ..functions.patterns import Found, match_array, translate
+from ..functions.patterns import Found, Pattern, linear_matches, match_array, translate
 from ..functions.steps import Step, bound, held, projected, quoted
 from ..functions.text import BLANK, cells_of, is_blank, let, literal, normal_names, trimmed
 from .lines import blocks, exploded, indexes
@@ -31,19 +31,33 @@ TREE_BLOCK = 256
 
 @dataclass(frozen=True)
 class LineReader:
-    """Steps from ``line`` to the columns ``value <key>`` and ``refusal``."""
+    """Steps from ``line`` to the columns ``value <key>`` and ``refusal``. Where
+    ``linear`` names patterns that the JVM's stack can't take, their match is
+    found outside the steps, for all lines at once."""
 
     steps: Sequence[Step]
     keys: Sequence[str]
+    linear: Sequence[Pattern] = ()
 
     def rows(self, df: DataFrame, keep: Sequence[str], text: str = "line") -> DataFrame:
         given = {"line": quoted(text)} | ({"trouble": F.col("trouble")} if "trouble" in df.columns else {})
+        if self.linear:
+            given["match"] = F.get(linear_matches(F.array(quoted(text)), self.linear), F.lit(0))
         made = projected(df, keep, self.steps, given)
         return made.select(*[quoted(k) for k in keep], *[quoted(f" value {k}").alias(k) for k in self.keys], held(quoted(" refusal")).alias("refusal"))
 
     def value(self, line: Column) -> Column:
         """A struct of the keys and refusal of one line."""
-        return bound({"line": line}, self.steps, lambda env: F.struct(*[env[f"value {k}"].alias(k) for k in self.keys], env["refusal"].alias("refusal")))
+        return self._value({"line": line})
+
+    def _value(self, given: Mapping[str, Column]) -> Column:
+        return bound(given, self.steps, lambda env: F.struct(*[env[f"value {k}"].alias(k) for k in self.keys], env["refusal"].alias("refusal")))
+
+    def values(self, texts: Column) -> Column:
+        """``value`` of each of an array of lines, which is a column and no lambda's."""
+        if self.linear:
+            return F.zip_with(texts, linear_matches(texts, self.linear), lambda t, m: self._value({"line": t, "match": m}))
+        return F.transform(texts, self.value)
 
 
 def _typing(rules: Mapping[str, Field], keys: Sequence[str], raw: bool) -> list[Step]:
@@ -92,6 +106,7 @@ def regex_reader(patterns: Sequence[str | tuple[str, Mapping[str, str]]], rules:
     options = _options(patterns)
     known = tuple(p for p, _ in options)
     names = list(dict.fromkeys(n for p, fixed in options for n in (*fixed, *p.groups)))
+    deep = any(p.deep for p in known)
 
     def matched(env: Mapping[str, Column]) -> dict[str, Column]:
         return {"match": match_array(env["line"], known)}
@@ -110,7 +125,7 @@ def regex_reader(patterns: Sequence[str | tuple[str, Mapping[str, str]]], rules:
         out["unread"] = F.when(found.which.isNull(), F.concat(F.lit("no alternative matches: "), told)).when(~found.covers, F.concat(F.lit("the match leaves text: "), told))
         return out
 
-    return LineReader([matched, cells, *_typing(rules or {}, names, raw)], names)
+    return LineReader([*([] if deep else [matched]), cells, *_typing(rules or {}, names, raw)], names, known if deep else ())
 
 
 def table_reader(columns: Sequence[str], rules: Mapping[str, Field] | None = None, *, delimiter: str | None = None, most: int | None = None, least: int | None = None, raw: bool = False) -> LineReader:

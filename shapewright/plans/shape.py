@@ -192,7 +192,7 @@ class Shape:
                 n_values = n_values + F.size(read) * len(reader.keys)
             elif part.parse == "regex_input":
                 reader = parse.regex_reader(part.patterns, part.fields, part.raw)
-                df = df.withColumn(f"read {name}", reader.value(parse.joined_lines(at)))
+                df = df.withColumn(f"read {name}", F.get(reader.values(F.array(parse.joined_lines(at))), F.lit(0)))
                 read = F.col(f"`read {name}`")
                 reasons.append(read["refusal"])
                 values.append(F.struct(*[read[k].alias(k) for k in reader.keys]).alias(name))
@@ -214,7 +214,7 @@ class Shape:
 
 
 def _each_line(lines: Column, reader: parse.LineReader) -> Column:
-    return F.transform(lines, lambda v: reader.value(v["text"]))
+    return reader.values(F.transform(lines, lambda v: v["text"]))
 
 
 def _only(read: Column, keys: Sequence[str]) -> Column:

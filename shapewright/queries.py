@@ -960,10 +960,30 @@ def explained_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumns({c: F.array_join(c, ", ") for c in ("candidates", "rejected")})
 
 
+@query("""
+select l_returnflag || l_linenumber as capture_id, l_returnflag as flag, l_linenumber::varchar as mode, count(*) as n_keys, md5(string_agg(l_orderkey || ';', '' order by l_orderkey)) as all_keys,
+  max(l_orderkey)::bigint as last_key, count(*) filter (l_orderkey % 2 = 0) as even_keys
+from lineitem group by 1, 2, 3
+""")
+def regex_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of up to a record's length under repeated groups: one that is possessive,
+    one whose rounds the next character doesn't tell from what follows."""
+    keys = F.array_sort(F.collect_list("l_orderkey"))
+    l = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").cast("string").alias("nth")).agg(keys.alias("keys"))
+    all_ = F.concat(F.array_join(F.transform("keys", lambda k: k.cast("string")), ";"), F.lit(";"))
+    even = F.regexp_replace(F.array_join(F.transform("keys", lambda k: F.when(k % 2 == 0, "e").otherwise("o")), ""), "e", "ee")
+    lines_ = l.select(F.concat("l_returnflag", "nth").alias("capture_id"), F.lit(1).alias("num"), F.explode(F.array(F.concat("l_returnflag", F.lit("|"), "nth", F.lit("|"), all_), F.concat(F.lit("odd:"), even, F.lit("ee")))).alias("line"))
+    rows = parse.regex_lines(lines_, [r"^(?P<flag>[A-Z])\|(?P<mode>[^|]+)\|(?P<all>(?:\d+;|-)*)$", r"^odd:(?P<odd>(?:o|e|ee)*)ee$"])
+    one = parse.settle_refusals(rows).groupBy("capture_id").agg(*[F.max(c).alias(c) for c in ("flag", "mode", "all", "odd")])
+    told = F.split(F.expr("substring(all, 1, length(all) - 1)"), ";")
+    n_even = (F.length(F.replace("odd", F.lit("o"), F.lit(""))) / 2).cast("long")
+    return one.select("capture_id", "flag", "mode", F.size(told).cast("long").alias("n_keys"), F.md5(F.encode("all", "UTF-8")).alias("all_keys"), F.element_at(told, -1).cast("long").alias("last_key"), n_even.alias("even_keys"))
+
+
 @query("""select distinct o_custkey as capture_id, 'orders' as parser, 'report' as variant from orders where o_custkey % 2 = 1""")
 def decoys_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that look like a report's, of which a signature tells half apart."""
-    looks = order_report(spark, sf_dir).withColumn("text", F.concat("text", F.when(F.col("capture_id") % 2 == 0, "total 1\n").otherwise("")))
+    looks = order_report(spark, sf_dir).withColumn("text", F.concat(F.when(F.col("capture_id") % 2 == 0, "total 1\n").otherwise(""), "text"))  # within the window, however long the report
     return conformance.decoys(looks, [Signature("orders", "report", all=(r"^order \d+ [FOP]$",), none=(r"^total \d",))])
 
 
