@@ -47,6 +47,8 @@ def bound(first: Mapping[str, Column], steps: Sequence[Step], last: Callable[[Ma
         if not rest:
             return last(env)
         new = rest[0](env)
+        if not new:
+            return at(env, rest[1:])
         return let(F.struct(*[c.alias(n) for n, c in new.items()]), lambda s: at({**env, **{n: s[n] for n in new}}, rest[1:]))
 
     return let(F.struct(*[c.alias(n) for n, c in first.items()]), lambda s: at({n: s[n] for n in first}, steps))

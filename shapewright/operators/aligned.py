@@ -1,7 +1,7 @@
 """Tables cut at display columns, and drawn tables.
 
 Display width can't be told by built-in functions, so the cut is a small helper
-in a pandas function; captures are spread over tasks as they come, and nothing
+over Arrow batches; captures are spread over tasks as they come, and nothing
 is gathered.
 """
 
@@ -10,18 +10,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.convert import Field, compiled
-from ..functions.steps import held
-from ..functions.text import normal_name
-from .lines import exploded
-from .parse import cells_reader
+from ..functions.convert import Field
+from ..functions.text import let, normal_name
+from .lines import blocks, indexes
+from .parse import LineReader, alike, cells_reader, map_reader, named_cells, same_heading
 from .workers import reach_workers
 
 
@@ -86,59 +85,94 @@ def heading_starts(header: str) -> tuple[list[int], list[str]]:
     return [width(text[: m.start()]) for m in found], [m.group() for m in found]
 
 
-def aligned_derived(captures: DataFrame, rules: Mapping[str, Field] | None = None, *, rename: Mapping[str, str] | None = None, raw: bool = False) -> DataFrame:
-    """Rows of tables whose first line heads the columns and names the keys: each
-    row is a map, and keys that have a rule are typed columns beside it. Headings
-    that are empty or alike refuse their table, lines that don't fit themselves."""
+def _tables(lines: Column) -> Column:
+    """(num, text, header) of the lines of one table or several: a line with the
+    words of the first heads a table of its own, at whose columns what follows is cut."""
+    same = same_heading(None)
 
-    @F.pandas_udf("names array<string>, cells array<string>")
-    def read(line: pd.Series, header: pd.Series) -> pd.DataFrame:
-        known: dict[str, tuple[list[int], list[str]]] = {}
-        out = []
-        for text, head in zip(line, header, strict=True):
-            if head not in known:
-                starts, names = heading_starts(head or "")
-                names = [normal_name(n) for n in names]
-                known[head] = starts, [(rename or {}).get(n, n) for n in names]
-            starts, names = known[head]
-            out.append((names, cut(text.expandtabs(8), starts) if starts else None))
-        return pd.DataFrame(out, columns=["names", "cells"])
+    def cut(all_: Column) -> Column:
+        first = same(F.get(all_, F.lit(0))["text"])
+        starts = let(first, lambda h: indexes(all_, lambda t: same(t) == h))
+        under = lambda b: let(F.get(b, F.lit(0))["text"], lambda h: F.transform(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), lambda v: F.struct(v["num"].alias("num"), v["text"].alias("text"), h.alias("header"))))
+        return F.flatten(F.transform(blocks(all_, starts), under))
 
-    reach_workers(captures.sparkSession)
-    df = captures.withColumn("header", F.get("lines", F.lit(0))["text"]).withColumn("lines", F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))))
-    df = exploded(df, "header").withColumn("read", read("line", "header")).select("*", "read.names", "read.cells")
-    alike = F.exists("names", lambda n: n == "") | (F.size(F.array_distinct("names")) < F.size("names"))
-    why = F.coalesce("trouble", F.when(alike, F.lit("headings that are empty or alike")).when(F.col("cells").isNull(), F.concat(F.lit("not aligned: "), F.col("line"))))
-    df = df.withColumn("why", why).withColumn("cells", F.when(F.col("why").isNull(), F.map_from_arrays("names", "cells")))
-    typed, reasons = {}, [F.col("why")]
-    for k, rule in ({} if raw else rules or {}).items():
-        cell = F.try_element_at("cells", F.lit(k))
-        typed[k], unfit = compiled(cell, rule, k)
-        reasons.append(F.when(F.col("why").isNull(), unfit))
-    return df.select("capture_id", "num", "cells", *[v.alias(k) for k, v in typed.items()], held(F.coalesce(*reasons)).alias("refusal"))
-
-
-def aligned_rows(captures: DataFrame, columns: Sequence[str], rules: Mapping[str, Field] | None = None, *, raw: bool = False) -> DataFrame:
-    """Rows of tables whose first line heads the columns; keys as given. Empty
-    cells are empty texts, and lines that don't fit are refused."""
-    count = len(columns)
+    return let(lines, cut)
+
+
+def aligned_cells(columns: Sequence[str] | None, rename: Mapping[str, str] | None = None, leading_label: str = "") -> Callable[[Column], Column]:
+    """From an array of (num, text, header) to one of (names, cells); cells are null
+    where a line doesn't fit. A column that no heading names begins at the left edge,
+    and a header that begins there too leaves it no room."""
 
-    @F.pandas_udf("array<string>")
-    def cells(line: pd.Series, header: pd.Series) -> pd.Series:
-        known: dict[str, list[int] | None] = {}
+    def headed(head: str) -> tuple[list[int] | None, list[str]]:
+        room = [0] if leading_label else []
+        if columns is not None:
+            starts = column_starts(head, len(columns) - len(room))
+            names = list(columns)
+        else:
+            starts, names = heading_starts(head)
+            names = [*([leading_label] if leading_label else []), *map(normal_name, names)]
+            names = [(rename or {}).get(n, n) for n in names]
+        if not starts or (room and starts[0] == 0):
+            return None, names
+        return [*room, *starts], names
+
+    kind = pa.struct([("names", pa.list_(pa.string())), ("cells", pa.list_(pa.string()))])
+
+    @F.arrow_udf("array<struct<names:array<string>,cells:array<string>>>")
+    def read(lines: pa.Array) -> pa.Array:
+        known: dict[str, tuple[list[int] | None, list[str]]] = {}
         out = []
-        for text, head in zip(line, header, strict=True):
-            if head not in known:
-                known[head] = column_starts(head or "", count)
-            out.append(cut(text.expandtabs(8), known[head]) if known[head] else None)
-        return pd.Series(out)
+        for each in lines.to_pylist():
+            told = []
+            for v in each or []:
+                if v["header"] not in known:
+                    known[v["header"]] = headed(v["header"].expandtabs(8))
+                starts, names = known[v["header"]]
+                told.append({"names": names, "cells": cut(v["text"].expandtabs(8), starts) if starts else None})
+            out.append(None if each is None else told)
+        return pa.array(out, pa.list_(kind))
+
+    return read
+
 
+def _unfit(cells: Column, text: Column) -> Column:
+    return F.when(cells.isNull(), F.concat(F.lit("not aligned: "), text))
+
+
+def _cut_rows(captures: DataFrame, read: Callable[[Column], Column]) -> DataFrame:
+    """Lines of aligned tables with names and cells, and trouble."""
     reach_workers(captures.sparkSession)
-    df = captures.withColumn("header", F.get("lines", F.lit(0))["text"]).withColumn("lines", F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))))
-    df = exploded(df, "header").withColumn("cells", cells("line", "header"))
+    df = captures.withColumn("lines", _tables(F.col("lines")))
+    df = df.withColumn("lines", F.zip_with("lines", read(F.col("lines")), lambda v, r: F.struct(v["num"].alias("num"), v["text"].alias("text"), r["names"].alias("names"), r["cells"].alias("cells"))))
+    refusal = F.col("refusal") if "refusal" in captures.columns else F.lit(None).cast("string")
+    one = F.array(F.struct(F.lit(0).alias("num"), F.lit("").alias("text"), F.array().cast("array<string>").alias("names"), F.lit(None).cast("array<string>").alias("cells")))
+    return df.select("capture_id", refusal.alias("trouble"), F.inline(F.when(refusal.isNotNull(), one).otherwise(F.col("lines"))))
+
+
+def aligned_derived(captures: DataFrame, rules: Mapping[str, Field] | None = None, *, rename: Mapping[str, str] | None = None, leading_label: str = "", raw: bool = False) -> DataFrame:
+    """Rows of tables whose first line heads the columns and names the keys: each
+    row is a map, and keys that have a rule are typed columns beside it. Headings
+    that are empty or alike refuse their table, lines that don't fit themselves;
+    a line that repeats the heading begins another table."""
+    df = _cut_rows(captures, aligned_cells(None, rename, leading_label))
+    df = df.withColumn("trouble", F.coalesce("trouble", alike(F.col("names")), _unfit(F.col("cells"), F.col("text")))).withColumn("unfit", F.lit(None).cast("string"))
+    return named_cells(rules, raw).rows_of(df, ("names", "cells", "trouble", "unfit"))
+
+
+def aligned_rows(captures: DataFrame, columns: Sequence[str], rules: Mapping[str, Field] | None = None, *, leading_label: str = "", raw: bool = False) -> DataFrame:
+    """Rows of tables whose first line heads the columns; keys as given. Empty
+    cells are empty texts, and lines that don't fit are refused; a line that
+    repeats the heading begins another table."""
+    df = _cut_rows(captures, aligned_cells(columns, leading_label=leading_label))
     return cells_reader(columns, rules, raw).rows(df, ("capture_id", "num"), "cells")
 
 
+def aligned_value(lines: Column, columns: Sequence[str] | None, rules: Mapping[str, Field], *, rename: Mapping[str, str] | None = None, leading_label: str = "", raw: bool = False) -> tuple[Column, LineReader, Callable[[Column], Column]]:
+    """The lines of an array of them, each under its header; what reads a line, and what cuts all."""
+    return _tables(lines), named_cells(rules, raw) if columns is None else cells_reader(columns, rules, raw), aligned_cells(columns, rename, leading_label)
+
+
 def box_table(lines: Sequence[str]) -> list[dict[str, str]]:
     """Rows of one drawn table: rules are lines of drawing marks, the first
     group of bar lines is the header, and a bar line with an empty first cell
@@ -173,24 +207,30 @@ def box_table(lines: Sequence[str]) -> list[dict[str, str]]:
     return [dict(zip(names, r, strict=True)) for r in rows]
 
 
-def box_rows(captures: DataFrame) -> DataFrame:
+def _drawn(texts: pa.Array) -> pa.Array:
+    out = []
+    for each in texts.to_pylist():
+        try:
+            out.append(None if each is None else {"rows": [list(r.items()) for r in box_table(each)], "refusal": None})
+        except ValueError as e:
+            out.append({"rows": None, "refusal": str(e)})
+    return pa.array(out, pa.struct([("rows", pa.list_(pa.map_(pa.string(), pa.string()))), ("refusal", pa.string())]))
+
+
+def box_cells(lines: Column) -> Column:
+    """(rows, refusal) of an array of lines: a map of each row, by the headings."""
+    read = F.arrow_udf(_drawn, "struct<rows:array<map<string,string>>,refusal:string>")
+    return read(F.transform(lines, lambda v: v["text"]))
+
+
+def box_rows(captures: DataFrame, rules: Mapping[str, Field] | None = None, *, raw: bool = False) -> DataFrame:
     """(capture_id, row, cells, refusal) of drawn tables; the keys are the
-    headings, so cells is a map."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for capture, lines, trouble in zip(frame["capture_id"], frame["texts"], frame["trouble"], strict=True):
-                try:
-                    if trouble is not None:
-                        raise ValueError(trouble)
-                    out += [(capture, k, list(r.items()), None) for k, r in enumerate(box_table(list(lines)), 1)]
-                except ValueError as e:
-                    out.append((capture, 0, None, str(e)))
-            yield pd.DataFrame(out, columns=["capture_id", "row", "cells", "refusal"])
-
-    kind = captures.schema["capture_id"].dataType.simpleString()
+    headings, so cells is a map. Keys that have a rule are typed columns beside it."""
     reach_workers(captures.sparkSession)
     refusal = F.col("refusal") if "refusal" in captures.columns else F.lit(None).cast("string")
-    texts = captures.select("capture_id", F.transform("lines", lambda v: v["text"]).alias("texts"), refusal.alias("trouble"))
-    return texts.mapInPandas(run, f"capture_id {kind}, row int, cells array<struct<name:string,value:string>>, refusal string").withColumn("cells", F.map_from_entries("cells"))
+    df = captures.select("capture_id", refusal.alias("trouble"), "lines").withColumn("read", box_cells(F.col("lines")))
+    df = df.withColumn("trouble", F.coalesce("trouble", "read.refusal"))
+    none = F.array(F.lit(None).cast("map<string,string>"))
+    df = df.select("capture_id", "trouble", F.posexplode(F.when(F.col("trouble").isNotNull(), none).otherwise(F.col("read.rows"))).alias("row", "cells"))
+    df = df.withColumn("row", F.when(F.col("trouble").isNull(), F.col("row") + 1).otherwise(0)).withColumn("unfit", F.lit(None).cast("string"))
+    return map_reader(rules, raw).rows_of(df, ("cells", "trouble", "unfit"), ("capture_id", "row"))

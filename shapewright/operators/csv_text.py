@@ -10,10 +10,11 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator, Mapping, Sequence
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.convert import Field, compiled
@@ -119,6 +120,57 @@ def quick_records(text: str, delimiter: str = ",") -> Iterator[tuple[int, list[s
         raise ValueError(f"line {begun}: {e}") from e
 
 
+def _plain_block(text: str, delimiter: str, names: list[str], begun: int) -> tuple[np.ndarray, pa.Array, int] | None:
+    """Numbers and cells of the lines of a text without a quote or carriage return
+    whose lines all have a cell for each name; None if it isn't such a text."""
+    lines = text.count("\n") + (not text.endswith("\n"))
+    if text.count(delimiter) != lines * (len(names) - 1) or text.startswith("\n") or "\n\n" in text:
+        return None
+    body = pa.array([text.removesuffix("\n")])
+    cut = pc.split_pattern(body, "\n").flatten()
+    cells = pc.split_pattern(cut, delimiter)
+    if len(names) > 1 and not pc.all(pc.equal(pc.list_value_length(cells), len(names))).as_py():
+        return None
+    return np.arange(begun, begun + len(cut), dtype=np.int32), cells.flatten(), len(cut)
+
+
+def _read_csv(text: str | None, delimiter: str, header: bool, columns: Sequence[str], asked: set[str]) -> tuple[list[str], np.ndarray, pa.Array]:
+    """(names, numbers of records, their cells, one after another) of a whole text. ValueError tells why it is refused."""
+    if text is None:
+        raise ValueError("no text")
+    text = text.removeprefix("\ufeff")
+    names: list[str] | None = list(columns) or None
+    heads = header and not names
+    if '"' not in text and "\r" not in text and len(delimiter) == 1 and delimiter not in "\n ":
+        head, _, rest = text.partition("\n")
+        if head:
+            own = names or (named(head.split(delimiter)) if heads else [f"column_{k}" for k in range(1, head.count(delimiter) + 2)])
+            if asked <= set(own):
+                body, begun = (rest, 2) if heads else (text, 1)
+                if not body:
+                    return own, np.zeros(0, np.int32), pa.array([], pa.string())
+                if found := _plain_block(body, delimiter, own, begun):
+                    return own, found[0], found[1]
+    nums, cells, done = [], [], []
+    for num, values in quick_records(text, delimiter):
+        if values == [""]:
+            continue
+        if names is None:
+            names = named(values) if heads else [f"column_{k}" for k in range(1, len(values) + 1)]
+            if lacking := sorted(asked - set(names)):
+                raise ValueError(f"no column {', '.join(lacking)}; there are {', '.join(names)}")
+            if heads:
+                continue
+        if len(values) > len(names):
+            raise ValueError(f"line {num} has {len(values)} values for {len(names)} columns")
+        nums.append(num)
+        cells += values if len(values) == len(names) else [*values, *[None] * (len(names) - len(values))]
+        if len(cells) >= 1 << 16:
+            done.append(pa.array(cells, pa.string()))
+            cells = []
+    return names or [], np.array(nums, np.int32), pa.concat_arrays([*done, pa.array(cells, pa.string())])
+
+
 def csv_rows(captures: DataFrame, delimiter: str = ",", *, header: bool = True, columns: Sequence[str] = (), rules: Mapping[str, Field] | None = None) -> DataFrame:
     """(capture_id, num, cells, refusal): a map of each record. Short rows end in
     nulls; longer ones than the header are refused. Blank lines are left out.
@@ -126,50 +178,53 @@ def csv_rows(captures: DataFrame, delimiter: str = ",", *, header: bool = True,
     Names are the first record's where ``header``, or ``columns``; otherwise they
     are numbered. A column with a rule is a typed column beside the map (an empty
     cell is null there); a rule for a column that a file lacks refuses the file.
+
+    Captures without quotes are cut by Arrow's kernels, many of like names at a
+    time; others record by record. A refused capture gives its reason alone.
     """
     asked = set(rules or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, nums, sizes, names_, values_, why = [], [], [], [], [], []
+            rows: list[np.ndarray] = []
+            nums: list[np.ndarray] = []
+            names_: list[pa.Array] = []
+            cells_: list[pa.Array] = []
+            sizes: list[np.ndarray] = []
+            why: list[pa.Array] = []
+            waiting = 0
 
             def made() -> pa.RecordBatch:
-                offsets = pa.array([None if s < 0 else o for s, o in zip([*sizes, 0], accumulate([0, *[max(s, 0) for s in sizes]]), strict=True)], pa.int32())
-                cells = pa.MapArray.from_arrays(offsets, pa.array(names_, pa.string()), pa.array(values_, pa.string()))
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(nums, pa.int32()), cells, pa.array(why, pa.string())], names=["capture_id", "num", "cells", "refusal"])
+                size = np.concatenate(sizes)
+                ends = np.concatenate([[0], np.cumsum(np.maximum(size, 0))]).astype(np.int32)
+                offsets = pa.array(ends, mask=np.append(size < 0, False)) if (size < 0).any() else pa.array(ends)
+                cells = pa.MapArray.from_arrays(offsets, pa.concat_arrays(names_), pa.concat_arrays(cells_))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(nums)), cells, pa.concat_arrays(why)], names=["capture_id", "num", "cells", "refusal"])
 
             for at, text in enumerate(batch.column(1)):
-                names: list[str] | None = list(columns) or None
-                heads = header and not names
                 try:
-                    if text.as_py() is None:
-                        raise ValueError("no text")
-                    for num, values in quick_records(text.as_py().removeprefix("\ufeff"), delimiter):
-                        if values == [""]:
-                            continue
-                        if names is None:
-                            names = named(values) if heads else [f"column_{k}" for k in range(1, len(values) + 1)]
-                            if lacking := sorted(asked - set(names)):
-                                raise ValueError(f"no column {', '.join(lacking)}; there are {', '.join(names)}")
-                            if heads:
-                                continue
-                        if len(values) > len(names):
-                            raise ValueError(f"line {num} has {len(values)} values for {len(names)} columns")
-                        rows.append(at)
-                        nums.append(num)
-                        sizes.append(len(names))
-                        names_ += names
-                        values_ += values if len(values) == len(names) else [*values, *[None] * (len(names) - len(values))]
-                        why.append(None)
-                        if len(rows) >= 10_000:
-                            yield made()
-                            rows, nums, sizes, names_, values_, why = [], [], [], [], [], []
+                    names, own, cells = _read_csv(text.as_py(), delimiter, header, columns, asked)
                 except ValueError as e:
-                    rows.append(at)
-                    nums.append(0)
-                    sizes.append(-1)
-                    why.append(str(e))
-            yield made()
+                    rows.append(np.array([at]))
+                    nums.append(np.zeros(1, np.int32))
+                    sizes.append(np.array([-1]))
+                    why.append(pa.array([str(e)], pa.string()))
+                    continue
+                for a in range(0, len(own), 10_000):
+                    n = min(10_000, len(own) - a)
+                    rows.append(np.full(n, at))
+                    nums.append(own[a : a + n])
+                    sizes.append(np.full(n, len(names)))
+                    names_.append(pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(len(names)), n))))
+                    cells_.append(cells.slice(a * len(names), n * len(names)))
+                    why.append(pa.nulls(n, pa.string()))
+                    waiting += n
+                    if waiting >= 10_000:
+                        yield made()
+                        rows, nums, names_, cells_, sizes, why, waiting = [], [], [], [], [], [], 0
+            if rows:
+                names_, cells_ = names_ or [pa.array([], pa.string())], cells_ or [pa.array([], pa.string())]
+                yield made()
 
     reach_workers(captures.sparkSession)
     kind = captures.schema["capture_id"].dataType.simpleString()
@@ -184,6 +239,25 @@ def csv_rows(captures: DataFrame, delimiter: str = ",", *, header: bool = True,
     return df.select("capture_id", "num", "cells", *[v.alias(k) for k, v in typed.items()], held(F.coalesce(*reasons)).alias("refusal"))
 
 
+def csv_cells(text: Column, delimiter: str = ",", *, header: bool = True, columns: Sequence[str] = (), asked: Sequence[str] = ()) -> Column:
+    """(rows, refusal) of each text: a map of each record, an empty cell null where it is asked for."""
+
+    @F.arrow_udf("struct<rows:array<map<string,string>>,refusal:string>")
+    def read(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts:
+            try:
+                names, nums, cells = _read_csv(text.as_py(), delimiter, header, columns, set(asked))
+                flat = cells.to_pylist()
+                each = [list(zip(names, flat[k * len(names) : (k + 1) * len(names)], strict=True)) for k in range(len(nums))]
+                out.append({"rows": [[(n, None if v == "" and n in asked else v) for n, v in row] for row in each], "refusal": None})
+            except ValueError as e:
+                out.append({"rows": None, "refusal": str(e)})
+        return pa.array(out, pa.struct([("rows", pa.list_(pa.map_(pa.string(), pa.string()))), ("refusal", pa.string())]))
+
+    return read(text)
+
+
 def typed_columns(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """``rows`` of ``csv_rows`` with columns of the types (int, float, bool) that
     are asked for; an empty cell is null, and a column that isn't there refuses

@@ -11,7 +11,7 @@ and on the elements of an array of them alike.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,25 +38,33 @@ class LineReader:
     steps: Sequence[Step]
     keys: Sequence[str]
     linear: Sequence[Pattern] = ()
+    alternatives: Sequence[Sequence[str]] = ()
 
     def rows(self, df: DataFrame, keep: Sequence[str], text: str = "line") -> DataFrame:
         given = {"line": quoted(text)} | ({"trouble": F.col("trouble")} if "trouble" in df.columns else {})
         if self.linear:
             given["match"] = F.get(linear_matches(F.array(quoted(text)), self.linear), F.lit(0))
+        return self._projected(df, keep, given)
+
+    def rows_of(self, df: DataFrame, given: Sequence[str], keep: Sequence[str] = ("capture_id", "num")) -> DataFrame:
+        """Rows, of steps that read other columns than the line."""
+        return self._projected(df, keep, {c: F.col(c) for c in given})
+
+    def _projected(self, df: DataFrame, keep: Sequence[str], given: Mapping[str, Column]) -> DataFrame:
         made = projected(df, keep, self.steps, given)
         return made.select(*[quoted(k) for k in keep], *[quoted(f" value {k}").alias(k) for k in self.keys], held(quoted(" refusal")).alias("refusal"))
 
     def value(self, line: Column) -> Column:
         """A struct of the keys and refusal of one line."""
-        return self._value({"line": line})
+        return self.value_of({"line": line})
 
-    def _value(self, given: Mapping[str, Column]) -> Column:
-        return bound(given, self.steps, lambda env: F.struct(*[env[f"value {k}"].alias(k) for k in self.keys], env["refusal"].alias("refusal")))
+    def value_of(self, given: Mapping[str, Column]) -> Column:
+        return bound(given, self.steps, lambda env: F.struct(*[env[f"value {k}"].alias(k) for k in self.keys], env["refusal"].alias("refusal"), env.get("which", F.lit(0)).alias("which")))
 
     def values(self, texts: Column) -> Column:
         """``value`` of each of an array of lines, which is a column and no lambda's."""
         if self.linear:
-            return F.zip_with(texts, linear_matches(texts, self.linear), lambda t, m: self._value({"line": t, "match": m}))
+            return F.zip_with(texts, linear_matches(texts, self.linear), lambda t, m: self.value_of({"line": t, "match": m}))
         return F.transform(texts, self.value)
 
 
@@ -122,10 +130,11 @@ def regex_reader(patterns: Sequence[str | tuple[str, Mapping[str, str]]], rules:
                     cell = F.when(found.which == k, own) if cell is None else cell.when(found.which == k, own)
             out[f"cell {name}"] = cell
         told = F.coalesce(env["line"], F.lit(""))
+        out["which"] = found.which
         out["unread"] = F.when(found.which.isNull(), F.concat(F.lit("no alternative matches: "), told)).when(~found.covers, F.concat(F.lit("the match leaves text: "), told))
         return out
 
-    return LineReader([*([] if deep else [matched]), cells, *_typing(rules or {}, names, raw)], names, known if deep else ())
+    return LineReader([*([] if deep else [matched]), cells, *_typing(rules or {}, names, raw)], names, known if deep else (), [(*fixed, *p.groups) for p, fixed in options])
 
 
 def table_reader(columns: Sequence[str], rules: Mapping[str, Field] | None = None, *, delimiter: str | None = None, most: int | None = None, least: int | None = None, raw: bool = False) -> LineReader:
@@ -252,51 +261,114 @@ def _head_names(header: Column, delimiter: str | None, rename: Mapping[str, str]
     return names
 
 
-def _below_header(captures: DataFrame, delimiter: str | None) -> DataFrame:
-    """``captures`` with header, its first line, and lines without it and those that repeat it."""
-    heads = captures.withColumn("header", F.get("lines", F.lit(0))["text"])
-    same = (lambda t: _spaced(t)) if delimiter is None else (lambda t: F.array_join(F.transform(F.split(t, literal(delimiter)), trimmed), "\x00"))
-    body = let(same(F.col("header")), lambda h: F.filter("lines", lambda v: same(v["text"]) != h))
-    return heads.withColumn("lines", F.coalesce(body, F.col("lines")))
+def same_heading(delimiter: str | None) -> Callable[[Column], Column]:
+    """What is alike for two lines that head the same columns."""
+    if delimiter is None:
+        return _spaced
+    return lambda t: F.array_join(F.transform(F.split(t, literal(delimiter)), trimmed), "\x00")
+
+
+def below_header(lines: Column, delimiter: str | None) -> Column:
+    """(header, lines): the first line, and the others but those that repeat it."""
+    same = same_heading(delimiter)
+    head = F.get(lines, F.lit(0))["text"]
+    return F.struct(head.alias("header"), F.coalesce(let(same(head), lambda h: F.filter(lines, lambda v: same(v["text"]) != h)), lines).alias("lines"))
+
+
+def _headed(captures: DataFrame, delimiter: str | None) -> DataFrame:
+    below = let(F.col("lines"), lambda at: below_header(at, delimiter))
+    return captures.withColumn("below", below).withColumn("header", F.col("below.header")).withColumn("lines", F.col("below.lines")).drop("below")
+
+
+def _wrong_header(header: Column, columns: Sequence[str], delimiter: str | None, rename: Mapping[str, str], leading_label: str) -> Column:
+    wrong = header.isNotNull() & F.coalesce(_head_names(header, delimiter, rename, leading_label) != F.array(*[F.lit(c) for c in columns]), F.lit(True))
+    return F.when(wrong, F.lit("another header"))
+
+
+def headed_value(lines: Column, columns: Sequence[str], delimiter: str | None, reader: LineReader) -> Column:
+    """(rows, refusal) of a table below a header, of an array of lines: rows as the reader's structs."""
+    told = lambda b: F.struct(F.transform(b["lines"], lambda v: reader.value(v["text"])).alias("rows"), _wrong_header(b["header"], columns, delimiter, {}, "").alias("refusal"))
+    return let(let(lines, lambda at: below_header(at, delimiter)), told)
 
 
 def headed_table(captures: DataFrame, rules: Mapping[str, Field] | None = None, *, columns: Sequence[str], delimiter: str | None = None, most: int | None = None, least: int | None = None, rename: Mapping[str, str] | None = None, leading_label: str = "", raw: bool = False) -> DataFrame:
     """A table whose first selected line is a header; ``columns`` are the keys
     that the header's names are normalised to, and another header is refused. A
     line equal to the header begins a second table."""
-    heads = _below_header(captures, delimiter)
-    wrong = F.col("header").isNotNull() & F.coalesce(_head_names(F.col("header"), delimiter, rename or {}, leading_label) != F.array(*[F.lit(c) for c in columns]), F.lit(True))
-    trouble = F.when(wrong, F.lit("another header"))
+    heads = _headed(captures, delimiter)
+    trouble = _wrong_header(F.col("header"), columns, delimiter, rename or {}, leading_label)
     heads = heads.withColumn("refusal", F.coalesce("refusal", trouble) if "refusal" in captures.columns else trouble)
     return table_rows(exploded(heads), columns, rules, delimiter=delimiter, most=most, least=least, raw=raw)
 
 
-def derived_table(captures: DataFrame, rules: Mapping[str, Field] | None = None, *, delimiter: str | None = None, most: int | None = None, least: int | None = None, rename: Mapping[str, str] | None = None, leading_label: str = "", raw: bool = False) -> DataFrame:
-    """A table whose keys are the names in its header line: each row is a map,
-    and keys that have a rule are typed columns (null where the header doesn't
-    name them). Names that are empty or alike are refused; shorter rows end in nulls."""
-    heads = _below_header(captures, delimiter).withColumn("names", _head_names(F.col("header"), delimiter, rename or {}, leading_label))
-    bad = F.exists("names", lambda n: n == "") | (F.size(F.array_distinct("names")) < F.size("names"))
-    trouble = F.when(bad, F.lit("headings that are empty or alike"))
-    heads = heads.withColumn("refusal", F.coalesce("refusal", trouble) if "refusal" in captures.columns else trouble)
-    lines = exploded(heads, "names")
+def alike(names: Column) -> Column:
+    bad = F.exists(names, lambda n: n == "") | (F.size(F.array_distinct(names)) < F.size(names))
+    return F.when(bad, F.lit("headings that are empty or alike"))
+
+
+def map_reader(rules: Mapping[str, Field] | None, raw: bool = False) -> LineReader:
+    """Steps from ``cells``, a map, ``trouble`` and ``unfit`` to the typed columns of the keys that have a rule."""
+    keys = list({} if raw else rules or {})
+
+    def asked(env: Mapping[str, Column]) -> dict[str, Column]:
+        return {"unread": F.coalesce(env["trouble"], env["unfit"]), "value cells": env["cells"]} | {f"cell {k}": F.try_element_at(env["cells"], F.lit(k)) for k in keys}
+
+    return LineReader([asked, *_typing(rules or {}, keys, raw)], ["cells", *keys])
+
+
+def named_cells(rules: Mapping[str, Field] | None, raw: bool = False) -> LineReader:
+    """Steps from ``names`` and ``cells``, arrays, and ``trouble`` to a map of them,
+    ``value cells``, and the typed columns of the keys that have a rule."""
     keys = list({} if raw else rules or {})
 
+    def made(env: Mapping[str, Column]) -> dict[str, Column]:
+        cells = F.map_from_arrays(env["names"], let(env["cells"], lambda c: F.transform(env["names"], lambda _, k: F.get(c, k))))
+        return {"unread": F.coalesce(env["trouble"], env["unfit"]), "value cells": F.when(env["trouble"].isNull(), cells)}
+
+    def asked(env: Mapping[str, Column]) -> dict[str, Column]:
+        return {f"cell {k}": F.try_element_at(env["value cells"], F.lit(k)) for k in keys} or {"no rule": F.lit(True)}
+
+    return LineReader([made, asked, *_typing(rules or {}, keys, raw)], ["cells", *keys])
+
+
+def derived_reader(rules: Mapping[str, Field] | None = None, *, delimiter: str | None = None, most: int | None = None, least: int | None = None, raw: bool = False) -> LineReader:
+    """``named_cells`` of lines that are cut under ``names``."""
+    inner = named_cells(rules, raw)
+
     def cut(env: Mapping[str, Column]) -> dict[str, Column]:
         width = F.lit(most) if most else F.size(env["names"])
         return {"cells": F.split(trimmed(env["line"]), f"{BLANK}+", width) if delimiter is None else F.transform(F.split(env["line"], literal(delimiter), width), trimmed)}
 
-    def cells(env: Mapping[str, Column]) -> dict[str, Column]:
+    def fits(env: Mapping[str, Column]) -> dict[str, Column]:
         size = F.size(env["cells"])
-        unread = F.when(size > F.size(env["names"]), F.concat(F.lit("too many cells: "), env["line"])).when(size < (F.lit(least) if least else F.size(env["names"])), F.concat(F.lit("too few cells: "), env["line"]))
-        made = F.map_from_arrays(env["names"], let(env["cells"], lambda c: F.transform(env["names"], lambda _, k: F.get(c, k))))
-        return {"unread": F.coalesce(env["trouble"], unread), "value cells": F.when(env["trouble"].isNull(), made)}
+        return {"unfit": F.when(size > F.size(env["names"]), F.concat(F.lit("too many cells: "), env["line"])).when(size < (F.lit(least) if least else F.size(env["names"])), F.concat(F.lit("too few cells: "), env["line"]))}
 
-    def asked(env: Mapping[str, Column]) -> dict[str, Column]:
-        return {f"cell {k}": F.try_element_at(env["value cells"], F.lit(k)) for k in keys} or {"no rule": F.lit(True)}
+    return LineReader([cut, fits, *inner.steps], inner.keys)
+
+
+def derived_table(captures: DataFrame, rules: Mapping[str, Field] | None = None, *, delimiter: str | None = None, most: int | None = None, least: int | None = None, rename: Mapping[str, str] | None = None, leading_label: str = "", raw: bool = False) -> DataFrame:
+    """A table whose keys are the names in its header line: each row is a map,
+    and keys that have a rule are typed columns (null where the header doesn't
+    name them). Names that are empty or alike are refused; shorter rows end in nulls."""
+    heads = _headed(captures, delimiter).withColumn("names", _head_names(F.col("header"), delimiter, rename or {}, leading_label))
+    trouble = alike(F.col("names"))
+    heads = heads.withColumn("refusal", F.coalesce("refusal", trouble) if "refusal" in captures.columns else trouble)
+    reader = derived_reader(rules, delimiter=delimiter, most=most, least=least, raw=raw)
+    return reader.rows_of(exploded(heads, "names"), ("line", "names", "trouble"))
+
+
+def derived_value(lines: Column, reader: LineReader, *, delimiter: str | None = None, rename: Mapping[str, str] | None = None, leading_label: str = "") -> Column:
+    """(rows, refusal) of ``derived_table``, of an array of lines."""
+
+    def told(b: Column) -> Column:
+        def named(names: Column) -> Column:
+            why = alike(names)
+            each = lambda v: reader.value_of({"line": v["text"], "names": names, "trouble": why})
+            return F.struct(F.transform(b["lines"], each).alias("rows"), why.alias("refusal"))
 
-    made = projected(lines, ("capture_id", "num"), [cut, cells, asked, *_typing(rules or {}, keys, raw)], {c: F.col(c) for c in ("line", "names", "trouble")})
-    return made.select("capture_id", "num", quoted(" value cells").alias("cells"), *[quoted(f" value {k}").alias(k) for k in keys], held(quoted(" refusal")).alias("refusal"))
+        return let(F.coalesce(_head_names(b["header"], delimiter, rename or {}, leading_label), F.array().cast("array<string>")), named)
+
+    return let(let(lines, lambda at: below_header(at, delimiter)), told)
 
 
 def _pairs(lines: Column, separator: str) -> Column:
@@ -335,19 +407,26 @@ def _ruled(pairs: Column, rules: Mapping[str, Field]) -> Column:
     return F.transform(pairs, one)
 
 
+def map_value(lines: Column, separator: str, rules: Mapping[str, Field]) -> Column:
+    """(pairs, refusal) of an array of lines."""
+
+    def told(pairs: Column) -> Column:
+        why = _pair_refusal(pairs)
+        if rules:
+            named = F.transform(pairs, lambda p: p["name"])
+            absent = [F.when(~F.array_contains(named, k), F.lit(f"{k}: required")) for k, r in rules.items() if r.required]
+            why = F.coalesce(why, F.get(F.array_compact(F.transform(pairs, lambda p: p["why"])), F.lit(0)), *absent)
+        made = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["name"], p["value"])))
+        return let(why, lambda w: F.struct(F.when(w.isNull(), made).alias("pairs"), w.alias("refusal")))
+
+    return let(_ruled(_pairs(lines, separator), rules) if rules else _pairs(lines, separator), told)
+
+
 def _as_map(df: DataFrame, keep: Sequence[str], separator: str, rules: Mapping[str, Field]) -> DataFrame:
-    """``keep``, pairs and refusal of captures (lines, refusal); keys with a rule
-    stand beside as typed columns, null where there is no such pair."""
-    df = df.withColumn("pairs", _pairs(F.col("lines"), separator))
-    df = df.withColumn("refusal", F.coalesce("refusal", _pair_refusal(F.col("pairs"))))
-    if rules:
-        df = df.withColumn("pairs", _ruled(F.col("pairs"), rules))
-        why = F.array_compact(F.transform("pairs", lambda p: p["why"]))
-        named = F.transform("pairs", lambda p: p["name"])
-        absent = [F.when(~F.array_contains(named, k), F.lit(f"{k}: required")) for k, r in rules.items() if r.required]
-        df = df.withColumn("refusal", F.coalesce("refusal", F.get(why, F.lit(0)), *absent))
-    made = F.map_from_entries(F.transform("pairs", lambda p: F.struct(p["name"], p["value"])))
-    return df.select(*keep, F.when(F.col("refusal").isNull(), made).alias("pairs"), held(F.col("refusal")).alias("refusal"))
+    """``keep``, pairs and refusal of captures (lines, refusal)."""
+    df = df.withColumn("made", map_value(F.col("lines"), separator, rules))
+    refusal = F.coalesce("refusal", "made.refusal")
+    return df.select(*keep, F.when(refusal.isNull(), F.col("made.pairs")).alias("pairs"), held(refusal).alias("refusal"))
 
 
 def _with_refusal(captures: DataFrame) -> DataFrame:
@@ -360,55 +439,143 @@ def kv_map(captures: DataFrame, separator: str = "=", rules: Mapping[str, Field]
     return _as_map(_with_refusal(captures), ["capture_id"], separator, rules or {})
 
 
-def ini_sections(captures: DataFrame, separator: str = "=", rules: Mapping[str, Field] | None = None) -> DataFrame:
-    """A row for each section of a capture: section and its pairs. Pairs before
-    the first heading are section ``''``; a section may resume; comments begin
-    with ``#`` or ``;``. A key twice in a section is refused."""
+def _sections(lines: Column) -> Column:
+    """(section, lines) of the blocks of an INI text, in order; a section may have several."""
     heading = r"\A\p{IsWhite_Space}*\[(.*)\]\p{IsWhite_Space}*\z"
-    df = _with_refusal(captures)
-    df = df.withColumn("lines", F.filter("lines", lambda v: ~v["text"].rlike(rf"\A{BLANK}*[#;]")))
-    df = df.withColumn("starts", F.array_distinct(F.concat(F.array(F.lit(1)), indexes(F.col("lines"), lambda t: t.rlike(heading)))))
 
     def section(block: Column) -> Column:
         first = F.get(block, F.lit(0))["text"]
         named = F.coalesce(first.rlike(heading), F.lit(False))
         return F.struct(F.when(named, trimmed(F.regexp_extract(first, heading, 1))).otherwise("").alias("section"), named.alias("named"), F.when(named, F.slice(block, 2, F.size(block))).otherwise(block).alias("lines"))
 
-    df = df.withColumn("blocks", F.filter(F.transform(blocks(F.col("lines"), F.col("starts")), section), lambda b: b["named"] | (F.size(b["lines"]) > 0)))
-    names = F.array_distinct(F.transform("blocks", lambda b: b["section"]))
-    df = df.select("capture_id", "refusal", "blocks", F.explode(F.when(F.col("refusal").isNotNull(), F.array(F.lit(""))).otherwise(names)).alias("section"))
-    df = df.withColumn("lines", let(F.col("section"), lambda n: F.flatten(F.transform(F.filter("blocks", lambda b: b["section"] == n), lambda b: b["lines"]))))
+    def cut(all_: Column) -> Column:
+        starts = F.array_distinct(F.concat(F.array(F.lit(1)), indexes(all_, lambda t: t.rlike(heading))))
+        return F.filter(F.transform(blocks(all_, starts), section), lambda b: b["named"] | (F.size(b["lines"]) > 0))
+
+    return let(F.filter(lines, lambda v: ~v["text"].rlike(rf"\A{BLANK}*[#;]")), cut)
+
+
+def _section_names(blocks_: Column) -> Column:
+    return F.array_distinct(F.transform(blocks_, lambda b: b["section"]))
+
+
+def _section_lines(blocks_: Column, name: Column) -> Column:
+    return F.flatten(F.transform(F.filter(blocks_, lambda b: b["section"] == name), lambda b: b["lines"]))
+
+
+def ini_sections(captures: DataFrame, separator: str = "=", rules: Mapping[str, Field] | None = None) -> DataFrame:
+    """A row for each section of a capture: section and its pairs. Pairs before
+    the first heading are section ``''``; a section may resume; comments begin
+    with ``#`` or ``;``. A key twice in a section is refused."""
+    df = _with_refusal(captures).withColumn("blocks", _sections(F.col("lines")))
+    df = df.select("capture_id", "refusal", "blocks", F.explode(F.when(F.col("refusal").isNotNull(), F.array(F.lit(""))).otherwise(_section_names(F.col("blocks")))).alias("section"))
+    df = df.withColumn("lines", let(F.col("section"), lambda n: _section_lines(F.col("blocks"), n)))
     return _as_map(df, ["capture_id", "section"], separator, rules or {})
 
 
-def tree_nodes(captures: DataFrame, indent: str | Sequence[str] = "  ", *, root: str = "") -> DataFrame:
-    """A row for each line: its depth by units of ``indent``, and the line of its
-    parent. A skipped level, part of a unit, or over 32 levels is refused.
+def ini_value(lines: Column, separator: str, rules: Mapping[str, Field]) -> Column:
+    """(sections, refusal) of an array of lines: section and pairs of each."""
 
-    Several units may be given, as drawn trees have (``|  ``, ``   ``, and
-    ``|- `` or ``+- `` before the name); each counts as a level. With ``root``,
-    lines that match it are of depth 0 and all others one deeper than drawn.
+    def told(blocks_: Column) -> Column:
+        def one(n: Column) -> Column:
+            return let(map_value(_section_lines(blocks_, n), separator, rules), lambda m: F.struct(n.alias("section"), m["pairs"].alias("pairs"), m["refusal"].alias("why")))
 
-    The parent is the last line above that is one level higher: the number of
-    the last line of each level is carried down the capture.
-    """
+        return F.transform(_section_names(blocks_), one)
+
+    def split(found: Column) -> Column:
+        why = F.get(F.array_compact(F.transform(found, lambda x: x["why"])), F.lit(0))
+        return F.struct(F.transform(found, lambda x: F.struct(x["section"], x["pairs"])).alias("sections"), why.alias("refusal"))
+
+    return let(let(_sections(lines), told), split)
+
+
+def _tree(lines: Column, indent: str | Sequence[str], root: str) -> Column:
+    """An array of (num, depth, text, why) of a tree's lines."""
     units = [indent] if isinstance(indent, str) else list(indent)
-    lead_ = "|".join(map(literal, sorted(units, key=len, reverse=True)))
+    one = "(?>" + "|".join(map(literal, units)) + ")"  # the first stated that fits
+    # a branch, which ends in no blank, ends the indentation
+    lead_ = rf"\A(?:{one}(?<=[ \t]))*+{one}?+"
 
     def node(v: Column) -> Column:
-        lead = F.regexp_extract(v["text"], rf"\A(?:{lead_})*", 0)
+        lead = F.regexp_extract(v["text"], lead_, 0)
         rest = F.substring(v["text"], F.length(lead) + 1, F.length(v["text"]))
-        depth = F.size(F.regexp_extract_all(lead, F.lit(f"({lead_})"), F.lit(1)))
+        return F.struct(v["num"].alias("num"), F.size(F.regexp_extract_all(lead, F.lit(f"({one})"), F.lit(1))).alias("depth"), rest.alias("text"), (lead.rlike(r"[^ \t]\z")).alias("branched"))
+
+    def judged(v: Column) -> Column:
+        why = F.when(~v["branched"] & v["text"].rlike(r"\A[ \t]"), F.lit("part of an indent")).when(v["depth"] > MOST_LEVELS, F.lit(f"over {MOST_LEVELS} levels"))
         if root:
-            depth = F.when(translate(root).matches(v["text"]), 0).otherwise(depth + 1)
-        return F.struct(v["num"].alias("num"), depth.cast("int").alias("depth"), rest.alias("text"))
+            why = F.coalesce(why, F.when((v["depth"] == 0) & ~translate(root).matches(v["text"]), F.lit("a line at the top level that isn't a root")))
+        return F.struct(v["num"], v["depth"], v["text"], why.alias("why"))
+
+    return F.transform(F.transform(lines, node), judged)
+
+
+def _skipped(depth: Column, parent: Column) -> Column:
+    return F.when((depth > 0) & (F.coalesce(parent, F.lit(0)) == 0), F.lit("a skipped level"))
 
-    df = _with_refusal(captures).withColumn("nodes", F.transform("lines", node)).withColumn("parents", let(F.col("nodes"), _parents))
-    troubled = F.array(F.struct(F.struct(F.lit(0).alias("num"), F.lit(0).alias("depth"), F.lit("").alias("text")).alias("nodes"), F.lit(0).alias("parents")))
+
+def tree_nodes(captures: DataFrame, indent: str | Sequence[str] = "  ", *, root: str = "", reader: LineReader | None = None) -> DataFrame:
+    """A row for each line: its depth by units of ``indent``, and the line of its
+    parent. A skipped level, part of a unit, or over 32 levels is refused.
+
+    Several units may be given, as drawn trees have (``|  ``, ``   ``, and ``|-``
+    or ``+- ``): at each step the first that fits is a level, and one that ends in
+    no blank ends the indentation, whatever blanks follow it. With ``root``, a line of
+    depth 0 that doesn't match it is refused. With a ``reader``, its keys stand
+    in place of the text.
+
+    The parent is the last line above that is one level higher: the number of
+    the last line of each level is carried down the capture.
+    """
+    df = _with_refusal(captures).withColumn("nodes", _tree(F.col("lines"), indent, root)).withColumn("parents", let(F.col("nodes"), _parents))
+    none = F.struct(F.lit(0).alias("num"), F.lit(0).alias("depth"), F.lit("").alias("text"), F.lit(None).cast("string").alias("why"))
+    troubled = F.array(F.struct(none.alias("nodes"), F.lit(0).alias("parents")))
     rows = df.select("capture_id", F.col("refusal").alias("trouble"), F.inline(F.when(F.col("refusal").isNotNull(), troubled).otherwise(F.arrays_zip("nodes", "parents"))))
-    text, depth = F.col("nodes.text"), F.col("nodes.depth")
-    own = F.when(text.rlike(rf"\A{BLANK}"), F.lit("part of an indent")).when(depth > MOST_LEVELS, F.lit("over 32 levels")).when((depth > 0) & (F.coalesce("parents", F.lit(0)) == 0), F.lit("a skipped level"))
-    return rows.select("capture_id", F.col("nodes.num").alias("num"), depth.alias("depth"), F.when(depth > 0, F.col("parents")).alias("parent"), text.alias("text"), held(F.coalesce("trouble", own)).alias("refusal"))
+    depth = F.col("nodes.depth")
+    own = F.coalesce("trouble", "nodes.why", _skipped(depth, F.col("parents")))
+    told = rows.select("capture_id", F.col("nodes.num").alias("num"), depth.alias("depth"), F.when(depth > 0, F.col("parents")).alias("parent"), F.col("nodes.text").alias("text"), held(own).alias("trouble"))
+    if reader is None:
+        return told.withColumnRenamed("trouble", "refusal")
+    return reader.rows(told, ("capture_id", "num", "depth", "parent"), "text")
+
+
+def tree_value(lines: Column, indent: str | Sequence[str] = "  ", *, root: str = "", reader: LineReader | None = None, member: Callable[[Column, str], Column] | None = None) -> Column:
+    """(json, refusal) of a tree as one nested value: each node has its keys and
+    ``children``, a list that may be empty. ``member`` writes a node's key as JSON;
+    keys are those of its alternative, in that one's order.
+
+    The lines are the nodes in the order in which JSON has them, so each adds its
+    own opening, and closes what the next one's depth tells is over: one pass,
+    and no value is built from another.
+    """
+
+    def text_of(nodes: Column, values: Column) -> Column:
+        def opened(k: Column) -> Column:
+            value = F.get(values, k)
+            body = None
+            for number, names in enumerate(reader.alternatives or [reader.keys]):
+                members = F.array_join(F.array(*[F.concat(member(F.lit(key), ""), F.lit(":"), member(value[key], key)) for key in names]), ",")
+                body = F.when(value["which"] == number, members) if body is None else body.when(value["which"] == number, members)
+            return F.concat(F.lit("{"), body, F.lit(',"children":['))
+
+        def one(v: Column, k: Column) -> Column:
+            over = v["depth"] - F.coalesce(F.get(nodes, k + 1)["depth"], F.lit(0)) + 1  # this node, and those above that end with it
+            last = k + 1 == F.size(nodes)
+            return F.concat(opened(k), F.repeat(F.lit("]}"), F.greatest(over, F.lit(0))), F.when(last | (over <= 0), "").otherwise(","))
+
+        return F.concat(F.lit("["), F.array_join(F.transform(nodes, one), ""), F.lit("]"))
+
+    def whole(nodes: Column) -> Column:
+        values = reader.values(F.transform(nodes, lambda v: v["text"]))
+        return F.struct(nodes.alias("nodes"), values.alias("values"), _parents(nodes).alias("parents"))
+
+    def told(t: Column) -> Column:
+        skipped = F.zip_with(t["nodes"], t["parents"], lambda v, above: F.coalesce(v["why"], _skipped(v["depth"], above)))
+        unread = F.transform(t["values"], lambda v: v["refusal"])
+        why = F.get(F.array_compact(F.zip_with(skipped, unread, lambda a, b: F.coalesce(a, b))), F.lit(0))
+        return F.struct(F.when(why.isNull(), text_of(t["nodes"], t["values"])).alias("json"), why.alias("refusal"))
+
+    return let(let(_tree(lines, indent, root), whole), told)
 
 
 def _parents(nodes: Column) -> Column:

@@ -95,6 +95,8 @@ def _made(kind: type, given: object, at: str, problems: list[str], taken: tuple[
                 problems.append(f"{here}: not a mapping")
                 continue
             values[name] = {k: _made(inner, v, f"{here}.{k}", problems) for k, v in value.items()}
+        elif kind is Shape and name == "node":
+            values[name] = _made(Shape, value, here, problems)
         elif kind is Field and name == "items":
             values[name] = _made(Field, value, here, problems)
         elif kind is Field and name == "unescape":

@@ -997,6 +997,94 @@ def aligned_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("capture_id", F.col("cells")["name"].alias("name"), "nation_key")
 
 
+@query("""
+with c as (select c_nationkey, string_agg('{"key":' || c_custkey || ',"name":"' || c_name || '","children":[]}', ',' order by c_custkey) as below from customer group by 1),
+n as (select n_regionkey, string_agg('{"kind":"nation","name":"' || n_name || '","children":[' || coalesce(below, '') || ']}', ',' order by n_nationkey) as below from nation left join c on c_nationkey = n_nationkey group by 1)
+select r_regionkey as capture_id, '[{"kind":"region","name":"' || r_name || '","children":[' || coalesce(below, '') || ']}]' as tree from region left join n on n_regionkey = r_regionkey
+""")
+def tree_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree as one nested value; its nodes are read by patterns, its roots told."""
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("own"))
+    below = F.transform(F.coalesce("own", F.expr("array()")), lambda x: F.concat(F.lit("\n    "), x["c_custkey"].cast("string"), F.lit(" "), x["c_name"]))
+    n = table(spark, sf_dir, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    n = n.select("n_regionkey", "n_nationkey", F.concat(F.lit("\n  nation: "), F.col("n_name"), F.array_join(below, "")).alias("text"))
+    n = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "text"))), lambda x: x["text"]), "").alias("nations"))
+    r = table(spark, sf_dir, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    texts = r.select(F.col("r_regionkey").alias("capture_id"), F.concat(F.lit("region: "), F.col("r_name"), F.coalesce("nations", F.lit("")), F.lit("\n")).alias("text"))
+    shape = Shape("tree", root="^region: ", node=Shape("regex", patterns=[r"^(?P<kind>region|nation): (?P<name>.+)$", r"^(?P<key>\d+) (?P<name>\S+)$"], fields={"key": Field("int")}))
+    return shape.nested(texts).select("capture_id", F.col("json").alias("tree"))
+
+
+@query("""
+select n_regionkey as capture_id, n_name as name, n_nationkey::bigint as key, case when n_nationkey % 3 = 0 then null else n_regionkey end::bigint as region
+from nation
+""")
+def aligned_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two aligned tables in one text: the second heading, at other columns, is no row."""
+    n = table(spark, sf_dir, "nation")
+    region = F.when(F.col("n_nationkey") % 3 == 0, "-").otherwise(F.col("n_regionkey").cast("string"))
+    first = F.concat(F.rpad("n_name", 26, " "), F.rpad(F.col("n_nationkey").cast("string"), 6, " "), region)
+    later = F.concat(F.rpad("n_name", 40, " "), F.rpad(F.col("n_nationkey").cast("string"), 10, " "), region)
+    line = F.struct((F.col("n_nationkey") % 2).alias("part"), F.col("n_nationkey").alias("key"), F.when(F.col("n_nationkey") % 2 == 0, first).otherwise(later).alias("t"))
+    heads = F.array(F.struct(F.lit(0).alias("part"), F.lit(-1).alias("key"), F.concat(F.rpad(F.lit("NAME"), 26, " "), F.rpad(F.lit("KEY"), 6, " "), F.lit("REGION")).alias("t")),
+                    F.struct(F.lit(1).alias("part"), F.lit(-1).alias("key"), F.concat(F.rpad(F.lit("NAME"), 40, " "), F.rpad(F.lit("KEY"), 10, " "), F.lit("REGION")).alias("t")))
+    all_ = n.groupBy("n_regionkey").agg(F.collect_list(line).alias("own"))
+    sorted_ = F.array_sort(F.concat(F.col("own").cast("array<struct<part:bigint,key:bigint,t:string>>"), heads.cast("array<struct<part:bigint,key:bigint,t:string>>")))
+    texts = all_.select(F.col("n_regionkey").alias("capture_id"), F.array_join(F.transform(sorted_, lambda x: x["t"]), "\n").alias("text"))
+    rows = Shape("aligned", columns=["name", "key", "region"], fields={"key": Field("int", required=True), "region": Field("int", null_if=("-",))}).read(texts)
+    return rows.select("capture_id", "name", "key", "region")
+
+
+@query("""select n_regionkey as capture_id, n_name as name, n_nationkey::bigint as nation_key, n_nationkey % 5 = 4 as refused from nation""")
+def box_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawn table's cells under rules: a key that is no number refuses its row."""
+    n = table(spark, sf_dir, "nation")
+    key = F.when(F.col("n_nationkey") % 5 == 4, F.concat(F.lit("x"), F.col("n_nationkey").cast("string"))).otherwise(F.col("n_nationkey").cast("string"))
+    texts = gathered(n, "n_regionkey", "n_nationkey", F.lit("| "), F.rpad("n_name", 26, " "), F.lit(" | "), F.rpad(key, 10, " "), F.lit(" |"))
+    rule = "+" + "-" * 28 + "+" + "-" * 12 + "+\n"
+    texts = texts.withColumn("text", F.concat(F.lit(rule), F.concat(F.lit("| "), F.rpad(F.lit("Name"), 26, " "), F.lit(" | "), F.rpad(F.lit("Nation Key"), 10, " "), F.lit(" |\n")), F.lit(rule), "text", F.lit(rule)))
+    rows = Shape("box", fields={"nation_key": Field("int", required=True)}).read(texts, "report")
+    told = F.coalesce("nation_key", F.regexp_extract(F.col("cells")["nation_key"], r"(\d+)", 1).cast("long"))
+    return rows.select("capture_id", F.col("cells")["name"].alias("name"), told.alias("nation_key"), F.col("refusal").isNotNull().alias("refused"))
+
+
+@query("""
+with n as (select n_regionkey, count(*) as n_nations, string_agg(n_name, ',' order by n_nationkey) as names, sum(n_nationkey)::bigint as keys from nation group by 1)
+select r_regionkey as capture_id, r_name as title, n_nations, names as table_names, names as aligned_names, names as box_names, names as csv_names, names as tree_names, keys as ini_keys, keys as headed_keys, n_nations::varchar as mapped
+from region join n on n_regionkey = r_regionkey
+""")
+def composite_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document of parts of all kinds, read in its row: no shuffle after the texts are made."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey").cast("string")
+    lists = {"nat": F.concat("n_name", F.lit("|"), key), "al": F.concat(F.rpad("n_name", 30, " "), key), "box": F.concat(F.lit("| "), F.rpad("n_name", 26, " "), F.lit(" | "), F.rpad(key, 4, " "), F.lit(" |")),
+             "csv": F.concat(F.lit('"'), F.col("n_name"), F.lit('",'), key), "tree": F.concat(F.lit("  "), "n_name"), "ini": F.concat(F.lit("["), F.col("n_name"), F.lit("]\nkey = "), key)}
+    made = n.groupBy("n_regionkey").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", c.alias("t")))), lambda x: x["t"]), "\n").alias(k) for k, c in lists.items()], F.count("*").alias("many"))
+    r = table(spark, sf_dir, "region").join(made, F.col("n_regionkey") == F.col("r_regionkey"))
+    rule = "+" + "-" * 28 + "+" + "-" * 6 + "+"
+    text = F.concat_ws("\n", F.lit("== title"), F.col("r_name"), F.lit("== map"), F.concat(F.lit("nations: "), F.col("many").cast("string")), F.lit("== table"), F.lit("NAME|KEY"), F.col("nat"), F.lit("== derived"), F.lit("NAME|KEY"), F.col("nat"),
+                       F.lit("== aligned"), F.lit("NAME".ljust(30) + "KEY"), F.col("al"), F.lit("== box"), F.lit(rule), F.lit("| " + "name".ljust(26) + " | key  |"), F.lit(rule), F.col("box"), F.lit(rule),
+                       F.lit("== csv"), F.lit("name,key"), F.col("csv"), F.lit("== tree"), F.lit("all"), F.col("tree"), F.lit("== ini"), F.col("ini"), F.lit("== end"))
+    names = ["title", "map", "table", "derived", "aligned", "box", "csv", "tree", "ini", "end"]
+    at = {k: Region(after=f"^== {k}$", until=f"^== {after}$") for k, after in zip(names, names[1:], strict=False)}
+    number = {"key": Field("int", required=True)}
+    shape = Shape("composite", parts={
+        "title": Shape("regex", at["title"], patterns=[r"^(?P<title>[A-Z ]+)$"]), "map": Shape("kv_map", at["map"], separator=":"),
+        "table": Shape("table", at["table"], columns=["name", "key"], fields=number, delimiter="|", header=True), "derived": Shape("table", at["derived"], derived=True, fields=number, delimiter="|"),
+        "aligned": Shape("aligned", at["aligned"], columns=["name", "key"], fields=number), "box": Shape("box", at["box"], fields=number), "csv": Shape("csv", at["csv"], header=True, fields=number),
+        "tree": Shape("tree", at["tree"], node=Shape("regex", patterns=[r"^(?P<name>.+)$"])), "ini": Shape("ini", at["ini"]), "end": Shape("regex", Region(after="^== end$"), patterns=["^(?P<none>.+)$"]),
+    })
+    got = shape.documents(r.select(F.col("r_regionkey").alias("capture_id"), text.alias("text")))
+    joined = lambda c: F.array_join(c, ",")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    leaves = F.from_json(F.col("tree").cast("string"), "array<struct<name:string,children:array<struct<name:string>>>>")
+    return got.select(
+        "capture_id", F.get("title", F.lit(0))["title"].alias("title"), F.size("table").cast("long").alias("n_nations"), joined(F.col("table.name")).alias("table_names"), joined(F.col("aligned.name")).alias("aligned_names"),
+        joined(F.transform("box", lambda x: x["cells"]["name"])).alias("box_names"), joined(F.transform("csv", lambda x: x["cells"]["name"])).alias("csv_names"), joined(F.get(leaves, F.lit(0))["children"]["name"]).alias("tree_names"),
+        total(F.transform("ini", lambda x: x["pairs"]["key"].cast("long"))).alias("ini_keys"), total(F.col("derived.key")).alias("headed_keys"), F.col("map")["nations"].alias("mapped"),
+    )
+
+
 if importlib.util.find_spec("yaml"):
 
     @query("""
