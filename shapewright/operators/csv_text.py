@@ -66,13 +66,14 @@ def records(text: str, delimiter: str = ",") -> Iterator[tuple[int, list[str]]]:
         yield begun, values
 
 
-def open_quote(text: str, delimiter: str = ",") -> bool:
-    """Whether a quote that opened at a value's start is still open at the end of
-    a record's text so far."""
+def quote_open(text: str, delimiter: str = ",", inside: bool = False) -> bool:
+    """Whether a quote that opened at a value's start is open at a line's end;
+    ``inside`` if one is at its start. Each line is read once."""
     at = 0
     while True:
-        if text.startswith('"', at):
-            at += 1
+        if inside or text.startswith('"', at):
+            at += not inside
+            inside = False
             while (end := text.find('"', at)) >= 0 and text.startswith('"', end + 1):
                 at = end + 2
             if end < 0:
@@ -203,6 +204,8 @@ def csv_rows(captures: DataFrame, delimiter: str = ",", *, header: bool = True,
 
             for at, text in enumerate(batch.column(1)):
                 try:
+                    if (trouble := batch.column(2)[at].as_py()) is not None:
+                        raise ValueError(trouble)
                     names, own, cells = _read_csv(text.as_py(), delimiter, header, columns, asked)
                 except ValueError as e:
                     rows.append(np.array([at]))
@@ -228,7 +231,8 @@ def csv_rows(captures: DataFrame, delimiter: str = ",", *, header: bool = True,
 
     reach_workers(captures.sparkSession)
     kind = captures.schema["capture_id"].dataType.simpleString()
-    df = captures.select("capture_id", "text").mapInArrow(run, f"capture_id {kind}, num int, cells map<string,string>, refusal string")
+    trouble = F.col("refusal") if "refusal" in captures.columns else F.lit(None).cast("string")
+    df = captures.select("capture_id", "text", trouble.alias("trouble")).mapInArrow(run, f"capture_id {kind}, num int, cells map<string,string>, refusal string")
     if not rules:
         return df
     typed, reasons = {}, [F.col("refusal")]

@@ -16,17 +16,24 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import translate
 from ..functions.steps import held
 from ..functions.text import BLANK, let
+from ..operators.workers import reach_workers
 from ..sources.readers import evidence
+from .choice import fitting
 
 #: Lines of a signature's window.
 WINDOW, MOST_WINDOW = 20, 200
+#: Definitions from which on texts are told apart by what their patterns require, many at a time.
+MANY = 32
 
 
 @dataclass(frozen=True)
@@ -87,6 +94,7 @@ def windows(captures: DataFrame, signatures: Sequence[Signature]) -> DataFrame:
     return captures.withColumns({f"window {n}": held(window_text(F.col("text"), n)) for n in sorted({s.window for s in signatures})})
 
 
+@cache
 def required_text(pattern: str) -> str:
     """The longest run of plain characters that every match of a pattern holds;
     empty if none is told at sight."""
@@ -229,12 +237,33 @@ def _candidates(captures: DataFrame, signatures: Sequence[Signature], named: str
     known = F.from_json(F.lit(told), "array<struct<parser:string,variant:string,source:int,priority:int>>")
     numbers = {id(s): k for k, s in enumerate(open_)}
 
+    limited = lambda s: s.os or s.args_any or s.args_all or s.args_none or s.alias_args
+    read = lambda df: df.withColumn("found", F.transform("found", lambda k: F.get(known, k)))
+    if text and (len(open_) > MANY or any(translate(p).deep for s in open_ for p in (*s.all, *s.any, *s.none))):
+        df = windows(captures, open_)
+        out = F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(against(captures, s, named).isNotNull(), F.lit(k)) for k, s in enumerate(open_) if limited(s)]))
+        return read(df.withColumn("found", F.array_except(_fitting(captures.sparkSession, open_), out)))
+
     def hit(s: Signature) -> Column:
-        limited = s.os or s.args_any or s.args_all or s.args_none or s.alias_args
         fits = _fits(s) if text else F.lit(True)
-        return F.when(fits & against(captures, s, named).isNull() if limited else fits, F.lit(numbers[id(s)]))
+        return F.when(fits & against(captures, s, named).isNull() if limited(s) else fits, F.lit(numbers[id(s)]))
+
+    return read(_flagged(captures, open_, hit))
+
+
+def _fitting(spark: SparkSession, signatures: Sequence[Signature]) -> Column:
+    """The numbers of the signatures that fit the windows, of a batch of texts at a time."""
+    lengths = sorted({s.window for s in signatures})
+    asked = [(s.window, s.all, s.any, s.none) for s in signatures]
+    reach_workers(spark)
+
+    @F.arrow_udf("array<int>")
+    def found(*texts: pa.Array) -> pa.Array:
+        cut = {n: pc.fill_null(t, "") for n, t in zip(lengths, texts, strict=True)}
+        fits = fitting(cut, asked, required_text)
+        return pa.array([None if null else f for f, null in zip(fits, texts[0].is_null().to_pylist(), strict=True)], pa.list_(pa.int32()))
 
-    return _flagged(captures, open_, hit).withColumn("found", F.transform("found", lambda k: F.get(known, k)))
+    return F.coalesce(found(*[F.col(f"`window {n}`") for n in lengths]), F.array().cast("array<int>"))
 
 
 def candidates(captures: DataFrame, signatures: Sequence[Signature], *, named: str | None = None, variant: str | None = None) -> DataFrame:

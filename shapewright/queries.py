@@ -1104,7 +1104,8 @@ from customer
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not shared and not (master == "local" or master.startswith("local[")):
         raise RuntimeError("streams need spark.checkpoint.dir, a folder that executors share")
     return f"{shared}/streams-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="streams-")
 
@@ -1138,3 +1139,48 @@ def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one file, in order: a stream gives a text's lines as they were written
     made = streamed(spark, own.union(ends).repartition(1).sortWithinPartitions("capture_id", "num"), lambda s: stream.stream_blocks(s, "^nation "))
     return made.select("capture_id", "record", F.array_join("texts", "\n").alias("text"))
+
+
+def lines_streamed(texts: DataFrame) -> DataFrame:
+    """Captures as lines that a stream gives: each text's in order, and a last row."""
+    parts = F.split("text", "\n")
+    rows = F.transform(parts, lambda t, k: F.struct((k + 1).cast("long").alias("num"), F.when(k + 1 < F.size(parts), t).alias("line"), (k + 1 == F.size(parts)).alias("last")))
+    return texts.select("capture_id", F.inline(rows))
+
+
+@query("""
+with l as (select o_orderkey as capture_id, count(*) as n, sum(l_quantity)::bigint as quantity from lineitem join orders on l_orderkey = o_orderkey group by 1)
+select capture_id, 'head' as part, 1::bigint as n_values, '{"key":' || capture_id || '}' as last_json from l
+union all select capture_id, 'lines', n, '{"quantity":' || (select l_quantity::bigint from lineitem where l_orderkey = capture_id order by l_linenumber desc, l_quantity desc limit 1) || '}' from l
+union all select capture_id, 'total', 1, '{"quantity":"' || quantity || '"}' from l
+""")
+def stream_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A composite's values from a stream, each as soon as its lines have come; the
+    total, a map, when its region is over."""
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("long").alias("q")))).alias("own"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey").join(l, F.col("o_orderkey") == F.col("l_orderkey"))
+    total = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["q"])
+    body = F.array_join(F.transform("own", lambda x: F.concat(F.lit("- "), x["q"].cast("string"))), "\n")
+    texts = o.select(F.col("o_orderkey").alias("capture_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit("\n"), body, F.lit("\n\n-- total\nquantity="), total.cast("string"), F.lit("\n")).alias("text"))
+    number = {"quantity": Field("int", required=True)}
+    shape = Shape("composite", parts={
+        "head": Shape("regex", Region(limit=1), [r"^order (?P<key>\d+)$"], fields={"key": Field("int")}), "lines": Shape("regex", Region(skip=1, until="^-- total$"), [r"^- (?P<quantity>\d+)$"], fields=number),
+        "total": Shape("kv_map", Region(after="^-- total$")),
+    })
+    got = streamed(spark, lines_streamed(texts), lambda s: stream.stream_parts(s, shape))
+    return got.groupBy("capture_id", "part").agg(F.count("*").alias("n_values"), F.max_by("json", "num").alias("last_json"))
+
+
+@query("""
+select c_custkey as capture_id, case c_custkey % 3 when 0 then 'pairs/plain' when 1 then 'list/plain' end as parser, case c_custkey % 3 when 2 then 0 else 2 end::bigint as n_rows,
+  case c_custkey % 3 when 2 then 'no definition matches' end as refusal from customer
+""")
+def stream_identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of a stream whose format their first lines tell; none fits a third of them."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("name="), "c_name", F.lit("\nkey="), key)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("* "), "c_name", F.lit("\n* "), key)).otherwise(F.concat(F.lit("? "), key))
+    texts = c.select(F.col("c_custkey").alias("capture_id"), F.concat(text, F.lit("\n")).alias("text"))
+    known = [(Signature("pairs", "plain", all=(r"^\w+=",)), Shape("kv_list")), (Signature("list", "plain", all=(r"^\* ",), none=(r"^\w+=",)), Shape("regex", patterns=[r"^\* (?P<item>.+)$"]))]
+    got = streamed(spark, lines_streamed(texts), lambda s: stream.stream_identified(s, known, "report"))
+    return got.groupBy("capture_id").agg(F.max("parser").alias("parser"), F.count("json").alias("n_rows"), F.max("refusal").alias("refusal"))

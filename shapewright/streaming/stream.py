@@ -10,20 +10,26 @@ needs all lines is held, within the same bound, until its capture ends.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.jsontext import json_of
+from ..functions.steps import held
 from ..functions.text import trimmed
-from ..operators.csv_text import open_quote, records
-from ..operators.lines import MOST_BYTES, dropped, prepared
-from ..operators.parse import settle_refusals
+from ..operators.csv_text import quote_open, records
+from ..operators.lines import MOST_BYTES, Region, dropped, prepared
+from ..operators.parse import joined_lines, settle_refusals
+from ..operators.workers import reach_workers
 from ..plans.build import encoded
+from ..plans.identify import Signature
 from ..plans.shape import DefinitionError, Shape
+from .units import UNITS, chosen, handled
 
 MOST_HELD = MOST_BYTES
 
@@ -56,7 +62,7 @@ def _blocks(starts: str, joined: bool):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         record, nums, texts = (state.get[0], list(state.get[1]), list(state.get[2])) if state.exists else (0, [], [])
         new = pd.concat(list(frames)).sort_values("num")
-        out, ended, size = [], False, sum(map(len, texts))
+        out, ended, size = [], False, sum(len(t.encode()) for t in texts)
         for num, line, last in zip(new["num"], new["line"], new["last"], strict=True):
             if line is not None:
                 begins = bool(pattern.search(line)) != joined
@@ -68,7 +74,7 @@ def _blocks(starts: str, joined: bool):
                     raise ValueError(f"line {num} continues nothing")
                 nums.append(int(num))
                 texts.append(line)
-                size += len(line)
+                size += len(line.encode())
                 if size > MOST_HELD:
                     raise ValueError("an open record of over 64 MiB")
             ended = ended or bool(last)
@@ -98,7 +104,7 @@ def _whole(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
     new = pd.concat(list(frames)).sort_values("num")
     lines = [x for x in new["line"] if x is not None]
     held.append("".join(f"{x}\n" for x in lines))  # a piece for each batch, so that none is copied again
-    size += len(held[-1])
+    size += len(held[-1].encode())
     if size > MOST_HELD:
         raise ValueError("an open capture of over 64 MiB")
     if new["last"].astype(bool).any():
@@ -114,15 +120,80 @@ def stream_captures(lines: DataFrame) -> DataFrame:
     return lines.groupBy("capture_id").applyInPandasWithState(_whole, f"capture_id {kind}, text string", "held array<string>, size long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_shape(lines: DataFrame, shape: Shape, mode: str = "fail") -> DataFrame:
-    """Rows of any shape, or a document for each capture of a composite or
-    records. What reads line by line comes at once; what hangs on other lines
-    (selections, kept blanks, drawn tables, composites, maps) comes when its
-    capture ends, and is then read by the plan for whole texts."""
+def stream_units(lines: DataFrame, shape: Shape, most: int = MOST_HELD) -> DataFrame:
+    """(capture_id, part, nth, lines, refusal): the lines that a value of each part
+    is read from, once they have come; ``part`` is empty for a shape of no parts. A
+    line that no part reads ends its capture with a refusal, as does what waits in
+    it, of all parts together, beyond ``most`` bytes."""
+    reach_workers(lines.sparkSession)
+    one = prepared(F.array(F.struct("num", F.col("line").alias("text"))), shape.checked().region)
+    own = lines.withColumn("line", F.when(F.col("line").isNotNull(), F.get(one, F.lit(0))["text"]))
+    kind = lines.schema["capture_id"].dataType.simpleString()
+    made = own.groupBy("capture_id").applyInPandasWithState(handled(shape, most), f"capture_id {kind}, {UNITS}", "kept string", "append", GroupStateTimeout.NoTimeout)
+    both = F.zip_with("nums", "texts", lambda n, t: F.struct(n.cast("int").alias("num"), t.alias("text")))
+    return made.select("capture_id", "part", "nth", both.alias("lines"), "refusal")
+
+
+def stream_shape(lines: DataFrame, shape: Shape, mode: str = "fail", most: int = MOST_HELD) -> DataFrame:
+    """Rows of any shape as soon as their lines have come, a document for each
+    record, or one for each capture of a composite, which comes when it ends:
+    ``stream_parts`` gives a composite's values one by one."""
     if shape.line_reader() is not None and not (shape.region.selects or shape.region.fold) and shape.region.skip_blank:
         return stream_rows(lines, shape, mode)
-    captures = stream_captures(lines)
-    return shape.documents(captures, mode) if shape.parse in ("composite", "records") else shape.read(captures, mode)
+    if shape.parse == "composite":
+        return shape.documents(stream_captures(lines), mode)
+    units = stream_units(lines, shape, most)
+    if shape.parse == "records":
+        one = Shape("composite", Region(skip_blank=shape.region.skip_blank), parts=shape.parts)
+        made = one.documents(units.withColumn("capture_id", F.struct("capture_id", F.col("nth").cast("int").alias("record"))), mode)
+        return made.select("capture_id.capture_id", "capture_id.record", *[F.col(f"`{c}`") for c in made.columns if c != "capture_id"])
+    return settle_refusals(shape.rows(units.withColumn("text", joined_lines(F.col("lines")))), mode)
+
+
+def stream_parts(lines: DataFrame, shape: Shape, mode: str = "fail", most: int = MOST_HELD) -> DataFrame:
+    """(capture_id, part, num, json) of a composite: each part's values as JSON, those
+    of lists one by one, as soon as their lines have come; what is one value for
+    a region's lines comes when the region is over."""
+    return parts_read(stream_units(lines, shape, most), {"": shape}, mode).drop("parser")
+
+
+def stream_identified(lines: DataFrame, definitions: Sequence[tuple[Signature, Shape]], mode: str = "fail", most: int = MOST_HELD) -> DataFrame:
+    """(capture_id, parser, part, num, json) of captures whose definition is told
+    from their first lines: these are held until no line that may come changes
+    the choice, and then read by the shape chosen (``parser``: command/variant)
+    as the lines after them are. No choice is a refusal."""
+    reach_workers(lines.sparkSession)
+    known = [(s, shape.checked()) for s, shape in definitions if not s.explicit_only]
+    if len({(shape.region.strip_ansi, shape.region.separator) for _, shape in known}) > 1:
+        raise DefinitionError("shapes to choose from split lines and strip escapes alike")
+    one = prepared(F.array(F.struct("num", F.col("line").alias("text"))), known[0][1].region)
+    own = lines.withColumn("line", F.when(F.col("line").isNotNull(), F.get(one, F.lit(0))["text"]))
+    kind = lines.schema["capture_id"].dataType.simpleString()
+    made = own.groupBy("capture_id").applyInPandasWithState(chosen(known, most), f"capture_id {kind}, parser string, {UNITS}", "kept string", "append", GroupStateTimeout.NoTimeout)
+    both = F.zip_with("nums", "texts", lambda n, t: F.struct(n.cast("int").alias("num"), t.alias("text")))
+    units = made.select("capture_id", "parser", "part", "nth", both.alias("lines"), "refusal")
+    return parts_read(units, {f"{s.parser}/{s.variant}": shape for s, shape in known}, mode)
+
+
+def parts_read(units: DataFrame, shapes: Mapping[str, Shape], mode: str) -> DataFrame:
+    """(capture_id, parser, part, num, json) of units of several shapes, in one plan: a
+    unit is read as its part, all others see no lines."""
+    if "parser" not in units.columns:
+        units = units.withColumn("parser", F.lit(""))
+    df, told, why = units, F.array().cast("array<string>"), F.col("refusal")
+    for parser, shape in shapes.items():
+        for name, part in (shape.parts.items() if shape.parse == "composite" else [("", shape)]):
+            mine = (F.col("parser") == parser) & (F.col("part") == name)
+            df = df.withColumn(f"part {parser}/{name}", F.when(mine, F.col("lines")).otherwise(F.array().cast(units.schema["lines"].dataType)))
+            df, value, refused, _ = part._part(df, f"{parser}/{name}", F.col(f"`part {parser}/{name}`"))
+            shown = df.select(value.alias("v")).schema["v"].dataType
+            each = F.transform(value, lambda x: json_of(x, shown.elementType, "", 0)) if isinstance(shown, T.ArrayType) and part.parse != "ini" else F.array(json_of(value, shown, "", 0))  # noqa: B023
+            told = F.when(mine, each).otherwise(told)
+            why = F.coalesce(why, F.when(mine, refused))
+    none = F.array(F.lit(None).cast("string"))
+    df = df.select("capture_id", "parser", "part", F.get("lines", F.lit(-1) + F.size("lines"))["num"].alias("num"), held(why).alias("refusal"), told.alias("told"))
+    rows = df.select("capture_id", "parser", "part", "num", F.explode(F.when(F.col("refusal").isNotNull(), none).otherwise(F.col("told"))).alias("json"), "refusal")
+    return settle_refusals(rows, mode)
 
 
 def stream_blocks(lines: DataFrame, start: str) -> DataFrame:
@@ -143,29 +214,31 @@ def stream_trees(lines: DataFrame) -> DataFrame:
 
 
 def _csv(delimiter: str):
-    """Handles a capture's new lines: those since an open quote are the state."""
+    """Handles a capture's new lines: those since an open quote are the state, and whether it is open."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        record, num, held = state.get if state.exists else (0, 0, None)
+        record, num, held_, size = (state.get[0], state.get[1], list(state.get[2]), state.get[3]) if state.exists else (0, 0, [], 0)
         new = pd.concat(list(frames)).sort_values("num")
         out, ended = [], False
         for at, line, last in zip(new["num"], new["line"], new["last"], strict=True):
             if line is not None:
-                num, held = (int(at), line) if held is None else (num, f"{held}\n{line}")
-                if len(held) > MOST_HELD:
+                inside = bool(held_)
+                num = num if inside else int(at)
+                held_.append(line)
+                size += len(line.encode()) + 1
+                if size > MOST_HELD:
                     raise ValueError("an open record of over 64 MiB")
-                if not open_quote(held, delimiter):
-                    values = next(records(held + "\n", delimiter))[1]
+                if not quote_open(line, delimiter, inside):
                     record += 1
-                    out.append((key[0], record, num, values))
-                    held = None
+                    out.append((key[0], record, num, next(records("\n".join(held_) + "\n", delimiter))[1]))
+                    held_, size = [], 0
             ended = ended or bool(last)
-        if ended and held is not None:
+        if ended and held_:
             raise ValueError(f"a quote that line {num} opens isn't closed")
         if ended:
             state.remove()
         else:
-            state.update((record, num, held))
+            state.update((record, num, held_, size))
         yield pd.DataFrame(out, columns=["capture_id", "record", "num", "cells"])
 
     return run
@@ -176,4 +249,4 @@ def stream_csv(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     quote is open at its line's end; the first has the headings."""
     kind = lines.schema["capture_id"].dataType.simpleString()
     out = f"capture_id {kind}, record long, num long, cells array<string>"
-    return lines.groupBy("capture_id").applyInPandasWithState(_csv(delimiter), out, "record long, num long, held string", "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy("capture_id").applyInPandasWithState(_csv(delimiter), out, "record long, num long, held array<string>, size long", "append", GroupStateTimeout.NoTimeout)
