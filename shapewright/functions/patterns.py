@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -199,6 +200,7 @@ class _Scan:
         return frozenset(self.optional)
 
 
+@cache
 def translate(source: str) -> Pattern:
     """Rewrites one pattern."""
     if len(source) > MOST_PATTERN:

@@ -1149,22 +1149,20 @@ def lines_streamed(texts: DataFrame) -> DataFrame:
 
 
 @query("""
-with l as (select o_orderkey as capture_id, count(*) as n, sum(l_quantity)::bigint as quantity from lineitem join orders on l_orderkey = o_orderkey group by 1)
-select capture_id, 'head' as part, 1::bigint as n_values, '{"key":' || capture_id || '}' as last_json from l
-union all select capture_id, 'lines', n, '{"quantity":' || (select l_quantity::bigint from lineitem where l_orderkey = capture_id order by l_linenumber desc, l_quantity desc limit 1) || '}' from l
-union all select capture_id, 'total', 1, '{"quantity":"' || quantity || '"}' from l
+with o as (select o_custkey as capture_id, count(*) as n, max(o_orderkey) as last, sum(o_orderkey)::bigint as keys from orders group by 1)
+select capture_id, 'head' as part, 1::bigint as n_values, '{"key":' || capture_id || '}' as last_json from o
+union all select capture_id, 'orders', n, '{"order":' || last || '}' from o
+union all select capture_id, 'total', 1, '{"keys":"' || keys || '"}' from o
 """)
 def stream_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A composite's values from a stream, each as soon as its lines have come; the
     total, a map, when its region is over."""
-    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("long").alias("q")))).alias("own"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey").join(l, F.col("o_orderkey") == F.col("l_orderkey"))
-    total = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["q"])
-    body = F.array_join(F.transform("own", lambda x: F.concat(F.lit("- "), x["q"].cast("string"))), "\n")
-    texts = o.select(F.col("o_orderkey").alias("capture_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit("\n"), body, F.lit("\n\n-- total\nquantity="), total.cast("string"), F.lit("\n")).alias("text"))
-    number = {"quantity": Field("int", required=True)}
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("capture_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("own"))
+    total = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x)
+    body = F.array_join(F.transform("own", lambda x: F.concat(F.lit("- "), x.cast("string"))), "\n")
+    texts = o.select("capture_id", F.concat(F.lit("customer "), F.col("capture_id").cast("string"), F.lit("\n"), body, F.lit("\n\n-- total\nkeys="), total.cast("string"), F.lit("\n")).alias("text"))
     shape = Shape("composite", parts={
-        "head": Shape("regex", Region(limit=1), [r"^order (?P<key>\d+)$"], fields={"key": Field("int")}), "lines": Shape("regex", Region(skip=1, until="^-- total$"), [r"^- (?P<quantity>\d+)$"], fields=number),
+        "head": Shape("regex", Region(limit=1), [r"^customer (?P<key>\d+)$"], fields={"key": Field("int")}), "orders": Shape("regex", Region(skip=1, until="^-- total$"), [r"^- (?P<order>\d+)$"], fields={"order": Field("int", required=True)}),
         "total": Shape("kv_map", Region(after="^-- total$")),
     })
     got = streamed(spark, lines_streamed(texts), lambda s: stream.stream_parts(s, shape))

@@ -107,6 +107,11 @@ def kind_of(shape: Shape) -> str:
     return {"table": "headed", "aligned": "headed", "csv": "csv", "tree": "tree", "records": "records"}.get(shape.parse, "whole")
 
 
+def kinds_of(shape: Shape) -> dict[str, str]:
+    """How the lines of each part make units."""
+    return {n: kind_of(p) for n, p in (shape.parts.items() if shape.parse == "composite" else [("", shape)])}
+
+
 @dataclass
 class Open:
     """What a part holds."""
@@ -125,8 +130,8 @@ def _words(text: str) -> list[str]:
 class Reader:
     """One capture under a shape. ``state`` and ``Reader(shape, state)`` keep it between batches."""
 
-    def __init__(self, shape: Shape, state: dict | None = None, most: int = MOST_BYTES):
-        self.shape, self.most = shape, most
+    def __init__(self, shape: Shape, state: dict | None = None, most: int = MOST_BYTES, kinds: dict[str, str] | None = None):
+        self.shape, self.most, self.kinds = shape, most, kinds or kinds_of(shape)
         self.parts = dict(shape.parts) if shape.parse == "composite" else {"": shape}
         state = state or {}
         self.top = Place(**state.get("top", {}))
@@ -254,7 +259,7 @@ class Reader:
 
     def _into(self, name: str, part: Shape, num: int, text: str, hits: Hits, k: int) -> Iterator[Unit]:
         """A line that is in a part's region."""
-        own, kind = self.open[name], kind_of(part)
+        own, kind = self.open[name], self.kinds[name]
         if kind == "line":
             yield name, [(num, text)]
         elif kind == "headed":
@@ -284,7 +289,7 @@ class Reader:
 
     def _close(self, name: str, part: Shape) -> Iterator[Unit]:
         """What a part holds, where its region is over."""
-        own, kind = self.open[name], kind_of(part)
+        own, kind = self.open[name], self.kinds[name]
         if own.done:
             return
         own.done = True
@@ -295,15 +300,19 @@ class Reader:
 
 def lines_of(frames: Iterator[pd.DataFrame]) -> tuple[list[Line], bool]:
     """New lines of a capture in order, and whether they are its last."""
-    new = pd.concat(list(frames)).sort_values("num")
-    lines = [(int(n), t) for n, t in zip(new["num"], new["line"], strict=True) if t is not None]
-    return lines, bool(new["last"].astype(bool).any())
+    lines, last = [], False
+    for frame in frames:
+        lines += [(n, t) for n, t in zip(frame["num"].tolist(), frame["line"].tolist(), strict=True) if t is not None]
+        last = last or any(frame["last"].tolist())
+    return sorted(lines), last
 
 
 def chosen(definitions: Sequence[tuple[object, Shape]], most: int):
     """Handles new lines of captures whose definition isn't known: they are held until
     no line that may come changes the choice, and then go the chosen one's way."""
 
+    kinds = [kinds_of(shape) for _, shape in definitions]
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = json.loads(state.get[0]) if state.exists else {"held": []}
         lines, last = lines_of(frames)
@@ -325,7 +334,7 @@ def chosen(definitions: Sequence[tuple[object, Shape]], most: int):
                     kept, lines = {"chosen": told[0]}, held
             if kept != REFUSED and "chosen" in kept:
                 signature, shape = definitions[kept["chosen"]]
-                reader, counts = Reader(shape, kept.get("reader"), most), kept.get("counts", {})
+                reader, counts = Reader(shape, kept.get("reader"), most, kinds[kept["chosen"]]), kept.get("counts", {})
                 for part, own in reader.feed(lines, last):
                     counts[part] = counts.get(part, 0) + 1
                     out.append((key[0], f"{signature.parser}/{signature.variant}", part, counts[part], None, [n for n, _ in own], [t for _, t in own]))
@@ -348,13 +357,14 @@ REFUSED = "refused"
 
 def handled(shape: Shape, most: int):
     """Handles a capture's new lines; after a refusal the rest of it gives nothing."""
+    kinds = kinds_of(shape)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = json.loads(state.get[0]) if state.exists else {}
         lines, last = lines_of(frames)
         out: list[tuple] = []
         if kept != REFUSED:
-            reader, counts = Reader(shape, kept.get("reader"), most), kept.get("counts", {})
+            reader, counts = Reader(shape, kept.get("reader"), most, kinds), kept.get("counts", {})
             try:
                 for part, own in reader.feed(lines, last):
                     counts[part] = counts.get(part, 0) + 1
