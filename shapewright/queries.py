@@ -25,6 +25,7 @@ from .plans import build, conformance, identify
 from .plans.identify import Signature
 from .plans.shape import Shape
 from .sources import readers
+from .sources.csv_files import csv_files
 from .sources.readers import evidence, json_refusal
 from .streaming import stream
 
@@ -1120,6 +1121,17 @@ def streamed(spark: SparkSession, rows: DataFrame, made: Callable[[DataFrame], D
     return spark.read.schema(plan.schema).parquet(f"{place}/out")
 
 
+@query("""select doc_id, source, length(coalesce(text, ''))::bigint as n_characters, md5(coalesce(text, '')) as text_md5 from documents""")
+def csv_files_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of CSV whose quoted values run over lines, read where Spark cuts them."""
+    place = scratch(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    d.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{place}/csv")
+    rows = parse.settle_refusals(csv_files(spark, f"{place}/csv", rules={"doc_id": Field("int", required=True)}))
+    text = F.coalesce(F.col("cells")["text"], F.lit(""))
+    return rows.select("doc_id", F.col("cells")["source"].alias("source"), F.length(text).cast("long").alias("n_characters"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"))
+
+
 @query("""select c_custkey as capture_id, c_name as name, c_nationkey::bigint as nation from customer""")
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a stream read one by one, by the plan that reads whole texts."""
