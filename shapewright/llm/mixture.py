@@ -101,7 +101,7 @@ def source_budgets(tokens: DataFrame, *, repeats: float | None = 2.0, entropy: f
 
 def _dealt(docs: DataFrame, repeats: float | None, entropy: float | None) -> DataFrame:
     """row_key, doc_id, source, n_tokens, block, weight, place and epochs of every row."""
-    named = F.coalesce("doc_id", F.lit(0))
+    named = F.coalesce("doc_id", row_key(docs))  # rows without an id are dealt like others
     own = settle(
         docs.select(
             row_key(docs).alias("row_key"), "doc_id", F.coalesce("source", F.lit("")).alias("source"), n_words(F.col("text")).alias("n_tokens"),
