@@ -1148,8 +1148,8 @@ def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.array(F.struct(F.lit(0).alias("at"), F.concat(F.lit("nation "), "n_name").alias("line")), F.struct(F.lit(1).alias("at"), F.concat(F.lit("  key "), F.col("n_nationkey").cast("string")).alias("line")))
     own = n.select(F.col("n_regionkey").alias("capture_id"), "n_nationkey", F.inline(told)).select("capture_id", (F.col("n_nationkey") * 2 + F.col("at")).cast("long").alias("num"), "line", F.lit(False).alias("last"))
     ends = n.select(F.col("n_regionkey").alias("capture_id")).distinct().select("capture_id", F.lit(1 << 40).cast("long").alias("num"), F.lit(None).cast("string").alias("line"), F.lit(True).alias("last"))
-    # one file, in order: a stream gives a text's lines as they were written
-    made = streamed(spark, own.union(ends).repartition(1).sortWithinPartitions("capture_id", "num"), lambda s: stream.stream_blocks(s, "^nation "))
+    # a text's lines in one file, in order, as a stream gives them
+    made = streamed(spark, own.union(ends).repartition("capture_id").sortWithinPartitions("capture_id", "num"), lambda s: stream.stream_blocks(s, "^nation "))
     return made.select("capture_id", "record", F.array_join("texts", "\n").alias("text"))
 
 

@@ -58,8 +58,8 @@ def test_compressed_files(source, tmp_path, pack, kind):
     (tmp_path / "two").write_bytes(pack(b"a\nb") + pack(b"c\nd\n"))
     assert [r[2] for r in told(source, tmp_path / "two")] == ["a", "bc", "d"]
     (tmp_path / "cut").write_bytes(pack(data)[:-200])
-    got = told(source, tmp_path / "cut")
-    assert [r[3] for r in got if r[3]] == [f"ends within its {kind}"] and all(r in want("cut", data) for r in got[:-1] if r[3] is None and r[2].endswith("text"))
+    got, all_ = told(source, tmp_path / "cut"), set(want("cut", data))
+    assert [r[3] for r in got if r[3]] == [f"ends within its {kind}"] and all(r in all_ for r in got if r[3] is None and r[2].endswith("text"))
     broken = bytearray(pack(data))
     broken[len(broken) // 2] ^= 0xFF
     (tmp_path / "broken").write_bytes(bytes(broken))
