@@ -3,8 +3,10 @@
 A file is cut where Spark cuts it, at lines, and whether a quote is open there
 isn't known. Each cut is read for both cases first, which tells for either
 whether one is open at its end; put together in order, one row a cut, they
-tell where each begins. Then each cut is read once more for its records. A record
-over several cuts is put together from its pieces.
+tell where each begins. Then each cut is read once more for its records, some at
+a time: a task holds a batch of lines and the record that is open, never its cut.
+A record over several cuts is put together from its pieces. One of over 64 MiB is
+refused wherever it lies.
 
 A record that breaks a rule is a row with its reason; the others stand.
 """
@@ -12,10 +14,11 @@ A record that breaks a rule is a row with its reason; the others stand.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import pairwise
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.convert import Field
@@ -27,22 +30,24 @@ from ..operators.workers import reach_workers
 CUT = "path string, start long, lines long, open0 boolean, since0 long, open1 boolean, since1 long"
 
 
-def _cuts(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[dict, list[pa.RecordBatch]]]:
-    """Each cut's first row as a dict of ``names`` and its batches, in order."""
-    at, held = None, []
+#: Characters of whole records that are read at a time.
+STEP = 1 << 22
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[dict, pa.Array]]:
+    """Each cut's first row as a dict of ``names``, and lines of it as they come; for all lines of a cut it is the same dict."""
+    at, first = None, {}
     for batch in batches:
-        begun = 0
-        own = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if batch.num_rows else []
-        for k, key in enumerate(own):
+        size = batch.num_rows
+        if not size:
+            continue
+        differ = [pc.not_equal(batch.column(k).slice(1), batch.column(k).slice(0, size - 1)) for k in (0, 1)]
+        bounds = [0, *[k + 1 for k in pc.indices_nonzero(pc.or_(*differ)).to_pylist()], size]
+        for begins, ends in pairwise(bounds):
+            key = (batch.column(0)[begins].as_py(), batch.column(1)[begins].as_py())
             if key != at:
-                if at is not None and (k > begun or held):
-                    yield first, [*held, batch.slice(begun, k - begun)]  # noqa: F821
-                at, held, begun = key, [], k
-                first = {n: batch.column(i)[k].as_py() for i, n in enumerate(names)}  # noqa: F841
-        if own:
-            held.append(batch.slice(begun))
-    if held:
-        yield first, held
+                at, first = key, {n: batch.column(batch.schema.get_field_index(n))[begins].as_py() for n in names}
+            yield first, batch.column(2).slice(begins, ends - begins)
 
 
 def _surveyed(delimiter: str):
@@ -50,24 +55,25 @@ def _surveyed(delimiter: str):
     0 in it, at which the record began that is open at its end (-1: before the cut)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for cut, parts in _cuts(batches, ("path", "start")):
-            states, lines = [[False, -1], [True, -1]], 0
-            for part in parts:
-                text = part.column(2)
-                for k in pc.indices_nonzero(pc.match_substring(text, '"')).to_pylist():
-                    line = text[k].as_py()
-                    if not cut["start"] and not lines + k:
-                        line = line.removeprefix("\ufeff")
-                    for state in states:
-                        inside = state[0]
-                        state[0] = quote_open(line, delimiter, inside)
-                        if state[0] and not inside:
-                            state[1] = lines + k
-                lines += part.num_rows
-            (open0, since0), (open1, since1) = states
-            out.append((cut["path"], cut["start"], lines, open0, since0, open1, since1))
-        yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "lines", "open0", "since0", "open1", "since1"), r, strict=True)) for r in out], schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("lines", pa.int64()), ("open0", pa.bool_()), ("since0", pa.int64()), ("open1", pa.bool_()), ("since1", pa.int64())]))
+        out: list[list] = []
+        cut = None
+        for told, text in _stretches(batches, ("path", "start")):
+            if told is not cut:
+                cut, states, lines = told, [[False, -1], [True, -1]], 0
+                out.append([cut["path"], cut["start"], 0, states])
+            for k in pc.indices_nonzero(pc.match_substring(text, '"')).to_pylist():
+                line = text[k].as_py()
+                if not cut["start"] and not lines + k:
+                    line = line.removeprefix("\ufeff")
+                for state in states:
+                    inside = state[0]
+                    state[0] = quote_open(line, delimiter, inside)
+                    if state[0] and not inside:
+                        state[1] = lines + k
+            lines += len(text)
+            out[-1][2] = lines
+        rows = [(path, start, lines, *none, *one) for path, start, lines, (none, one) in out]
+        yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "lines", "open0", "since0", "open1", "since1"), r, strict=True)) for r in rows], schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("lines", pa.int64()), ("open0", pa.bool_()), ("since0", pa.int64()), ("open1", pa.bool_()), ("since1", pa.int64())]))
 
     return run
 
@@ -89,45 +95,81 @@ def _placed(cuts: DataFrame) -> DataFrame:
 
 
 RECORD = pa.schema([("path", pa.string()), ("num", pa.int64()), ("cells", pa.list_(pa.string())), ("refusal", pa.string())])
-FIELDS = ("path", "start", "text", "first", "open", "since")
-
-
-def _texts(cut: dict, parts: list[pa.RecordBatch]) -> list[str]:
-    lines = [t for p in parts for t in p.column(2).to_pylist()]
-    if not cut["start"]:
-        lines[0] = lines[0].removeprefix("\ufeff")
-    return lines
-
-
-def _runs(lines: list[str], begins: int, ends: int, delimiter: str, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
-    """Stretches of some lines that no record is cut by."""
-    inside = False
-    for k in range(begins, ends):
-        if '"' in lines[k]:
-            inside = quote_open(lines[k], delimiter, inside)
-        if k + 1 == ends or (k + 1 - begins >= size and not inside):
-            yield begins, k + 1
-            begins = k + 1
-
-
-def _split(lines: list[str], opens: bool, delimiter: str) -> tuple[int, int]:
-    """Where a cut's own records begin and end: before is what ends an open one, after what stays open."""
-    begins = 0
-    inside = opens
-    while inside and begins < len(lines):
-        inside = quote_open(lines[begins], delimiter, True)
-        begins += 1
-    if inside:
-        return len(lines), len(lines)
-    since = len(lines)
-    for k in range(begins, len(lines)):
-        if '"' in lines[k]:
-            was, inside = inside, quote_open(lines[k], delimiter, inside)
-            if inside and not was:
-                since = k
-            elif not inside:
-                since = len(lines)
-    return begins, since
+FIELDS = ("path", "start", "first", "open", "since")
+
+
+class Cut:
+    """A cut's lines as they come. Held are a step of whole records and the record
+    that is open; one of over ``MOST_BYTES`` is counted and not held."""
+
+    def __init__(self, told: dict, delimiter: str):
+        self.told, self.delimiter = told, delimiter
+        self.num = self.begun = told["first"]
+        self.inside = self.before = told["open"]  # a quote is open; it was so before the cut
+        self.held: list[str] = []
+        self.size = -1  # bytes of the open record here, with a line feed between two lines
+        self.whole: list[str] = []
+        self.whole_from, self.whole_size = 0, 0
+
+    def feed(self, text: pa.Array) -> Iterator[tuple[str, int, list[str], int]]:
+        """What these lines complete, as (kind, number of its first line, lines, bytes): ``whole``
+        records, ``large`` for one that isn't held, ``end`` for that of a record open before."""
+        lines = text.to_pylist()
+        if self.num == self.told["first"] and not self.told["start"]:
+            lines[0] = lines[0].removeprefix("\ufeff")
+        for line, size in zip(lines, pc.binary_length(text).to_pylist(), strict=True):
+            was = self.inside
+            if '"' in line:
+                self.inside = quote_open(line, self.delimiter, was)
+            if was or self.inside:
+                if not was:
+                    self.begun = self.num
+                self.size += size + 1
+                if self.size <= MOST_BYTES:
+                    self.held.append(line)
+                else:
+                    self.held = []
+                if not self.inside:
+                    if self.before or self.size > MOST_BYTES:
+                        yield from self.step()
+                        yield "end" if self.before else "large", self.begun, self.held, self.size
+                    else:
+                        self._take(self.begun, self.held, self.size)
+                    self.held, self.size, self.before = [], -1, False
+            else:
+                self._take(self.num, [line], size)
+            self.num += 1
+            if self.whole_size > STEP:
+                yield from self.step()
+
+    def _take(self, num: int, lines: list[str], size: int) -> None:
+        if not self.whole:
+            self.whole_from = num
+        self.whole += lines
+        self.whole_size += size + 1
+
+    def step(self) -> Iterator[tuple[str, int, list[str], int]]:
+        if self.whole:
+            yield "whole", self.whole_from, self.whole, self.whole_size
+        self.whole, self.whole_size = [], 0
+
+    def close(self) -> Iterator[tuple[str, int, list[str], int]]:
+        """What is left where the cut is over; ``open`` for what stays so, ``middle`` if all of the cut is one record's."""
+        yield from self.step()
+        if self.inside:
+            yield "middle" if self.before else "open", self.begun, self.held, self.size
+
+
+def _told(batches: Iterator[pa.RecordBatch], delimiter: str) -> Iterator[tuple[dict, tuple[str, int, list[str], int]]]:
+    cut = None
+    for told, text in _stretches(batches, FIELDS):
+        if cut is None or told is not cut.told:
+            if cut is not None:
+                yield from ((cut.told, p) for p in cut.close())
+            cut = Cut(told, delimiter)
+        yield from ((told, p) for p in cut.feed(text))
+    if cut is not None:
+        yield from ((cut.told, p) for p in cut.close())
 
 
 def _one_by_one(lines: list[str], first: int, delimiter: str) -> Iterator[tuple[int, list[str] | None, str | None]]:
@@ -145,38 +187,38 @@ def _one_by_one(lines: list[str], first: int, delimiter: str) -> Iterator[tuple[
         held = []
 
 
+LARGE = "a record of over 64 MiB"
+
+
 def _read(delimiter: str):
     """The records that lie in one cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut, parts in _cuts(batches, FIELDS):
-            lines = _texts(cut, parts)
-            for a, b in _runs(lines, *_split(lines, cut["open"], delimiter), delimiter):
-                own = lines[a:b]
+        for cut, (kind, num, own, _) in _told(batches, delimiter):
+            if kind == "whole":
                 try:
-                    found = [(cut["first"] + a + n - 1, values, None) for n, values in quick_records("\n".join(own) + "\n", delimiter)]
+                    found = [(num + n - 1, values, None) for n, values in quick_records("\n".join(own) + "\n", delimiter)]
                 except ValueError:
-                    found = list(_one_by_one(own, cut["first"] + a, delimiter))
-                found = [r for r in found if r[1] != [""]]
-                yield pa.RecordBatch.from_arrays([pa.array([cut["path"]] * len(found), pa.string()), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.list_(pa.string())), pa.array([r[2] for r in found], pa.string())], schema=RECORD)
+                    found = list(_one_by_one(own, num, delimiter))
+            elif kind == "large":
+                found = [(num, None, f"line {num}: {LARGE}")]
+            else:
+                continue
+            found = [r for r in found if r[1] != [""]]
+            yield pa.RecordBatch.from_arrays([pa.array([cut["path"]] * len(found), pa.string()), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.list_(pa.string())), pa.array([r[2] for r in found], pa.string())], schema=RECORD)
 
     return run
 
 
 def _pieces(delimiter: str):
-    """(path, since, num, text, whole) of the pieces of records over several cuts; ``whole`` where one ends."""
+    """(path, since, num, text, size, whole) of the pieces of records over several cuts; ``whole``
+    where one ends. One of over ``MOST_BYTES`` has its size alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut, parts in _cuts(batches, FIELDS):
-            lines = _texts(cut, parts)
-            begins, ends = _split(lines, cut["open"], delimiter)
-            rows = []
-            if cut["open"]:
-                closed = begins < len(lines) or not quote_open(lines[-1], delimiter, True)
-                rows.append((cut["path"], cut["since"], cut["first"], "\n".join(lines[:begins]), closed))
-            if ends < len(lines) and begins <= ends:
-                rows.append((cut["path"], cut["first"] + ends, cut["first"] + ends, "\n".join(lines[ends:]), False))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["path", "since", "num", "text", "whole"])
+        for cut, (kind, num, own, size) in _told(batches, delimiter):
+            if kind in ("end", "open", "middle"):
+                row = (cut["path"], num if kind == "open" else cut["since"], num, "\n".join(own) if size <= MOST_BYTES else None, size, kind == "end")
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["path", "since", "num", "text", "size", "whole"])
 
     return run
 
@@ -192,7 +234,7 @@ def _mended(delimiter: str):
                     if not r["closed"]:
                         raise ValueError(f"a quote that line {r['since']} opens isn't closed")
                     if r["size"] > MOST_BYTES:
-                        raise ValueError("a record of over 64 MiB")
+                        raise ValueError(LARGE)
                     rows.append((r["path"], r["since"], next(quick_records(r["text"] + "\n", delimiter))[1], None))
                 except ValueError as e:
                     rows.append((r["path"], r["since"], None, f"line {r['since']}: {e}"))
@@ -208,6 +250,7 @@ def _headings(delimiter: str):
         done: set[str] = set()
         held: dict[str, list[str]] = {}
         nums: dict[str, int] = {}
+        sizes: dict[str, int] = {}
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if path in done:
@@ -215,7 +258,11 @@ def _headings(delimiter: str):
                 nums[path] = nums.get(path, 0) + 1
                 own = held.setdefault(path, [])
                 own.append(text.removeprefix("\ufeff") if nums[path] == 1 else text)
-                if own == [""] or own == ["\r"]:
+                sizes[path] = sizes.get(path, 0) + len(text)
+                if sizes[path] > MOST_BYTES:  # no heading, but a quote that stays open
+                    done.add(path)
+                    own.clear()
+                elif own == [""] or own == ["\r"]:
                     own.clear()
                 elif not quote_open(own[-1], delimiter, len(own) > 1):
                     done.add(path)
@@ -240,9 +287,12 @@ def csv_files(spark: SparkSession, path: str, delimiter: str = ",", *, header: b
     placed = lines.join(F.broadcast(cuts), ["path", "start"]).select("path", "start", "text", "first", "open", "since", "ends_open")
     kind = "path string, num long, cells array<string>, refusal string"
     inside = placed.drop("ends_open").mapInArrow(_read(delimiter), kind)
-    pieces = placed.filter("open or ends_open").drop("ends_open").mapInArrow(_pieces(delimiter), "path string, since long, num long, text string, whole boolean")
+    pieces = placed.filter("open or ends_open").drop("ends_open").mapInArrow(_pieces(delimiter), "path string, since long, num long, text string, size long, whole boolean")
+    # the texts of a record that is too large are never put together
+    pieces = pieces.withColumn("all", F.sum("size").over(Window.partitionBy("path", "since")))
+    pieces = pieces.withColumn("text", F.when(F.col("all") <= MOST_BYTES, F.col("text")))
     mended = pieces.groupBy("path", "since").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("num", "text"))), lambda p: p["text"]), "\n").alias("text"), F.max("whole").alias("closed"), F.sum(F.octet_length("text")).alias("size")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("num", "text"))), lambda p: p["text"]), "\n").alias("text"), F.max("whole").alias("closed"), F.max("all").alias("size")
     ).mapInArrow(_mended(delimiter), kind)
     rows = inside.unionByName(mended)
     if header and not columns:

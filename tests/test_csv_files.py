@@ -2,11 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shapewright.functions.convert import Field
 from shapewright.operators import csv_text
+from shapewright.sources import csv_files as cut_files
 from shapewright.sources.csv_files import csv_files
 
 
@@ -77,3 +79,29 @@ def test_rules_and_names_of_files(small_cuts, tmp_path):
     assert csv_files(small_cuts, str(tmp_path), rules={"lacking": Field()}).filter(F.col("refusal").contains("no column lacking")).count() == 202
     assert csv_files(small_cuts, str(tmp_path), columns=["p", "q"]).filter("cells['p'] = 'n'").count() == 1
     assert csv_files(small_cuts, str(tmp_path), header=False).filter("cells['column_1'] = 'n'").count() == 1
+
+
+def cut_batches(lines, size, taken):
+    """A cut's lines in batches; ``taken`` counts those that were asked for."""
+    for k in range(0, len(lines), size):
+        taken.append(k)
+        own = lines[k : k + size]
+        yield pa.RecordBatch.from_pydict({"path": ["p"] * len(own), "start": [0] * len(own), "text": own, "first": [1] * len(own), "open": [False] * len(own), "since": pa.array([-1] * len(own), pa.int64())})
+
+
+def test_a_cut_is_never_held_whole():
+    taken = []
+    lines = [f'{k},"{"x" * 1000}' if k % 2 else f'{"y" * 1000}",{k}' for k in range(1, 40_001)]
+    made = cut_files._read(",")(cut_batches(lines, 1000, taken))
+    first = next(made)
+    assert first.num_rows and len(taken) < 8
+    assert first.num_rows + sum(b.num_rows for b in made) == 20_000 and len(taken) == 40
+
+
+def test_a_large_record_is_refused_and_not_held_wherever_it_lies(monkeypatch):
+    monkeypatch.setattr(cut_files, "MOST_BYTES", 500)
+    lines = ["a,b", '1,"', *["z" * 9] * 60, '",2', "3,4", '5,"', *["z" * 9] * 60]
+    rows = [r for b in cut_files._read(",")(cut_batches(lines, 7, [])) for r in b.to_pylist()]
+    assert [(r["num"], r["cells"], r["refusal"]) for r in rows] == [(1, ["a", "b"], None), (2, None, "line 2: a record of over 64 MiB"), (64, ["3", "4"], None)]
+    rows = [r for b in cut_files._pieces(",")(cut_batches(lines, 7, [])) for r in b.to_pylist()]
+    assert [(r["since"], r["text"], r["size"], r["whole"]) for r in rows] == [(65, None, 603, False)]
