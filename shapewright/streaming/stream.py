@@ -10,14 +10,12 @@ needs all lines is held, within the same bound, until its capture ends.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.jsontext import json_of
 from ..functions.steps import held
@@ -29,6 +27,7 @@ from ..operators.workers import reach_workers
 from ..plans.build import encoded
 from ..plans.identify import Signature
 from ..plans.shape import DefinitionError, Shape
+from .buckets import Line, by_bucket
 from .units import UNITS, chosen, handled
 
 MOST_HELD = MOST_BYTES
@@ -59,65 +58,49 @@ def _blocks(starts: str, joined: bool):
     matches a block's first line, or where ``joined`` the lines that continue one."""
     pattern = re.compile(starts)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        record, nums, texts = (state.get[0], list(state.get[1]), list(state.get[2])) if state.exists else (0, [], [])
-        new = pd.concat(list(frames)).sort_values("num")
-        out, ended, size = [], False, sum(len(t.encode()) for t in texts)
-        for num, line, last in zip(new["num"], new["line"], new["last"], strict=True):
-            if line is not None:
-                begins = bool(pattern.search(line)) != joined
-                if begins and texts:
-                    record += 1
-                    out.append((key[0], record, nums[0], texts))
-                    nums, texts, size = [], [], 0
-                if not begins and not texts:
-                    raise ValueError(f"line {num} continues nothing")
-                nums.append(int(num))
-                texts.append(line)
-                size += len(line.encode())
-                if size > MOST_HELD:
-                    raise ValueError("an open record of over 64 MiB")
-            ended = ended or bool(last)
-        if ended and texts:
+    def run(kept: list | None, lines: list[Line], last: bool) -> tuple[list[tuple], list]:
+        record, nums, texts = kept or (0, [], [])
+        out, size = [], sum(len(t.encode()) for t in texts)
+        for num, line in lines:
+            begins = bool(pattern.search(line)) != joined
+            if begins and texts:
+                record += 1
+                out.append((record, nums[0], texts))
+                nums, texts, size = [], [], 0
+            if not begins and not texts:
+                raise ValueError(f"line {num} continues nothing")
+            nums.append(num)
+            texts.append(line)
+            size += len(line.encode())
+            if size > MOST_HELD:
+                raise ValueError("an open record of over 64 MiB")
+        if last and texts:
             record += 1
-            out.append((key[0], record, nums[0], texts))
-            nums, texts = [], []
-        if ended:
-            state.remove()
-        else:
-            state.update((record, nums, texts))
-        yield pd.DataFrame(out, columns=["capture_id", "record", "num", "texts"])
+            out.append((record, nums[0], texts))
+        return out, [record, nums, texts]
 
     return run
 
 
 def _stateful(lines: DataFrame, starts: str, joined: bool) -> DataFrame:
-    kind = lines.schema["capture_id"].dataType.simpleString()
-    out = f"capture_id {kind}, record long, num long, texts array<string>"
-    state = "record long, nums array<long>, texts array<string>"
-    return lines.groupBy("capture_id").applyInPandasWithState(_blocks(starts, joined), out, state, "append", GroupStateTimeout.NoTimeout)
+    reach_workers(lines.sparkSession)
+    return by_bucket(lines, _blocks(starts, joined), "record long, num long, texts array<string>")
 
 
-def _whole(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _whole(kept: list | None, lines: list[Line], last: bool) -> tuple[list[tuple], list]:
     """Holds a capture's lines until its last one."""
-    held, size = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-    new = pd.concat(list(frames)).sort_values("num")
-    lines = [x for x in new["line"] if x is not None]
-    held.append("".join(f"{x}\n" for x in lines))  # a piece for each batch, so that none is copied again
+    held, size = kept or ([], 0)
+    held.append("".join(f"{x}\n" for _, x in lines))  # a piece for each batch
     size += len(held[-1].encode())
     if size > MOST_HELD:
         raise ValueError("an open capture of over 64 MiB")
-    if new["last"].astype(bool).any():
-        state.remove()
-        yield pd.DataFrame({"capture_id": [key[0]], "text": ["".join(held)]})
-    else:
-        state.update((held, size))
+    return ([("".join(held),)] if last else []), [held, size]
 
 
 def stream_captures(lines: DataFrame) -> DataFrame:
     """(capture_id, text): each capture once its last row has come."""
-    kind = lines.schema["capture_id"].dataType.simpleString()
-    return lines.groupBy("capture_id").applyInPandasWithState(_whole, f"capture_id {kind}, text string", "held array<string>, size long", "append", GroupStateTimeout.NoTimeout)
+    reach_workers(lines.sparkSession)
+    return by_bucket(lines, _whole, "text string")
 
 
 def stream_units(lines: DataFrame, shape: Shape, most: int = MOST_HELD) -> DataFrame:
@@ -128,8 +111,7 @@ def stream_units(lines: DataFrame, shape: Shape, most: int = MOST_HELD) -> DataF
     reach_workers(lines.sparkSession)
     one = prepared(F.array(F.struct("num", F.col("line").alias("text"))), shape.checked().region)
     own = lines.withColumn("line", F.when(F.col("line").isNotNull(), F.get(one, F.lit(0))["text"]))
-    kind = lines.schema["capture_id"].dataType.simpleString()
-    made = own.groupBy("capture_id").applyInPandasWithState(handled(shape, most), f"capture_id {kind}, {UNITS}", "kept string", "append", GroupStateTimeout.NoTimeout)
+    made = by_bucket(own, handled(shape, most), UNITS)
     both = F.zip_with("nums", "texts", lambda n, t: F.struct(n.cast("int").alias("num"), t.alias("text")))
     return made.select("capture_id", "part", "nth", both.alias("lines"), "refusal")
 
@@ -168,8 +150,7 @@ def stream_identified(lines: DataFrame, definitions: Sequence[tuple[Signature, S
         raise DefinitionError("shapes to choose from split lines and strip escapes alike")
     one = prepared(F.array(F.struct("num", F.col("line").alias("text"))), known[0][1].region)
     own = lines.withColumn("line", F.when(F.col("line").isNotNull(), F.get(one, F.lit(0))["text"]))
-    kind = lines.schema["capture_id"].dataType.simpleString()
-    made = own.groupBy("capture_id").applyInPandasWithState(chosen(known, most), f"capture_id {kind}, parser string, {UNITS}", "kept string", "append", GroupStateTimeout.NoTimeout)
+    made = by_bucket(own, chosen(known, most), f"parser string, {UNITS}")
     both = F.zip_with("nums", "texts", lambda n, t: F.struct(n.cast("int").alias("num"), t.alias("text")))
     units = made.select("capture_id", "parser", "part", "nth", both.alias("lines"), "refusal")
     return parts_read(units, {f"{s.parser}/{s.variant}": shape for s, shape in known}, mode)
@@ -216,30 +197,23 @@ def stream_trees(lines: DataFrame) -> DataFrame:
 def _csv(delimiter: str):
     """Handles a capture's new lines: those since an open quote are the state, and whether it is open."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        record, num, held_, size = (state.get[0], state.get[1], list(state.get[2]), state.get[3]) if state.exists else (0, 0, [], 0)
-        new = pd.concat(list(frames)).sort_values("num")
-        out, ended = [], False
-        for at, line, last in zip(new["num"], new["line"], new["last"], strict=True):
-            if line is not None:
-                inside = bool(held_)
-                num = num if inside else int(at)
-                held_.append(line)
-                size += len(line.encode()) + 1
-                if size > MOST_HELD:
-                    raise ValueError("an open record of over 64 MiB")
-                if not quote_open(line, delimiter, inside):
-                    record += 1
-                    out.append((key[0], record, num, next(records("\n".join(held_) + "\n", delimiter))[1]))
-                    held_, size = [], 0
-            ended = ended or bool(last)
-        if ended and held_:
+    def run(kept: list | None, lines: list[Line], last: bool) -> tuple[list[tuple], list]:
+        record, num, held_, size = kept or (0, 0, [], 0)
+        out = []
+        for at, line in lines:
+            inside = bool(held_)
+            num = num if inside else at
+            held_.append(line)
+            size += len(line.encode()) + 1
+            if size > MOST_HELD:
+                raise ValueError("an open record of over 64 MiB")
+            if not quote_open(line, delimiter, inside):
+                record += 1
+                out.append((record, num, next(records("\n".join(held_) + "\n", delimiter))[1]))
+                held_, size = [], 0
+        if last and held_:
             raise ValueError(f"a quote that line {num} opens isn't closed")
-        if ended:
-            state.remove()
-        else:
-            state.update((record, num, held_, size))
-        yield pd.DataFrame(out, columns=["capture_id", "record", "num", "cells"])
+        return out, [record, num, held_, size]
 
     return run
 
@@ -247,6 +221,5 @@ def _csv(delimiter: str):
 def stream_csv(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     """(capture_id, record, num, cells): CSV records, each handed over once no
     quote is open at its line's end; the first has the headings."""
-    kind = lines.schema["capture_id"].dataType.simpleString()
-    out = f"capture_id {kind}, record long, num long, cells array<string>"
-    return lines.groupBy("capture_id").applyInPandasWithState(_csv(delimiter), out, "record long, num long, held array<string>, size long", "append", GroupStateTimeout.NoTimeout)
+    reach_workers(lines.sparkSession)
+    return by_bucket(lines, _csv(delimiter), "record long, num long, cells array<string>")

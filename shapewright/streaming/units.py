@@ -19,14 +19,11 @@ time.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql.streaming.state import GroupState
 
 from ..functions.patterns import WHOLE, translate
 from ..functions.text import WHITE
@@ -34,8 +31,8 @@ from ..operators.csv_text import quote_open
 from ..operators.lines import MOST_BYTES, MOST_RECORD_BYTES, Region
 from ..plans.choice import Head
 from ..plans.shape import Shape
+from .buckets import Line
 
-Line = tuple[int, str]
 #: A unit: the part's name and its lines.
 Unit = tuple[str, list[Line]]
 
@@ -298,24 +295,14 @@ class Reader:
         own.head, own.lines = [], []
 
 
-def lines_of(frames: Iterator[pd.DataFrame]) -> tuple[list[Line], bool]:
-    """New lines of a capture in order, and whether they are its last."""
-    lines, last = [], False
-    for frame in frames:
-        lines += [(n, t) for n, t in zip(frame["num"].tolist(), frame["line"].tolist(), strict=True) if t is not None]
-        last = last or any(frame["last"].tolist())
-    return sorted(lines), last
-
-
 def chosen(definitions: Sequence[tuple[object, Shape]], most: int):
     """Handles new lines of captures whose definition isn't known: they are held until
     no line that may come changes the choice, and then go the chosen one's way."""
 
     kinds = [kinds_of(shape) for _, shape in definitions]
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"held": []}
-        lines, last = lines_of(frames)
+    def run(kept: dict | str | None, lines: list[Line], last: bool) -> tuple[list[tuple], dict | str]:
+        kept = {"held": []} if kept is None else kept
         out: list[tuple] = []
         try:
             if kept != REFUSED and "chosen" not in kept:
@@ -337,16 +324,12 @@ def chosen(definitions: Sequence[tuple[object, Shape]], most: int):
                 reader, counts = Reader(shape, kept.get("reader"), most, kinds[kept["chosen"]]), kept.get("counts", {})
                 for part, own in reader.feed(lines, last):
                     counts[part] = counts.get(part, 0) + 1
-                    out.append((key[0], f"{signature.parser}/{signature.variant}", part, counts[part], None, [n for n, _ in own], [t for _, t in own]))
-                kept = {"chosen": kept["chosen"], "reader": reader.state(), "counts": counts}
+                    out.append((f"{signature.parser}/{signature.variant}", part, counts[part], None, [n for n, _ in own], [t for _, t in own]))
+                kept = {} if last else {"chosen": kept["chosen"], "reader": reader.state(), "counts": counts}
         except Refused as why:
-            out.append((key[0], None, None, 0, str(why), [], []))
+            out.append((None, None, 0, str(why), [], []))
             kept = REFUSED
-        if last:
-            state.remove()
-        else:
-            state.update((json.dumps(kept),))
-        yield pd.DataFrame(out, columns=["capture_id", "parser", "part", "nth", "refusal", "nums", "texts"])
+        return out, kept
 
     return run
 
@@ -359,24 +342,19 @@ def handled(shape: Shape, most: int):
     """Handles a capture's new lines; after a refusal the rest of it gives nothing."""
     kinds = kinds_of(shape)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {}
-        lines, last = lines_of(frames)
+    def run(kept: dict | str | None, lines: list[Line], last: bool) -> tuple[list[tuple], dict | str]:
         out: list[tuple] = []
         if kept != REFUSED:
+            kept = kept or {}
             reader, counts = Reader(shape, kept.get("reader"), most, kinds), kept.get("counts", {})
             try:
                 for part, own in reader.feed(lines, last):
                     counts[part] = counts.get(part, 0) + 1
-                    out.append((key[0], part, counts[part], None, [n for n, _ in own], [t for _, t in own]))
-                kept = {"reader": reader.state(), "counts": counts}
+                    out.append((part, counts[part], None, [n for n, _ in own], [t for _, t in own]))
+                kept = {} if last else {"reader": reader.state(), "counts": counts}
             except Refused as why:
-                out.append((key[0], None, 0, str(why), [], []))
+                out.append((None, 0, str(why), [], []))
                 kept = REFUSED
-        if last:
-            state.remove()
-        else:
-            state.update((json.dumps(kept),))
-        yield pd.DataFrame(out, columns=["capture_id", "part", "nth", "refusal", "nums", "texts"])
+        return out, kept
 
     return run
