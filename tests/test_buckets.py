@@ -7,9 +7,10 @@ from test_stream import SCHEMA
 
 from shapewright.functions.convert import Field
 from shapewright.operators.lines import Region
+from shapewright.plans.identify import Signature
 from shapewright.plans.shape import Shape
 from shapewright.streaming.buckets import _handled, by_bucket
-from shapewright.streaming.stream import stream_parts
+from shapewright.streaming.stream import stream_identified, stream_parts
 
 
 class Kept:
@@ -76,3 +77,8 @@ def test_parts_of_many_captures_are_not_grouped_one_by_one(spark):
     lines = spark.readStream.format("rate").load().selectExpr("cast(value as int) as capture_id", "value as num", "cast(value as string) as line", "true as last")
     shape = Shape("composite", parts={"all": Shape("regex", Region(), [r"^(?P<n>\d+)$"], fields={"n": Field("int")})})
     assert "bucket" in grouping(stream_parts(lines, shape))
+
+
+def test_identified_captures_are_not_grouped_one_by_one(spark):
+    lines = spark.readStream.format("rate").load().selectExpr("cast(value as int) as capture_id", "value as num", "cast(value as string) as line", "true as last")
+    assert "bucket" in grouping(stream_identified(lines, [(Signature("n", "plain", all=(r"^\d",)), Shape("regex", patterns=[r"^(?P<n>\d+)$"]))], "report"))
