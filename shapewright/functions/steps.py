@@ -24,8 +24,12 @@ def held(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted_name(name))
 
 
 def projected(df: DataFrame, keep: Sequence[str], steps: Sequence[Step], first: Mapping[str, Column]) -> DataFrame:

@@ -174,7 +174,8 @@ def unread_refusal(lines: Column, read: Column) -> Column:
         gone = F.array_except(F.transform(lines, lambda v: v["num"]), nums)
         return F.when(F.size(gone) == 0, F.filter(lines, lambda v: F.lit(False))).otherwise(F.filter(lines, lambda v: F.array_contains(gone, v["num"])))
 
-    return let(let(read, left), told)
+    # most often all are read, in their order
+    return let(read, lambda nums: F.when(nums != F.transform(lines, lambda v: v["num"]), let(left(nums), told)))
 
 
 def regioned(captures: DataFrame, region: Region, *, others: bool = False) -> DataFrame:

@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.convert import Field, Text, as_text, as_value, compiled, why_not
-from ..functions.patterns import Found, Pattern, linear_matches, match_array, translate
-from ..functions.steps import Step, bound, held, projected, quoted
+from ..functions.patterns import CUT, Found, Pattern, linear_matches, match_array, translate
+from ..functions.steps import Step, bound, held, projected, quoted, quoted_name
 from ..functions.text import BLANK, cells_of, is_blank, let, literal, normal_names, trimmed
 from .lines import blocks, exploded, indexes
 
 #: Fixed value: levels of a tree.
 MOST_LEVELS = 32
+#: Finds, among cells joined by marks, one that isn't an integer of at most 18 digits.
+LONG = rf"(?:\A|{CUT})(?![+-]?[0-9]{{1,18}}(?:{CUT}|\z))"
 #: Lines of a tree whose parents are gathered at a time.
 TREE_BLOCK = 256
 
@@ -39,6 +41,8 @@ class LineReader:
     keys: Sequence[str]
     linear: Sequence[Pattern] = ()
     alternatives: Sequence[Sequence[str]] = ()
+    #: A pattern whose groups are the keys, and those of them that are integers; the others are text.
+    plain: tuple[Pattern, frozenset[str]] | None = None
 
     def rows(self, df: DataFrame, keep: Sequence[str], text: str = "line") -> DataFrame:
         given = {"line": quoted(text)} | ({"trouble": F.col("trouble")} if "trouble" in df.columns else {})
@@ -67,6 +71,34 @@ class LineReader:
             return F.zip_with(texts, linear_matches(texts, self.linear), lambda t, m: self.value_of({"line": t, "match": m}))
         return F.transform(texts, self.value)
 
+    def read_each(self, df: DataFrame, name: str, texts: Column) -> tuple[DataFrame, Column, Column]:
+        """``df`` with what an array of lines gives, the structs of their keys, and the
+        first refusal. Spark interprets what is inside a lambda, node by node; so the
+        lines of a ``plain`` reader are only matched there. If all of them match
+        whole, and their integers are short ones, the arrays of cells are cast as
+        arrays; else every line goes through the steps."""
+        here = quoted(name)
+        only = F.transform(here, lambda x: F.struct(*[x[k].alias(k) for k in self.keys]))
+        refusal = F.get(F.array_compact(F.transform(here, lambda x: x["refusal"])), F.lit(0))
+        if self.plain is None:
+            return df.withColumn(name, self.values(texts)), only, refusal
+        pattern, ints = self.plain
+        df = df.withColumn(f"texts {name}", held(texts))
+        found = quoted(f"match {name}")
+        df = df.withColumn(f"match {name}", held(F.transform(quoted(f"texts {name}"), lambda t: match_array(t, (pattern,)))))
+        fine = ~F.exists(found, lambda m: F.coalesce((F.get(m, F.lit(2)) != "") | (F.get(m, F.lit(3)) != ""), F.lit(True)))
+        cells = {k: held(F.transform(found, lambda m: F.get(m, F.lit(4 + n)))) for n, k in enumerate(pattern.groups)}  # noqa: B023
+        df = df.select("*", held(fine).alias(f"whole {name}"), *[c.alias(f"cell {k} {name}") for k, c in cells.items()])
+        own = {k: quoted(f"cell {k} {name}") for k in cells}
+        short = quoted(f"whole {name}")
+        for k in ints:  # no cell holds the mark between them, as no text that is matched does
+            short = short & ~F.array_join(own[k], CUT).rlike(LONG)
+        df = df.withColumn(f"short {name}", held(F.coalesce(short, F.lit(False))))
+        df = df.withColumn(name, held(F.when(~quoted(f"short {name}"), self.values(quoted(f"texts {name}")))))
+        zipped = F.arrays_zip(*[own[k].try_cast("array<bigint>") if k in ints else own[k] for k in self.keys])
+        kinds = ",".join(f"{quoted_name(k)}:{'bigint' if k in ints else 'string'}" for k in self.keys)
+        return df, F.when(quoted(f"short {name}"), zipped.cast(f"array<struct<{kinds}>>")).otherwise(only), F.when(~quoted(f"short {name}"), refusal)
+
 
 def _typing(rules: Mapping[str, Field], keys: Sequence[str], raw: bool) -> list[Step]:
     """Steps from ``cell <key>`` and ``unread``, the reason against the line, to
@@ -115,6 +147,10 @@ def regex_reader(patterns: Sequence[str | tuple[str, Mapping[str, str]]], rules:
     known = tuple(p for p, _ in options)
     names = list(dict.fromkeys(n for p, fixed in options for n in (*fixed, *p.groups)))
     deep = any(p.deep for p in known)
+    ruled = {} if raw else {k: r for k, r in (rules or {}).items() if k in names}
+    plain = None
+    if len(options) == 1 and names and not (deep or options[0][1] or known[0].optional) and all(r in (Field("int"), Field("int", required=True)) for r in ruled.values()):
+        plain = known[0], frozenset(ruled)
 
     def matched(env: Mapping[str, Column]) -> dict[str, Column]:
         return {"match": match_array(env["line"], known)}
@@ -134,7 +170,7 @@ def regex_reader(patterns: Sequence[str | tuple[str, Mapping[str, str]]], rules:
         out["unread"] = F.when(found.which.isNull(), F.concat(F.lit("no alternative matches: "), told)).when(~found.covers, F.concat(F.lit("the match leaves text: "), told))
         return out
 
-    return LineReader([*([] if deep else [matched]), cells, *_typing(rules or {}, names, raw)], names, known if deep else (), [(*fixed, *p.groups) for p, fixed in options])
+    return LineReader([*([] if deep else [matched]), cells, *_typing(rules or {}, names, raw)], names, known if deep else (), [(*fixed, *p.groups) for p, fixed in options], plain)
 
 
 def table_reader(columns: Sequence[str], rules: Mapping[str, Field] | None = None, *, delimiter: str | None = None, most: int | None = None, least: int | None = None, raw: bool = False) -> LineReader:
@@ -604,7 +640,8 @@ def record_blocks(captures: DataFrame, start: str) -> DataFrame:
     df = _with_refusal(captures).withColumn("starts", indexes(F.col("lines"), translate(start).matches))
     early = (F.size("lines") > 0) & (F.coalesce(F.get("starts", F.lit(0)), F.lit(0)) != 1)
     df = df.withColumn("refusal", F.coalesce("refusal", F.when(early, F.lit("text before the first record"))))
-    df = df.withColumn("blocks", F.when(F.col("refusal").isNull(), blocks(F.col("lines"), F.col("starts"))).otherwise(F.array(F.col("lines"))))
+    # held: else a filter on their number computes them again, twice over, below the rows that they give
+    df = df.withColumn("blocks", held(F.when(F.col("refusal").isNull(), blocks(F.col("lines"), F.col("starts"))).otherwise(F.array(F.col("lines")))))
     return df.select("capture_id", "refusal", F.posexplode("blocks").alias("record", "lines")).withColumn("record", F.col("record") + 1)
 
 

@@ -213,8 +213,8 @@ class Shape:
         here = F.col(f"`read {name}`")
         first = lambda rows: F.get(F.array_compact(F.transform(rows, lambda x: x["refusal"])), F.lit(0))
         if reader := self.line_reader():
-            df = df.withColumn(f"read {name}", _each_line(at, reader))
-            return df, _only(here, reader.keys), first(here), F.size(here) * len(reader.keys)
+            df, value, refusal = reader.read_each(df, f"read {name}", F.transform(at, lambda v: v["text"]))
+            return df, value, refusal, F.size(at) * len(reader.keys)
         if self.parse == "regex_input":
             reader = parse.regex_reader(self.patterns, self.fields, self.raw)
             df = df.withColumn(f"read {name}", F.get(reader.values(F.array(parse.joined_lines(at))), F.lit(0)))
@@ -284,10 +284,6 @@ class Shape:
         return T.StructType(fields)
 
 
-def _each_line(lines: Column, reader: parse.LineReader) -> Column:
-    return reader.values(F.transform(lines, lambda v: v["text"]))
-
-
 def _only(read: Column, keys: Sequence[str]) -> Column:
     return F.transform(read, lambda x: F.struct(*[x[k].alias(k) for k in keys]))
 
