@@ -22,6 +22,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 Line = tuple[int, str]
 #: What a capture's new lines, and whether they are its last, give: rows, and what it keeps; it was given what it kept before (None: nothing).
 Handle = Callable[[object, list[Line], bool], tuple[list[tuple], object]]
+#: What a capture kept, its new lines, and whether they are its last.
+Capture = tuple[object, list[Line], bool]
+#: The same of a bucket's captures one after another, which may look at many at once.
+Handles = Callable[[Iterator[Capture]], Iterator[tuple[list[tuple], object]]]
 BUCKETS = 1024
 #: Rows that are handed back at a time.
 ROWS = 10_000
@@ -36,7 +40,15 @@ def _as_text(kind: T.DataType) -> tuple[Callable[[Column], Column], Callable[[Co
     return lambda c: F.to_json(F.struct(c.alias("id")), TIMES), lambda c: F.from_json(c, whole, TIMES)["id"]
 
 
-def _handled(handle: Handle, columns: Sequence[str]):
+def one_by_one(handle: Handle) -> Handles:
+    """Handles captures each by itself."""
+    return lambda captures: (handle(*c) for c in captures)
+
+
+def _handled(handle: Handle, columns: Sequence[str], together: bool = False):
+    """Handles a bucket's new lines; ``together`` if ``handle`` is of ``Handles``."""
+    handles = handle if together else one_by_one(handle)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = dict(zip(*state.get, strict=True)) if state.exists else {}
         new: dict[str | None, tuple[list[Line], list[bool]]] = {}
@@ -49,9 +61,9 @@ def _handled(handle: Handle, columns: Sequence[str]):
                 if last:
                     new[of][1].append(True)
         out: list[tuple] = []
-        for of, (lines, ends) in new.items():
-            before = kept.pop(of, None)
-            rows, after = handle(None if before is None else json.loads(before), sorted(lines), bool(ends))
+        before = {of: kept.pop(of) for of in new if of in kept}
+        captures = ((json.loads(before[of]) if of in before else None, sorted(lines), bool(ends)) for of, (lines, ends) in new.items())
+        for (of, (_, ends)), (rows, after) in zip(new.items(), handles(captures), strict=True):
             out += [(of, *r) for r in rows]
             if not ends:
                 kept[of] = json.dumps(after)
@@ -67,11 +79,12 @@ def _handled(handle: Handle, columns: Sequence[str]):
     return run
 
 
-def by_bucket(lines: DataFrame, handle: Handle, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """capture_id and the columns ``out`` of what ``handle`` makes of each capture's new lines."""
+def by_bucket(lines: DataFrame, handle: Handle | Handles, out: str, buckets: int = BUCKETS, together: bool = False) -> DataFrame:
+    """capture_id and the columns ``out`` of what ``handle`` makes of each capture's
+    new lines; ``together`` if it takes a bucket's captures."""
     to, back = _as_text(lines.schema["capture_id"].dataType)
     columns = [c.split(" ")[0] for c in out.split(", ")]
     keyed = lines.select(to(F.col("capture_id")).alias("of"), "num", "line", "last")
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("of"), F.lit(buckets)))
-    made = keyed.groupBy("bucket").applyInPandasWithState(_handled(handle, columns), f"of string, {out}", "captures array<string>, kept array<string>", "append", GroupStateTimeout.NoTimeout)
+    made = keyed.groupBy("bucket").applyInPandasWithState(_handled(handle, columns, together), f"of string, {out}", "captures array<string>, kept array<string>", "append", GroupStateTimeout.NoTimeout)
     return made.select(back(F.col("of")).alias("capture_id"), *columns)

@@ -150,7 +150,7 @@ def stream_identified(lines: DataFrame, definitions: Sequence[tuple[Signature, S
         raise DefinitionError("shapes to choose from split lines and strip escapes alike")
     one = prepared(F.array(F.struct("num", F.col("line").alias("text"))), known[0][1].region)
     own = lines.withColumn("line", F.when(F.col("line").isNotNull(), F.get(one, F.lit(0))["text"]))
-    made = by_bucket(own, chosen(known, most), f"parser string, {UNITS}")
+    made = by_bucket(own, chosen(known, most), f"parser string, {UNITS}", together=True)
     both = F.zip_with("nums", "texts", lambda n, t: F.struct(n.cast("int").alias("num"), t.alias("text")))
     units = made.select("capture_id", "parser", "part", "nth", both.alias("lines"), "refusal")
     return parts_read(units, {f"{s.parser}/{s.variant}": shape for s, shape in known}, mode)

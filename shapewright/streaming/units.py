@@ -19,8 +19,9 @@ time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,9 +30,9 @@ from ..functions.patterns import WHOLE, translate
 from ..functions.text import WHITE
 from ..operators.csv_text import quote_open
 from ..operators.lines import MOST_BYTES, MOST_RECORD_BYTES, Region
-from ..plans.choice import Head
+from ..plans.choice import Head, choices
 from ..plans.shape import Shape
-from .buckets import Line
+from .buckets import Capture, Line
 
 #: A unit: the part's name and its lines.
 Unit = tuple[str, list[Line]]
@@ -42,12 +43,17 @@ class Refused(Exception):
 
 
 class Hits:
-    """Which of some texts the patterns match, each found for all at once."""
+    """Which of some lines the patterns match, each found for all at once."""
 
-    def __init__(self, texts: Sequence[str]):
-        self.texts = pa.array(texts, pa.string())
+    def __init__(self, lines: Sequence[Line]):
+        self.lines = lines
         self.found: dict[tuple[str, bool], list[bool]] = {}
 
+    @cached_property
+    def texts(self) -> pa.Array:
+        """Made once a pattern is asked for: many captures ask for none."""
+        return pa.array([t for _, t in self.lines], pa.string())
+
     def __call__(self, pattern: str, k: int, whole: bool = False) -> bool:
         if (pattern, whole) not in self.found:
             linear = translate(pattern).linear
@@ -59,7 +65,7 @@ class Hits:
         return self.found[pattern, whole][k]
 
     def _covers(self, k: int, begins: int, length: int) -> bool:
-        raw = self.texts[k].as_py().encode()
+        raw = self.lines[k][1].encode()
         return not (raw[:begins] + raw[begins + length :]).decode().strip(WHITE)
 
 
@@ -120,6 +126,11 @@ class Open:
     done: bool = False
 
 
+def _size(text: str) -> int:
+    """Bytes of a text."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def _words(text: str) -> list[str]:
     return text.split()
 
@@ -144,7 +155,7 @@ class Reader:
     def held(self) -> int:
         """Bytes that the capture holds, of all parts together."""
         kept = [self.folding, *[o.head for o in self.open.values()], *[o.lines for o in self.open.values()]]
-        return sum(len(t.encode()) + 1 for lines in kept for _, t in lines) + len(self.blanks)
+        return sum(_size(t) + 1 for lines in kept for _, t in lines) + len(self.blanks)
 
     def feed(self, lines: Sequence[Line], last: bool) -> Iterator[Unit]:
         """Units that these lines complete; ``last`` if the capture ends with them."""
@@ -153,7 +164,7 @@ class Reader:
             for unit in self._through(group, False):
                 yield unit
                 held = None
-            held = self.held() if held is None else held + sum(len(t.encode()) + 1 for _, t in group)
+            held = self.held() if held is None else held + sum(_size(t) + 1 for _, t in group)
             if held > self.most and (held := self.held()) > self.most:
                 raise Refused(f"what waits to be read exceeds {self.most} bytes")
         if last:
@@ -163,7 +174,7 @@ class Reader:
         """Lines some at a time, so that the account is looked at between."""
         begun, bytes_ = 0, 0
         for k, (num, text) in enumerate(lines):
-            own = len(text.encode())
+            own = _size(text)
             if own > MOST_RECORD_BYTES:
                 raise Refused(f"a record of over 1 MiB at line {num}")
             if "\0" in text and self.shape.region.separator == "\n":
@@ -180,7 +191,7 @@ class Reader:
         whole = self._folded(self._without_edges(lines), last)
         if region.skip_blank:
             whole = [x for x in whole if x[1].strip(WHITE)]
-        hits = Hits([t for _, t in whole])
+        hits = Hits(whole)
         for k, (num, text) in enumerate(whole):
             if any(hits(p, k) for p in region.ignore):
                 continue
@@ -208,7 +219,7 @@ class Reader:
         fold = self.shape.region.fold
         if not fold:
             return lines
-        out, hits = [], Hits([t for _, t in lines])
+        out, hits = [], Hits(lines)
         join = lambda held: (held[0][0], held[0][1] if len(held) == 1 else " ".join(t.strip(WHITE) for _, t in held))
         for k, line in enumerate(lines):
             if hits(fold, k):
@@ -295,41 +306,82 @@ class Reader:
         own.head, own.lines = [], []
 
 
+#: Captures, and bytes of what they hold, whose choice is told at once.
+AT_ONCE, AT_ONCE_BYTES = 4096, 8 << 20
+
+
+def _held(kept: dict | str) -> int:
+    """Bytes of the lines that a capture keeps, before its definition is known and after."""
+    if kept == REFUSED:
+        return 0
+    reader = kept.get("reader", {})
+    own = [kept.get("held", []), reader.get("folding", []), *[o[k] for o in reader.get("open", {}).values() for k in ("head", "lines")]]
+    return sum(_size(t) + 1 for lines in own for _, t in lines)
+
+
+def _with_heads(captures: Iterable[Capture], signatures: Sequence, most: int) -> Iterator[tuple[dict | str, list[Line], bool, tuple[int | None, str | None] | None]]:
+    """What each capture keeps, its lines and whether it ends; and for those whose
+    definition isn't known, with all lines held so far, the choice."""
+    group: list[tuple[dict | str, list[Line], bool, Head | None]] = []
+    size = 0
+
+    def told() -> Iterator[tuple[dict | str, list[Line], bool, tuple[int | None, str | None] | None]]:
+        asked = [(head, last) for _, _, last, head in group if head is not None]
+        answers = iter(choices([h for h, _ in asked], [last for _, last in asked]))
+        for kept, lines, last, head in group:
+            yield kept, lines, last, next(answers) if head is not None else None
+
+    for kept, lines, last in captures:
+        kept, head = {"held": []} if kept is None else kept, None
+        own = _held(kept) + sum(_size(t) + 1 for _, t in lines)
+        size += own
+        if kept != REFUSED and "chosen" not in kept:
+            lines = [*(tuple(x) for x in kept["held"]), *lines]
+            if own > most:
+                kept = {"beyond": most}
+            else:
+                head = Head(signatures)
+                for _, text in lines:
+                    head.add(text)
+        group.append((kept, lines, last, head))
+        if len(group) >= AT_ONCE or size > AT_ONCE_BYTES:
+            yield from told()
+            group, size = [], 0
+    yield from told()
+
+
 def chosen(definitions: Sequence[tuple[object, Shape]], most: int):
     """Handles new lines of captures whose definition isn't known: they are held until
-    no line that may come changes the choice, and then go the chosen one's way."""
+    no line that may come changes the choice, and then go the chosen one's way. The
+    choice of many captures is told at once."""
 
     kinds = [kinds_of(shape) for _, shape in definitions]
+    names = [f"{s.parser}/{s.variant}" for s, _ in definitions]
+    signatures = [s for s, _ in definitions]
 
-    def run(kept: dict | str | None, lines: list[Line], last: bool) -> tuple[list[tuple], dict | str]:
-        kept = {"held": []} if kept is None else kept
-        out: list[tuple] = []
-        try:
-            if kept != REFUSED and "chosen" not in kept:
-                held = [tuple(x) for x in kept["held"]] + lines
-                if sum(len(t.encode()) + 1 for _, t in held) > most:
+    def run(captures: Iterable[Capture]) -> Iterator[tuple[list[tuple], dict | str]]:
+        for kept, lines, last, told in _with_heads(captures, signatures, most):
+            out: list[tuple] = []
+            try:
+                if kept != REFUSED and "beyond" in kept:
                     raise Refused(f"what waits to be read exceeds {most} bytes")
-                head = Head([s for s, _ in definitions])
-                for _, text in held:
-                    head.add(text)
-                told = head.choice(last)
-                if told is None:
-                    kept = {"held": held}
-                elif told[0] is None:
+                if told is not None and told[0] is None:
                     raise Refused(told[1])
-                else:
-                    kept, lines = {"chosen": told[0]}, held
-            if kept != REFUSED and "chosen" in kept:
-                signature, shape = definitions[kept["chosen"]]
-                reader, counts = Reader(shape, kept.get("reader"), most, kinds[kept["chosen"]]), kept.get("counts", {})
-                for part, own in reader.feed(lines, last):
-                    counts[part] = counts.get(part, 0) + 1
-                    out.append((f"{signature.parser}/{signature.variant}", part, counts[part], None, [n for n, _ in own], [t for _, t in own]))
-                kept = {} if last else {"chosen": kept["chosen"], "reader": reader.state(), "counts": counts}
-        except Refused as why:
-            out.append((None, None, 0, str(why), [], []))
-            kept = REFUSED
-        return out, kept
+                if told is not None:
+                    kept = {"chosen": told[0]}
+                elif kept != REFUSED and "held" in kept:
+                    kept = {"held": lines}
+                if kept != REFUSED and "chosen" in kept:
+                    number = kept["chosen"]
+                    reader, counts = Reader(definitions[number][1], kept.get("reader"), most, kinds[number]), kept.get("counts", {})
+                    for part, own in reader.feed(lines, last):
+                        counts[part] = counts.get(part, 0) + 1
+                        out.append((names[number], part, counts[part], None, [n for n, _ in own], [t for _, t in own]))
+                    kept = {} if last else {"chosen": number, "reader": reader.state(), "counts": counts}
+            except Refused as why:
+                out.append((None, None, 0, str(why), [], []))
+                kept = REFUSED
+            yield out, kept
 
     return run
 

@@ -1,16 +1,20 @@
 """Captures of a stream share a call of Python, and keep what they keep each for itself."""
 
+import random
 from datetime import datetime
 
 import pandas as pd
+import pyarrow.compute as pc
 from test_stream import SCHEMA
 
 from shapewright.functions.convert import Field
 from shapewright.operators.lines import Region
+from shapewright.plans.choice import Head, choices
 from shapewright.plans.identify import Signature
 from shapewright.plans.shape import Shape
 from shapewright.streaming.buckets import _handled, by_bucket
 from shapewright.streaming.stream import stream_identified, stream_parts
+from shapewright.streaming.units import chosen
 
 
 class Kept:
@@ -82,3 +86,67 @@ def test_parts_of_many_captures_are_not_grouped_one_by_one(spark):
 def test_identified_captures_are_not_grouped_one_by_one(spark):
     lines = spark.readStream.format("rate").load().selectExpr("cast(value as int) as capture_id", "value as num", "cast(value as string) as line", "true as last")
     assert "bucket" in grouping(stream_identified(lines, [(Signature("n", "plain", all=(r"^\d",)), Shape("regex", patterns=[r"^(?P<n>\d+)$"]))], "report"))
+
+
+KNOWN = [
+    (Signature("pairs", "plain", all=(r"^\w+=",), none=(r"^\* ",), window=3), Shape("kv_list")), (Signature("pairs", "long", priority=5, all=(r"^\w+=", r"^end=\d+$"), window=3), Shape("kv_list")),
+    (Signature("list", "plain", all=(r"^\* ",)), Shape("regex", patterns=[r"^\* (?P<item>.+)$"])), (Signature("pairs", "exact", priority=9, all=(r"\Aa=1\nb=2\z",), any=("a", "zz"), window=3), Shape("kv_list")),
+    (Signature("tree", "plain", all=("^root$",), any=("^ leaf", "^ twig")), Shape("tree", indent=" ")), (Signature("late", "any", source=1, any=("^stray", "^--- "), window=4), Shape("regex", patterns=["(?P<x>.*)"])),
+]
+LINES = ["a=1", "b=2", "end=2", "* x", "", "stray", "--- q", "root", " leaf", " twig", "é=ü"]
+
+
+def drawn(seed):
+    rng = random.Random(seed)
+    return [[rng.choice(LINES) for _ in range(rng.randrange(0, 7))] for _ in range(600)]
+
+
+def test_choices_of_many_are_those_of_each():
+    signatures = [s for s, _ in KNOWN]
+    texts = drawn(1)
+
+    def head(lines):
+        made = Head(signatures)
+        for x in lines:
+            made.add(x)
+        return made
+
+    ended = [k % 3 == 0 for k in range(len(texts))]
+    got = choices([head(t) for t in texts], ended)
+    assert got == [head(t).choice(e) for t, e in zip(texts, ended, strict=True)]
+    assert len({g for g in got if g and g[0] is not None}) == len(KNOWN) and None in got and (None, "no definition matches") in got
+    assert choices([], []) == []
+
+
+def test_a_buckets_captures_are_read_as_each_alone():
+    columns, texts = ["parser", "part", "nth", "refusal", "nums", "texts"], drawn(2)
+    rng = random.Random(3)
+    cuts = [sorted(rng.randrange(len(t) + 1) for _ in range(2)) for t in texts]
+
+    def read(which, most):
+        state, run, out = Kept(), _handled(chosen(KNOWN, most), columns, together=True), []
+        for batch in range(3):
+            rows = []
+            for k in which:
+                at = [0, *cuts[k], len(texts[k])]
+                rows += [(str(k), n + 1, texts[k][n], False) for n in range(at[batch], at[batch + 1])]
+                rows += [(str(k), len(texts[k]) + 1, None, True)] if batch == 2 else []
+            if rows:
+                out += [r for frame in run((1,), iter([pd.DataFrame(rows, columns=["of", "num", "line", "last"])]), state) for r in frame.itertuples(index=False)]
+        assert not state.exists
+        return sorted(map(repr, out))
+
+    for most in (1 << 20, 9):
+        together = read(range(len(texts)), most)
+        assert together == sorted(x for k in range(len(texts)) for x in read([k], most))
+        assert any("exceeds 9 bytes" in x for x in together) == (most == 9)
+
+
+def test_patterns_are_not_matched_capture_by_capture(monkeypatch):
+    calls, real = [], pc.match_substring_regex
+    monkeypatch.setattr(pc, "match_substring_regex", lambda texts, pattern: calls.append(len(texts)) or real(texts, pattern))
+    rows = [(str(k), n, line, n == 3) for k in range(1000) for n, line in ((1, ["a=1", "* x", "?"][k % 3]), (2, ["b=2", "* y", "?"][k % 3]), (3, None))]
+    run = _handled(chosen(KNOWN, 1 << 20), ["parser", "part", "nth", "refusal", "nums", "texts"], together=True)
+    got = pd.concat(run((1,), iter([pd.DataFrame(rows, columns=["of", "num", "line", "last"])]), Kept()))
+    assert len(got) == 334 * 2 + 333 * 2 + 333
+    assert len(calls) < 30
