@@ -111,7 +111,7 @@ def stream_units(lines: DataFrame, shape: Shape, most: int = MOST_HELD) -> DataF
     reach_workers(lines.sparkSession)
     one = prepared(F.array(F.struct("num", F.col("line").alias("text"))), shape.checked().region)
     own = lines.withColumn("line", F.when(F.col("line").isNotNull(), F.get(one, F.lit(0))["text"]))
-    made = by_bucket(own, handled(shape, most), UNITS)
+    made = by_bucket(own, handled(shape, most), UNITS, together=True)
     both = F.zip_with("nums", "texts", lambda n, t: F.struct(n.cast("int").alias("num"), t.alias("text")))
     return made.select("capture_id", "part", "nth", both.alias("lines"), "refusal")
 

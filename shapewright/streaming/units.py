@@ -42,31 +42,52 @@ class Refused(Exception):
     """Ends a capture."""
 
 
-class Hits:
-    """Which of some lines the patterns match, each found for all at once."""
+class Texts:
+    """Which texts of some captures' lines the patterns match, each found for all at
+    once. Arrays are made once a pattern is asked for: many captures ask for none."""
 
-    def __init__(self, lines: Sequence[Line]):
-        self.lines = lines
+    def __init__(self, captures: Sequence[Sequence[Line]]):
+        self.captures = captures
         self.found: dict[tuple[str, bool], list[bool]] = {}
 
+    @cached_property
+    def at(self) -> dict[str, int]:
+        return {t: k for k, t in enumerate(dict.fromkeys(t for lines in self.captures for _, t in lines))}
+
     @cached_property
     def texts(self) -> pa.Array:
-        """Made once a pattern is asked for: many captures ask for none."""
-        return pa.array([t for _, t in self.lines], pa.string())
+        return pa.array(list(self.at), pa.string())
 
-    def __call__(self, pattern: str, k: int, whole: bool = False) -> bool:
+    def __call__(self, pattern: str, whole: bool) -> list[bool]:
         if (pattern, whole) not in self.found:
             linear = translate(pattern).linear
             if whole:
                 spans = pc.extract_regex_span(self.texts, f"(?P<{WHOLE}>{linear})").to_pylist()
-                self.found[pattern, True] = [s is not None and self._covers(i, *s[WHOLE]) for i, s in enumerate(spans)]
+                self.found[pattern, True] = [s is not None and _covers(t, *s[WHOLE]) for t, s in zip(self.at, spans, strict=True)]
             else:
                 self.found[pattern, False] = pc.match_substring_regex(self.texts, linear).to_pylist()
-        return self.found[pattern, whole][k]
+        return self.found[pattern, whole]
 
-    def _covers(self, k: int, begins: int, length: int) -> bool:
-        raw = self.lines[k][1].encode()
-        return not (raw[:begins] + raw[begins + length :]).decode().strip(WHITE)
+
+def _covers(text: str, begins: int, length: int) -> bool:
+    raw = text.encode()
+    return not (raw[:begins] + raw[begins + length :]).decode().strip(WHITE)
+
+
+class Hits:
+    """Which of some lines the patterns match; ``many`` are texts of other captures
+    too, looked at together where these lines are among them."""
+
+    def __init__(self, lines: Sequence[Line], many: Texts | None = None):
+        self.lines, self.many = lines, many
+
+    @cached_property
+    def of(self) -> Texts:
+        shared = self.many is not None and all(t in self.many.at for _, t in self.lines)
+        return self.many if shared else Texts([self.lines])
+
+    def __call__(self, pattern: str, k: int, whole: bool = False) -> bool:
+        return self.of(pattern, whole)[self.of.at[self.lines[k][1]]]
 
 
 @dataclass
@@ -138,7 +159,8 @@ def _words(text: str) -> list[str]:
 class Reader:
     """One capture under a shape. ``state`` and ``Reader(shape, state)`` keep it between batches."""
 
-    def __init__(self, shape: Shape, state: dict | None = None, most: int = MOST_BYTES, kinds: dict[str, str] | None = None):
+    def __init__(self, shape: Shape, state: dict | None = None, most: int = MOST_BYTES, kinds: dict[str, str] | None = None, many: Texts | None = None):
+        self.many = many
         self.shape, self.most, self.kinds = shape, most, kinds or kinds_of(shape)
         self.parts = dict(shape.parts) if shape.parse == "composite" else {"": shape}
         state = state or {}
@@ -191,9 +213,9 @@ class Reader:
         whole = self._folded(self._without_edges(lines), last)
         if region.skip_blank:
             whole = [x for x in whole if x[1].strip(WHITE)]
-        hits = Hits(whole)
+        hits = Hits(whole, self.many)
         for k, (num, text) in enumerate(whole):
-            if any(hits(p, k) for p in region.ignore):
+            if region.ignore and any(hits(p, k) for p in region.ignore):
                 continue
             yield from self._line(num, text, hits, k)
         if last:
@@ -219,7 +241,7 @@ class Reader:
         fold = self.shape.region.fold
         if not fold:
             return lines
-        out, hits = [], Hits(lines)
+        out, hits = [], Hits(lines, self.many)
         join = lambda held: (held[0][0], held[0][1] if len(held) == 1 else " ".join(t.strip(WHITE) for _, t in held))
         for k, line in enumerate(lines):
             if hits(fold, k):
@@ -254,10 +276,12 @@ class Reader:
         read = False
         for name, part in self.parts.items():
             own = self.open[name]
+            if own.done and (own.place.inside or own.place.over):
+                continue
             role = own.place.role(part.region, hits, k)
             if role == "heading":
                 read |= hits(part.region.after, k, True)
-            elif role == "in" and not (part.region.skip_blank and not text.strip(WHITE)) and not any(hits(p, k) for p in part.region.ignore):
+            elif role == "in" and not (part.region.skip_blank and not text.strip(WHITE)) and not (part.region.ignore and any(hits(p, k) for p in part.region.ignore)):
                 read = True
                 yield from self._into(name, part, num, text, hits, k)
             if own.place.full(part.region):
@@ -306,48 +330,57 @@ class Reader:
         own.head, own.lines = [], []
 
 
-#: Captures, and bytes of what they hold, whose choice is told at once.
-AT_ONCE, AT_ONCE_BYTES = 4096, 8 << 20
+#: Captures, their lines, and characters of what they hold, that are looked at together.
+AT_ONCE, AT_ONCE_LINES, AT_ONCE_CHARACTERS = 4096, 1 << 16, 8 << 20
+
 
+def _together(captures: Iterable[Capture]) -> Iterator[tuple[list[Capture], Texts | None]]:
+    """Captures some at a time, with the texts of all their new lines."""
+    group: list[Capture] = []
+    count = size = 0
 
-def _held(kept: dict | str) -> int:
-    """Bytes of the lines that a capture keeps, before its definition is known and after."""
-    if kept == REFUSED:
+    def made() -> tuple[list[Capture], Texts | None]:
+        return group, Texts([lines for _, lines, _ in group]) if len(group) > 1 else None
+
+    for capture in captures:
+        lines, own = len(capture[1]), _held(capture[0]) + sum(len(t) for _, t in capture[1])
+        if group and (len(group) >= AT_ONCE or count + lines > AT_ONCE_LINES or size + own > AT_ONCE_CHARACTERS):
+            yield made()
+            group, count, size = [], 0, 0
+        group.append(capture)
+        count, size = count + lines, size + own
+    if group:
+        yield made()
+
+
+def _held(kept: dict | str | None) -> int:
+    """Characters of the lines that a capture keeps, before its definition is known and after."""
+    if kept is None or kept == REFUSED:
         return 0
     reader = kept.get("reader", {})
     own = [kept.get("held", []), reader.get("folding", []), *[o[k] for o in reader.get("open", {}).values() for k in ("head", "lines")]]
-    return sum(_size(t) + 1 for lines in own for _, t in lines)
+    return sum(len(t) for lines in own for _, t in lines)
 
 
-def _with_heads(captures: Iterable[Capture], signatures: Sequence, most: int) -> Iterator[tuple[dict | str, list[Line], bool, tuple[int | None, str | None] | None]]:
+def _told(group: list[Capture], signatures: Sequence, most: int) -> Iterator[tuple[dict | str, list[Line], bool, tuple[int | None, str | None] | None]]:
     """What each capture keeps, its lines and whether it ends; and for those whose
     definition isn't known, with all lines held so far, the choice."""
-    group: list[tuple[dict | str, list[Line], bool, Head | None]] = []
-    size = 0
-
-    def told() -> Iterator[tuple[dict | str, list[Line], bool, tuple[int | None, str | None] | None]]:
-        asked = [(head, last) for _, _, last, head in group if head is not None]
-        answers = iter(choices([h for h, _ in asked], [last for _, last in asked]))
-        for kept, lines, last, head in group:
-            yield kept, lines, last, next(answers) if head is not None else None
-
-    for kept, lines, last in captures:
+    made: list[tuple[dict | str, list[Line], bool, Head | None]] = []
+    for kept, lines, last in group:
         kept, head = {"held": []} if kept is None else kept, None
-        own = _held(kept) + sum(_size(t) + 1 for _, t in lines)
-        size += own
         if kept != REFUSED and "chosen" not in kept:
             lines = [*(tuple(x) for x in kept["held"]), *lines]
-            if own > most:
+            if sum(_size(t) + 1 for _, t in lines) > most:
                 kept = {"beyond": most}
             else:
                 head = Head(signatures)
                 for _, text in lines:
                     head.add(text)
-        group.append((kept, lines, last, head))
-        if len(group) >= AT_ONCE or size > AT_ONCE_BYTES:
-            yield from told()
-            group, size = [], 0
-    yield from told()
+        made.append((kept, lines, last, head))
+    asked = [(head, last) for _, _, last, head in made if head is not None]
+    answers = iter(choices([h for h, _ in asked], [last for _, last in asked]))
+    for kept, lines, last, head in made:
+        yield kept, lines, last, next(answers) if head is not None else None
 
 
 def chosen(definitions: Sequence[tuple[object, Shape]], most: int):
@@ -360,28 +393,32 @@ def chosen(definitions: Sequence[tuple[object, Shape]], most: int):
     signatures = [s for s, _ in definitions]
 
     def run(captures: Iterable[Capture]) -> Iterator[tuple[list[tuple], dict | str]]:
-        for kept, lines, last, told in _with_heads(captures, signatures, most):
-            out: list[tuple] = []
-            try:
-                if kept != REFUSED and "beyond" in kept:
-                    raise Refused(f"what waits to be read exceeds {most} bytes")
-                if told is not None and told[0] is None:
-                    raise Refused(told[1])
-                if told is not None:
-                    kept = {"chosen": told[0]}
-                elif kept != REFUSED and "held" in kept:
-                    kept = {"held": lines}
-                if kept != REFUSED and "chosen" in kept:
-                    number = kept["chosen"]
-                    reader, counts = Reader(definitions[number][1], kept.get("reader"), most, kinds[number]), kept.get("counts", {})
-                    for part, own in reader.feed(lines, last):
-                        counts[part] = counts.get(part, 0) + 1
-                        out.append((names[number], part, counts[part], None, [n for n, _ in own], [t for _, t in own]))
-                    kept = {} if last else {"chosen": number, "reader": reader.state(), "counts": counts}
-            except Refused as why:
-                out.append((None, None, 0, str(why), [], []))
-                kept = REFUSED
-            yield out, kept
+        for group, many in _together(captures):
+            for kept, lines, last, told in _told(group, signatures, most):
+                yield one(kept, lines, last, told, many)
+
+    def one(kept: dict | str, lines: list[Line], last: bool, told: tuple[int | None, str | None] | None, many: Texts | None) -> tuple[list[tuple], dict | str]:
+        out: list[tuple] = []
+        try:
+            if kept != REFUSED and "beyond" in kept:
+                raise Refused(f"what waits to be read exceeds {most} bytes")
+            if told is not None and told[0] is None:
+                raise Refused(told[1])
+            if told is not None:
+                kept = {"chosen": told[0]}
+            elif kept != REFUSED and "held" in kept:
+                kept = {"held": lines}
+            if kept != REFUSED and "chosen" in kept:
+                number = kept["chosen"]
+                reader, counts = Reader(definitions[number][1], kept.get("reader"), most, kinds[number], many), kept.get("counts", {})
+                for part, own in reader.feed(lines, last):
+                    counts[part] = counts.get(part, 0) + 1
+                    out.append((names[number], part, counts[part], None, [n for n, _ in own], [t for _, t in own]))
+                kept = {} if last else {"chosen": number, "reader": reader.state(), "counts": counts}
+        except Refused as why:
+            out.append((None, None, 0, str(why), [], []))
+            kept = REFUSED
+        return out, kept
 
     return run
 
@@ -391,14 +428,19 @@ REFUSED = "refused"
 
 
 def handled(shape: Shape, most: int):
-    """Handles a capture's new lines; after a refusal the rest of it gives nothing."""
+    """Handles a bucket's new lines; after a refusal the rest of a capture gives nothing."""
     kinds = kinds_of(shape)
 
-    def run(kept: dict | str | None, lines: list[Line], last: bool) -> tuple[list[tuple], dict | str]:
+    def run(captures: Iterable[Capture]) -> Iterator[tuple[list[tuple], dict | str]]:
+        for group, many in _together(captures):
+            for kept, lines, last in group:
+                yield one(kept, lines, last, many)
+
+    def one(kept: dict | str | None, lines: list[Line], last: bool, many: Texts | None) -> tuple[list[tuple], dict | str]:
         out: list[tuple] = []
         if kept != REFUSED:
             kept = kept or {}
-            reader, counts = Reader(shape, kept.get("reader"), most, kinds), kept.get("counts", {})
+            reader, counts = Reader(shape, kept.get("reader"), most, kinds, many), kept.get("counts", {})
             try:
                 for part, own in reader.feed(lines, last):
                     counts[part] = counts.get(part, 0) + 1

@@ -14,7 +14,7 @@ from shapewright.plans.identify import Signature
 from shapewright.plans.shape import Shape
 from shapewright.streaming.buckets import _handled, by_bucket
 from shapewright.streaming.stream import stream_identified, stream_parts
-from shapewright.streaming.units import chosen
+from shapewright.streaming.units import chosen, handled
 
 
 class Kept:
@@ -150,3 +150,33 @@ def test_patterns_are_not_matched_capture_by_capture(monkeypatch):
     got = pd.concat(run((1,), iter([pd.DataFrame(rows, columns=["of", "num", "line", "last"])]), Kept()))
     assert len(got) == 334 * 2 + 333 * 2 + 333
     assert len(calls) < 30
+
+
+PARTS = Shape("composite", parts={
+    "head": Shape("regex", Region(limit=1), [r"^customer (?P<key>\d+)$"], fields={"key": Field("int")}), "orders": Shape("regex", Region(skip=1, until="^-- total$", ignore=("^#",)), [r"^- (?P<order>\d+)$"], fields={"order": Field("int")}),
+    "total": Shape("kv_map", Region(after="^-- total$")),
+})
+FOLDED = Shape("regex", Region(fold="^ ", after="^begin", until="^end"), ["(?P<x>.*)"])
+
+
+def test_parts_of_many_captures_are_those_of_each(monkeypatch):
+    calls, real, columns = [], pc.match_substring_regex, ["part", "nth", "refusal", "nums", "texts"]
+    monkeypatch.setattr(pc, "match_substring_regex", lambda texts, pattern: calls.append(len(texts)) or real(texts, pattern))
+    rng = random.Random(4)
+    parts = [["customer 1", *rng.choices(["- 7", "- 8", "# x", "", "-- total"], [5, 5, 1, 1, 1], k=rng.randrange(6)), "-- total", rng.choice(["k=v", "", "-- total x"])] for _ in range(300)]
+    folded = [["begin", *rng.choices(["a", " b", "é", "", "end"], k=rng.randrange(1, 7)), "end"] for _ in range(300)]
+
+    def read(shape, texts, which):
+        state, run, out = Kept(), _handled(handled(shape, 1 << 20), columns, together=True), []
+        for batch in range(2):
+            rows = [(str(k), n, line, n == len(texts[k]) - 1) for k in which for n, line in enumerate(texts[k]) if (n < 3) == (batch == 0)]
+            if rows:
+                out += [r for frame in run((1,), iter([pd.DataFrame(rows, columns=["of", "num", "line", "last"])]), state) for r in frame.itertuples(index=False)]
+        return sorted(map(repr, out))
+
+    for shape, texts in ((PARTS, parts), (FOLDED, folded)):
+        calls.clear()
+        together = read(shape, texts, range(300))
+        assert shape is FOLDED or len(calls) < 20
+        assert together == sorted(x for k in range(300) for x in read(shape, texts, [k]))
+        assert any("refusal=None" in x for x in together) and any("refusal=None" not in x for x in together)
