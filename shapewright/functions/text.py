@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 BLANK = r"\p{IsWhite_Space}"
 #: The characters of Unicode's White_Space.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Those of them that are spaces (Zs), which SQL's trim takes.
+SPACES = "".join(c for c in WHITE if unicodedata.category(c) == "Zs")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,8 +27,8 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
 
-def is_blank(text: Column) -> Column:
-    return F.ltrim(text, F.lit(WHITE)) == ""
+def is_blank(text: Column, white: str = WHITE) -> Column:
+    return F.ltrim(text, F.lit(white)) == ""
 
 
 def without_escapes(text: Column) -> Column:

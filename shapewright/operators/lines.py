@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import any_of, covered_by, translate
 from ..functions.steps import held
-from ..functions.text import is_blank, let, literal, trimmed, without_escapes
+from ..functions.text import WHITE, is_blank, let, literal, trimmed, without_escapes
 
 #: Limits of one capture, one record, and of values that one capture gives.
 MOST_BYTES = 64 << 20
@@ -59,14 +59,18 @@ def split_records(text: Column, separator: str = "\n") -> Column:
     return let(F.split(text, separator if len(separator) == 1 and separator not in ".$|()[{^?*+\\" else literal(separator), -1), cut)
 
 
-def prepared(lines: Column, region: Region) -> Column:
-    """Escapes first, then a carriage return at the end, then the first line's BOM."""
+def prepared(lines: Column, region: Region, *, verbatim: bool = False) -> Column:
+    """Escapes first, then a carriage return at the end, then the first line's BOM;
+    ``verbatim`` lines keep these two."""
+    if verbatim and not region.strip_ansi:
+        return lines
 
     def one(line: Column) -> Column:
         text = without_escapes(line["text"]) if region.strip_ansi else line["text"]
-        if region.separator == "\n":
+        if region.separator == "\n" and not verbatim:
             text = F.when(F.endswith(text, F.lit("\r")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-        text = F.when((line["num"] == 1) & F.startswith(text, F.lit("﻿")), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+        if not verbatim:
+            text = F.when((line["num"] == 1) & F.startswith(text, F.lit("﻿")), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
         return F.struct(line["num"].alias("num"), text.alias("text"))
 
     return F.transform(lines, one)
@@ -96,16 +100,16 @@ def folded(lines: Column, pattern: str) -> Column:
     return F.transform(blocks(lines, starts), join)
 
 
-def fold_refusal(lines: Column, pattern: str) -> Column:
+def fold_refusal(lines: Column, pattern: str, white: str = WHITE) -> Column:
     """Why folding is refused: nothing, or a blank line, above a continuation."""
     continues = translate(pattern)
-    bad = let(lines, lambda all_: F.filter(all_, lambda v, k: continues.matches(v["text"]) & (F.get(all_, k - 1).isNull() | is_blank(F.get(all_, k - 1)["text"]))))
+    bad = let(lines, lambda all_: F.filter(all_, lambda v, k: continues.matches(v["text"]) & (F.get(all_, k - 1).isNull() | is_blank(F.get(all_, k - 1)["text"], white))))
     return let(bad, lambda b: F.when(F.size(b) > 0, F.concat(F.lit("nothing to fold into at line "), F.get(b, F.lit(0))["num"].cast("string"))))
 
 
-def without_edge_blanks(lines: Column, skip_blank: bool) -> Column:
+def without_edge_blanks(lines: Column, skip_blank: bool, white: str = WHITE) -> Column:
     """Without blank (if blanks are kept, only empty) lines at either end."""
-    full = indexes(lines, lambda t: ~is_blank(t)) if skip_blank else indexes(lines, lambda t: t != "")
+    full = indexes(lines, lambda t: ~is_blank(t, white)) if skip_blank else indexes(lines, lambda t: t != "")
     empty = F.filter(lines, lambda v: F.lit(False))
     return let(full, lambda f: F.when(F.size(f) == 0, empty).otherwise(F.slice(lines, F.get(f, F.lit(0)), F.element_at(f, -1) - F.get(f, F.lit(0)) + 1)))
 
@@ -178,18 +182,20 @@ def unread_refusal(lines: Column, read: Column) -> Column:
     return let(read, lambda nums: F.when(nums != F.transform(lines, lambda v: v["num"]), let(left(nums), told)))
 
 
-def regioned(captures: DataFrame, region: Region, *, others: bool = False) -> DataFrame:
+def regioned(captures: DataFrame, region: Region, *, others: bool = False, white: str = WHITE, verbatim: bool = False) -> DataFrame:
     """``captures`` with lines (those to be read), account and refusal (null if none).
 
     account: physical lines, folded, blank, ignored and selected ones, and for
     each pattern of ``ignore`` the lines that it is the first to match. What the
-    region leaves out otherwise is a refusal, unless ``others`` read it.
+    region leaves out otherwise is a refusal, unless ``others`` read it. Blank lines
+    are of the characters of ``white``; ``verbatim`` ones keep a carriage return and
+    a BOM.
     """
     bytes_ = F.octet_length("text")
     df = captures.withColumn("raw", split_records(F.col("text"), region.separator))
     df = df.withColumn("raw_bytes", F.aggregate("raw", F.lit(0), lambda a, v: F.greatest(a, F.octet_length(v["text"]))))
-    df = df.withColumn("raw", prepared(F.col("raw"), region))
-    df = df.withColumn("joined", without_edge_blanks(F.col("raw"), region.skip_blank))
+    df = df.withColumn("raw", prepared(F.col("raw"), region, verbatim=verbatim))
+    df = df.withColumn("joined", without_edge_blanks(F.col("raw"), region.skip_blank, white))
     why = [
         F.when(F.col("text").isNull(), F.lit("no text")),
         F.when(bytes_ > MOST_BYTES, F.lit("a capture of over 64 MiB")),
@@ -199,9 +205,9 @@ def regioned(captures: DataFrame, region: Region, *, others: bool = False) -> Da
     if region.separator == "\n":
         why.append(F.when(F.contains("text", F.lit("\x00")), F.lit("NUL in a text of lines")))
     if region.fold:
-        why.append(fold_refusal(F.col("joined"), region.fold))
+        why.append(fold_refusal(F.col("joined"), region.fold, white))
     df = df.withColumn("whole", folded(F.col("joined"), region.fold) if region.fold else F.col("joined"))
-    stay = F.filter("whole", lambda v: ~is_blank(v["text"])) if region.skip_blank else F.col("whole")
+    stay = F.filter("whole", lambda v: ~is_blank(v["text"], white)) if region.skip_blank else F.col("whole")
     df = df.withColumn("full", stay)
     if region.ignore:  # the first pattern to match a line takes it
         taken = F.transform("full", lambda v: F.coalesce(*[F.when(translate(p).matches(v["text"]), k) for k, p in enumerate(region.ignore)], F.lit(-1)))
